@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from . import op1_exact_dedup
+from . import op1_exact_dedup, op5_mixing, op10_bpe
 
 MODULES = {
     "op1_exact_dedup": op1_exact_dedup,
+    "op5_mixing_sources": op5_mixing,
+    "op10_byte_bpe": op10_bpe,
 }
 
 
