@@ -313,7 +313,7 @@ def cut_out(n_buckets: int):
             return as_table([])
         t = take(t, np.lexsort((t["q"], t["k"], t["doc"])))
         doc, k, column = texts_by_key(texts)
-        made, contexts, seen = [], [], set()
+        made, contexts, strings, seen = [], [], [], set()
         for i, a, b in rows_of(t, doc, k):
             if a == b or (doc[i], k[i]) in seen:
                 continue
@@ -322,14 +322,18 @@ def cut_out(n_buckets: int):
             own = take(t, slice(a, b))
             hot = own["hot"] == 1
             if hot.any():
-                strings = strings_of(take(own, hot), np.zeros(int(hot.sum()), np.int64), prefix_sums(data))
-                made += send(WINDOW, strings, (strings["w"] >> np.uint64(33)).astype(np.int64) % n_buckets)
+                strings.append(strings_of(take(own, hot), np.zeros(int(hot.sum()), np.int64), prefix_sums(data)))
             own = take(own, ~hot)
             if size(own):
                 padded = np.concatenate([np.zeros(GRAMS - 1, np.uint8), data, np.zeros(LENGTH, np.uint8)])
                 around = padded[own["q"][:, None] + np.arange(COLUMNS)]
                 left, right = np.minimum(own["q"], GRAMS - 1), np.minimum(len(data) - own["q"], LENGTH)
                 contexts.append({**{f: own[f] for f in ("h", "doc", "k", "q", "lo", "hi")}, "left": left, "right": right, "bytes": around})
+        if strings:
+            all_, later = combine({f: np.concatenate([x[f] for x in strings]) for f in FIELDS[WINDOW]}, ("w", "h"), "p")
+            made += send(WINDOW, all_, (all_["w"] >> np.uint64(33)).astype(np.int64) % n_buckets)
+            told = merged(string_marks(later))
+            made += send(MARK, told, document_bucket(told["doc"], n_buckets))
         if contexts:
             all_ = {f: np.concatenate([c[f] for c in contexts]) for f in FIELDS[CONTEXT]}
             made += send(CONTEXT, all_, (all_["h"] >> np.uint64(33)).astype(np.int64) % n_buckets)
@@ -407,7 +411,7 @@ def construct(n_buckets: int):
         t = unpack(CONTEXT, got[CONTEXT])
         found = [columns(t)] if size(t) else []
         _, later = combine(unpack(WINDOW, got[WINDOW]), ("w", "h"), "p")
-        found.append(string_marks(later))
+        found += [string_marks(later), unpack(MARK, got[MARK])]
         told = merged({f: np.concatenate([x[f] for x in found]) for f in FIELDS[MARK]})
         return as_table(list(send(MARK, told, document_bucket(told["doc"], n_buckets))))
 
@@ -434,7 +438,7 @@ def remove(texts: pa.Table, packed: pa.Table) -> pa.Table:
 def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: doc_id, n_bytes, spans (array of start and end, in bytes), kept (the
     bytes that remain)."""
-    n_buckets = 2 * partitions(docs.sparkSession)
+    n_buckets = partitions(docs.sparkSession)
     texts = docs.select(
         F.col(id_col).cast("long").alias("doc_id"),
         F.coalesce(F.col(id_col).cast("long"), F.lit(2**63 - 1)).alias("doc"),
