@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from . import op1_exact_dedup, op2_language_id, op4_jaccard_join, op5_mixing, op6_suffix_dedup, op8_quality, op10_bpe
+from . import op1_exact_dedup, op2_language_id, op3_exact_topk, op4_jaccard_join, op5_mixing, op6_suffix_dedup, op7_secrets, op8_quality, op10_bpe
 
 MODULES = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_language_id": op2_language_id,
+    "op3_exact_topk": op3_exact_topk,
     "op4_jaccard_join": op4_jaccard_join,
     "op5_mixing_sources": op5_mixing,
     "op6_suffix_dedup": op6_suffix_dedup,
+    "op7_secrets": op7_secrets,
     "op8_quality": op8_quality,
     "op10_byte_bpe": op10_bpe,
 }
