@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import op1_exact_dedup, op2_language_id, op3_exact_topk, op4_jaccard_join, op5_mixing, op6_suffix_dedup, op7_secrets, op8_quality, op10_bpe
+from . import op1_exact_dedup, op2_language_id, op3_exact_topk, op4_jaccard_join, op5_mixing, op6_suffix_dedup, op7_secrets, op8_quality, op9_pii, op10_bpe
 
 MODULES = {
     "op1_exact_dedup": op1_exact_dedup,
@@ -13,6 +13,7 @@ MODULES = {
     "op6_suffix_dedup": op6_suffix_dedup,
     "op7_secrets": op7_secrets,
     "op8_quality": op8_quality,
+    "op9_pii_surrogates": op9_pii,
     "op10_byte_bpe": op10_bpe,
 }
 
