@@ -320,7 +320,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     of those with the same shingles), n_links (other texts at the threshold or above)."""
     buckets = 4 * partitions(docs.sparkSession)
     texts = keyed(docs, id_col, text_col)
-    rows = materialise(embed(texts.select("d", "t", F.coalesce(F.col(text_col), F.lit("")).alias("text"))))
+    rows = materialise(embed(texts))
     once = rows.groupBy("sid", "t").agg(F.min("d").alias("d"), F.first("n").alias("n"), F.first("z").alias("z"))
     sets = materialise(once.groupBy("sid").agg(F.min(F.struct("d", "t")).alias("rep"), F.count(F.lit(1)).alias("w"), F.first("n").alias("n"), F.first("z").alias("z")))
 
@@ -332,7 +332,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         .agg(F.collect_list(F.struct("keys", "own", "key", "x", "y", "bucket")).alias("cells"))
         .join(sets.select("sid", "w", F.col("rep.d").alias("d"), F.col("rep.t").alias("t")), "sid")
     )
-    needed = texts.select("d", "t", F.col(text_col).alias("text")).join(per_set, ["d", "t"]).dropDuplicates(["sid"]).select("text", "sid", "w", "cells")
+    needed = texts.join(per_set, ["d", "t"]).dropDuplicates(["sid"]).select("text", "sid", "w", "cells")
     found = materialise(set_rows(needed).groupBy("bucket").applyInArrow(verify, FOUND))
 
     links = found.groupBy("sid").agg(F.sum("links").alias("links"))
@@ -348,9 +348,17 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return rows.select("d", "t", "sid").join(of_set, "sid").select("d", "t", F.col("lead.d").alias("class_id"), F.col("lead.t").alias("class_t"), F.col("rep.d").alias("copy_id"), "n_links")
 
 
-def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """docs with d, the id or NOBODY, and t, a hash of the text."""
-    return docs.withColumns({"d": F.coalesce(F.col(id_col).cast("long"), F.lit(NOBODY)), "t": F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))})
+def keyed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *more) -> DataFrame:
+    """d, the id or NOBODY; t, a hash of the text; text, or what else is asked for."""
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    return docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NOBODY)).alias("d"), F.xxhash64(text).alias("t"), *(more or [text.alias("text")]))
+
+
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of docs without those that are linked, directly or not, to a document of smaller id."""
+    found = near_duplicates(docs, id_col, text_col)
+    others = found.filter("d != class_id or t != class_t").select("d", "t").distinct()
+    return keyed(docs, id_col, text_col, F.struct("*").alias("row")).join(others, ["d", "t"], "left_anti").select("row.*")
 
 
 def query(spark, sf_dir):

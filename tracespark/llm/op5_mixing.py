@@ -54,13 +54,15 @@ def targets(sizes: DataFrame) -> DataFrame:
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """One row per input row: doc_id, size, source_size, target, taken, copies (0, 1 or 2)."""
+    """One row per input row: doc_id, t (a hash of the text), source, size, source_size, target,
+    taken, copies (0, 1 or 2)."""
     rows = docs.count()
     slices = math.ceil(rows / max(SLICE, math.isqrt(rows))) or 1
     digest = F.md5(F.concat(F.lit("mix:"), F.coalesce(F.col(id_col).cast("string"), F.lit(""))))
     base = materialise(
         docs.select(
             F.col(id_col).alias("doc_id"),
+            F.xxhash64(text_col).alias("t"),
             F.col(source_col).cast("string").alias("source"),
             F.coalesce(F.regexp_count(text_col, F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long").alias("size"),
             digest.alias("u"),
@@ -79,7 +81,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
         base.withColumn("so_far", F.sum("size").over(inside))
         .alias("b")
         .join(before.alias("o"), F.col("b.source").eqNullSafe(F.col("o.source")) & (F.col("b.slice") == F.col("o.slice")))
-        .select("doc_id", "b.source", "size", "u", "source_size", "target", "budget", (F.col("before") + F.col("so_far")).alias("sent"))
+        .select("doc_id", "t", "b.source", "size", "u", "source_size", "target", "budget", (F.col("before") + F.col("so_far")).alias("sent"))
     )
     turns = materialise(
         queued.withColumn("f1", F.try_divide("sent", "target")).withColumn("f2", F.try_divide(F.col("sent") + F.col("source_size"), F.col("target")))
@@ -97,11 +99,20 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
         last = items.filter(F.col("bin") == cut["bin"]).withColumn("upto", F.sum("size").over(order) + F.lit(cut["before"])).filter("upto <= budget").agg(F.max("f")).collect()[0][0]
         sent = lambda f: F.when((bin_of(f) < cut["bin"]) | (f <= (-1.0 if last is None else last)), 1).otherwise(0)
         copies = F.when((F.col("size") > 0) & (F.col("target") > 0), sent(F.col("f1")) + sent(F.col("f2"))).otherwise(0)
-    return turns.select("doc_id", "size", "source_size", "target", (F.col("size") * copies).alias("taken"), copies.alias("copies"))
+    return turns.select("doc_id", "t", "source", "size", "source_size", "target", (F.col("size") * copies).alias("taken"), copies.alias("copies"))
+
+
+def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+    """The rows of docs, each as often as the mix takes it (rows of equal id, text and source
+    as often as the one of them that it takes most)."""
+    often = mix(docs, id_col, text_col, source_col).filter("copies > 0").groupBy("doc_id", "t", "source").agg(F.max("copies").alias("copies"))
+    rows = docs.select(F.struct("*").alias("row"), F.col(id_col).alias("i"), F.xxhash64(text_col).alias("h"), F.col(source_col).cast("string").alias("s"))
+    same = F.col("i").eqNullSafe(F.col("doc_id")) & (F.col("h") == F.col("t")) & F.col("s").eqNullSafe(F.col("source"))
+    return rows.join(often, same).select("row", F.explode(F.sequence(F.lit(1), "copies"))).select("row.*")
 
 
 def query(spark, sf_dir):
-    return mix(table(spark, sf_dir, "documents")).drop("copies")
+    return mix(table(spark, sf_dir, "documents")).drop("copies", "t", "source")
 
 
 ORACLE = r"""
