@@ -2,13 +2,25 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
+_QUERIES: dict = {}
+_ORACLES: dict[str, str] = {}
+
+
+def register(name: str, run, sql: str | None = None) -> None:
+    _QUERIES[name] = run
+    if sql:
+        _ORACLES[name] = sql
+
+
+def _load() -> None:
+    from . import catalog, scalar_catalog  # noqa: F401  they register what they hold
 
 
 def queries() -> dict:
-    return dict(QUERIES)
+    _load()
+    return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(ORACLES)
+    _load()
+    return dict(_ORACLES)
