@@ -37,7 +37,7 @@ def squeeze(text: Column) -> Column:
     return out
 
 
-def batches(df: DataFrame, rows: int = 512) -> DataFrame:
+def batches(df: DataFrame, rows: int = 256) -> DataFrame:
     """Rows to an Arrow batch: whole texts can be long, so Python sees few at a time."""
     df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
     return df

@@ -28,11 +28,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import batches, table
+from .textnp import release
 
 #: Bytes of the widest matrix; longer pieces take the heap.
 LONG = 1024
 #: Encodings kept by a worker before it starts afresh.
-KEPT = 300_000
+KEPT = 200_000
 #: Texts taken together, so that a matrix has many rows.
 STEP = 512
 NONE = np.int32(2**31 - 1)
@@ -226,12 +227,13 @@ def digests(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", te
                     ids.append(hashlib.sha256(",".join([s[0] for s in f]).encode()).hexdigest())
                     decoded.append(hashlib.sha256(b"".join([s[2] for s in f])).hexdigest())
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(counts, pa.int64()), pa.array(ids), pa.array(decoded)], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+        release()
 
     return _narrow(docs, id_col, text_col).mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
 def _narrow(docs, id_col, text_col):
-    return batches(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")))
+    return batches(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")), STEP)
 
 
 def public_vocabulary() -> tuple[str, str]:

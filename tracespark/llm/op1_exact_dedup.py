@@ -36,16 +36,17 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         F.coalesce(F.length(text_col), F.lit(0)).alias("n"),
         squeeze(F.col(text_col)).alias("norm"),
         F.struct("*").alias("row"),
-    ).withColumn("h", F.xxhash64("norm"))
+    ).select("doc_id", "n", "row", F.substring("norm", 1, PREFIX).alias("prefix"), F.xxhash64("norm").alias("h"))
 
     least = max(HOT_LEAST, docs.count() // parts)
     hot = [r.h for r in base.groupBy("h").count().filter(F.col("count") > least).select("h").collect()]
-    salt = F.when(F.col("h").isin(hot), F.pmod(F.xxhash64("doc_id", "n"), F.lit(parts))) if hot else F.lit(None)
-    keys = ["prefix", "h", "salt", "norm"]
+    dealt_by = ["prefix", "h", *(["salt"] if hot else [])]
+    salt = F.when(F.col("h").isin(hot), F.pmod(F.xxhash64("doc_id", "n"), F.lit(parts))).otherwise(0) if hot else F.lit(0)
+    keys = [*dealt_by, "norm"]  # the window needs no exchange: equal keys are in one range already
     dealt = (
-        base.withColumn("prefix", F.substring("norm", 1, PREFIX))
-        .withColumn("salt", F.coalesce(salt, F.lit(0)).cast("long"))
-        .repartitionByRange(parts, "prefix", "h", "salt")
+        base.withColumn("salt", salt.cast("long"))
+        .repartitionByRange(parts, *dealt_by)
+        .withColumn("norm", squeeze(F.col("row")[text_col]))  # again: one copy of the text is shuffled, not two
     )
     best_first = Window.partitionBy(*keys).orderBy(F.desc("n"), F.asc_nulls_last("doc_id"))
     whole = best_first.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
@@ -81,7 +82,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 
 def query(spark, sf_dir):
-    return exact_dedup(table(spark, sf_dir, "documents")).drop("row")
+    return exact_dedup(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("row")
 
 
 ORACLE = r"""

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import batches, table
-from .textnp import chunks
+from .textnp import chunks, release
 
 #: Most texts that the machines are fitted on.
 SAMPLE = 4000
@@ -180,6 +180,7 @@ def predict(docs: DataFrame, model: Hierarchy | None, text_col: str = "text") ->
                 lang[of], score[of] = model.predict(features(text.take(pa.array(of))))
             keep = [c for c in b.schema.names if c != "__text"]
             yield pa.RecordBatch.from_arrays([*[b.column(c) for c in keep], pa.array(lang.tolist(), pa.string()), pa.array(score)], [*keep, "lang_pred", "score"])
+        release()
 
     source = docs.select(F.struct("*").alias("row"), F.col(text_col).alias("__text"))
     schema = source.drop("__text").schema.add("lang_pred", "string").add("score", "double")

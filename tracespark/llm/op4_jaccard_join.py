@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import batches, materialise, partitions, table
-from .textnp import chunks, mixed, prefix_sums, spans_hash, words
+from .textnp import chunks, mixed, prefix_sums, release, spans_hash, words
 
 SHINGLE, THRESHOLD = 5, 0.8
 #: Coordinates of the embedding, and how many must agree for a pair to be verified (a pair
@@ -115,6 +115,7 @@ def embed(docs: DataFrame) -> DataFrame:
             sets = [s for _, _, data, at in chunks(b.column("text")) for s in shingles(data, at)]
             names, z = signature(sets)
             yield pa.RecordBatch.from_arrays([b.column("d"), b.column("t"), pa.array(names, pa.binary()), pa.array([len(s) for s in sets], pa.int32()), pa.array(z, pa.list_(pa.int32()))], ["d", "t", "sid", "n", "z"])
+        release()
 
     return batches(docs).mapInArrow(run, "d long, t long, sid binary, n int, z array<int>")
 
@@ -235,6 +236,7 @@ def set_rows(needed: DataFrame) -> DataFrame:
                 fields = [cell.field(c).slice(a, len(part)) for c in ("keys", "own", "key", "x", "y", "bucket")]
                 fields[0] = fields[0].cast(CELLS.field("keys").type)
                 yield pa.RecordBatch.from_arrays([b.column("sid").take(pa.array(part)), b.column("w").take(pa.array(part)), *fields, pa.array([sets[i].tobytes() for i in part], pa.binary())], ["sid", "w", "keys", "own", "key", "x", "y", "bucket", "members"])
+        release()
 
     return batches(needed, 256).mapInArrow(run, f"sid binary, w long, keys array<long>, own int, {CELL}, bucket int, members binary")
 

@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import batches, materialise, partitions, table
-from .textnp import chunks, mixed, prefix_sums, spans_hash
+from .textnp import chunks, mixed, prefix_sums, release, spans_hash
 
 #: Bytes of a repeated string, of the anchor's gram, grams to a string.
 LENGTH, GRAM = 100, 24
@@ -48,7 +48,9 @@ COLUMNS = GRAMS - 1 + LENGTH
 #: Different surroundings of an anchor in one chunk, and in all, above which it is hot.
 HOT_CHUNK, HOT_GROUP = 8, 64
 #: Entries of a packed row, entries that a task gathers before it sends them.
-ENTRIES, GATHER = 4000, 1_000_000
+ENTRIES, GATHER = 4000, 500_000
+#: Bytes of text whose anchors are looked for together.
+TEXT = 1 << 20
 PRIME = 2**31 - 1
 ANCHOR, NOTICE, MARK, PROBE, WINDOW, CONTEXT = range(6)
 FIELDS = {
@@ -232,7 +234,7 @@ def scan(n_buckets: int):
         gathered, n = [], 0
         for batch in batches_in:
             doc, k = batch.column("doc").to_numpy(), batch.column("k").to_numpy().astype(np.uint16)
-            for i, j, data, at in chunks(batch.column("text")):
+            for i, j, data, at in chunks(batch.column("text"), TEXT):
                 sums = prefix_sums(data)
                 t, text = anchors(data, at, sums, doc[i:j], k[i:j])
                 if not size(t):
@@ -256,6 +258,8 @@ def scan(n_buckets: int):
                     gathered, n = [], 0
         if gathered:
             yield from flush(gathered)
+        del gathered
+        release()
 
     return run
 

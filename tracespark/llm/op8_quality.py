@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from .common import batches, table
 from .op2_language_id import split
-from .textnp import chunks, prefix_sums, spans_hash, words
+from .textnp import chunks, prefix_sums, release, spans_hash, words
 
 #: Most texts that the classifier is fitted on.
 SAMPLE = 8000
@@ -135,6 +135,7 @@ def classify(docs: DataFrame, model: Discriminant, id_col: str = "doc_id", text_
         for b in batches_in:
             score = shared.value.score(statistics(b.column("text")))
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(score), pa.array((score >= 0.5).astype(np.int32))], ["doc_id", "score", "predicted"])
+        release()
 
     return batches(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))).mapInArrow(run, "doc_id long, score double, predicted int")
 

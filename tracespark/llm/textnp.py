@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 
 #: Bytes of text held as 64-bit numbers at a time (one text may be longer).
-CHUNK = 2 << 20
+CHUNK = 1 << 19
 BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 INVERSE = np.uint64(pow(int(BASE), -1, 1 << 64))
 BLANK = np.zeros(256, dtype=bool)
@@ -18,6 +19,14 @@ VALUES = np.random.default_rng(20240607).integers(1, 2**63, 256, dtype=np.uint64
 _powers: dict = {}
 
 
+def release() -> None:
+    """Give freed memory back, so that an idle worker holds little while other stages run."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """BASE and its inverse to the powers 0..n."""
     if len(_powers.get("up", ())) <= n:
