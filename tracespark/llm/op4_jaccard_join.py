@@ -38,7 +38,9 @@ SHINGLE, THRESHOLD = 5, 0.8
 #: at the threshold falls short with probability 1e-6).
 WIDTH, AGREE = 64, 34
 #: Largest leaf compared at once, deepest path, rows of a block of a larger leaf.
-LEAF, DEPTH, BLOCK = 128, 3, 128
+LEAF, DEPTH, BLOCK = 128, 3, 256
+#: A child with so much of its parent's sets holds near copies that no split parts; it is a leaf.
+STUCK = 0.8
 TARGET = 1 - 1e-6
 #: How often a node samples a second coordinate, so that it has 1/THRESHOLD on average.
 SECOND = 1 / THRESHOLD - 1
@@ -123,23 +125,24 @@ def embed(docs: DataFrame) -> DataFrame:
 def leaves(sets: DataFrame) -> DataFrame:
     """(key, sid, there): the leaves of two sets or more that each set reaches."""
     chosen = F.explode(F.array(*[F.struct(F.lit(slot).alias("slot"), F.get("z", F.lit(i)).alias("v")) for slot, i in enumerate(roots())]))
-    entries = sets.filter("n > 0").select("sid", chosen.alias("c")).select("sid", F.xxhash64("c.slot", "c.v").alias("key"))
+    entries = sets.filter("n > 0").select("sid", chosen.alias("c")).select("sid", F.xxhash64("c.slot", "c.v").alias("key"), F.lit(None).cast("long").alias("above"))
     found = None
     for depth in range(1, DEPTH + 1):
         there = entries.groupBy("key").agg(F.count(F.lit(1)).alias("there")).filter("there > 1")
-        met = materialise(entries.join(there, "key").select("key", "sid", "there"))
-        done = met if depth == DEPTH else met.filter(F.col("there") <= LEAF)
+        met = materialise(entries.join(there, "key").select("key", "sid", "there", "above"))
+        splits = (F.col("there") > LEAF) & ~F.coalesce(F.col("there") >= STUCK * F.col("above"), F.lit(False)) if depth < DEPTH else F.lit(False)
+        done = met.filter(~splits).select("key", "sid", "there")
         found = done if found is None else found.unionByName(done)
-        if depth == DEPTH or met.filter(F.col("there") > LEAF).isEmpty():
+        if met.filter(splits).isEmpty():
             break
         i, second = (F.pmod(F.xxhash64("key", F.lit(k)), F.lit(WIDTH)).cast("int") for k in (1, 2))
         more = F.pmod(F.xxhash64("key", F.lit(3)), F.lit(1000)) < int(1000 * SECOND)
         child = lambda i: F.struct(i.alias("i"), F.get("z", i).alias("v"))
-        entries = (
-            met.filter(F.col("there") > LEAF)
+        entries = materialise(  # it is counted and joined
+            met.filter(splits)
             .join(sets.select("sid", "z"), "sid")
-            .select("sid", "key", F.explode(F.when(more & (i != second), F.array(child(i), child(second))).otherwise(F.array(child(i)))).alias("c"))
-            .select("sid", F.xxhash64("key", "c.i", "c.v").alias("key"))
+            .select("sid", "key", "there", F.explode(F.when(more & (i != second), F.array(child(i), child(second))).otherwise(F.array(child(i)))).alias("c"))
+            .select("sid", F.xxhash64("key", "c.i", "c.v").alias("key"), F.col("there").alias("above"))
         )
     return found
 
