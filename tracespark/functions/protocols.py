@@ -57,7 +57,7 @@ def http_headers(message: Column) -> Column:
 
 def context_header(headers: Column, name: str) -> Column:
     """PP-05: a header whatever its case, null without it."""
-    return F.element_at(F.filter(F.map_entries(headers), lambda e: F.lower(e["key"]) == name), -1)["value"]
+    return F.try_element_at(F.filter(F.map_entries(headers), lambda e: F.lower(e["key"]) == name), F.lit(-1))["value"]
 
 
 def http(payload: Column) -> Column:
@@ -145,7 +145,7 @@ def grpc(payload: Column, compat: bool = False) -> Column:
     def run(payloads: pd.Series) -> pd.DataFrame:
         return _structs([parse_grpc(p, compat) for p in payloads], GRPC)
 
-    return F.when(looks_grpc(payload), run(payload))
+    return F.when(looks_grpc(payload), run.asNondeterministic()(payload))  # so that it isn't run again for each use
 
 
 # Redis
@@ -232,7 +232,7 @@ def _redis(payloads: pd.Series) -> pd.Series:
 
 def redis(payload: Column) -> Column:
     """PP-13 to PP-16: an array of commands, null where there is none."""
-    return F.when(looks_redis(payload), _redis(payload))
+    return F.when(looks_redis(payload), _redis.asNondeterministic()(payload))
 
 
 def redis_tags(commands: Column) -> Column:
