@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..schema import RAW_LAYOUT, RAW_SIZE
+from .scalars import once
 
 
 def _swapped(hexes: Column, size: int) -> Column:
@@ -58,4 +59,4 @@ def decode(df: DataFrame, record_col: str = "record") -> DataFrame:
             columns[name] = text(r, offset, size)
         else:
             columns[name] = F.substring(r, F.lit(offset + 1), F.least(integer(r, 68, 4), F.lit(size)).cast("int"))
-    return df.filter(F.length(r) >= RAW_SIZE).select(*[c for c in df.columns if c != record_col], *[c.alias(n) for n, c in columns.items()])
+    return once(df.filter(F.length(r) >= RAW_SIZE), **columns).drop(record_col)

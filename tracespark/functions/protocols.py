@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .codec import integer
-from .scalars import last_wins, truncated
+from .scalars import last_wins, once, truncated
 
 METHODS = ("GET", "POST", "PUT", "DELETE", "PATCH", "HEAD", "OPTIONS", "CONNECT", "TRACE")
 # What the first four bytes of an HTTP message may be.
@@ -328,9 +328,10 @@ def parse(df: DataFrame, payload_col: str = "payload", protocol_col: str = "prot
     """PP-00, PP-07, PP-11: unwraps a frame, parses by protocol, and sets operation, error_code, path,
     trace context and tags; an empty payload leaves them null."""
     p = F.col("__p")
-    opened = df.withColumn("framed", framed(F.col(payload_col))).withColumn("__p", F.when(F.length(payload_col) > 0, F.coalesce(F.when(F.length("framed.inner") > 0, F.col("framed.inner")), F.col(payload_col))))
+    opened = once(df, framed=framed(F.col(payload_col)))
+    opened = once(opened, __p=F.when(F.length(payload_col) > 0, F.coalesce(F.when(F.length("framed.inner") > 0, F.col("framed.inner")), F.col(payload_col))))
     is_ = lambda name: F.col(protocol_col) == name
-    parsed = opened.withColumns({"http": F.when(is_("http"), http(p)), "grpc": F.when(is_("grpc"), grpc(p, compat)), "redis": F.when(is_("redis"), redis(p))})
+    parsed = once(opened, http=F.when(is_("http"), http(p))).withColumns({"grpc": F.when(is_("grpc"), grpc(p, compat)), "redis": F.when(is_("redis"), redis(p))})
     first = F.get("redis", F.lit(0))
     operation = (
         F.when(F.col("http.is_request"), F.concat_ws(" ", "http.method", "http.path"))

@@ -2,12 +2,20 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..schema import EVENT_TYPES, PROTOCOLS
 
 
+def once(df: DataFrame, **columns: Column) -> DataFrame:
+    """df with these columns, each worked out once a row whatever is asked of it later: filters and
+    projections aren't moved through a generator of one element."""
+    made = F.explode(F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))).alias("__once")
+    kept = [c for c in df.columns if c not in columns]
+    return df.select(*df.columns, made).select(*kept, *[F.col(f"__once.{n}").alias(n) for n in columns])
+
+
 def event_name(code: Column) -> Column:
     """S-01."""
     return F.coalesce(F.get(F.array(*map(F.lit, EVENT_TYPES)), code.cast("int")), F.lit("unknown"))
