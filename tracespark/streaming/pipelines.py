@@ -46,7 +46,16 @@ def correlated(events: DataFrame, most: int = IN_FLIGHT, timeout_s: float = TIME
     return timed.groupBy("conn_key").applyInPandasWithState(run, FINISHED, "state binary", "append", GroupStateTimeout.EventTimeTimeout)
 
 
-def sampled(spans: DataFrame, r: Rates = Rates(), keep_minutes: int = 10) -> DataFrame:
+def expire(state: GroupState, last_ns: int, idle_ms: int) -> None:
+    """Event-time timer: the key is forgotten once the watermark is so far past its last row."""
+    state.setTimeoutTimestamp(max(int(last_ns) // 1_000_000 + idle_ms, state.getCurrentWatermarkMs() + 1))
+
+
+def watermarked(df: DataFrame, late: str) -> DataFrame:
+    return df.withColumn("__at", F.timestamp_micros(F.expr("start_ns div 1000"))).withWatermark("__at", late)
+
+
+def sampled(spans: DataFrame, r: Rates = Rates(), keep_minutes: int = 10, late: str = "1 minute") -> DataFrame:
     """SMP-04, SMP-08: the first span seen of a trace decides for it; decisions are forgotten after some
     minutes without a span."""
     columns = spans.columns
@@ -58,14 +67,14 @@ def sampled(spans: DataFrame, r: Rates = Rates(), keep_minutes: int = 10) -> Dat
         rows = pd.concat(list(batches)).sort_values(["start_ns", "span_id"])
         kept = state.get[0] if state.exists else bool(rows["__keep"].iloc[0])
         state.update((kept,))
-        state.setTimeoutDuration(keep_minutes * 60_000)
+        expire(state, rows["start_ns"].max(), keep_minutes * 60_000)
         yield rows[columns] if kept else rows[columns].iloc[:0]
 
-    marked = spans.withColumn("__keep", keeps(rate(r)))
-    return marked.groupBy("trace_id").applyInPandasWithState(run, spans.schema, "kept boolean", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    marked = watermarked(spans.withColumn("__keep", keeps(rate(r))), late)
+    return marked.groupBy("trace_id").applyInPandasWithState(run, spans.schema, "kept boolean", "append", GroupStateTimeout.EventTimeTimeout)
 
 
-def anomalies(spans: DataFrame, d: Detector = Detector(), idle_ms: int = 3_600_000) -> DataFrame:
+def anomalies(spans: DataFrame, d: Detector = Detector(), late: str = "1 minute") -> DataFrame:
     """A-01 to A-09: every sample with the state after it; idle keys are forgotten."""
     names = [c.split()[0] for c in SAMPLE.split(", ")]
 
@@ -80,11 +89,11 @@ def anomalies(spans: DataFrame, d: Detector = Detector(), idle_ms: int = 3_600_0
         rows = pd.concat(list(batches)).sort_values(["start_ns", "span_id"])
         made = pd.DataFrame([s.add(d, x, at) for x, at in zip(rows["duration_ms"], rows["start_ns"], strict=True)])
         state.update((pickle.dumps({n: getattr(s, n) for n in State.__slots__}),))
-        state.setTimeoutDuration(idle_ms)
+        expire(state, rows["start_ns"].max(), int(d.idle_s * 1000))
         yield pd.concat([rows[names].reset_index(drop=True), made], axis=1)[[*names, *FOLDED_SCHEMA.names]]
 
     schema = f"{SAMPLE}, n long, mean double, stddev double, ewma double, ewma_var double, threshold double, deviation double, is_anomaly boolean, severity string, is_sent boolean"
-    return spans.filter("duration_ms > 0").select(*names).groupBy(*KEY).applyInPandasWithState(run, schema, "state binary", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    return watermarked(spans.filter("duration_ms > 0").select(*names), late).groupBy(*KEY).applyInPandasWithState(run, schema, "state binary", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def stats_rollup(spans: DataFrame, late: str = "2 minutes") -> DataFrame:
