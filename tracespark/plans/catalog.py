@@ -13,7 +13,7 @@ from .views import CONNECTIONS_SQL, LATENCIES_SQL, SPANS_SQL, connections, laten
 FROM, TO = 757382400_000000, 883526400_000000
 FULL = TraceQuery("svc-R", FROM, TO, 200.0, 900.0, "http", None, 20, 5)
 WHERE = f"service_name = 'svc-R' AND start_us BETWEEN {FROM} AND {TO} AND duration_ms BETWEEN 200 AND 900 AND protocol = 'http'"
-us = F.expr("start_ns div 1000").alias("start_us")
+us = lambda: F.expr("start_ns div 1000").alias("start_us")
 r6 = lambda c: F.round(c, 6).alias(c)
 IDS = "trace_id, span_id"
 
@@ -22,7 +22,7 @@ def q(name, run, body=None, *views):
     register(name, run, oracle(body, *(views or (SPANS_SQL,))) if body else None)
 
 
-q("SRC12_span_scan", lambda s, d: spans(s, d).select("trace_id", "span_id", "parent_span_id", "service_name", "operation", "protocol", us, "duration_ms", "error_code", "payload_size"), "SELECT trace_id, span_id, parent_span_id, service_name, operation, protocol, start_us, duration_ms, error_code, payload_size FROM spans")
+q("SRC12_span_scan", lambda s, d: spans(s, d).select("trace_id", "span_id", "parent_span_id", "service_name", "operation", "protocol", us(), "duration_ms", "error_code", "payload_size"), "SELECT trace_id, span_id, parent_span_id, service_name, operation, protocol, start_us, duration_ms, error_code, payload_size FROM spans")
 
 # Filters
 
@@ -37,11 +37,11 @@ q("FLT08_positive_durations", lambda s, d: anomaly.moments(spans(s, d)).select("
 q("JN01_calls", lambda s, d: search_calls(s, d), "SELECT c.trace_id, c.parent_span_id AS span_id, c.service_name AS source_service, p.service_name AS dest_service, c.protocol, c.start_us FROM spans c JOIN spans p ON c.trace_id = p.trace_id AND c.parent_span_id = p.span_id WHERE c.parent_span_id <> ''")
 q("JN02_orphans", lambda s, d: trees.orphans(spans(s, d).filter("duration_ms > 100")), ", k AS (SELECT * FROM spans WHERE duration_ms > 100) SELECT c.trace_id, c.span_id, c.parent_span_id FROM k c WHERE c.parent_span_id <> '' AND NOT EXISTS (SELECT 1 FROM k p WHERE p.trace_id = c.trace_id AND p.span_id = c.parent_span_id)")
 PAGE = f", page AS (SELECT trace_id FROM spans WHERE {WHERE} GROUP BY trace_id ORDER BY max(start_us) DESC, trace_id LIMIT 20 OFFSET 5)"
-q("JN03_page_of_traces", lambda s, d: search.search(spans(s, d), FULL).select("trace_id", "span_id", us), f"{PAGE} SELECT s.trace_id, s.span_id, s.start_us FROM spans s JOIN page USING (trace_id)")
+q("JN03_page_of_traces", lambda s, d: search.search(spans(s, d), FULL).select("trace_id", "span_id", us()), f"{PAGE} SELECT s.trace_id, s.span_id, s.start_us FROM spans s JOIN page USING (trace_id)")
 
 
 def search_calls(s, d):
-    return stats.calls(spans(s, d)).select("trace_id", "span_id", "source_service", "dest_service", "protocol", us)
+    return stats.calls(spans(s, d)).select("trace_id", "span_id", "source_service", "dest_service", "protocol", us())
 
 
 # Aggregations
@@ -79,7 +79,7 @@ q_rounded(
 q_rounded("AGG06_merged_stats", lambda s, d: stats.merged_stats(stats.stats_rollup(latencies(s, d))), "SELECT start_us - start_us % 3600000000 AS period_us, service_name, operation, protocol, count(*) AS call_count, count(*) FILTER (error_code >= 400) AS error_count, avg(duration_ms) AS avg_duration_ms, min(duration_ms) AS min_duration_ms, max(duration_ms) AS max_duration_ms, CAST(sum(payload_size) AS BIGINT) AS total_payload_size FROM latencies GROUP BY ALL", ("avg_duration_ms", "min_duration_ms", "max_duration_ms"), LATENCIES_SQL)
 q("AGG07_services", lambda s, d: search.services(spans(s, d)), "SELECT DISTINCT service_name FROM spans ORDER BY service_name")
 q("AGG08_trace_ids", lambda s, d: search.trace_ids(spans(s, d), TraceQuery(service="svc-R")).select("trace_id", F.expr("last_ns div 1000").alias("last_us")), "SELECT trace_id, max(start_us) AS last_us FROM spans WHERE service_name = 'svc-R' GROUP BY trace_id")
-q("AGG09_trace_envelopes", lambda s, d: search.envelopes(spans(s, d)).select("trace_id", us, F.expr("end_ns div 1000").alias("end_us"), "spans", F.round(F.col("duration_ms") * 1000).cast("long").alias("duration_us")), "SELECT trace_id, min(start_us) AS start_us, max(end_us) AS end_us, count(*) AS spans, max(end_us) - min(start_us) AS duration_us FROM spans GROUP BY trace_id")
+q("AGG09_trace_envelopes", lambda s, d: search.envelopes(spans(s, d)).select("trace_id", us(), F.expr("end_ns div 1000").alias("end_us"), "spans", F.round(F.col("duration_ms") * 1000).cast("long").alias("duration_us")), "SELECT trace_id, min(start_us) AS start_us, max(end_us) AS end_us, count(*) AS spans, max(end_us) - min(start_us) AS duration_us FROM spans GROUP BY trace_id")
 q("AGG10_service_count", lambda s, d: search.service_count(spans(s, d)), "SELECT count(DISTINCT service_name) AS services FROM spans")
 q_rounded("AGG11_moments", lambda s, d: anomaly.moments(spans(s, d)), "SELECT service_name, operation, protocol, count(*) AS n, sum(duration_ms) AS total, avg(duration_ms) AS mean, coalesce(stddev_samp(duration_ms), 0) AS stddev FROM spans WHERE duration_ms > 0 GROUP BY ALL", ("total", "mean", "stddev"))
 q("AGG14_drop_rates", lambda s, d: drop_rates(s, d),
@@ -95,7 +95,7 @@ def drop_rates(s, d):
 # Order, pages, sets
 
 ONE = "1".rjust(32, "0")
-q("SRT01_trace_in_order", lambda s, d: search.trace(spans(s, d), ONE).select("span_id", us), f"SELECT span_id, start_us FROM spans WHERE trace_id = '{ONE}' ORDER BY start_us, span_id")
+q("SRT01_trace_in_order", lambda s, d: search.trace(spans(s, d), ONE).select("span_id", us()), f"SELECT span_id, start_us FROM spans WHERE trace_id = '{ONE}' ORDER BY start_us, span_id")
 q("SRT02_latest_first", lambda s, d: search.trace_ids(spans(s, d), TraceQuery(limit=50)).select("trace_id"), "SELECT trace_id FROM spans GROUP BY trace_id ORDER BY max(start_us) DESC, trace_id LIMIT 50")
 q("SRT03_services_by_name", lambda s, d: search.services(spans(s, d)), "SELECT DISTINCT service_name FROM spans ORDER BY service_name")
 q("SRT04_most_calls_first", lambda s, d: stats.service_stats(spans(s, d), None, None, None).select("operation", "protocol", "call_count"), "SELECT operation, protocol, count(*) AS call_count FROM spans GROUP BY ALL ORDER BY call_count DESC, operation, protocol")
@@ -106,7 +106,7 @@ q("SET01_distinct", lambda s, d: spans(s, d).select("service_name", "operation")
 
 # Traces and trees
 
-q("TR01_trace_by_id", lambda s, d: search.trace(spans(s, d), ONE).select("trace_id", "span_id", "parent_span_id", "operation", us, "duration_ms"), f"SELECT trace_id, span_id, parent_span_id, operation, start_us, duration_ms FROM spans WHERE trace_id = '{ONE}'")
+q("TR01_trace_by_id", lambda s, d: search.trace(spans(s, d), ONE).select("trace_id", "span_id", "parent_span_id", "operation", us(), "duration_ms"), f"SELECT trace_id, span_id, parent_span_id, operation, start_us, duration_ms FROM spans WHERE trace_id = '{ONE}'")
 q("TR02_search_traces", lambda s, d: search.search(spans(s, d), FULL).select("trace_id", "span_id", "operation", "duration_ms"), f"{PAGE} SELECT s.trace_id, s.span_id, s.operation, s.duration_ms FROM spans s JOIN page USING (trace_id)")
 q("TR03_roots", lambda s, d: trees.roots(spans(s, d)).select("trace_id", "span_id", "operation"), "SELECT trace_id, span_id, operation FROM (SELECT *, row_number() OVER (PARTITION BY trace_id ORDER BY start_us DESC, span_id DESC) AS nr FROM spans WHERE parent_span_id = '') WHERE nr = 1")
 NAME = "service_name || ':' || operation || CASE WHEN protocol <> '' THEN ' [' || protocol || ']' ELSE '' END"

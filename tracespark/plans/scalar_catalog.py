@@ -98,45 +98,45 @@ def parsed(payload, parse):
 
 
 def over(name, made, columns, duck):
-    register(name, lambda s, d: made(s, d).select(ID, *[c.alias(n) for n, c in columns.items()]), f"SELECT event_id, {duck} FROM events")
+    register(name, lambda s, d: made(s, d).select(ID, *[c.alias(n) for n, c in columns().items()]), f"SELECT event_id, {duck} FROM events")
 
 
 EVEN = "event_id % 2 = 0"
 req = lambda x: f"CASE WHEN {EVEN} THEN {x} END"
 res = lambda x: f"CASE WHEN NOT ({EVEN}) THEN {x} END"
 http = parsed(http_payload, protocols.http)
-over("PP01_looks_http", parsed(redis_payload, protocols.looks_http), {"result": col("p")}, "false AS result")
-over("PP02_http_request_line", http, {"method": col("p.method"), "path": col("p.path")}, f"{req(repr('GET'))} AS method, {req(chr(39) + '/' + chr(39) + ' || event_type || ' + chr(39) + '/' + chr(39) + ' || event_id')} AS path")
-over("PP03_http_response_line", http, {"status": F.coalesce("p.status", lit(0)), "version": col("p.version")}, f"CAST(coalesce({res('event_id % 300 + 200')}, 0) AS INT) AS status, CASE WHEN {EVEN} THEN '1.1' ELSE '1.0' END AS version")
-over("PP04_http_headers", http, {"n": F.size("p.headers"), "dup": col("p.headers")["X-Dup"]}, f"CASE WHEN {EVEN} THEN 3 ELSE 1 END AS n, {req(repr('b'))} AS dup")
-over("PP05_trace_context", http, {"trace_id": col("p.trace_id"), "span_id": col("p.span_id")}, f"CASE WHEN {EVEN} THEN 't' || user_id END AS trace_id, CASE WHEN NOT ({EVEN}) THEN 's' || event_id END AS span_id")
-over("PP06_http_body", http, {"body": col("p.body")}, f"CASE WHEN {EVEN} THEN 'body-' || event_id END AS body")
+over("PP01_looks_http", parsed(redis_payload, protocols.looks_http), lambda: {"result": col("p")}, "false AS result")
+over("PP02_http_request_line", http, lambda: {"method": col("p.method"), "path": col("p.path")}, f"{req(repr('GET'))} AS method, {req(chr(39) + '/' + chr(39) + ' || event_type || ' + chr(39) + '/' + chr(39) + ' || event_id')} AS path")
+over("PP03_http_response_line", http, lambda: {"status": F.coalesce("p.status", lit(0)), "version": col("p.version")}, f"CAST(coalesce({res('event_id % 300 + 200')}, 0) AS INT) AS status, CASE WHEN {EVEN} THEN '1.1' ELSE '1.0' END AS version")
+over("PP04_http_headers", http, lambda: {"n": F.size("p.headers"), "dup": col("p.headers")["X-Dup"]}, f"CASE WHEN {EVEN} THEN 3 ELSE 1 END AS n, {req(repr('b'))} AS dup")
+over("PP05_trace_context", http, lambda: {"trace_id": col("p.trace_id"), "span_id": col("p.span_id")}, f"CASE WHEN {EVEN} THEN 't' || user_id END AS trace_id, CASE WHEN NOT ({EVEN}) THEN 's' || event_id END AS span_id")
+over("PP06_http_body", http, lambda: {"body": col("p.body")}, f"CASE WHEN {EVEN} THEN 'body-' || event_id END AS body")
 grpc = parsed(grpc_payload, protocols.grpc)
-over("PP08_looks_grpc", parsed(http_payload, protocols.looks_grpc), {"result": col("p")}, "false AS result")
-over("PP09_grpc_frame", grpc, {"status": col("p.status"), "trace_id": col("p.trace_id")}, "CAST(event_id % 2 AS INT) AS status, 't' || user_id AS trace_id")
-over("PP10_grpc_path", grpc, {"service": col("p.service"), "method": col("p.method")}, "'svc.' || event_type AS service, 'm' || event_id AS method")
+over("PP08_looks_grpc", parsed(http_payload, protocols.looks_grpc), lambda: {"result": col("p")}, "false AS result")
+over("PP09_grpc_frame", grpc, lambda: {"status": col("p.status"), "trace_id": col("p.trace_id")}, "CAST(event_id % 2 AS INT) AS status, 't' || user_id AS trace_id")
+over("PP10_grpc_path", grpc, lambda: {"service": col("p.service"), "method": col("p.method")}, "'svc.' || event_type AS service, 'm' || event_id AS method")
 redis = parsed(redis_payload, protocols.redis)
 THREE = lambda a, b, c: f"CASE event_id % 3 WHEN 0 THEN {a} WHEN 1 THEN {b} ELSE {c} END"
-first = F.get("p", lit(0))
-over("PP12_looks_redis", parsed(redis_payload, protocols.looks_redis), {"result": col("p")}, "true AS result")
-over("PP13_redis_commands", redis, {"n": F.size("p")}, f"{THREE('2', '1', '1')} AS n")
-over("PP14_resp_arrays", redis, {"command": first["command"], "key": first["key"]}, f"{THREE(repr('SET'), repr('$'), repr('PING'))} AS command, {THREE(chr(39) + 'k:' + chr(39) + ' || event_id', 'CAST(length(event_type) AS VARCHAR)', 'event_type')} AS key")
-over("PP15_resp_replies", redis, {"is_response": first["is_response"], "arg": F.get(first["args"], lit(0))}, f"event_id % 3 = 1 AS is_response, {THREE(repr('v'), 'event_type', repr('z'))} AS arg")
-over("PP16_inline_commands", redis, {"args": F.array_join(first["args"], ",")}, f"{THREE(repr('v'), 'event_type', repr('z'))} AS args")
+first = lambda: F.get("p", lit(0))
+over("PP12_looks_redis", parsed(redis_payload, protocols.looks_redis), lambda: {"result": col("p")}, "true AS result")
+over("PP13_redis_commands", redis, lambda: {"n": F.size("p")}, f"{THREE('2', '1', '1')} AS n")
+over("PP14_resp_arrays", redis, lambda: {"command": first()["command"], "key": first()["key"]}, f"{THREE(repr('SET'), repr('$'), repr('PING'))} AS command, {THREE(chr(39) + 'k:' + chr(39) + ' || event_id', 'CAST(length(event_type) AS VARCHAR)', 'event_type')} AS key")
+over("PP15_resp_replies", redis, lambda: {"is_response": first()["is_response"], "arg": F.get(first()["args"], lit(0))}, f"event_id % 3 = 1 AS is_response, {THREE(repr('v'), 'event_type', repr('z'))} AS arg")
+over("PP16_inline_commands", redis, lambda: {"args": F.array_join(first()["args"], ",")}, f"{THREE(repr('v'), 'event_type', repr('z'))} AS args")
 tagged = lambda s, d: redis(s, d).withColumn("t", protocols.redis_tags(col("p")))
-over("PP17_redis_pipelines", tagged, {"redis_command_count": col("t.redis_command_count"), "redis_pipeline": col("t.redis_pipeline")}, f"{THREE('2', '1', '1')} AS redis_command_count, event_id % 3 = 0 AS redis_pipeline")
-over("AGG16_redis_keys", tagged, {"keys": F.array_join("t.redis_keys", ",")}, f"{THREE(chr(39) + 'k:' + chr(39) + ' || event_id || ' + chr(39) + ',x' + chr(39), 'CAST(length(event_type) AS VARCHAR)', 'event_type')} AS keys")
+over("PP17_redis_pipelines", tagged, lambda: {"redis_command_count": col("t.redis_command_count"), "redis_pipeline": col("t.redis_pipeline")}, f"{THREE('2', '1', '1')} AS redis_command_count, event_id % 3 = 0 AS redis_pipeline")
+over("AGG16_redis_keys", tagged, lambda: {"keys": F.array_join("t.redis_keys", ",")}, f"{THREE(chr(39) + 'k:' + chr(39) + ' || event_id || ' + chr(39) + ',x' + chr(39), 'CAST(length(event_type) AS VARCHAR)', 'event_type')} AS keys")
 framed = parsed(frame_payload, protocols.framed)
 TYPE = "CASE event_id % 7 WHEN 1 THEN 'DATA' WHEN 2 THEN 'HANDSHAKE' WHEN 3 THEN 'ACK' WHEN 4 THEN 'KEEPALIVE' WHEN 5 THEN 'RESET' ELSE 'UNKNOWN_' || event_id % 7 END"
-over("PP18_looks_framed", parsed(frame_payload, protocols.looks_framed), {"result": col("p")}, "true AS result")
-over("PP19_frame_header", framed, {"version": col("p.version"), "stream_id": col("p.stream_id").cast("long"), "flags": col("p.flags"), "time": col("p.timestamp").cast("long")}, "CAST(1 AS BIGINT) AS version, event_id AS stream_id, event_id % 4 AS flags, user_id AS time")
-over("PP20_frame_operation", framed, {"operation": col("p.operation"), "is_udp": col("p.is_udp")}, f"'ENVOY_' || {TYPE} || '_HTTP' AS operation, event_id % 4 IN (1, 3) AS is_udp")
-over("PP21_inner_protocol", framed, {"protocol": col("p.protocol")}, "'http' AS protocol")
-over("PP22_frame_is_request", framed, {"is_request": col("p.is_request")}, f"event_id % 4 < 2 AND {EVEN} AS is_request")
-over("PP23_message_type", framed, {"type": col("p.type")}, f"{TYPE} AS type")
+over("PP18_looks_framed", parsed(frame_payload, protocols.looks_framed), lambda: {"result": col("p")}, "true AS result")
+over("PP19_frame_header", framed, lambda: {"version": col("p.version"), "stream_id": col("p.stream_id").cast("long"), "flags": col("p.flags"), "time": col("p.timestamp").cast("long")}, "CAST(1 AS BIGINT) AS version, event_id AS stream_id, event_id % 4 AS flags, user_id AS time")
+over("PP20_frame_operation", framed, lambda: {"operation": col("p.operation"), "is_udp": col("p.is_udp")}, f"'ENVOY_' || {TYPE} || '_HTTP' AS operation, event_id % 4 IN (1, 3) AS is_udp")
+over("PP21_inner_protocol", framed, lambda: {"protocol": col("p.protocol")}, "'http' AS protocol")
+over("PP22_frame_is_request", framed, lambda: {"is_request": col("p.is_request")}, f"event_id % 4 < 2 AND {EVEN} AS is_request")
+over("PP23_message_type", framed, lambda: {"type": col("p.type")}, f"{TYPE} AS type")
 register("PP24_frames", lambda s, d: protocols.frames(e(s, d).select(ID, F.concat(frame_payload(), frame_payload(), F.unhex(lit("454E"))).alias("payload"))).select(ID, "frame", col("framed.stream_id").cast("long").alias("stream_id")), "SELECT event_id, unnest([0, 1]) AS frame, event_id AS stream_id FROM events")
-over("PP25_unframed", parsed(frame_payload, lambda p: protocols.unframed(p)), {"path": F.when(col(ID) % 2 == 0, F.split_part(protocols.text(col("p")), lit(" "), lit(2)))}, f"CASE WHEN {EVEN} THEN '/' || event_type || '/' || event_id END AS path")
-over("PP26_kernel_path", parsed(http_payload, protocols.kernel_path), {"path": col("p")}, f"CASE WHEN {EVEN} THEN '/' || event_type || '/' || event_id ELSE '' END AS path")
+over("PP25_unframed", parsed(frame_payload, lambda p: protocols.unframed(p)), lambda: {"path": F.when(col(ID) % 2 == 0, F.split_part(protocols.text(col("p")), lit(" "), lit(2)))}, f"CASE WHEN {EVEN} THEN '/' || event_type || '/' || event_id END AS path")
+over("PP26_kernel_path", parsed(http_payload, protocols.kernel_path), lambda: {"path": col("p")}, f"CASE WHEN {EVEN} THEN '/' || event_type || '/' || event_id ELSE '' END AS path")
 
 
 def dispatched(s, d):
@@ -146,11 +146,11 @@ def dispatched(s, d):
 
 
 OP = f"CASE event_id % 3 WHEN 0 THEN {req(chr(39) + 'GET /' + chr(39) + ' || event_type || ' + chr(39) + '/' + chr(39) + ' || event_id')} WHEN 1 THEN 'svc.' || event_type || '/m' || event_id ELSE 'PING ' || event_type END"
-over("PP00_dispatcher", dispatched, {"operation": col("parsed_operation"), "trace_id": col("parsed_trace_id")}, f"{OP} AS operation, CASE event_id % 3 WHEN 0 THEN {req(chr(39) + 't' + chr(39) + ' || user_id')} WHEN 1 THEN 't' || user_id END AS trace_id")
-over("PP07_http_operation", dispatched, {"error_code": F.coalesce(F.when(col("protocol") == "http", col("parsed_error_code")), lit(0))}, f"CAST(coalesce(CASE WHEN event_id % 3 = 0 THEN {res('event_id % 300 + 200')} END, 0) AS INT) AS error_code")
-over("PP11_grpc_operation", dispatched, {"operation": F.when(col("protocol") == "grpc", col("parsed_operation"))}, "CASE WHEN event_id % 3 = 1 THEN 'svc.' || event_type || '/m' || event_id END AS operation")
-over("FLT05_request_payloads", parsed(http_payload, correlate.is_request), {"result": col("p")}, f"{EVEN} AS result")
-over("FLT06_response_payloads", parsed(http_payload, correlate.is_response), {"result": col("p")}, f"NOT ({EVEN}) AS result")
+over("PP00_dispatcher", dispatched, lambda: {"operation": col("parsed_operation"), "trace_id": col("parsed_trace_id")}, f"{OP} AS operation, CASE event_id % 3 WHEN 0 THEN {req(chr(39) + 't' + chr(39) + ' || user_id')} WHEN 1 THEN 't' || user_id END AS trace_id")
+over("PP07_http_operation", dispatched, lambda: {"error_code": F.coalesce(F.when(col("protocol") == "http", col("parsed_error_code")), lit(0))}, f"CAST(coalesce(CASE WHEN event_id % 3 = 0 THEN {res('event_id % 300 + 200')} END, 0) AS INT) AS error_code")
+over("PP11_grpc_operation", dispatched, lambda: {"operation": F.when(col("protocol") == "grpc", col("parsed_operation"))}, "CASE WHEN event_id % 3 = 1 THEN 'svc.' || event_type || '/m' || event_id END AS operation")
+over("FLT05_request_payloads", parsed(http_payload, correlate.is_request), lambda: {"result": col("p")}, f"{EVEN} AS result")
+over("FLT06_response_payloads", parsed(http_payload, correlate.is_response), lambda: {"result": col("p")}, f"NOT ({EVEN}) AS result")
 
 # Raw records
 
