@@ -33,7 +33,7 @@ from .textnp import release
 #: Bytes of the widest matrix; longer pieces take the heap.
 LONG = 1024
 #: Encodings kept by a worker before it starts afresh.
-KEPT = 200_000
+KEPT = 300_000
 #: Texts taken together, so that a matrix has many rows.
 STEP = 512
 NONE = np.int32(2**31 - 1)
@@ -170,7 +170,8 @@ class Encoder:
         self.v, self.split, self.known = vocabulary, regex.compile(vocabulary.pattern), {}
 
     def learn(self, strings: list[str]) -> None:
-        pieces = [self.split.findall(s) for s in strings]
+        word = lambda s: s.isascii() and s[s[0] == " " :].isalpha()  # one match of the pattern
+        pieces = [[s] if word(s) else self.split.findall(s) for s in strings]
         flat = self.v.encode_pieces([p.encode() for ps in pieces for p in ps])
         at = 0
         names, parts = self.v.names.__getitem__, self.v.bytes.__getitem__
