@@ -7,7 +7,7 @@ import html
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.scalars import frame_name, whole_micros
+from ..functions.scalars import fnv1a_32, frame_name, whole_micros
 
 # Sizes and colours of the picture.
 WIDTH, ROW, FONT = 1200, 18, 12
@@ -94,3 +94,13 @@ def svg(rows: list[dict], title: str = "Trace flame graph", width: int = WIDTH)
             parts.append(f'<text x="{r["x"] + 5:.2f}" y="{r["y"] + ROW - 5:.2f}" font-size="{FONT - 2}" fill="#fff">{html.escape(label)}</text>')
         parts.append("</g>")
     return "".join([*parts, f'<text x="5" y="{height - 10}">Total: {rows[0]["duration_ms"] if rows else 0:.2f} ms, depth {deepest}</text></svg>'])
+
+
+def colours(tree: DataFrame) -> DataFrame:
+    """FG-06 as columns: the colour of every frame of every tree."""
+    f = frames(tree)
+    h = fnv1a_32(F.col("name"))
+    slow, slower = F.col("duration_ms") > 200, F.col("duration_ms") > 500
+    hue = F.when(slower, 0).when(slow, 30).otherwise(HUE + h % HUES).cast("long")
+    saturation = F.when(slower, 90).when(slow, 80).otherwise(SATURATION[0] + F.shiftright(h, 8) % (SATURATION[1] - SATURATION[0])).cast("long")
+    return f.select("trace_id", "span_id", hue.alias("hue"), saturation.alias("saturation"), F.greatest(LIGHTNESS[1] - 3 * (F.col("depth") - 1), F.lit(LIGHTNESS[0])).alias("lightness"))

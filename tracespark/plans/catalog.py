@@ -270,3 +270,25 @@ A("A10_prior_state_check", lambda s, d: anomaly.fold(latencies(s, d), anomaly.De
 A("A11_latest_states", lambda s, d: anomaly.latest(folded(s, d)).select("operation", "n", *f6("ewma", "ewma_var")), "SELECT operation, nr AS n, round(e, 6) AS ewma, round(v, 6) AS ewma_var FROM fold QUALIFY row_number() OVER (PARTITION BY operation ORDER BY nr DESC) = 1")
 A("AGG18_anomaly_listing", lambda s, d: anomaly.listing(folded(s, d)).select("operation", F.round("listed_threshold", 5).alias("listed_threshold")), "SELECT f.operation, round(f.e + 3 * s.sd, 5) AS listed_threshold FROM fold f JOIN (SELECT operation, max(nr) AS last, stddev_samp(duration_ms) AS sd FROM num GROUP BY operation) s ON s.operation = f.operation AND s.last = f.nr")
 A("SNK07_alert_bodies", lambda s, d: anomaly.alert_body(anomaly.alerts(folded(s, d), False)).select("span_id", F.get_json_object("body", "$[0].labels.severity").alias("severity"), F.get_json_object("body", "$[0].labels.alertname").alias("alertname")), "SELECT span_id, severity, 'LatencyAnomaly' AS alertname FROM named WHERE is_anomaly")
+
+# Further lines of the inventory
+
+FNV32 = "CAST(list_reduce(list_prepend(2166136261::HUGEINT, list_transform(string_split(name, ''), lambda c: ascii(c)::HUGEINT)), lambda h, c: (xor(h, c) * 16777619::HUGEINT) % 4294967296::HUGEINT) AS BIGINT)"
+q("FG06_colours", lambda s, d: flame.colours(tree(s, d)), f"{TREE}, hashed AS (SELECT *, {FNV32} AS h FROM tree) SELECT trace_id, span_id, CAST(CASE WHEN duration_ms > 500 THEN 0 WHEN duration_ms > 200 THEN 30 ELSE 200 + h % 60 END AS BIGINT) AS hue, CAST(CASE WHEN duration_ms > 500 THEN 90 WHEN duration_ms > 200 THEN 80 ELSE 60 + h // 256 % 30 END AS BIGINT) AS saturation, greatest(70 - 3 * (depth - 1), 40) AS lightness FROM hashed")
+q("ST12_minute_windows", lambda s, d: latencies(s, d).groupBy(F.window("start_time", "1 minute")).agg(F.count(F.lit(1)).alias("n")).select(F.unix_micros("window.start").alias("minute_us"), "n"), "SELECT start_us - start_us % 60000000 AS minute_us, count(*) AS n FROM latencies GROUP BY ALL", LATENCIES_SQL)
+NOW = 1706000000_000000
+
+
+def defaults(s, d):
+    """FLT-09: a search that names only a service, at a fixed moment."""
+    from datetime import datetime, timezone
+
+    now = datetime.fromtimestamp(NOW / 1e6, timezone.utc)
+    return search.trace_ids(latencies(s, d), TraceQuery(service="user-svc", least_ms=0).with_defaults(now)).select("trace_id")
+
+
+q("FLT09_search_defaults", defaults, f"SELECT trace_id FROM latencies WHERE service_name = 'user-svc' AND start_us BETWEEN {NOW} - 86400000000 AND {NOW} GROUP BY trace_id ORDER BY max(start_us) DESC, trace_id LIMIT 20", LATENCIES_SQL)
+q("FLT10_stats_defaults", lambda s, d: stats.service_stats(latencies(s, d), "user-svc", NOW - 3600_000000, NOW).select("operation", "call_count"), f"SELECT operation, count(*) AS call_count FROM latencies WHERE start_us BETWEEN {NOW} - 3600000000 AND {NOW} GROUP BY operation", LATENCIES_SQL)
+IDLE = ", gaps AS (SELECT *, CASE WHEN start_us - lag(start_us) OVER (PARTITION BY operation ORDER BY start_us, span_id) > 1800000000 THEN 1 ELSE 0 END AS new FROM latencies WHERE duration_ms > 0), runs AS (SELECT *, sum(new) OVER (PARTITION BY operation ORDER BY start_us, span_id ROWS UNBOUNDED PRECEDING) AS run FROM gaps)"
+q("A09_idle_states_expire", lambda s, d: anomaly.fold(latencies(s, d), anomaly.Detector(idle_s=1800)).select("span_id", "n"), f"{IDLE} SELECT span_id, row_number() OVER (PARTITION BY operation, run ORDER BY start_us, span_id) AS n FROM runs", LATENCIES_SQL)
+q("ST10_connections_seen", lambda s, d: connections(s, d).select("conn_key").distinct(), "SELECT DISTINCT conn_key FROM connections", CONNECTIONS_SQL)
