@@ -18,7 +18,7 @@ ID = "event_id"
 
 
 def e(s, d):
-    return table(s, d, "events").withColumn("ns", nanos(col("ts")))
+    return table(s, d, "events").repartition(s.sparkContext.defaultParallelism).withColumn("ns", nanos(col("ts")))
 
 
 def scalar(name, spark, duck):

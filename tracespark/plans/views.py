@@ -130,7 +130,7 @@ def raw_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     as payload."""
     from ..functions.codec import encode
 
-    e = table(spark, sf_dir, "events")
+    e = table(spark, sf_dir, "events").repartition(spark.sparkContext.defaultParallelism)  # small files, wide records
     request = F.concat(F.lit("GET /"), "event_type", F.lit("/"), F.col("event_id").cast("string"), F.lit(" HTTP/1.1\r\nx-trace-id: t"), F.col("user_id").cast("string"), F.lit("\r\n\r\n"))
     return e.select(
         "event_id",
