@@ -155,6 +155,25 @@ def test_surrogates_stay_distinct(spark):
     assert len({r.text for r in got}) == 150 and not {r.text for r in got} & set(names)
 
 
+LONG_NAMES = ["Mr McDonald", "Mr O'Brien", "Mrs Smith-Jones", "Mr John F. Kennedy", "Mrs Anna Maria Lopez", "Mr J.R.R. Tolkien", "Frau Anna von der Heide", "Monsieur d'Arcy", "Mr SMITH", "Señora María de la Cruz"]
+
+
+def test_surrogates_of_whole_names(spark):
+    texts = [f"Then {n} left. Ok" for n in LONG_NAMES] + ["Mr McDonald's car, Mr MCDONALD", "Mr King Jr. wrote to x Mr Lee John.Lee@x.org"]
+    got = {r.doc_id: r for r in op9.surrogates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    kept = {"Mr", "Mrs", "Frau", "Monsieur", "Señora", "von", "der", "de", "la"}
+    for i, n in enumerate(LONG_NAMES):
+        assert got[i].n_name == 1
+        m = re.fullmatch(r"Then (.+) left\. Ok", got[i].text)
+        assert m and len(m[1].split()) == len(n.split()), got[i].text
+        gone = [w for w in re.findall(r"[\w']+", n) if w not in kept]
+        assert not set(gone) & set(re.findall(r"[\w']+", m[1])), got[i].text
+        assert re.sub(r"[\w']+", "w", m[1]) == re.sub(r"[\w']+", "w", n)
+    m = re.fullmatch(r"Mr ([A-Z][a-z]+)'s car, Mr ([A-Z]+)", got[10].text)
+    assert m and m[1].upper() == m[2] and got[0].text == f"Then Mr {m[1]} left. Ok"
+    assert re.fullmatch(r"Mr (?!King)\w+ Jr\. wrote to x Mr (?!Lee)\w+ (?!John)\w+\.\w+@\w\.org", got[11].text) and got[11].n_email == 1
+
+
 def test_surrogates_odd_tables(spark):
     docs = odd_documents(spark)
     got = {r.doc_id: r.text for r in op9.surrogates(docs).collect()}

@@ -28,8 +28,19 @@ ROUNDS = 60
 # Titles by the gender they tell.
 MALE = ("Mr", "Herr", "Monsieur", "Señor", "Signor", "Sir", "г-н")
 FEMALE = ("Mrs", "Ms", "Miss", "Frau", "Mme", "Madame", "Señora", "Signora", "Lady", "г-жа")
-TITLE = rf"(?:{'|'.join(sorted(MALE + FEMALE, key=len, reverse=True))})\.?\x20+"
-NAME = r"\p{Lu}[\p{Ll}'’]+"
+TITLE = rf"(?:(?:{'|'.join(sorted(MALE + FEMALE, key=len, reverse=True))})\.?[\x20\u00A0]++)++"
+# Words that join the parts of a name (kept), and what follows a name (kept).
+PARTICLES = "af al av ben bin bint da das de degli dei del della delle den der des di do dos du e el het ibn la las le les los te ten ter van vom von y zu zum zur".split()
+SUFFIX = r"(?:Jr|Sr|II|III|IV|Esq)(?![\p{L}\p{M}])"
+#: No word of a name starts a title, an e-mail address or a code with digits.
+APART = rf"(?!{TITLE}|[\p{{L}}\p{{N}}._%+-]++@|\p{{L}}++\p{{N}})"
+#: One part of a name: inner capitals and apostrophes belong to it, the possessive 's does not.
+PART = rf"{APART}(?:[dl]['’])?\p{{Lu}}[\p{{L}}\p{{M}}]*+(?:['’](?!s(?![\p{{L}}\p{{M}}])){APART}\p{{L}}[\p{{L}}\p{{M}}]*+)*+"
+PARTICLE = rf"(?:{'|'.join(sorted(PARTICLES, key=len, reverse=True))})"
+WORD = rf"(?:{PARTICLE}-)?{PART}(?:-(?:{PARTICLE}-)*+{PART})*+"
+INITIALS = rf"{APART}\p{{Lu}}\.(?:[\x20\u00A0]?-?\p{{Lu}}\.)*+"
+#: Name words after each other; a single capital without a full stop only before another word.
+NAME = rf"(?:{PARTICLE}[\x20\u00A0]++)*+(?:{INITIALS}|{WORD})(?:[\x20\u00A0]*+(?<=[.\x20\u00A0])(?!{SUFFIX})(?:{PARTICLE}[\x20\u00A0]++)*+(?:{INITIALS}|(?!\p{{Lu}}(?![\p{{L}}\p{{M}}'’-]|[\x20\u00A0]++\p{{Lu}})){WORD}))*+"
 PATTERNS = {
     "email": r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]++@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,24}",
     "ip": r"(?<![\p{L}\d.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?![\p{L}\d]|\.\d)",
@@ -37,8 +48,10 @@ PATTERNS = {
     "card": r"(?<![\p{L}\d.+-])(?:(?:\d{4}[\x20-]?){3}\d{4}|3\d{3}[\x20-]?\d{6}[\x20-]?\d{5})(?![\p{L}\d]|-\d)",
     "ssn": r"(?<![\p{L}\d-])\d{3}-\d{2}-\d{4}(?![\p{L}\d]|-\d)",
     "phone": r"(?<![\p{L}\d(.+-])(?:(?:\+\d{1,3}[\x20.-]?)?\(\d{2,4}\)[\x20.-]?\d{3,4}[\x20.-]\d{3,4}|\+\d{1,3}(?:[\x20.-]?\d{2,4}){2,4}|\d{3}[\x20.-]\d{3}[\x20.-]\d{4})(?![\p{L}\d]|-\d)",
-    "name": rf"(?<!\p{{L}}){TITLE}{NAME}(?:\x20{NAME})?",
+    "name": rf"(?<!\p{{L}}){TITLE}{NAME}",
 }
+#: What name_parts and render_name take apart.
+PARTS = r"[\p{L}\p{M}'’]+"
 KINDS = tuple(PATTERNS)
 ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
 # The characters that stand for each other.
@@ -81,12 +94,12 @@ def number(hexes: Column, i) -> Column:
 
 
 def like(text: Column, hexes: Column) -> Column:
-    """Each letter and digit replaced by one of its own alphabet; all else stays."""
+    """Each letter and digit replaced by another of its own alphabet; all else stays."""
 
     def one(c, i):
         out = c
         for a in reversed(ALPHABETS):
-            out = F.when(F.contains(F.lit(a), c), F.substring(F.lit(a), number(hexes, i) % len(a) + 1, F.lit(1))).otherwise(out)
+            out = F.when(F.contains(F.lit(a), c), F.substring(F.lit(a), (F.instr(F.lit(a), c) + number(hexes, i) % (len(a) - 1)) % len(a) + 1, F.lit(1))).otherwise(out)
         return out
 
     return F.array_join(F.transform(F.split(text, ""), one), "")
@@ -122,11 +135,12 @@ def replacement(key: str) -> Column:
     iban = F.concat(F.substring(value, F.lit(1), F.lit(2)), like(F.substring(value, F.lit(3), F.length(value)), hexes))
 
     def name(lists, script):
-        drawn = F.get(F.array(*map(F.lit, lists)), number(hexes, 0) % len(lists))
+        drawn = F.get(F.array(*[F.lit(x.lower()) for x in lists]), number(hexes, 0) % len(lists))
         more = [F.get(F.array(*map(F.lit, SYLLABLES[script])), number(hexes, i) % 16) for i in range(1, 7)]
         return F.when(F.col("draw") == 0, drawn).otherwise(F.concat(drawn, *more[:3], F.when(F.col("draw") > 3, F.concat(*more[3:])).otherwise("")))
 
     out = F.when(kind == "email", email).when(kind == "phone", phone).when(kind == "card", card(value, hexes)).when(kind == "ip", ip).when(kind == "iban", iban).when(kind == "ssn", like(value, hexes))
+    out = out.when(kind == "initial", like(value, digest(F.lit(key), kind)))  # one step for all: never two to one
     cyrillic = value.rlike(r"\p{IsCyrillic}")
     for script, of in (("cyrillic", cyrillic), ("latin", ~cyrillic)):
         out = out.when((kind == "surname") & of, name(SURNAMES[script], script))
@@ -149,16 +163,29 @@ def kind_of(m: Column) -> Column:
     )
 
 
+def name_parts(m: Column) -> Column:
+    """The parts of a titled name, in order: (kind, canonical value), of no kind where they stay."""
+    title, name = F.regexp_extract(m, f"^({TITLE})", 1), F.regexp_replace(m, f"^{TITLE}", "")
+    female = title.rlike(rf"(?:^|[\x20\u00A0])(?:{'|'.join(FEMALE)})[.\x20\u00A0]")
+    given = F.when(female, "given_f").otherwise("given_m")
+    family = F.when(female & m.rlike(r"\p{IsCyrillic}"), "surname_f").otherwise("surname")
+    words = F.split(name, r"[\x20\u00A0]+")
+    whole = lambda w: w.rlike(r"[\p{L}\p{M}'’]{2}") & ~w.isin(PARTICLES)
+    last = F.coalesce(F.array_max(F.transform(words, lambda w, k: F.when(whole(w), k))), F.lit(-1))
+    joined = F.coalesce(F.array_min(F.transform(words, lambda w, k: F.when(w.isin(PARTICLES), k))), last)
+
+    def one(part, k):
+        kind = F.when(part.isin(PARTICLES), F.lit(None)).when(F.length(part) == 1, "initial").when((k == last) | (k > joined), family).otherwise(given)
+        return F.struct(kind.alias("kind"), F.lower(part).alias("value"))
+
+    return F.flatten(F.transform(words, lambda w, k: F.transform(F.regexp_extract_all(w, F.lit(PARTS), F.lit(0)), lambda part: one(part, k))))
+
+
 def entities_of(kind: Column, m: Column) -> Column:
     """The entities of a mention, in order: (kind, canonical value)."""
     one = lambda k, v: F.array(F.struct(k.alias("kind"), v.alias("value")))
-    names = F.split(F.regexp_replace(m, f"^{TITLE}", ""), " ")
-    female = m.rlike(rf"^(?:{'|'.join(FEMALE)})[.\x20]")
-    gender = F.when(female, "given_f").otherwise("given_m")
-    family = F.when(female & m.rlike(r"\p{IsCyrillic}"), "surname_f").otherwise("surname")
-    both = F.array(F.struct(gender.alias("kind"), F.get(names, F.lit(0)).alias("value")), F.struct(family.alias("kind"), F.get(names, F.lit(1)).alias("value")))
     return (
-        F.when(kind == "name", F.when(F.size(names) > 1, both).otherwise(one(family, F.get(names, F.lit(0)))))
+        F.when(kind == "name", name_parts(m))
         .when(kind == "email", one(kind, F.lower(m)))
         .when(kind == "ip", one(kind, m))
         .when(kind == "iban", one(kind, F.replace(m, F.lit(" "), F.lit(""))))
@@ -166,15 +193,28 @@ def entities_of(kind: Column, m: Column) -> Column:
     )
 
 
-def render(kind: Column, m: Column, values: Column) -> Column:
-    """A mention with its entities replaced, in its own format."""
-    value = F.get(values, F.lit(0))
+def render_name(m: Column, parts: Column) -> Column:
+    """A name with its parts (j, other) replaced, between what separates them."""
+    title, name = F.regexp_extract(m, f"^({TITLE})", 1), F.regexp_replace(m, f"^{TITLE}", "")
+    words = F.regexp_extract_all(name, F.lit(PARTS), F.lit(0))
+
+    def one(between, j):
+        word, other = F.get(words, j), F.get(F.filter(parts, lambda p: p["j"] == j)["other"], F.lit(0))
+        capitals = (F.length(word) > 1) & (word == F.upper(word))
+        return F.concat(between, F.coalesce(F.when(capitals, F.upper(other)).otherwise(F.initcap(other)), word, F.lit("")))
+
+    return F.concat(title, F.array_join(F.transform(F.split(name, PARTS, -1), one), ""))
+
+
+def render(kind: Column, m: Column, parts: Column) -> Column:
+    """A mention with its entities (j, other) replaced, in its own format."""
+    value = F.get(parts["other"], F.lit(0))
     digit = lambda c, i: F.when(c.rlike(r"\d"), F.substring(value, F.length(F.regexp_replace(F.substring(m, F.lit(1), i + 1), r"\D", "")), F.lit(1))).otherwise(c)
     cased = lambda c, i: F.when(c != F.lower(c), F.upper(F.substring(value, i + 1, F.lit(1)))).otherwise(F.substring(value, i + 1, F.lit(1)))
     spaced = lambda c, i: F.when(c == " ", c).otherwise(F.substring(value, F.length(F.replace(F.substring(m, F.lit(1), i + 1), F.lit(" "), F.lit(""))), F.lit(1)))
     chars = F.split(m, "")
     return (
-        F.when(kind == "name", F.concat(F.regexp_extract(m, f"^({TITLE})", 1), F.array_join(values, " ")))
+        F.when(kind == "name", render_name(m, parts))
         .when(kind == "email", F.array_join(F.transform(chars, cased), ""))
         .when(kind == "ip", value)
         .when(kind == "iban", F.array_join(F.transform(chars, spaced), ""))
@@ -189,7 +229,7 @@ def replacements(entities: DataFrame, key: str = KEY) -> DataFrame:
     for _ in range(ROUNDS):
         first = drawn.groupBy("kind", "other").agg(F.min("value").alias("first"), F.count(F.lit(1)).alias("n"))
         real = entities.select("kind", F.col("value").alias("other"), F.lit(True).alias("real"))
-        clashes = first.join(real, ["kind", "other"], "left").filter("n > 1 OR real")
+        clashes = first.join(real, ["kind", "other"], "left").filter("kind <> 'initial' AND (n > 1 OR real)")
         if clashes.isEmpty():
             return drawn
         again = F.col("c.first").isNotNull() & (F.coalesce(F.col("c.real"), F.lit(False)) | (F.col("e.value") != F.col("c.first")))
@@ -207,13 +247,14 @@ def surrogates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         .withColumn("is", kind_of(F.col("m")))
         .select("d", "t", "i", "m", "is", F.posexplode(entities_of(F.col("is"), F.col("m"))).alias("j", "e"))
         .select("d", "t", "i", "m", "is", "j", "e.kind", "e.value")
+        .filter("kind IS NOT NULL")
     )
     found = replacements(mentions.select("kind", "value").distinct(), key)
     rendered = (
         mentions.join(found.select("kind", "value", "other"), ["kind", "value"])
         .groupBy("d", "t", "i", "m", "is")
         .agg(F.sort_array(F.collect_set(F.struct("j", "other"))).alias("parts"))
-        .select("d", "t", "i", "is", render(F.col("is"), F.col("m"), F.col("parts.other")).alias("to"))
+        .select("d", "t", "i", "is", render(F.col("is"), F.col("m"), F.col("parts")).alias("to"))
     )
     of_text = rendered.groupBy("d", "t").agg(F.sort_array(F.collect_list(F.struct("i", "is", "to"))).alias("all"))
     joined = rows.join(of_text, ["d", "t"], "left")
