@@ -174,6 +174,15 @@ def test_surrogates_of_whole_names(spark):
     assert re.fullmatch(r"Mr (?!King)\w+ Jr\. wrote to x Mr (?!Lee)\w+ (?!John)\w+\.\w+@\w\.org", got[11].text) and got[11].n_email == 1
 
 
+def test_surrogates_of_mail_in_every_script(spark):
+    mails = ["李小龙@mail.com", "محمد.علي@x.org", "שלום@x.org", "राम@x.org", "たなか.ハナコ@x.jp", "łukasz.żółć@x.pl", "čeněk@x.cz", "ışık.ğ@x.tr", "한글@x.kr", "١٢٣@x.org", "ς.ά@x.gr", "𠀀𠀁@x.cn", "ß²@x.de"]
+    got = {r.doc_id: r for r in op9.surrogates(spark.createDataFrame(list(enumerate(mails)), "doc_id long, text string")).collect()}
+    for i, mail in enumerate(mails):
+        before, after = mail.split("@")[0], got[i].text.split("@")[0]
+        assert got[i].n_email == 1 and len(before) == len(after), got[i].text
+        assert all((a != b) == b.isalnum() and a.isalnum() == b.isalnum() for a, b in zip(after, before, strict=True) if b.isalnum() or b == "."), got[i].text
+
+
 def test_surrogates_odd_tables(spark):
     docs = odd_documents(spark)
     got = {r.doc_id: r.text for r in op9.surrogates(docs).collect()}

@@ -17,6 +17,8 @@ equal id and text get equal results; a null id is one of its own; further column
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -33,7 +35,7 @@ TITLE = rf"(?:(?:{'|'.join(sorted(MALE + FEMALE, key=len, reverse=True))})\.?[\x
 PARTICLES = "af al av ben bin bint da das de degli dei del della delle den der des di do dos du e el het ibn la las le les los te ten ter van vom von y zu zum zur".split()
 SUFFIX = r"(?:Jr|Sr|II|III|IV|Esq)(?![\p{L}\p{M}])"
 #: No word of a name starts a title, an e-mail address or a code with digits.
-APART = rf"(?!{TITLE}|[\p{{L}}\p{{N}}._%+-]++@|\p{{L}}++\p{{N}})"
+APART = rf"(?!{TITLE}|[\p{{L}}\p{{M}}\p{{N}}._%+-]++@|\p{{L}}++\p{{N}})"
 #: One part of a name: inner capitals and apostrophes belong to it, the possessive 's does not.
 PART = rf"{APART}(?:[dl]['’])?\p{{Lu}}[\p{{L}}\p{{M}}]*+(?:['’](?!s(?![\p{{L}}\p{{M}}])){APART}\p{{L}}[\p{{L}}\p{{M}}]*+)*+"
 PARTICLE = rf"(?:{'|'.join(sorted(PARTICLES, key=len, reverse=True))})"
@@ -42,7 +44,7 @@ INITIALS = rf"{APART}\p{{Lu}}\.(?:[\x20\u00A0]?-?\p{{Lu}}\.)*+"
 #: Name words after each other; a single capital without a full stop only before another word.
 NAME = rf"(?:{PARTICLE}[\x20\u00A0]++)*+(?:{INITIALS}|{WORD})(?:[\x20\u00A0]*+(?<=[.\x20\u00A0])(?!{SUFFIX})(?:{PARTICLE}[\x20\u00A0]++)*+(?:{INITIALS}|(?!\p{{Lu}}(?![\p{{L}}\p{{M}}'’-]|[\x20\u00A0]++\p{{Lu}})){WORD}))*+"
 PATTERNS = {
-    "email": r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]++@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,24}",
+    "email": r"(?<![\p{L}\p{M}\p{N}._%+-])[\p{L}\p{M}\p{N}._%+-]++@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,24}",
     "ip": r"(?<![\p{L}\d.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?![\p{L}\d]|\.\d)",
     "iban": r"(?<![\p{L}\d])[A-Z]{2}\d{2}(?:\x20?[A-Z0-9]{4}){3,7}(?:\x20?[A-Z0-9]{1,3})?(?![\p{L}\d])",
     "card": r"(?<![\p{L}\d.+-])(?:(?:\d{4}[\x20-]?){3}\d{4}|3\d{3}[\x20-]?\d{6}[\x20-]?\d{5})(?![\p{L}\d]|-\d)",
@@ -66,6 +68,39 @@ ALPHABETS = (
     "αβγδεζηθικλμνξοπρστυφχψω",
     "ΑΒΓΔΕΖΗΘΙΚΛΜΝΞΟΠΡΣΤΥΦΧΨΩ",
 )
+#: Letters and digits to a page of code points.
+PAGE = 128
+
+
+def pages() -> tuple[tuple[tuple[str, str], ...], tuple[tuple[int, int], ...]]:
+    """The other letters and digits: alphabets of one page and case as (members, those to draw from), and
+    ranges of code points whose pages hold letters without case only."""
+    of: dict = {}
+    for p in range(0x110000 // PAGE):
+        for c in map(chr, range(p * PAGE, (p + 1) * PAGE)):
+            kind = unicodedata.category(c)
+            if kind[0] in "LN":
+                of.setdefault(p, {}).setdefault("N" if kind[0] == "N" else {"Ll": "l", "Lu": "u", "Lt": "u"}.get(kind, "o"), []).append(c)
+    full = [p for p in of if len(of[p].get("o", ())) == PAGE]
+    ranges: list = []
+    for p in full:
+        if ranges and ranges[-1][1] == p:
+            ranges[-1][1] = p + 1
+        else:
+            ranges.append([p, p + 1])
+    small, known = [], set("".join(ALPHABETS))
+    for p in sorted(of.keys() - set(full)):
+        whole = [c for cs in of[p].values() for c in cs]
+        for cs in of[p].values():
+            # Case must turn one letter into one, and back; few letters draw from all of their page.
+            steady = lambda cs: [c for c in cs if len(c.upper()) == len(c.lower()) == 1 and c.upper().lower() == c.lower() and (c.lower() == c) == (cs[0].lower() == cs[0])]
+            targets = next(t for t in (steady(cs), steady(whole), [*cs, *ALPHABETS[0]]) if len(t) > 3)
+            if members := [c for c in cs if c not in known]:
+                small.append(("".join(members), "".join(targets)))
+    return tuple(small), tuple((a * PAGE, b * PAGE) for a, b in ranges)
+
+
+OTHERS, RANGES = pages()
 # Names to draw from, by gender and script.
 NAMES = {
     ("m", "latin"): "Adam Albert Brian Carl Daniel David Edward Felix George Henry Hugo James Leon Marco Martin Oscar Paul Peter Robert Simon Thomas Victor".split(),
@@ -93,11 +128,26 @@ def number(hexes: Column, i) -> Column:
     return F.conv(F.substring(hexes, (i % 128) * 2 + 1, F.lit(2)), 16, 10).cast("int")
 
 
-def like(text: Column, hexes: Column) -> Column:
-    """Each letter and digit replaced by another of its own alphabet; all else stays."""
+def other_letter(c: Column, h: Column) -> Column:
+    """Another letter or digit of the page of code points for one outside ALPHABETS."""
+    code = F.ascii(c)
+    within = code - code % PAGE + (code % PAGE + 1 + h % (PAGE - 1)) % PAGE
+    paged = F.decode(F.unhex(F.lpad(F.hex(within), 8, "0")), "UTF-32")
+    alphabets = F.array(*[F.struct(F.lit(a).alias("members"), F.lit(b).alias("draws")) for a, b in OTHERS])
+    draws = F.get(F.filter(alphabets, lambda a: F.contains(a["members"], c))["draws"], F.lit(0))
+    at, n = F.instr(draws, c), F.length(draws)
+    in_range = F.lit(False)
+    for a, b in RANGES:
+        in_range = in_range | ((code >= a) & (code < b))
+    return F.when(in_range, paged).otherwise(F.coalesce(F.substring(draws, (at + h % (n - 1)) % n + 1, F.lit(1)), c))
+
+
+def like(text: Column, hexes: Column, every: bool = False) -> Column:
+    """Each letter and digit replaced by another of its own alphabet; all else stays. Unless every, so
+    do letters and digits outside ALPHABETS."""
 
     def one(c, i):
-        out = c
+        out = F.when(c.rlike(r"[\p{L}\p{N}]"), other_letter(c, number(hexes, i))).otherwise(c) if every else c
         for a in reversed(ALPHABETS):
             out = F.when(F.contains(F.lit(a), c), F.substring(F.lit(a), (F.instr(F.lit(a), c) + number(hexes, i) % (len(a) - 1)) % len(a) + 1, F.lit(1))).otherwise(out)
         return out
@@ -128,7 +178,7 @@ def replacement(key: str) -> Column:
     local, domain = F.substring_index(value, "@", 1), F.substring_index(value, "@", -1)
     top = F.concat(F.lit("."), F.substring_index(domain, ".", -1))
     host = F.substring(domain, F.lit(1), F.length(domain) - F.length(top))
-    email = F.concat(like(local, hexes), F.lit("@"), like(host, digest(F.lit(key), F.lit("host"), domain)), top)
+    email = F.concat(like(local, hexes, every=True), F.lit("@"), like(host, digest(F.lit(key), F.lit("host"), domain)), top)
     kept = F.greatest(F.length(value) - 10, F.lit(0))
     phone = F.concat(F.substring(value, F.lit(1), kept), like(F.substring(value, kept + 1, F.length(value)), hexes))
     ip = F.concat_ws(".", *[(number(hexes, i) % 254 + 1).cast("string") for i in range(4)])
@@ -140,7 +190,7 @@ def replacement(key: str) -> Column:
         return F.when(F.col("draw") == 0, drawn).otherwise(F.concat(drawn, *more[:3], F.when(F.col("draw") > 3, F.concat(*more[3:])).otherwise("")))
 
     out = F.when(kind == "email", email).when(kind == "phone", phone).when(kind == "card", card(value, hexes)).when(kind == "ip", ip).when(kind == "iban", iban).when(kind == "ssn", like(value, hexes))
-    out = out.when(kind == "initial", like(value, digest(F.lit(key), kind)))  # one step for all: never two to one
+    out = out.when(kind == "initial", like(value, digest(F.lit(key), kind), every=True))  # one step for all: never two to one
     cyrillic = value.rlike(r"\p{IsCyrillic}")
     for script, of in (("cyrillic", cyrillic), ("latin", ~cyrillic)):
         out = out.when((kind == "surname") & of, name(SURNAMES[script], script))
@@ -186,7 +236,7 @@ def entities_of(kind: Column, m: Column) -> Column:
     one = lambda k, v: F.array(F.struct(k.alias("kind"), v.alias("value")))
     return (
         F.when(kind == "name", name_parts(m))
-        .when(kind == "email", one(kind, F.lower(m)))
+        .when(kind == "email", one(kind, F.lower(F.replace(m, F.lit("İ"), F.lit("i")))))  # lower("İ") has two characters
         .when(kind == "ip", one(kind, m))
         .when(kind == "iban", one(kind, F.replace(m, F.lit(" "), F.lit(""))))
         .otherwise(one(kind, F.regexp_replace(m, r"\D", "")))
