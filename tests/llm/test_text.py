@@ -183,6 +183,18 @@ def test_surrogates_of_mail_in_every_script(spark):
         assert all((a != b) == b.isalnum() and a.isalnum() == b.isalnum() for a, b in zip(after, before, strict=True) if b.isalnum() or b == "."), got[i].text
 
 
+def test_surrogates_without_title(spark):
+    texts = ["Smith came. Mr John Smith left. Smith said to JOHN: Smith's x@y.org, the smith", "Dr Anna F. O'Brien and Prof. Lee. Mrs Anna Maria. Lee saw Anna F. O'Brien, The Hague", "Smith is free here", "Mr He Lee. He left, Smith-Lee@x.org DE89 3704 0044 0532 0130 00 Lee"]
+    got = {r.doc_id: r for r in op9.surrogates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    m = re.fullmatch(r"(\w+) came\. Mr (\w+) (\w+) left\. (\w+) said to ([A-Z]+): (\w+)'s \w@\w\.org, the smith", got[0].text)
+    assert m and m[1] == m[3] == m[4] == m[6] != "Smith" and m[5] == m[2].upper() != "JOHN" and got[0].n_name == 5
+    m = re.fullmatch(r"Dr (\w+) (\w)\. (\w+) and Prof\. (\w+)\. Mrs (\w+) (\w+)\. (\w+) saw (\w+) (\w)\. (\w+), The Hague", got[1].text)
+    assert m and m[1] == m[5] == m[8] != "Anna" and m[2] == m[9] != "F" and m[3] == m[10] and m[4] == m[7] != "Lee"
+    assert got[2].text == texts[2] and got[2].n_name == 0
+    m = re.fullmatch(r"Mr (\w+) (\w+)\. He left, [\w-]+@\w\.org DE.{25} (\w+)", got[3].text)
+    assert m and m[2] == m[3] != "Lee" and "Smith" not in got[3].text and got[3].n_iban == got[3].n_email == 1
+
+
 def test_surrogates_odd_tables(spark):
     docs = odd_documents(spark)
     got = {r.doc_id: r.text for r in op9.surrogates(docs).collect()}

@@ -1,7 +1,8 @@
 """Personal data replaced by surrogates (DataFrame functions only).
 
 Mentions of e-mail addresses, telephone, card and identity numbers, bank accounts, IP
-addresses and titled names are found with regular expressions. Each distinct entity of the corpus (its
+addresses and titled names are found with regular expressions; in a document, so are later and earlier
+mentions without title of the names that it has with one. Each distinct entity of the corpus (its
 canonical form, so that all its mentions agree) gets one replacement from a keyed digest: the
 same kind of characters in the same places, the same script, names of the gender that
 the title tells, card numbers that keep their check digit valid. Entities that would share a
@@ -30,7 +31,8 @@ ROUNDS = 60
 # Titles by the gender they tell.
 MALE = ("Mr", "Herr", "Monsieur", "Señor", "Signor", "Sir", "г-н")
 FEMALE = ("Mrs", "Ms", "Miss", "Frau", "Mme", "Madame", "Señora", "Signora", "Lady", "г-жа")
-TITLE = rf"(?:(?:{'|'.join(sorted(MALE + FEMALE, key=len, reverse=True))})\.?[\x20\u00A0]++)++"
+NEUTRAL = ("Mx", "Dr", "Prof", "Professor", "Doctor", "Docteur", "Doktor", "Rev", "Reverend", "Capt", "Sgt", "Lt", "д-р", "Д-р", "доктор", "проф", "Проф")
+TITLE = rf"(?:(?:{'|'.join(sorted(MALE + FEMALE + NEUTRAL, key=len, reverse=True))})\.?[\x20\u00A0]++)++"
 # Words that join the parts of a name (kept), and what follows a name (kept).
 PARTICLES = "af al av ben bin bint da das de degli dei del della delle den der des di do dos du e el het ibn la las le les los te ten ter van vom von y zu zum zur".split()
 SUFFIX = r"(?:Jr|Sr|II|III|IV|Esq)(?![\p{L}\p{M}])"
@@ -56,6 +58,10 @@ PATTERNS = {
 PARTS = r"[\p{L}\p{M}'’]+"
 KINDS = tuple(PATTERNS)
 ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
+#: The same, and name words without title.
+RUNS = rf"{ANY}|(?<![\p{{L}}\p{{M}}\p{{N}}]){NAME}"
+#: Words that, without title, are taken for themselves even where a name is spelt so.
+COMMON = "a after all an and as at but by for from he her his how i if in is it its my no not of on or our she so that the their then there these they this those to was we what when where which while who will with you your".split()
 # The characters that stand for each other.
 ALPHABETS = (
     "abcdefghijklmnopqrstuvwxyz",
@@ -105,8 +111,10 @@ OTHERS, RANGES = pages()
 NAMES = {
     ("m", "latin"): "Adam Albert Brian Carl Daniel David Edward Felix George Henry Hugo James Leon Marco Martin Oscar Paul Peter Robert Simon Thomas Victor".split(),
     ("f", "latin"): "Alice Anna Carla Clara Diana Elena Emma Eva Flora Helen Ida Irene Julia Laura Lucy Maria Nina Olivia Paula Rosa Sarah Vera".split(),
+    ("n", "latin"): "Alex Ariel Casey Charlie Drew Jamie Jordan Kim Morgan Quincy Robin Sasha Skyler Taylor".split(),
     ("m", "cyrillic"): "Алексей Андрей Борис Виктор Денис Иван Игорь Кирилл Максим Николай Олег Павел Роман Сергей".split(),
     ("f", "cyrillic"): "Алла Анна Вера Дарья Елена Ирина Ксения Лариса Мария Нина Ольга Полина Софья Юлия".split(),
+    ("n", "cyrillic"): "Валя Женя Саша Слава Шура".split(),
 }
 SURNAMES = {
     "latin": "Adler Baker Barlow Bennett Carver Dalton Ellis Fischer Garner Hartley Keller Lambert Marlow Norton Osborne Parker Quinn Reeves Sutton Turner Vance Weller".split(),
@@ -195,7 +203,7 @@ def replacement(key: str) -> Column:
     for script, of in (("cyrillic", cyrillic), ("latin", ~cyrillic)):
         out = out.when((kind == "surname") & of, name(SURNAMES[script], script))
         out = out.when((kind == "surname_f") & of, F.concat(name(SURNAMES[script], script), F.lit("а")))
-        for gender in "mf":
+        for gender in "mfn":
             out = out.when((kind == f"given_{gender}") & of, name(NAMES[gender, script], script))
     return out
 
@@ -217,8 +225,10 @@ def name_parts(m: Column) -> Column:
     """The parts of a titled name, in order: (kind, canonical value), of no kind where they stay."""
     title, name = F.regexp_extract(m, f"^({TITLE})", 1), F.regexp_replace(m, f"^{TITLE}", "")
     female = title.rlike(rf"(?:^|[\x20\u00A0])(?:{'|'.join(FEMALE)})[.\x20\u00A0]")
-    given = F.when(female, "given_f").otherwise("given_m")
-    family = F.when(female & m.rlike(r"\p{IsCyrillic}"), "surname_f").otherwise("surname")
+    male = title.rlike(rf"(?:^|[\x20\u00A0])(?:{'|'.join(MALE)})[.\x20\u00A0]")
+    given = F.when(female, "given_f").when(male, "given_m").otherwise("given_n")
+    feminine = female | (~male & m.rlike(r"(?:[оеё]ва|ина|ая)$"))
+    family = F.when(feminine & m.rlike(r"\p{IsCyrillic}"), "surname_f").otherwise("surname")
     words = F.split(name, r"[\x20\u00A0]+")
     whole = lambda w: w.rlike(r"[\p{L}\p{M}'’]{2}") & ~w.isin(PARTICLES)
     last = F.coalesce(F.array_max(F.transform(words, lambda w, k: F.when(whole(w), k))), F.lit(-1))
@@ -231,6 +241,54 @@ def name_parts(m: Column) -> Column:
     return F.flatten(F.transform(words, lambda w, k: F.transform(F.regexp_extract_all(w, F.lit(PARTS), F.lit(0)), lambda part: one(part, k))))
 
 
+def let(value: Column, f) -> Column:
+    """f of a value that is computed once."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
+def titled(m: Column) -> Column:
+    return m.rlike(f"^{TITLE}")
+
+
+def bare_parts(m: Column, names: Column) -> Column:
+    """The parts of name words without title, in order: (kind, canonical value), of no kind where they stay.
+    names: those of the document's titled names."""
+
+    def one(part, w):
+        of = F.filter(names, lambda n: (n["value"] == F.lower(part)) & (n["kind"] != "initial"))
+        kind = F.when(~F.lower(part).isin(COMMON), F.array_max(of["kind"]))
+        return F.struct(kind.alias("kind"), F.lower(part).alias("value"), w.rlike(r"^\p{Lu}\.").alias("dotted"))
+
+    parts = F.flatten(F.transform(F.split(m, r"[\x20\u00A0]+"), lambda w: F.transform(F.regexp_extract_all(w, F.lit(PARTS), F.lit(0)), lambda part: one(part, w))))
+    known = lambda p: p["kind"].isNotNull()
+    letter = lambda p: F.when(p["dotted"] & (F.length(p["value"]) == 1), "initial")
+    with_initials = lambda ps: F.transform(ps, lambda p: F.struct(F.when(F.exists(ps, known), F.coalesce(p["kind"], letter(p))).alias("kind"), p["value"].alias("value")))
+    return let(parts, with_initials)
+
+
+def settled(parts: Column, names: Column) -> Column:
+    """Given names whose title tells no gender take it from another title in the document."""
+
+    def one(p):
+        told = F.array_max(F.filter(names, lambda n: (n["value"] == p["value"]) & n["kind"].isin("given_f", "given_m"))["kind"])
+        return F.struct(F.when(p["kind"] == "given_n", F.coalesce(told, p["kind"])).otherwise(p["kind"]).alias("kind"), p["value"].alias("value"))
+
+    return F.transform(parts, one)
+
+
+def mentions_of(text: Column) -> Column:
+    """The mentions of a text in order: (i, m, is, parts). Only texts with titled names are searched again."""
+    found = let(F.regexp_extract_all(text, F.lit(ANY), F.lit(0)), lambda ms: F.when(F.exists(ms, titled), F.regexp_extract_all(text, F.lit(RUNS), F.lit(0))).otherwise(ms))
+
+    def one(m, i, names):
+        kind = kind_of(m)
+        parts = F.when(titled(m), settled(name_parts(m), names)).when(kind == "name", bare_parts(m, names)).otherwise(entities_of(kind, m))
+        return F.struct(i.alias("i"), m.alias("m"), kind.alias("is"), parts.alias("parts"))
+
+    names = lambda ms: F.array_distinct(F.flatten(F.transform(F.filter(ms, titled), name_parts)))
+    return let(found, lambda ms: let(let(names(ms), lambda ns: settled(ns, ns)), lambda ns: F.transform(ms, lambda m, i: one(m, i, ns))))
+
+
 def entities_of(kind: Column, m: Column) -> Column:
     """The entities of a mention, in order: (kind, canonical value)."""
     one = lambda k, v: F.array(F.struct(k.alias("kind"), v.alias("value")))
@@ -293,9 +351,8 @@ def surrogates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     rows = rows.withColumns({"d": F.coalesce(F.col("doc_id").cast("long"), F.lit(2**63 - 1)), "t": F.xxhash64("text")})
     mentions = materialise(
-        rows.select("d", "t", F.posexplode(F.regexp_extract_all("text", F.lit(ANY), F.lit(0))).alias("i", "m"))
-        .withColumn("is", kind_of(F.col("m")))
-        .select("d", "t", "i", "m", "is", F.posexplode(entities_of(F.col("is"), F.col("m"))).alias("j", "e"))
+        rows.select("d", "t", F.explode(mentions_of(F.col("text"))).alias("x"))
+        .select("d", "t", "x.i", "x.m", "x.is", F.posexplode("x.parts").alias("j", "e"))
         .select("d", "t", "i", "m", "is", "j", "e.kind", "e.value")
         .filter("kind IS NOT NULL")
     )
@@ -308,7 +365,10 @@ def surrogates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     )
     of_text = rendered.groupBy("d", "t").agg(F.sort_array(F.collect_list(F.struct("i", "is", "to"))).alias("all"))
     joined = rows.join(of_text, ["d", "t"], "left")
-    put = F.array_join(F.transform(F.split("text", ANY, -1), lambda p, i: F.concat(p, F.coalesce(F.get(F.col("all.to"), i), F.lit("")))), "")
+    to = lambda i: F.get(F.filter("all", lambda x: x["i"] == i)["to"], F.lit(0))
+    put = F.array_join(F.transform(F.split("text", ANY, -1), lambda p, i: F.concat(p, F.coalesce(to(i), F.lit("")))), "")
+    words = lambda ms: F.array_join(F.transform(F.split("text", RUNS, -1), lambda p, i: F.concat(p, F.coalesce(to(i), F.get(ms, i), F.lit("")))), "")
+    put = F.when(F.exists("all", lambda x: x["is"] == "name"), let(F.regexp_extract_all("text", F.lit(RUNS), F.lit(0)), words)).otherwise(put)
     n = lambda k: F.coalesce(F.size(F.filter("all", lambda x: x["is"] == k)), F.lit(0)).cast("long").alias(f"n_{k}")
     return joined.select("doc_id", *[n(k) for k in KINDS], F.when(F.col("all").isNull(), F.col("text")).otherwise(put).alias("text"))
 
