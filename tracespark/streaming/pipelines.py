@@ -118,7 +118,8 @@ def stats_rollup(spans: DataFrame, late: str = "2 minutes") -> DataFrame:
 
 
 def map_rollup(spans: DataFrame, late: str = "2 minutes", apart: str = "10 minutes") -> DataFrame:
-    """AGG-04: edges by the minute; a child waits for its parent, and the other way round, so long."""
+    """AGG-04: edges by the minute; a child waits for its parent, and the other way round, so long.
+    Edges whose spans start further apart are lost here and not counted; the batch rollup keeps them."""
     timed = spans.withColumn("start_time", F.col("start_time").cast("timestamp"))
     child = timed.filter(has_parent()).withWatermark("start_time", late).select("trace_id", F.col("parent_span_id").alias("of"), F.col("service_name").alias("source_service"), "protocol", "duration_ms", "error_code", F.col("start_time").alias("child_time"))
     parent = timed.withWatermark("start_time", late).select(F.col("trace_id").alias("t"), F.col("span_id").alias("s"), F.col("service_name").alias("dest_service"), F.col("start_time").alias("parent_time"))
