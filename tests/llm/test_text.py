@@ -117,6 +117,7 @@ def test_secrets_odd_tables(spark):
     assert op7.scan(no_documents(spark)).count() == 0
 
 
+KEY = "key of the tests"
 PRIVATE = [
     "Dear Mr John Smith and Mrs. Anna Smith, call +1 (743) 555-3824 or 743-555-3824; john@x.org JOHN@x.org. Mr Smith",
     "г-н Иван Петров и г-жа Анна Петрова",
@@ -127,10 +128,10 @@ VALUES = ["John", "Smith", "743", "3824", "john@x", "Иван", "Петров",
 
 
 def test_surrogates(spark):
-    got = {r.doc_id: r for r in op9.surrogates(spark.createDataFrame(list(enumerate(PRIVATE)), "doc_id long, text string")).collect()}
+    got = {r.doc_id: r for r in op9.surrogates(spark.createDataFrame(list(enumerate(PRIVATE)), "doc_id long, text string"), KEY).collect()}
     for r in got.values():
         assert not [v for v in VALUES if v in r.text], r.text
-        assert len(re.findall(r"\d", r.text)) >= 0
+        assert re.sub(r"\w", "", r.text) == re.sub(r"\w", "", PRIVATE[r.doc_id])
     a = got[0].text
     given = re.match(r"Dear Mr (\w+) (\w+) and Mrs\. (\w+) (\w+), call \+1 \(\d{3}\) \d{3}-\d{4} or \d{3}-\d{3}-\d{4}; (\S+@\S+) (\S+@\S+)\. Mr (\w+)$", a)
     assert given and given[2] == given[4] == given[7] and given[5].upper() == given[6].upper()
@@ -139,9 +140,9 @@ def test_surrogates(spark):
     cards = re.match(r"(\d{4} \d{4} \d{4} \d{4}) and (\d{16}) DE\d\d", got[2].text)
     assert cards and cards[1].replace(" ", "") == cards[2] and luhn(cards[2]) == 0
     assert luhn(re.search(r"\d{16}", got[3].text)[0]) != 0 and got[3].text.endswith("at 300.1.1.1 v1.2.3.4.5")
-    again = {r.doc_id: r.text for r in op9.surrogates(spark.createDataFrame(list(enumerate(PRIVATE)), "doc_id long, text string").repartition(3)).collect()}
+    again = {r.doc_id: r.text for r in op9.surrogates(spark.createDataFrame(list(enumerate(PRIVATE)), "doc_id long, text string").repartition(3), KEY).collect()}
     assert again == {i: r.text for i, r in got.items()}
-    other = op9.surrogates(spark.createDataFrame([(0, PRIVATE[0])], "doc_id long, text string"), key="another").first().text
+    other = op9.surrogates(spark.createDataFrame([(0, PRIVATE[0])], "doc_id long, text string"), "another").first().text
     assert other != a
 
 
@@ -151,7 +152,7 @@ def luhn(digits):
 
 def test_surrogates_stay_distinct(spark):
     names = [f"Mr Name{chr(97 + i % 26)}{chr(97 + i // 26)} Zed{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(150)]
-    got = op9.surrogates(spark.createDataFrame(list(enumerate(names)), "doc_id long, text string")).collect()
+    got = op9.surrogates(spark.createDataFrame(list(enumerate(names)), "doc_id long, text string"), KEY).collect()
     assert len({r.text for r in got}) == 150 and not {r.text for r in got} & set(names)
 
 
@@ -160,7 +161,7 @@ LONG_NAMES = ["Mr McDonald", "Mr O'Brien", "Mrs Smith-Jones", "Mr John F. Kenned
 
 def test_surrogates_of_whole_names(spark):
     texts = [f"Then {n} left. Ok" for n in LONG_NAMES] + ["Mr McDonald's car, Mr MCDONALD", "Mr King Jr. wrote to x Mr Lee John.Lee@x.org"]
-    got = {r.doc_id: r for r in op9.surrogates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    got = {r.doc_id: r for r in op9.surrogates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), KEY).collect()}
     kept = {"Mr", "Mrs", "Frau", "Monsieur", "Señora", "von", "der", "de", "la"}
     for i, n in enumerate(LONG_NAMES):
         assert got[i].n_name == 1
@@ -176,7 +177,7 @@ def test_surrogates_of_whole_names(spark):
 
 def test_surrogates_of_mail_in_every_script(spark):
     mails = ["李小龙@mail.com", "محمد.علي@x.org", "שלום@x.org", "राम@x.org", "たなか.ハナコ@x.jp", "łukasz.żółć@x.pl", "čeněk@x.cz", "ışık.ğ@x.tr", "한글@x.kr", "١٢٣@x.org", "ς.ά@x.gr", "𠀀𠀁@x.cn", "ß²@x.de"]
-    got = {r.doc_id: r for r in op9.surrogates(spark.createDataFrame(list(enumerate(mails)), "doc_id long, text string")).collect()}
+    got = {r.doc_id: r for r in op9.surrogates(spark.createDataFrame(list(enumerate(mails)), "doc_id long, text string"), KEY).collect()}
     for i, mail in enumerate(mails):
         before, after = mail.split("@")[0], got[i].text.split("@")[0]
         assert got[i].n_email == 1 and len(before) == len(after), got[i].text
@@ -185,7 +186,7 @@ def test_surrogates_of_mail_in_every_script(spark):
 
 def test_surrogates_without_title(spark):
     texts = ["Smith came. Mr John Smith left. Smith said to JOHN: Smith's x@y.org, the smith", "Dr Anna F. O'Brien and Prof. Lee. Mrs Anna Maria. Lee saw Anna F. O'Brien, The Hague", "Smith is free here", "Mr He Lee. He left, Smith-Lee@x.org DE89 3704 0044 0532 0130 00 Lee"]
-    got = {r.doc_id: r for r in op9.surrogates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    got = {r.doc_id: r for r in op9.surrogates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), KEY).collect()}
     m = re.fullmatch(r"(\w+) came\. Mr (\w+) (\w+) left\. (\w+) said to ([A-Z]+): (\w+)'s \w@\w\.org, the smith", got[0].text)
     assert m and m[1] == m[3] == m[4] == m[6] != "Smith" and m[5] == m[2].upper() != "JOHN" and got[0].n_name == 5
     m = re.fullmatch(r"Dr (\w+) (\w)\. (\w+) and Prof\. (\w+)\. Mrs (\w+) (\w+)\. (\w+) saw (\w+) (\w)\. (\w+), The Hague", got[1].text)
@@ -197,6 +198,6 @@ def test_surrogates_without_title(spark):
 
 def test_surrogates_odd_tables(spark):
     docs = odd_documents(spark)
-    got = {r.doc_id: r.text for r in op9.surrogates(docs).collect()}
+    got = {r.doc_id: r.text for r in op9.surrogates(docs, KEY).collect()}
     assert all(got[r.doc_id] == r.text for r in docs.collect())
-    assert op9.surrogates(no_documents(spark)).count() == 0
+    assert op9.surrogates(no_documents(spark), KEY).count() == 0

@@ -21,13 +21,25 @@ def partitions(spark: SparkSession) -> int:
 
 def materialise(df: DataFrame) -> DataFrame:
     """Cut the lineage with a reliable checkpoint in the folder the cluster names in
-    spark.checkpoint.dir; a folder of our own only where that is unset (tests)."""
+    spark.checkpoint.dir. Where that is unset, one has to be set first; only a session that runs
+    inside one process (tests) gets a folder of its own. With spark.cleaner.referenceTracking.cleanCheckpoints
+    Spark deletes the files once nothing refers to them."""
     sc = df.sparkSession.sparkContext
     if not sc.getConf().get("spark.checkpoint.dir") and sc.getCheckpointDir() is None:
+        if not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="checkpoints-"))
     return df.checkpoint()
 
 
+def join_hot(many: DataFrame, one: DataFrame, keys: list[str], n: str, least: int) -> DataFrame:
+    """Inner join of many with one, which has a row for each key and in n how many rows of many have it. Keys
+    with over `least` rows, at most a `least`-th as many as there are rows, are broadcast, so that no
+    task needs all rows of such a key; the others meet in a shuffle. n is dropped."""
+    hot, rest = F.broadcast(one.filter(F.col(n) > least).drop(n)), one.filter(F.col(n) <= least).drop(n)
+    return many.join(hot, keys).unionByName(many.join(hot.select(*keys), keys, "left_anti").join(rest, keys))
+
+
 def squeeze(text: Column) -> Column:
     """The text without its white space; null counts as empty. Chained replace() works on
     bytes, which is several times faster than a regular expression here."""

@@ -1,16 +1,19 @@
 """Personal data replaced by surrogates (DataFrame functions only).
 
-Mentions of e-mail addresses, telephone, card and identity numbers, bank accounts, IP
-addresses and titled names are found with regular expressions; in a document, so are later and earlier
-mentions without title of the names that it has with one. Each distinct entity of the corpus (its
-canonical form, so that all its mentions agree) gets one replacement from a keyed digest: the
-same kind of characters in the same places, the same script, names of the gender that
-the title tells, card numbers that keep their check digit valid. Entities that would share a
-replacement, or get one that is itself a real entity, are drawn anew with a counter until all are
-distinct. The mentions are then rendered in their own format and put back.
-
-Entities are combined before the shuffle; a frequent entity is a skewed join key, which
-adaptive execution splits. A document's mentions meet in its own row only.
+Mentions of e-mail addresses, telephone, card and identity numbers, bank accounts, IP addresses
+and names after a title or a cue (`my name is`, `Name:`, `Dear`) are found with regular expressions; in
+a document, so are later and earlier mentions, without either, of the names that it has with one. Each
+distinct entity of the corpus (its canonical form, so that all its mentions agree) gets one
+replacement from a keyed digest: the same kind of characters in the same places, the same script,
+names of the gender that the title tells, card numbers that keep their check digit valid. Entities
+that would share a replacement, or get one that is itself a real entity, are drawn anew with a counter;
+from the draw WIDEN on, each draw adds a character (a digit, a letter, a syllable), so that
+forms of which there are too few, such as all one-letter addresses of one host, never run out.
+The mentions are then rendered in their own format and put back. An address without any letter or digit to
+replace gets letters in the places of its signs.
+
+Entities are combined before the shuffle. Those with more mentions than a partition holds on average are
+fewer than partitions and join by broadcast; a document's mentions meet in its own row only.
 
 Defined cases: a null text stays null, empty stays empty, texts without mentions stay as they are; rows of
 equal id and text get equal results; a null id is one of its own; further columns are ignored.
@@ -23,16 +26,21 @@ import unicodedata
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, table
+from .common import join_hot, materialise, partitions, table
 
-KEY = "surrogate-key-1"
-#: Draws until all replacements are distinct; each round leaves a small share of the clashes.
-ROUNDS = 60
+#: Where the query looks for its key, and the key of the test tables. Real text needs a secret of its own.
+KEY_SETTING, TEST_KEY = "spark.tracespark.surrogates.key", "test tables"
+#: An entity with fewer mentions than this is never joined by broadcast.
+HOT_LEAST = 1000
+#: The draw from which on replacements grow longer.
+WIDEN = 4
 # Titles by the gender they tell.
 MALE = ("Mr", "Herr", "Monsieur", "Señor", "Signor", "Sir", "г-н")
 FEMALE = ("Mrs", "Ms", "Miss", "Frau", "Mme", "Madame", "Señora", "Signora", "Lady", "г-жа")
 NEUTRAL = ("Mx", "Dr", "Prof", "Professor", "Doctor", "Docteur", "Doktor", "Rev", "Reverend", "Capt", "Sgt", "Lt", "д-р", "Д-р", "доктор", "проф", "Проф")
-TITLE = rf"(?:(?:{'|'.join(sorted(MALE + FEMALE + NEUTRAL, key=len, reverse=True))})\.?[\x20\u00A0]++)++"
+# What announces a name that has no title.
+CUES = ("my name is", "My name is", "name is", "Name:", "name:", "Dear", "Attn:", "Signed:", "signed:", "Contact:", "Sincerely,", "Best regards,", "Kind regards,", "Ich heiße", "ich heiße", "Je m'appelle", "je m'appelle", "Me llamo", "me llamo", "Меня зовут", "меня зовут")
+TITLE = rf"(?:(?:{'|'.join(sorted(MALE + FEMALE + NEUTRAL + CUES, key=len, reverse=True))})\.?[\x20\u00A0]++)++"
 # Words that join the parts of a name (kept), and what follows a name (kept).
 PARTICLES = "af al av ben bin bint da das de degli dei del della delle den der des di do dos du e el het ibn la las le les los te ten ter van vom von y zu zum zur".split()
 SUFFIX = r"(?:Jr|Sr|II|III|IV|Esq)(?![\p{L}\p{M}])"
@@ -48,6 +56,7 @@ NAME = rf"(?:{PARTICLE}[\x20\u00A0]++)*+(?:{INITIALS}|{WORD})(?:[\x20\u00A0]*+(?
 PATTERNS = {
     "email": r"(?<![\p{L}\p{M}\p{N}._%+-])[\p{L}\p{M}\p{N}._%+-]++@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,24}",
     "ip": r"(?<![\p{L}\d.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?![\p{L}\d]|\.\d)",
+    "ip6": r"(?<![\p{L}\p{N}:.])(?:(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}|(?:[0-9A-Fa-f]{1,4}:){2,6}(?::[0-9A-Fa-f]{1,4}){1,4}|[0-9A-Fa-f]{1,4}:(?::[0-9A-Fa-f]{1,4}){2,6})(?![\p{L}\p{N}:]|\.\d)",
     "iban": r"(?<![\p{L}\d])[A-Z]{2}\d{2}(?:\x20?[A-Z0-9]{4}){3,7}(?:\x20?[A-Z0-9]{1,3})?(?![\p{L}\d])",
     "card": r"(?<![\p{L}\d.+-])(?:(?:\d{4}[\x20-]?){3}\d{4}|3\d{3}[\x20-]?\d{6}[\x20-]?\d{5})(?![\p{L}\d]|-\d)",
     "ssn": r"(?<![\p{L}\d-])\d{3}-\d{2}-\d{4}(?![\p{L}\d]|-\d)",
@@ -74,6 +83,7 @@ ALPHABETS = (
     "αβγδεζηθικλμνξοπρστυφχψω",
     "ΑΒΓΔΕΖΗΘΙΚΛΜΝΞΟΠΡΣΤΥΦΧΨΩ",
 )
+HEXADECIMAL = ("0123456789abcdef",)
 #: Letters and digits to a page of code points.
 PAGE = 128
 
@@ -141,8 +151,8 @@ def other_letter(c: Column, h: Column) -> Column:
     code = F.ascii(c)
     within = code - code % PAGE + (code % PAGE + 1 + h % (PAGE - 1)) % PAGE
     paged = F.decode(F.unhex(F.lpad(F.hex(within), 8, "0")), "UTF-32")
-    alphabets = F.array(*[F.struct(F.lit(a).alias("members"), F.lit(b).alias("draws")) for a, b in OTHERS])
-    draws = F.get(F.filter(alphabets, lambda a: F.contains(a["members"], c))["draws"], F.lit(0))
+    members, all_draws = (F.split(F.lit("\x1f".join(side)), "\x1f") for side in zip(*OTHERS, strict=True))
+    draws = F.get(all_draws, F.array_position(F.transform(members, lambda a: F.contains(a, c)), True) - 1)
     at, n = F.instr(draws, c), F.length(draws)
     in_range = F.lit(False)
     for a, b in RANGES:
@@ -150,13 +160,13 @@ def other_letter(c: Column, h: Column) -> Column:
     return F.when(in_range, paged).otherwise(F.coalesce(F.substring(draws, (at + h % (n - 1)) % n + 1, F.lit(1)), c))
 
 
-def like(text: Column, hexes: Column, every: bool = False) -> Column:
+def like(text: Column, hexes: Column, every: bool = False, alphabets: tuple[str, ...] = ALPHABETS) -> Column:
     """Each letter and digit replaced by another of its own alphabet; all else stays. Unless every, so
-    do letters and digits outside ALPHABETS."""
+    do letters and digits outside the alphabets."""
 
     def one(c, i):
         out = F.when(c.rlike(r"[\p{L}\p{N}]"), other_letter(c, number(hexes, i))).otherwise(c) if every else c
-        for a in reversed(ALPHABETS):
+        for a in reversed(alphabets):
             out = F.when(F.contains(F.lit(a), c), F.substring(F.lit(a), (F.instr(F.lit(a), c) + number(hexes, i) % (len(a) - 1)) % len(a) + 1, F.lit(1))).otherwise(out)
         return out
 
@@ -172,32 +182,41 @@ def luhn(digits: Column) -> Column:
     return F.aggregate(twice, F.lit(0), lambda a, x: a + x) % 10
 
 
-def card(value: Column, hexes: Column) -> Column:
+def card(value: Column, hexes: Column, more: Column) -> Column:
     """The first digit stays; the last makes a valid number of a valid one."""
-    body = F.concat(F.substring(value, F.lit(1), F.lit(1)), like(F.substring(value, F.lit(2), F.length(value) - 2), hexes))
+    body = F.concat(F.substring(value, F.lit(1), F.lit(1)), like(F.substring(value, F.lit(2), F.length(value) - 2), hexes), more)
     check = (10 - luhn(F.concat(body, F.lit("0")))) % 10
     return F.concat(body, F.when(luhn(value) == 0, check).otherwise((check + 1 + number(hexes, 120) % 9) % 10).cast("string"))
 
 
+def spelt(alphabet, hexes: Column, n: Column) -> Column:
+    """n members of an alphabet."""
+    of = F.array(*map(F.lit, alphabet))
+    return F.when(n > 0, F.array_join(F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda i: F.get(of, number(hexes, i) % len(alphabet))), "")).otherwise("")
+
+
 def replacement(key: str) -> Column:
     """From (kind, value, draw) of an entity."""
     kind, value, draw = F.col("kind"), F.col("value"), F.col("draw").cast("string")
     hexes = digest(F.lit(key), kind, value, draw)
+    longer = lambda alphabet: spelt(alphabet, digest(F.lit(key), F.lit("more"), kind, value, draw), F.col("draw") - WIDEN)
+    letters, digits = longer(ALPHABETS[0]), longer(ALPHABETS[2])
     local, domain = F.substring_index(value, "@", 1), F.substring_index(value, "@", -1)
     top = F.concat(F.lit("."), F.substring_index(domain, ".", -1))
     host = F.substring(domain, F.lit(1), F.length(domain) - F.length(top))
-    email = F.concat(like(local, hexes, every=True), F.lit("@"), like(host, digest(F.lit(key), F.lit("host"), domain)), top)
+    other_local = F.when(local.rlike(r"[\p{L}\p{N}]"), like(local, hexes, every=True)).otherwise(spelt(ALPHABETS[0], hexes, F.length(local)))
+    email = F.concat(other_local, letters, F.lit("@"), like(host, digest(F.lit(key), F.lit("host"), domain)), top)
     kept = F.greatest(F.length(value) - 10, F.lit(0))
-    phone = F.concat(F.substring(value, F.lit(1), kept), like(F.substring(value, kept + 1, F.length(value)), hexes))
-    ip = F.concat_ws(".", *[(number(hexes, i) % 254 + 1).cast("string") for i in range(4)])
-    iban = F.concat(F.substring(value, F.lit(1), F.lit(2)), like(F.substring(value, F.lit(3), F.length(value)), hexes))
+    phone = F.concat(F.substring(value, F.lit(1), kept), like(F.substring(value, kept + 1, F.length(value)), hexes), digits)
+    ip = F.concat(F.concat_ws(".", *[(number(hexes, i) % 254 + 1).cast("string") for i in range(4)]), digits)
+    iban = F.concat(F.substring(value, F.lit(1), F.lit(2)), like(F.substring(value, F.lit(3), F.length(value)), hexes), digits)
 
     def name(lists, script):
         drawn = F.get(F.array(*[F.lit(x.lower()) for x in lists]), number(hexes, 0) % len(lists))
-        more = [F.get(F.array(*map(F.lit, SYLLABLES[script])), number(hexes, i) % 16) for i in range(1, 7)]
-        return F.when(F.col("draw") == 0, drawn).otherwise(F.concat(drawn, *more[:3], F.when(F.col("draw") > 3, F.concat(*more[3:])).otherwise("")))
+        return F.concat(drawn, F.when(F.col("draw") == 0, "").otherwise(spelt(SYLLABLES[script], hexes, F.col("draw") + 2)))
 
-    out = F.when(kind == "email", email).when(kind == "phone", phone).when(kind == "card", card(value, hexes)).when(kind == "ip", ip).when(kind == "iban", iban).when(kind == "ssn", like(value, hexes))
+    out = F.when(kind == "email", email).when(kind == "phone", phone).when(kind == "card", card(value, hexes, digits)).when(kind == "ip", ip).when(kind == "iban", iban)
+    out = out.when(kind == "ssn", F.concat(like(value, hexes), digits)).when(kind == "ip6", F.concat(like(value, hexes, alphabets=HEXADECIMAL), digits))
     out = out.when(kind == "initial", like(value, digest(F.lit(key), kind), every=True))  # one step for all: never two to one
     cyrillic = value.rlike(r"\p{IsCyrillic}")
     for script, of in (("cyrillic", cyrillic), ("latin", ~cyrillic)):
@@ -213,6 +232,7 @@ def kind_of(m: Column) -> Column:
     return (
         F.when(F.contains(m, F.lit("@")), "email")
         .when(m.rlike(r"^\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}$"), "ip")
+        .when(m.rlike(r"^[0-9A-Fa-f]{1,4}:"), "ip6")
         .when(m.rlike(r"^[A-Z]{2}\d{2}"), "iban")
         .when(m.rlike(r"^\p{L}"), "name")
         .when(m.rlike(r"^\d{3}-\d{2}-\d{4}$"), "ssn")
@@ -296,6 +316,7 @@ def entities_of(kind: Column, m: Column) -> Column:
         F.when(kind == "name", name_parts(m))
         .when(kind == "email", one(kind, F.lower(F.replace(m, F.lit("İ"), F.lit("i")))))  # lower("İ") has two characters
         .when(kind == "ip", one(kind, m))
+        .when(kind == "ip6", one(kind, F.lower(m)))
         .when(kind == "iban", one(kind, F.replace(m, F.lit(" "), F.lit(""))))
         .otherwise(one(kind, F.regexp_replace(m, r"\D", "")))
     )
@@ -317,37 +338,47 @@ def render_name(m: Column, parts: Column) -> Column:
 def render(kind: Column, m: Column, parts: Column) -> Column:
     """A mention with its entities (j, other) replaced, in its own format."""
     value = F.get(parts["other"], F.lit(0))
+    rest = lambda n: F.substring(value, n + 1, F.length(value))  # noqa: E731  what a longer replacement adds
+    at = F.instr(m, "@")
     digit = lambda c, i: F.when(c.rlike(r"\d"), F.substring(value, F.length(F.regexp_replace(F.substring(m, F.lit(1), i + 1), r"\D", "")), F.lit(1))).otherwise(c)
     cased = lambda c, i: F.when(c != F.lower(c), F.upper(F.substring(value, i + 1, F.lit(1)))).otherwise(F.substring(value, i + 1, F.lit(1)))
     spaced = lambda c, i: F.when(c == " ", c).otherwise(F.substring(value, F.length(F.replace(F.substring(m, F.lit(1), i + 1), F.lit(" "), F.lit(""))), F.lit(1)))
     chars = F.split(m, "")
+    n_digits, n_solid = F.length(F.regexp_replace(m, r"\D", "")), F.length(F.replace(m, F.lit(" "), F.lit("")))
+    local, tail = F.slice(chars, F.lit(1), at - 1), F.slice(chars, at, F.size(chars))
+    host = F.substring(value, F.instr(value, "@"), F.length(value))
+    of_host = lambda c, i: F.when(c != F.lower(c), F.upper(F.substring(host, i + 1, F.lit(1)))).otherwise(F.substring(host, i + 1, F.lit(1)))
+    widened = F.substring(value, at, F.instr(value, "@") - at)
     return (
         F.when(kind == "name", render_name(m, parts))
-        .when(kind == "email", F.array_join(F.transform(chars, cased), ""))
+        .when(kind == "email", F.concat(F.array_join(F.transform(local, cased), ""), widened, F.array_join(F.transform(tail, of_host), "")))
         .when(kind == "ip", value)
-        .when(kind == "iban", F.array_join(F.transform(chars, spaced), ""))
-        .otherwise(F.array_join(F.transform(chars, digit), ""))
+        .when(kind == "ip6", F.concat(F.array_join(F.transform(chars, cased), ""), rest(F.length(m))))
+        .when(kind == "iban", F.concat(F.array_join(F.transform(chars, spaced), ""), rest(n_solid)))
+        .otherwise(F.concat(F.array_join(F.transform(chars, digit), ""), rest(n_digits)))
     )
 
 
-def replacements(entities: DataFrame, key: str = KEY) -> DataFrame:
-    """(kind, value) of distinct entities to (kind, value, draw, other), where no two entities of a kind
-    share a replacement and none gets the value of another."""
-    drawn = materialise(entities.withColumn("draw", F.lit(0)).withColumn("other", replacement(key)))
-    for _ in range(ROUNDS):
-        first = drawn.groupBy("kind", "other").agg(F.min("value").alias("first"), F.count(F.lit(1)).alias("n"))
-        real = entities.select("kind", F.col("value").alias("other"), F.lit(True).alias("real"))
-        clashes = first.join(real, ["kind", "other"], "left").filter("kind <> 'initial' AND (n > 1 OR real)")
+def replacements(entities: DataFrame, key: str) -> DataFrame:
+    """(kind, value, n) of distinct entities to (kind, value, n, draw, other), where no two entities of a
+    kind share a replacement and none gets the value of another. It ends for any table: a clash is
+    drawn anew, and from the draw WIDEN on forms grow without bound."""
+    drawing = replacement(key)
+    drawn = materialise(entities.withColumn("draw", F.lit(0)).withColumn("other", drawing))
+    real = entities.select("kind", F.col("value").alias("other"), F.lit(True).alias("real"))
+    while True:
+        first = drawn.groupBy("kind", "other").agg(F.min("value").alias("first"), F.count(F.lit(1)).alias("sharing"))
+        clashes = materialise(first.join(real, ["kind", "other"], "left").filter("kind <> 'initial' AND (sharing > 1 OR real)"))
         if clashes.isEmpty():
             return drawn
         again = F.col("c.first").isNotNull() & (F.coalesce(F.col("c.real"), F.lit(False)) | (F.col("e.value") != F.col("c.first")))
-        next_ = drawn.alias("e").join(clashes.alias("c"), ["kind", "other"], "left").select("kind", F.col("e.value").alias("value"), "draw", "other", again.alias("again"))
-        drawn = materialise(next_.withColumn("draw", F.col("draw") + F.col("again").cast("int")).withColumn("other", F.when(F.col("again"), replacement(key)).otherwise(F.col("other"))).drop("again"))
-    raise ValueError(f"replacements still clash after {ROUNDS} draws")
+        next_ = drawn.alias("e").join(clashes.alias("c"), ["kind", "other"], "left").select("kind", F.col("e.value").alias("value"), "n", "draw", "other", again.alias("again"))
+        drawn = materialise(next_.withColumn("draw", F.col("draw") + F.col("again").cast("int")).withColumn("other", F.when(F.col("again"), drawing).otherwise(F.col("other"))).drop("again"))
 
 
-def surrogates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", key: str = KEY) -> DataFrame:
-    """One row per input row: doc_id, text with surrogates, n_<kind> mentions of each kind."""
+def surrogates(docs: DataFrame, key: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per input row: doc_id, text with surrogates, n_<kind> mentions of each kind. The same key
+    gives the same replacements to the same table."""
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     rows = rows.withColumns({"d": F.coalesce(F.col("doc_id").cast("long"), F.lit(2**63 - 1)), "t": F.xxhash64("text")})
     mentions = materialise(
@@ -356,9 +387,10 @@ def surrogates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         .select("d", "t", "i", "m", "is", "j", "e.kind", "e.value")
         .filter("kind IS NOT NULL")
     )
-    found = replacements(mentions.select("kind", "value").distinct(), key)
+    found = replacements(mentions.groupBy("kind", "value").agg(F.count(F.lit(1)).alias("n")), key)
+    often = max(HOT_LEAST, mentions.count() // partitions(docs.sparkSession))
     rendered = (
-        mentions.join(found.select("kind", "value", "other"), ["kind", "value"])
+        join_hot(mentions, found.select("kind", "value", "n", "other"), ["kind", "value"], "n", often)
         .groupBy("d", "t", "i", "m", "is")
         .agg(F.sort_array(F.collect_set(F.struct("j", "other"))).alias("parts"))
         .select("d", "t", "i", "is", render(F.col("is"), F.col("m"), F.col("parts")).alias("to"))
@@ -374,4 +406,4 @@ def surrogates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def query(spark, sf_dir):
-    return surrogates(table(spark, sf_dir, "documents"))
+    return surrogates(table(spark, sf_dir, "documents"), spark.conf.get(KEY_SETTING, TEST_KEY))
