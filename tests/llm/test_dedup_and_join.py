@@ -65,9 +65,10 @@ def expected_links(rows):
     return {i: (root(i), n) for i, n in out.items()}
 
 
-@pytest.mark.parametrize("leaf,block", [(128, 256), (8, 10)])
-def test_jaccard_join_against_brute_force(spark, monkeypatch, leaf, block):
+@pytest.mark.parametrize("leaf,block,hot", [(128, 256, 64), (8, 10, 1)])
+def test_jaccard_join_against_brute_force(spark, monkeypatch, leaf, block, hot):
     monkeypatch.setattr(op4, "LEAF", leaf)
+    monkeypatch.setattr(op4, "HOT_LEAST", hot)
     monkeypatch.setattr(op4, "BLOCK", block)
     rng = random.Random(2)
     words = [f"w{k}" for k in range(800)]
@@ -82,6 +83,26 @@ def test_jaccard_join_against_brute_force(spark, monkeypatch, leaf, block):
     assert got == expected_links(rows)
 
 
+def test_jaccard_join_of_many_near_copies(spark):
+    """One leaf of near copies, all linked: each has one word of 120 changed."""
+    m = 5000
+    base = [f"w{k}" for k in range(120)]
+    rows = [(i, " ".join([*base[: i % 120], f"x{i}", *base[i % 120 + 1 :]])) for i in range(m)] + [(m, " ".join(reversed(base)))]
+    got = op4.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(8)).groupBy("class_id", "n_links").count().collect()
+    assert sorted(map(tuple, got)) == [(0, m - 1, m), (m, 0, 1)]
+
+
+@pytest.mark.parametrize("hot", [1, 1000])
+def test_components_of_hubs_and_chains(spark, monkeypatch, hot):
+    monkeypatch.setattr(op4, "HOT_LEAST", hot)
+    edges = [(0, i) for i in range(1, 300)] + [(i, i + 1) for i in range(400, 430)] + [(500, 299), (501, 500), (7, 7)]
+    name = lambda i: i.to_bytes(2)
+    df = spark.createDataFrame([(name(a), name(b)) for a, b in edges], "a binary, b binary")
+    got = {int.from_bytes(r.node): int.from_bytes(r.label) for r in op4.components(df).collect()}
+    assert got == {i: 0 for i in [*range(300), 500, 501]} | {i: 400 for i in range(400, 431)}
+    assert op4.components(df.limit(0)).count() == 0
+
+
 def test_runs_reach_the_target():
     assert op4.runs_needed(1) <= op4.runs_needed(2) <= op4.runs_needed(3)
     assert op4.runs_needed(2, 0.9) < op4.runs_needed(2, 0.999)

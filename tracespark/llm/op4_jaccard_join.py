@@ -13,8 +13,10 @@ spanning forest. Pairs that agree on too few coordinates are passed over; all ot
 by whole sets, read again from the texts of the sets concerned. Connected components come from
 alternating large-star and small-star steps.
 
-Equal sets are one class from the start, so copies meet nowhere else; sizes of
-classes and leaves are counted with partial aggregation, and joins on them may be split.
+Equal sets are one class from the start, so copies meet nowhere else. Sizes of classes, components
+and leaves and the degrees of nodes are counted with partial aggregation; what belongs to a hot class,
+component or node joins by broadcast, of which there are fewer than partitions. A leaf of m different near
+copies takes m * m / 2 comparisons, as links are counted, in cells of at most 2 * BLOCK rows and 2 * MASS shingles.
 
 Defined cases: words are runs of `[^\\x20\\x09-\\x0D]`; a text of fewer than five words is one shingle; null and
 wordless texts have the empty set and are copies of each other; rows of equal id and text
@@ -30,15 +32,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batches, materialise, partitions, table
+from .common import batches, join_hot, materialise, partitions, table
 from .textnp import chunks, mixed, prefix_sums, release, spans_hash, words
 
 SHINGLE, THRESHOLD = 5, 0.8
 #: Coordinates of the embedding, and how many must agree for a pair to be verified (a pair
 #: at the threshold falls short with probability 1e-6).
 WIDTH, AGREE = 64, 34
-#: Largest leaf compared at once, deepest path, rows of a block of a larger leaf.
-LEAF, DEPTH, BLOCK = 128, 3, 256
+#: Largest leaf that isn't split, deepest path; most rows and most shingles of a leaf's block.
+LEAF, DEPTH, BLOCK, MASS = 128, 3, 1024, 1 << 21
+#: A class, component or node of less is never hot; sets to a bucket of cells.
+HOT_LEAST, BUCKET = 64, 2000
 #: A child with so much of its parent's sets holds near copies that no split parts; it is a leaf.
 STUCK = 0.8
 TARGET = 1 - 1e-6
@@ -123,15 +127,16 @@ def embed(docs: DataFrame) -> DataFrame:
 
 
 def leaves(sets: DataFrame) -> DataFrame:
-    """(key, sid, there): the leaves of two sets or more that each set reaches."""
+    """(key, sid, there, mass): the leaves of two sets or more that each set reaches, with the number of
+    their sets and of these sets' shingles."""
     chosen = F.explode(F.array(*[F.struct(F.lit(slot).alias("slot"), F.get("z", F.lit(i)).alias("v")) for slot, i in enumerate(roots())]))
-    entries = sets.filter("n > 0").select("sid", chosen.alias("c")).select("sid", F.xxhash64("c.slot", "c.v").alias("key"), F.lit(None).cast("long").alias("above"))
+    entries = sets.filter("n > 0").select("sid", "n", chosen.alias("c")).select("sid", "n", F.xxhash64("c.slot", "c.v").alias("key"), F.lit(None).cast("long").alias("above"))
     found = None
     for depth in range(1, DEPTH + 1):
-        there = entries.groupBy("key").agg(F.count(F.lit(1)).alias("there")).filter("there > 1")
-        met = materialise(entries.join(there, "key").select("key", "sid", "there", "above"))
+        there = entries.groupBy("key").agg(F.count(F.lit(1)).alias("there"), F.sum("n").alias("mass")).filter("there > 1")
+        met = materialise(entries.join(there, "key").select("key", "sid", "n", "there", "mass", "above"))
         splits = (F.col("there") > LEAF) & ~F.coalesce(F.col("there") >= STUCK * F.col("above"), F.lit(False)) if depth < DEPTH else F.lit(False)
-        done = met.filter(~splits).select("key", "sid", "there")
+        done = met.filter(~splits).select("key", "sid", "there", "mass")
         found = done if found is None else found.unionByName(done)
         if met.filter(splits).isEmpty():
             break
@@ -141,8 +146,8 @@ def leaves(sets: DataFrame) -> DataFrame:
         entries = materialise(  # it is counted and joined
             met.filter(splits)
             .join(sets.select("sid", "z"), "sid")
-            .select("sid", "key", "there", F.explode(F.when(more & (i != second), F.array(child(i), child(second))).otherwise(F.array(child(i)))).alias("c"))
-            .select("sid", F.xxhash64("key", "c.i", "c.v").alias("key"), F.col("there").alias("above"))
+            .select("sid", "n", "key", "there", F.explode(F.when(more & (i != second), F.array(child(i), child(second))).otherwise(F.array(child(i)))).alias("c"))
+            .select("sid", "n", F.xxhash64("key", "c.i", "c.v").alias("key"), F.col("there").alias("above"))
         )
     return found
 
@@ -152,11 +157,11 @@ CELL = "key long, x int, y int"
 
 def cells(found: DataFrame, sets: DataFrame, buckets: int) -> DataFrame:
     """A row for each set and cell: its block in the leaf, its leaves, its embedding."""
-    blocks = F.when(F.col("e.there") > LEAF, F.ceil(F.col("e.there") / BLOCK)).otherwise(1).cast("int")
+    blocks = F.greatest(F.ceil(F.col("e.there") / BLOCK), F.ceil(F.col("e.mass") / MASS)).cast("int")
     own = F.pmod(F.xxhash64("sid", "e.key"), F.col("blocks")).cast("int")
     return (
         found.groupBy("sid")
-        .agg(F.collect_list(F.struct("key", "there")).alias("es"))
+        .agg(F.collect_list(F.struct("key", "there", "mass")).alias("es"))
         .join(sets.select("sid", "z"), "sid")
         .select("sid", "z", F.sort_array(F.col("es.key")).alias("keys"), F.explode("es").alias("e"))
         .withColumn("blocks", blocks)
@@ -195,11 +200,8 @@ def judged_here(rows: np.ndarray, own: np.ndarray, x: int, y: int, key: int, key
         values, inverse, counts = np.unique(every, return_inverse=True, return_counts=True)
         shared = counts > 1
         if shared.any():
-            column = np.cumsum(shared) - 1
-            has = np.zeros((n, int(shared.sum())), dtype=np.float32)
-            of = np.repeat(np.arange(n), [len(k) for k in less])
-            has[of[shared[inverse]], column[inverse[shared[inverse]]]] = 1
-            pairs &= (has @ has.T) == 0
+            of = np.repeat(np.arange(n), [len(k) for k in less])[shared[inverse]]
+            pairs &= products(n, of, (np.cumsum(shared) - 1)[inverse[shared[inverse]]]) == 0
     return pairs
 
 
@@ -226,7 +228,7 @@ def candidates(t: pa.Table) -> pa.Table:
 
 
 def set_rows(needed: DataFrame) -> DataFrame:
-    """(text, sid, w, cells) to a row for each cell with the whole set."""
+    """(text, sid, w, keys, cells) to a row for each cell with the whole set."""
 
     def run(batches_in):
         for b in batches_in:
@@ -234,35 +236,38 @@ def set_rows(needed: DataFrame) -> DataFrame:
             n_cells = np.array([len(c) for c in b.column("cells")])
             of = np.repeat(np.arange(len(sets)), n_cells)
             cell = b.column("cells").flatten()
-            for a in range(0, len(of), 2000):
-                part = of[a : a + 2000]
-                fields = [cell.field(c).slice(a, len(part)) for c in ("keys", "own", "key", "x", "y", "bucket")]
-                fields[0] = fields[0].cast(CELLS.field("keys").type)
-                yield pa.RecordBatch.from_arrays([b.column("sid").take(pa.array(part)), b.column("w").take(pa.array(part)), *fields, pa.array([sets[i].tobytes() for i in part], pa.binary())], ["sid", "w", "keys", "own", "key", "x", "y", "bucket", "members"])
+            for a in range(0, len(of), 500):
+                part = of[a : a + 500]
+                fields = [cell.field(c).slice(a, len(part)) for c in ("own", "key", "x", "y", "bucket")]
+                own = [b.column(c).take(pa.array(part)) for c in ("sid", "w", "keys")]
+                yield pa.RecordBatch.from_arrays([*own, *fields, pa.array([sets[i].tobytes() for i in part], pa.binary())], ["sid", "w", "keys", "own", "key", "x", "y", "bucket", "members"])
         release()
 
     return batches(needed, 256).mapInArrow(run, f"sid binary, w long, keys array<long>, own int, {CELL}, bucket int, members binary")
 
 
-def overlaps(sets: list[np.ndarray]) -> np.ndarray:
-    """Sizes of all pairwise intersections, through products of 0/1 matrices."""
-    every = np.concatenate(sets)
-    _, inverse, counts = np.unique(every, return_inverse=True, return_counts=True)
-    of = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
-    shared = counts[inverse] > 1
-    column = (np.cumsum(counts > 1) - 1)[inverse[shared]]
-    of = of[shared]
-    out = np.zeros((len(sets), len(sets)))
+def products(n: int, row: np.ndarray, column: np.ndarray) -> np.ndarray:
+    """Of the n rows of a 0/1 matrix, given where it is 1, all products, some columns at a time."""
+    out = np.zeros((n, n), dtype=np.float32)
     order = np.argsort(column, kind="stable")
-    column, of = column[order], of[order]
-    for a in range(0, int(column[-1]) + 1 if len(column) else 0, 4096):
+    column, row = column[order], row[order]
+    width = int(column[-1]) + 1 if len(column) else 0
+    for a in range(0, width, 4096):
         lo, hi = np.searchsorted(column, [a, a + 4096])
-        m = np.zeros((len(sets), 4096), dtype=np.float32)
-        m[of[lo:hi], column[lo:hi] - a] = 1
+        m = np.zeros((n, min(4096, width - a)), dtype=np.float32)
+        m[row[lo:hi], column[lo:hi] - a] = 1
         out += m @ m.T
     return out
 
 
+def overlaps(sets: list[np.ndarray]) -> np.ndarray:
+    """Sizes of all pairwise intersections (below 2**24, so exact)."""
+    _, inverse, counts = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    of = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    shared = counts[inverse] > 1
+    return products(len(sets), of[shared], (np.cumsum(counts > 1) - 1)[inverse[shared]]).astype(np.float64)
+
+
 FOUND = "sid binary, other binary, links long"
 
 
@@ -303,19 +308,21 @@ def verify(t: pa.Table) -> pa.Table:
 
 def components(edges: DataFrame) -> DataFrame:
     """(a, b) to (node, label): the least node of each connected component, for nodes with edges."""
+    parts = partitions(edges.sparkSession)
     edges = materialise(edges.filter("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
-    before = None
-    while True:
+    n, before = edges.count(), None
+    while n:
+        hot = max(HOT_LEAST, 2 * n // parts)
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
-        large = both.join(least, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a != b").distinct()
-        lower = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(lower, "a")
+        least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"), F.count(F.lit(1)).alias("degree"))
+        large = materialise(join_hot(both, least, ["a"], "degree", hot).filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a != b").distinct())
+        lower = large.groupBy("a").agg(F.min("b").alias("m"), F.count(F.lit(1)).alias("degree"))
+        small = join_hot(large, lower, ["a"], "degree", hot)
         edges = materialise(small.select("a", F.col("m").alias("b")).unionByName(small.select(F.col("b").alias("a"), F.col("m").alias("b"))).filter("a != b").distinct())
         now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).collect()[0]
         if now == before:
             break
-        before = now
+        n, before = now[0], now
     return edges.select(F.col("a").alias("node"), F.col("b").alias("label")).unionByName(edges.select(F.col("b").alias("node"), F.col("b").alias("label")).distinct())
 
 
@@ -323,34 +330,37 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """One row per input row: d (the id, NOBODY for null), t (a hash of the text), class_id (least id
     of the documents it is linked to, directly or not), class_t (that document's t), copy_id (least id
     of those with the same shingles), n_links (other texts at the threshold or above)."""
-    buckets = 4 * partitions(docs.sparkSession)
+    parts = partitions(docs.sparkSession)
     texts = keyed(docs, id_col, text_col)
     rows = materialise(embed(texts))
-    once = rows.groupBy("sid", "t").agg(F.min("d").alias("d"), F.first("n").alias("n"), F.first("z").alias("z"))
-    sets = materialise(once.groupBy("sid").agg(F.min(F.struct("d", "t")).alias("rep"), F.count(F.lit(1)).alias("w"), F.first("n").alias("n"), F.first("z").alias("z")))
+    once = rows.groupBy("sid", "t").agg(F.min("d").alias("d"), F.count(F.lit(1)).alias("n_rows"), F.first("n").alias("n"), F.first("z").alias("z"))
+    sets = materialise(once.groupBy("sid").agg(F.min(F.struct("d", "t")).alias("rep"), F.count(F.lit(1)).alias("w"), F.sum("n_rows").alias("n_rows"), F.first("n").alias("n"), F.first("z").alias("z")))
 
+    n_sets = sets.count()
+    buckets = max(4 * parts, n_sets // BUCKET)
     met = cells(leaves(sets), sets, buckets)
     wanted = materialise(met.groupBy("bucket").applyInArrow(candidates, f"sid binary, keys array<long>, own int, {CELL}"))
     per_set = (
         wanted.withColumn("bucket", F.pmod(F.xxhash64("key", "x", "y"), F.lit(buckets)).cast("int"))
         .groupBy("sid")
-        .agg(F.collect_list(F.struct("keys", "own", "key", "x", "y", "bucket")).alias("cells"))
+        .agg(F.first("keys").alias("keys"), F.collect_list(F.struct("own", "key", "x", "y", "bucket")).alias("cells"))
         .join(sets.select("sid", "w", F.col("rep.d").alias("d"), F.col("rep.t").alias("t")), "sid")
     )
-    needed = texts.join(per_set, ["d", "t"]).dropDuplicates(["sid"]).select("text", "sid", "w", "cells")
+    needed = texts.join(per_set, ["d", "t"]).dropDuplicates(["sid"]).select("text", "sid", "w", "keys", "cells")
     found = materialise(set_rows(needed).groupBy("bucket").applyInArrow(verify, FOUND))
 
     links = found.groupBy("sid").agg(F.sum("links").alias("links"))
     label = components(found.select(F.col("sid").alias("a"), F.col("other").alias("b")))
-    of_set = (
-        sets.select("sid", "rep", "w")
+    of_set = materialise(
+        sets.select("sid", "rep", "w", "n_rows")
         .join(links, "sid", "left")
         .join(label.withColumnRenamed("node", "sid"), "sid", "left")
-        .select("sid", "rep", F.coalesce("label", "sid").alias("label"), (F.coalesce("links", F.lit(0)) + F.col("w") - 1).alias("n_links"))
+        .select("sid", "rep", "n_rows", F.coalesce("label", "sid").alias("label"), (F.coalesce("links", F.lit(0)) + F.col("w") - 1).alias("n_links"))
     )
-    lead = of_set.groupBy("label").agg(F.min("rep").alias("lead"))
-    of_set = of_set.join(lead, "label").select("sid", "rep", "lead", "n_links")
-    return rows.select("d", "t", "sid").join(of_set, "sid").select("d", "t", F.col("lead.d").alias("class_id"), F.col("lead.t").alias("class_t"), F.col("rep.d").alias("copy_id"), "n_links")
+    lead = of_set.groupBy("label").agg(F.min("rep").alias("lead"), F.count(F.lit(1)).alias("n_sets"))
+    of_set = join_hot(of_set, lead, ["label"], "n_sets", max(HOT_LEAST, n_sets // parts)).select("sid", "rep", "n_rows", "lead", "n_links")
+    found = join_hot(rows.select("d", "t", "sid"), of_set, ["sid"], "n_rows", max(HOT_LEAST, rows.count() // parts))
+    return found.select("d", "t", F.col("lead.d").alias("class_id"), F.col("lead.t").alias("class_t"), F.col("rep.d").alias("copy_id"), "n_links")
 
 
 def keyed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *more) -> DataFrame:
