@@ -126,15 +126,16 @@ def embed(docs: DataFrame) -> DataFrame:
     return batches(docs).mapInArrow(run, "d long, t long, sid binary, n int, z array<int>")
 
 
-def leaves(sets: DataFrame) -> DataFrame:
+def leaves(sets: DataFrame, n_sets: int) -> DataFrame:
     """(key, sid, there, mass): the leaves of two sets or more that each set reaches, with the number of
     their sets and of these sets' shingles."""
     chosen = F.explode(F.array(*[F.struct(F.lit(slot).alias("slot"), F.get("z", F.lit(i)).alias("v")) for slot, i in enumerate(roots())]))
     entries = sets.filter("n > 0").select("sid", "n", chosen.alias("c")).select("sid", "n", F.xxhash64("c.slot", "c.v").alias("key"), F.lit(None).cast("long").alias("above"))
-    found = None
+    found, n_entries, parts = None, n_sets * len(roots()), partitions(sets.sparkSession)
     for depth in range(1, DEPTH + 1):
         there = entries.groupBy("key").agg(F.count(F.lit(1)).alias("there"), F.sum("n").alias("mass")).filter("there > 1")
-        met = materialise(entries.join(there, "key").select("key", "sid", "n", "there", "mass", "above"))
+        there = there.withColumn("rows", F.col("there"))
+        met = materialise(join_hot(entries, there, ["key"], "rows", max(HOT_LEAST, n_entries // parts)).select("key", "sid", "n", "there", "mass", "above"))
         splits = (F.col("there") > LEAF) & ~F.coalesce(F.col("there") >= STUCK * F.col("above"), F.lit(False)) if depth < DEPTH else F.lit(False)
         done = met.filter(~splits).select("key", "sid", "there", "mass")
         found = done if found is None else found.unionByName(done)
@@ -149,6 +150,7 @@ def leaves(sets: DataFrame) -> DataFrame:
             .select("sid", "n", "key", "there", F.explode(F.when(more & (i != second), F.array(child(i), child(second))).otherwise(F.array(child(i)))).alias("c"))
             .select("sid", "n", F.xxhash64("key", "c.i", "c.v").alias("key"), F.col("there").alias("above"))
         )
+        n_entries = entries.count()
     return found
 
 
@@ -338,7 +340,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     n_sets = sets.count()
     buckets = max(4 * parts, n_sets // BUCKET)
-    met = cells(leaves(sets), sets, buckets)
+    met = cells(leaves(sets, n_sets), sets, buckets)
     wanted = materialise(met.groupBy("bucket").applyInArrow(candidates, f"sid binary, keys array<long>, own int, {CELL}"))
     per_set = (
         wanted.withColumn("bucket", F.pmod(F.xxhash64("key", "x", "y"), F.lit(buckets)).cast("int"))
