@@ -135,10 +135,12 @@ def expected_spans(rows):
     return out
 
 
-@pytest.mark.parametrize("hot", [(8, 64), (1, 2), (10**6, 10**6)])
-def test_repeated_strings_against_brute_force(spark, monkeypatch, hot):
-    monkeypatch.setattr(op6, "HOT_CHUNK", hot[0])
-    monkeypatch.setattr(op6, "HOT_GROUP", hot[1])
+@pytest.mark.parametrize("hot,gather,bucket", [(65536, 200_000, 1 << 24), (1, 200_000, 1 << 24), (30, 300, 2000), (1, 1, 2000)])
+def test_repeated_strings_against_brute_force(spark, monkeypatch, hot, gather, bucket):
+    """All marks come from the construction, whatever of it runs in the first task."""
+    monkeypatch.setattr(op6, "HOT", hot)
+    monkeypatch.setattr(op6, "GATHER", gather)
+    monkeypatch.setattr(op6, "BUCKET", bucket)
     rng = random.Random(3)
     base = "".join(rng.choice("abcdefgh ijk") for _ in range(3000))
     rows = []
@@ -170,19 +172,24 @@ def test_column_construction_matches_direct_comparison():
     import numpy as np
 
     rng = np.random.default_rng(0)
-    t = {"h": rng.integers(0, 3, 40).astype(np.uint64), "doc": np.arange(40), "k": np.zeros(40, np.uint16), "q": np.full(40, 80, np.int32), "lo": np.full(40, 70, np.uint8), "hi": np.zeros(40, np.uint8), "left": np.full(40, op6.GRAMS - 1), "right": np.full(40, op6.LENGTH), "bytes": rng.integers(0, 2, (40, op6.COLUMNS)).astype(np.uint8)}
-    for i in range(10, 40):
-        cut = rng.integers(0, 30)
-        t["bytes"][i, cut : cut + 120], t["h"][i] = t["bytes"][i % 10, cut : cut + 120], t["h"][i % 10]
-    got = {(int(d), int(s)) for d, s in zip(*(op6.columns(t)[c] for c in ("doc", "start")), strict=True)}
-    want, seen = set(), set()
-    for i in range(40):
-        for j in range(op6.GRAMS - 1 - 70, op6.GRAMS):
-            s = (int(t["h"][i]), j, t["bytes"][i, j : j + 100].tobytes())
-            if s in seen:
-                want.add((i, 80 - (op6.GRAMS - 1) + j))
-            seen.add(s)
-    assert got == want and want
+    for m, alike in ((40, 10), (400, 7), (60, 60)):
+        lo, hi = rng.integers(30, 77, m).astype(np.uint8), rng.integers(0, 30, m).astype(np.uint8)
+        t = {"h": rng.integers(0, 3, m).astype(np.uint64), "doc": rng.integers(0, m, m), "k": np.zeros(m, np.uint16), "q": np.full(m, 80, np.int32), "lo": lo, "hi": hi, "bytes": rng.integers(0, 2, (m, op6.COLUMNS)).astype(np.uint8)}
+        for i in range(alike, m):
+            cut, like = rng.integers(0, 30), i % alike
+            t["bytes"][i, cut : cut + 140], t["h"][i] = t["bytes"][like, cut : cut + 140], t["h"][like]
+            t["lo"][i], t["hi"][i] = t["lo"][like], t["hi"][like]
+        j = np.arange(op6.COLUMNS)
+        t["bytes"][(j < 76 - t["lo"].astype(int)[:, None]) | (j >= op6.COLUMNS - t["hi"].astype(int)[:, None])] = 0
+        done, first = op6.columns(t), {}
+        keys = {(i, j): (int(t["h"][i]), j, t["bytes"][i, j : j + 100].tobytes()) for i in range(m) for j in range(76 - t["lo"][i], 77 - t["hi"][i])}
+        for (i, _), s in keys.items():
+            first[s] = min(first.get(s, m), int(t["doc"][i]))
+        want = {(i, j) for (i, j), s in keys.items() if first[s] < t["doc"][i]}
+        assert set(zip(*map(np.ndarray.tolist, np.nonzero(done)), strict=True)) == want
+        assert want or alike == m
+        spans = op6.marks(t, done)
+        assert {(int(d), p) for d, a, b in zip(spans["doc"], spans["start"], spans["end"], strict=True) for p in range(a, b - 99)} == {(int(t["doc"][i]), 4 + j) for i, j in want}
 
 
 def test_components(spark):

@@ -4,24 +4,24 @@ The construction inserts one symbol of every document a round, from the last col
 and keeps two arrays up to date: the order of all suffixes that begin at the current column (the
 permutation of a collection's Burrows-Wheeler transform, restricted to one column) and the common
 prefix of neighbours in that order. Neighbours with a common prefix of LENGTH or more start
-equal strings; all but the earliest of such a run are marked.
+equal strings; all but the earliest of such a run are marked. Nothing else marks anything.
 
 Inserting every byte of whole documents would take a round for each byte of the longest text and
 time that grows with its square. So documents are cut into short aligned strings first:
 
 1. In every string of LENGTH bytes one GRAM of least hash is the anchor (leftmost of equals). Equal
-   strings have equal anchors at equal offsets, so only strings around equal anchors can match.
-2. Anchors meet by hash. An anchor whose whole surroundings (every string that it can anchor) equal
-   those of an earlier one is marked at once; equal surroundings are combined before the
-   shuffle, so thousands of copies send one row each task.
-3. Anchors met with different surroundings are cut out of the texts with these surroundings and go
-   through the column-wise construction, aligned at the anchor, in groups of bounded size.
-4. An anchor with many different surroundings (a line that a third of all documents share)
-   is *hot*: its strings are keyed one by one by their own hash, combined before the shuffle and
-   dealt out evenly, so that no task needs the group.
-
-Steps pass packed arrays as rows. What the buckets find is checkpointed in the shared folder, texts
-are shuffled once by document. Equality rests on two 64-bit hashes of different content.
+   strings have equal anchors at equal offsets, so only strings around equal anchors can match. An
+   anchor's surroundings are the bytes of all strings that it stands for.
+2. A task runs the construction over the anchors that it meets more than once in GATHER of them.
+   Surroundings without an earliest string are done; thousands of copies end here.
+3. Of the others the hashes meet; those of anchors that several tasks have are cut out of the texts with
+   their surroundings and go through the construction again, aligned at the anchor.
+4. An anchor that may have over HOT different surroundings (a line that a third of all documents share)
+   is *hot*: each of its strings becomes surroundings of its own, aligned at its own hash, so
+   that no task needs the group.
+
+Steps pass packed arrays as rows, in buckets of about BUCKET bytes of text whatever the input's size; a task
+holds one bucket. What the buckets find is checkpointed in the shared folder, texts are shuffled once by document.
 
 Defined cases: null texts are empty and have no span; texts under LENGTH bytes are kept whole; ids order
 the documents, null last; rows of equal id are one document and don't remove each
@@ -34,32 +34,32 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import batches, materialise, partitions, table
-from .textnp import chunks, mixed, prefix_sums, release, spans_hash
+from .textnp import chunks, prefix_sums, release, spans_hash
 
 #: Bytes of a repeated string, of the anchor's gram, grams to a string.
 LENGTH, GRAM = 100, 24
 GRAMS = LENGTH - GRAM + 1
 #: Columns of the surroundings: GRAMS-1 bytes before the anchor, LENGTH from it on.
 COLUMNS = GRAMS - 1 + LENGTH
-#: Different surroundings of an anchor in one chunk, and in all, above which it is hot.
-HOT_CHUNK, HOT_GROUP = 8, 64
-#: Entries of a packed row, entries that a task gathers before it sends them.
-ENTRIES, GATHER = 4000, 500_000
+#: Most different surroundings of an anchor that a task should hold.
+HOT = 65536
+#: Bytes of text to a bucket, entries of a packed row, anchors that a task gathers.
+BUCKET, ENTRIES, GATHER = 16 << 20, 4000, 200_000
 #: Bytes of text whose anchors are looked for together.
 TEXT = 1 << 20
 PRIME = 2**31 - 1
-ANCHOR, NOTICE, MARK, PROBE, WINDOW, CONTEXT = range(6)
+ANCHOR, NOTICE, MARK, PROBE, CONTEXT = range(5)
 FIELDS = {
-    ANCHOR: {"h": "u8", "c": "u8", "doc": "i8", "k": "u2", "q": "i4", "lo": "u1", "hi": "u1"},
+    ANCHOR: {"h": "u8", "doc": "i8", "k": "u2", "q": "i4", "lo": "u1", "hi": "u1"},
     NOTICE: {"h": "u8"},
     MARK: {"doc": "i8", "k": "u2", "start": "i4", "end": "i4"},
-    PROBE: {"h": "u8", "doc": "i8", "k": "u2", "q": "i4", "lo": "u1", "hi": "u1", "hot": "u1"},
-    WINDOW: {"h": "u8", "w": "u8", "doc": "i8", "k": "u2", "p": "i4"},
-    CONTEXT: {"h": "u8", "doc": "i8", "k": "u2", "q": "i4", "lo": "u1", "hi": "u1", "left": "u1", "right": "u1", "bytes": f"({COLUMNS},)u1"},
+    PROBE: {"doc": "i8", "k": "u2", "q": "i4", "lo": "u1", "hi": "u1", "hot": "u1"},
+    CONTEXT: {"h": "u8", "doc": "i8", "k": "u2", "q": "i4", "lo": "u1", "hi": "u1", "bytes": f"({COLUMNS},)u1"},
 }
 PACKED = "bucket int, kind int, data binary"
 Table = dict[str, np.ndarray]
@@ -129,33 +129,6 @@ def runs_of(*keys: np.ndarray) -> np.ndarray:
     return np.cumsum(new)
 
 
-def combine(t: Table, keys: tuple[str, ...], place: str) -> tuple[Table, Table]:
-    """The earliest entry of each key, and the entries that come strictly later."""
-    h = t[keys[0]]
-    order = np.argsort(h, kind="stable")
-    same = h[order][1:] == h[order][:-1]
-    multiple = np.zeros(len(h), dtype=bool)
-    multiple[:-1] |= same
-    multiple[1:] |= same
-    some = order[multiple]
-    if not len(some):
-        return t, take(t, some)
-    some = some[np.lexsort((t[place][some], t["doc"][some], *(t[k][some] for k in reversed(keys))))]
-    run = runs_of(*(t[k][some] for k in keys))
-    first = np.concatenate([[0], np.flatnonzero(np.diff(run)) + 1])
-    lead = some[first][run]
-    later = some[(t["doc"][some] != t["doc"][lead]) | (t[place][some] != t[place][lead])]
-    keep = np.ones(len(h), dtype=bool)
-    keep[some] = False
-    keep[some[first]] = True
-    return take(t, keep), take(t, later)
-
-
-def marks(t: Table) -> Table:
-    """All bytes of the strings that these anchors stand for."""
-    return {"doc": t["doc"], "k": t["k"], "start": t["q"] - t["lo"].astype(np.int32), "end": t["q"] - t["hi"].astype(np.int32) + LENGTH}
-
-
 def merged(t: Table) -> Table:
     """The same bytes in maximal runs."""
     if not size(t):
@@ -191,24 +164,41 @@ def anchors(data: np.ndarray, at: np.ndarray, sums: np.ndarray, doc: np.ndarray,
     first = np.concatenate([[0], np.flatnonzero(np.diff(where)) + 1])
     last = np.concatenate([first[1:], [len(p)]]) - 1
     q, text = where[first], at_text[p[first]]
-    a, b = np.maximum(q - GRAMS + 1, at[text]), np.minimum(q + LENGTH, at[text + 1])
-    around = spans_hash(sums, a, b) + mixed(((q - a) * 256 + (b - q)).astype(np.uint64))
-    found = {"h": grams[q], "c": around, "doc": doc[text], "k": k[text], "q": (q - at[text]).astype(np.int32), "lo": (q - p[first]).astype(np.uint8), "hi": (q - p[last]).astype(np.uint8)}
+    found = {"h": grams[q], "doc": doc[text], "k": k[text], "q": (q - at[text]).astype(np.int32), "lo": (q - p[first]).astype(np.uint8), "hi": (q - p[last]).astype(np.uint8)}
     return found, text
 
 
-def strings_of(t: Table, base: np.ndarray, sums: np.ndarray) -> Table:
-    """Every string that these anchors stand for, by its hash. base: where each one's text starts."""
-    lo, hi = t["lo"].astype(np.int64), t["hi"].astype(np.int64)
-    n = lo - hi + 1
-    of = np.repeat(np.arange(len(n)), n)
-    p = np.repeat(t["q"] - lo, n) + np.arange(len(of)) - np.repeat(np.cumsum(n) - n, n)
-    start = base[of] + p
-    return {"h": t["h"][of], "w": spans_hash(sums, start, start + LENGTH), "doc": t["doc"][of], "k": t["k"][of], "p": p.astype(np.int32)}
+def surroundings(padded: np.ndarray, q: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+    """The bytes of all strings that anchors at q stand for, each at its place among COLUMNS, else zero.
+    padded: the text between GRAMS - 1 and LENGTH other bytes."""
+    j = np.arange(COLUMNS)
+    around = np.lib.stride_tricks.sliding_window_view(padded, COLUMNS)[q]
+    around[(j < GRAMS - 1 - lo.astype(np.int64)[:, None]) | (j >= COLUMNS - hi.astype(np.int64)[:, None])] = 0
+    return around
+
 
+def padded_text(data: np.ndarray) -> np.ndarray:
+    return np.concatenate([np.zeros(GRAMS - 1, np.uint8), data, np.zeros(LENGTH, np.uint8)])
 
-def string_marks(t: Table) -> Table:
-    return {"doc": t["doc"], "k": t["k"], "start": t["p"], "end": t["p"] + LENGTH}
+
+def strings_of(t: Table, done: np.ndarray | None = None) -> Table:
+    """Each string that these anchors stand for, but for those that are done, as surroundings of its own."""
+    parts = []
+    for a in range(0, size(t), 1000):
+        c = take(t, slice(a, a + 1000))
+        j = np.arange(GRAMS)
+        own = (j >= GRAMS - 1 - c["lo"].astype(np.int64)[:, None]) & (j < GRAMS - c["hi"].astype(np.int64)[:, None])
+        if done is not None:
+            own &= ~done[a : a + 1000]
+        row, j = np.nonzero(own)
+        flat = np.ascontiguousarray(c["bytes"]).ravel()
+        start = row * COLUMNS + j
+        around = np.zeros((len(row), COLUMNS), np.uint8)
+        around[:, GRAMS - 1 :] = np.lib.stride_tricks.sliding_window_view(flat, LENGTH)[start]
+        none = np.zeros(len(row), np.uint8)
+        p = c["q"][row] - (GRAMS - 1) + j.astype(np.int32)
+        parts.append({"h": spans_hash(prefix_sums(flat), start, start + LENGTH), "doc": c["doc"][row], "k": c["k"][row], "q": p, "lo": none, "hi": none, "bytes": around})
+    return {f: np.concatenate([x[f] for x in parts]) for f in FIELDS[CONTEXT]} if parts else unpack(CONTEXT, [])
 
 
 def sizes_of(h: np.ndarray) -> np.ndarray:
@@ -217,48 +207,48 @@ def sizes_of(h: np.ndarray) -> np.ndarray:
     return counts[inverse]
 
 
-def scan(n_buckets: int):
-    """Texts to packed anchors, marks that are certain within a task, and strings of hot anchors."""
+def anchor_bucket(h: np.ndarray, n: int) -> np.ndarray:
+    return (h >> np.uint64(33)).astype(np.int64) % n
 
-    def flush(gathered: list[Table]) -> Iterator[pa.RecordBatch]:
-        t = {f: np.concatenate([g[f] for g in gathered]) for f in FIELDS[ANCHOR]}
-        t, later = combine(t, ("h", "c"), "q")
-        yield from send(ANCHOR, t, (t["h"] >> np.uint64(33)).astype(np.int64) % n_buckets)
-        yield from mark(marks(later))
 
-    def mark(t: Table) -> Iterator[pa.RecordBatch]:
-        t = merged(t)
-        yield from send(MARK, t, document_bucket(t["doc"], n_buckets))
+def scan(n_buckets: int, hot_here: int):
+    """Texts to marks, and the anchors of what no task-wide construction marks. hot_here: most
+    different surroundings of an anchor in a gathering that isn't hot."""
+
+    def flush(gathered: list[Table]) -> Iterator[pa.RecordBatch]:
+        t = {f: np.concatenate([g[f] for g in gathered]) for f in FIELDS[CONTEXT]}
+        gathered.clear()
+        again = sizes_of(t["h"]) > 1
+        met, t = take(t, again), take(t, ~again)
+        done = columns(met)
+        told = merged(marks(met, done))
+        yield from send(MARK, told, document_bucket(told["doc"], n_buckets))
+        left = own_strings(met) > done.sum(axis=1)
+        met, done = take(met, left), done[left]
+        hot = sizes_of(met["h"]) > hot_here
+        strings = strings_of(take(met, hot), done[hot])
+        yield from send(CONTEXT, strings, anchor_bucket(strings["h"], n_buckets))
+        noticed = {"h": np.unique(met["h"][hot])}
+        yield from send(NOTICE, noticed, anchor_bucket(noticed["h"], n_buckets))
+        for rest, of in ((met, ~hot), (t, slice(None))):
+            rest = take({f: rest[f] for f in FIELDS[ANCHOR]}, of)
+            yield from send(ANCHOR, rest, anchor_bucket(rest["h"], n_buckets))
 
     def run(batches_in):
         gathered, n = [], 0
         for batch in batches_in:
             doc, k = batch.column("doc").to_numpy(), batch.column("k").to_numpy().astype(np.uint16)
             for i, j, data, at in chunks(batch.column("text"), TEXT):
-                sums = prefix_sums(data)
-                t, text = anchors(data, at, sums, doc[i:j], k[i:j])
-                if not size(t):
-                    continue
-                t["text"] = text
-                t, later = combine(t, ("h", "c"), "q")
-                yield from mark(marks(later))
-                hot = sizes_of(t["h"]) > HOT_CHUNK
-                if hot.any():
-                    strings, again = combine(strings_of(take(t, hot), at[t["text"][hot]], sums), ("w", "h"), "p")
-                    yield from mark(string_marks(again))
-                    yield from send(WINDOW, strings, (strings["w"] >> np.uint64(33)).astype(np.int64) % n_buckets)
-                    noticed = {"h": np.unique(t["h"][hot])}
-                    yield from send(NOTICE, noticed, (noticed["h"] >> np.uint64(33)).astype(np.int64) % n_buckets)
-                    t = take(t, ~hot)
-                t.pop("text")
-                gathered.append(t)
-                n += size(t)
+                t, text = anchors(data, at, prefix_sums(data), doc[i:j], k[i:j])
+                if size(t):
+                    t["bytes"] = surroundings(padded_text(data), at[text] + t["q"], t["lo"], t["hi"])
+                    gathered.append(t)
+                    n += size(t)
                 if n > GATHER:
                     yield from flush(gathered)
-                    gathered, n = [], 0
+                    n = 0
         if gathered:
             yield from flush(gathered)
-        del gathered
         release()
 
     return run
@@ -277,18 +267,17 @@ def as_table(made: list[pa.RecordBatch]) -> pa.Table:
 
 
 def resolve(n_buckets: int):
-    """A bucket of anchors to marks and to probes of those that need their surroundings."""
+    """A bucket of anchors to probes of those that others have too; the rest passes."""
 
     def run(packed: pa.Table) -> pa.Table:
         got = kinds(packed)
-        t, later = combine(unpack(ANCHOR, got[ANCHOR]), ("h", "c"), "q")
-        told = merged({f: np.concatenate([a, b]) for (f, a), b in zip(unpack(MARK, got[MARK]).items(), marks(later).values(), strict=True)})
-        there = sizes_of(t["h"])
-        noticed = np.isin(t["h"], unpack(NOTICE, got[NOTICE])["h"])
+        t = unpack(ANCHOR, got[ANCHOR])
+        there, noticed = sizes_of(t["h"]), np.isin(t["h"], unpack(NOTICE, got[NOTICE])["h"])
+        t["hot"] = ((there > HOT) | noticed).astype(np.uint8)
         probes = take(t, (there > 1) | noticed)
-        probes["hot"] = ((there > HOT_GROUP) | noticed)[(there > 1) | noticed].astype(np.uint8)
-        windows = unpack(WINDOW, got[WINDOW])
-        return as_table([*send(MARK, told, document_bucket(told["doc"], n_buckets)), *send(PROBE, probes, document_bucket(probes["doc"], n_buckets)), *send(WINDOW, windows, (windows["w"] >> np.uint64(33)).astype(np.int64) % n_buckets)])
+        kind = packed.column("kind")
+        rest = packed.filter(pc.or_(pc.equal(kind, MARK), pc.equal(kind, CONTEXT)))
+        return pa.concat_tables([rest, as_table(list(send(PROBE, probes, document_bucket(probes["doc"], n_buckets))))])
 
     return run
 
@@ -309,7 +298,7 @@ def rows_of(t: Table, doc: np.ndarray, k: np.ndarray) -> Iterator[tuple[int, int
 
 
 def cut_out(n_buckets: int):
-    """Texts and their probes to surroundings, and to strings of hot anchors."""
+    """Texts and their probes to surroundings."""
 
     def run(texts: pa.Table, packed: pa.Table) -> pa.Table:
         t = unpack(PROBE, kinds(packed)[PROBE])
@@ -317,81 +306,100 @@ def cut_out(n_buckets: int):
             return as_table([])
         t = take(t, np.lexsort((t["q"], t["k"], t["doc"])))
         doc, k, column = texts_by_key(texts)
-        made, contexts, strings, seen = [], [], [], set()
+        cut, seen = [], set()
         for i, a, b in rows_of(t, doc, k):
             if a == b or (doc[i], k[i]) in seen:
                 continue
             seen.add((doc[i], k[i]))
             _, _, data, _ = next(chunks(column.slice(i, 1)))
             own = take(t, slice(a, b))
-            hot = own["hot"] == 1
-            if hot.any():
-                strings.append(strings_of(take(own, hot), np.zeros(int(hot.sum()), np.int64), prefix_sums(data)))
-            own = take(own, ~hot)
-            if size(own):
-                padded = np.concatenate([np.zeros(GRAMS - 1, np.uint8), data, np.zeros(LENGTH, np.uint8)])
-                around = padded[own["q"][:, None] + np.arange(COLUMNS)]
-                left, right = np.minimum(own["q"], GRAMS - 1), np.minimum(len(data) - own["q"], LENGTH)
-                contexts.append({**{f: own[f] for f in ("h", "doc", "k", "q", "lo", "hi")}, "left": left, "right": right, "bytes": around})
-        if strings:
-            all_, later = combine({f: np.concatenate([x[f] for x in strings]) for f in FIELDS[WINDOW]}, ("w", "h"), "p")
-            made += send(WINDOW, all_, (all_["w"] >> np.uint64(33)).astype(np.int64) % n_buckets)
-            told = merged(string_marks(later))
-            made += send(MARK, told, document_bucket(told["doc"], n_buckets))
-        if contexts:
-            all_ = {f: np.concatenate([c[f] for c in contexts]) for f in FIELDS[CONTEXT]}
-            made += send(CONTEXT, all_, (all_["h"] >> np.uint64(33)).astype(np.int64) % n_buckets)
-        return as_table(made)
+            own["bytes"] = surroundings(padded_text(data), own["q"], own["lo"], own["hi"])
+            cut.append(own)
+        t = {f: np.concatenate([c[f] for c in cut]) for f in ("doc", "k", "q", "lo", "hi", "hot", "bytes")}
+        del cut
+        grams = np.ascontiguousarray(t["bytes"][:, GRAMS - 1 : GRAMS - 1 + GRAM]).ravel()
+        starts = np.arange(size(t)) * GRAM
+        t["h"] = spans_hash(prefix_sums(grams), starts, starts + GRAM)
+        hot = t["hot"] == 1
+        strings, t = strings_of(take(t, hot)), take(t, ~hot)
+        return as_table([*send(CONTEXT, strings, anchor_bucket(strings["h"], n_buckets)), *send(CONTEXT, t, anchor_bucket(t["h"], n_buckets))])
 
     return run
 
 
-def columns(t: Table) -> Table:
-    """The column-wise construction over surroundings aligned at their anchors; the marks of all
-    strings that also start earlier."""
+def own_strings(t: Table) -> np.ndarray:
+    return t["lo"].astype(np.int64) - t["hi"] + 1
+
+
+def columns(t: Table) -> np.ndarray:
+    """The column-wise construction over surroundings aligned at their anchors: for each of them and
+    each column, whether the string that starts there also starts earlier."""
     m = size(t)
+    done = np.zeros((m, GRAMS), dtype=bool)
+    if not m:
+        return done
+    place = np.empty(m, np.int64)  # by document and position; equal for the same place
+    order = np.lexsort((t["q"], t["doc"]))
+    place[order] = runs_of(t["doc"][order], t["q"][order])
     rank = np.argsort(t["h"], kind="stable")  # rows in the order of their suffixes
-    group = runs_of(t["h"][rank])
-    group_of = np.empty(m, np.int64)
-    group_of[rank] = group
+    group = runs_of(t["h"][rank]) << 9
     common = np.zeros(m, np.int32)  # with the row before in that order
     common[0] = -1
     common[1:][group[1:] != group[:-1]] = -1
-    found = []
+    symbols = np.ascontiguousarray(t["bytes"].T)
+    first, end = GRAMS - 1 - t["lo"].astype(np.int64), COLUMNS - t["hi"].astype(np.int64)
     for j in range(COLUMNS - 1, -1, -1):
-        there = (j >= GRAMS - 1 - t["left"].astype(np.int64)) & (j < GRAMS - 1 + t["right"].astype(np.int64))
-        symbol = np.where(there, t["bytes"][:, j].astype(np.int64) + 1, 0)
-        key = np.sort(((group_of[rank] << 9 | symbol[rank]) << 31) | np.arange(m))
+        symbol = np.where((j >= first) & (j < end), symbols[j].astype(np.int64) + 1, 0)
+        key = np.sort(((group | symbol[rank]) << 31) | np.arange(len(rank)))
         old, key = key & ((1 << 31) - 1), key >> 31
-        same = np.zeros(m, dtype=bool)
+        same = np.zeros(len(rank), dtype=bool)
         same[1:] = (key[1:] == key[:-1]) & ((key[1:] & 511) != 0)
-        fresh = np.zeros(m, np.int32)
+        fresh = np.zeros(len(rank), np.int32)
         at = np.flatnonzero(same)
         if len(at):
-            fresh[at] = 1 + range_minimum(common, old[at - 1] + 1, old[at])
-        edge = np.ones(m, dtype=bool)
-        edge[1:] = (key[1:] >> 9) != (key[:-1] >> 9)
+            low, high = old[at - 1] + 1, old[at]
+            fresh[at] = 1 + common[high]
+            if len(apart := np.flatnonzero(low < high)):
+                fresh[at[apart]] = 1 + range_minimum(common, low[apart], high[apart])
+        group = key & ~511
+        edge = np.ones(len(rank), dtype=bool)
+        edge[1:] = group[1:] != group[:-1]
         fresh[edge] = -1
         rank, common = rank[old], fresh
-        if j < GRAMS and (common >= LENGTH).any():
-            found.append(repeats(t, rank, common, j))
-    return {f: np.concatenate([x[f] for x in found]) if found else unpack(MARK, [])[f] for f in FIELDS[MARK]}
-
-
-def repeats(t: Table, rank: np.ndarray, common: np.ndarray, j: int) -> Table:
-    """Marks of the strings at column j that equal an earlier one."""
-    run = np.cumsum(common < LENGTH)
-    p = t["q"] - (GRAMS - 1) + j
-    own = (p >= t["q"] - t["lo"].astype(np.int32)) & (p <= t["q"] - t["hi"].astype(np.int32))
-    rows, run = rank[own[rank]], run[own[rank]]
-    order = np.lexsort((p[rows], t["doc"][rows], run))
-    rows, run = rows[order], run[order]
-    if not len(rows):
-        return unpack(MARK, [])
-    first = np.concatenate([[0], np.flatnonzero(np.diff(run)) + 1])
-    lead = np.repeat(rows[first], np.diff(np.concatenate([first, [len(rows)]])))
-    rows = rows[(t["doc"][rows] != t["doc"][lead]) | (p[rows] != p[lead])]
-    return {"doc": t["doc"][rows], "k": t["k"][rows], "start": p[rows], "end": p[rows] + LENGTH}
+        if j < GRAMS:
+            repeats(done, place, rank, common, j)
+            reach = common + j >= LENGTH  # what can still grow to LENGTH, with the row before or behind
+            reach[:-1] |= reach[1:]
+            if 2 * np.count_nonzero(reach) < len(rank):
+                dropped = np.cumsum(~reach)
+                rank, group, common, dropped = rank[reach], group[reach], common[reach], dropped[reach]
+                if not len(rank):
+                    break
+                common[0] = -1
+                common[1:][dropped[1:] != dropped[:-1]] = 0  # no more than it is, and too little to count
+                common[1:][group[1:] != group[:-1]] = -1
+    return done
+
+
+def repeats(done: np.ndarray, place: np.ndarray, rank: np.ndarray, common: np.ndarray, j: int) -> None:
+    """Mark the strings at column j that equal an earlier one."""
+    joined = common >= LENGTH
+    within = joined.copy()
+    within[:-1] |= joined[1:]
+    at = np.flatnonzero(within)
+    if len(at):
+        rows, starts = rank[at], np.flatnonzero(~joined[at])
+        least = np.repeat(np.minimum.reduceat(place[rows], starts), np.diff(np.append(starts, len(rows))))
+        done[rows[place[rows] > least], j] = True
+
+
+def marks(t: Table, done: np.ndarray) -> Table:
+    """The bytes of the strings that are done, a mark for each run of columns."""
+    edges = np.diff(np.pad(done, ((0, 0), (1, 1))).astype(np.int8), axis=1)
+    row, start = np.nonzero(edges == 1)
+    _, end = np.nonzero(edges == -1)
+    q = t["q"][row] - (GRAMS - 1)
+    return {"doc": t["doc"][row], "k": t["k"][row], "start": (q + start).astype(np.int32), "end": (q + end - 1 + LENGTH).astype(np.int32)}
 
 
 def range_minimum(values: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -408,15 +416,12 @@ def range_minimum(values: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarra
 
 
 def construct(n_buckets: int):
-    """Surroundings and strings of a bucket to marks."""
+    """Surroundings of a bucket to marks."""
 
     def run(packed: pa.Table) -> pa.Table:
-        got = kinds(packed)
-        t = unpack(CONTEXT, got[CONTEXT])
-        found = [columns(t)] if size(t) else []
-        _, later = combine(unpack(WINDOW, got[WINDOW]), ("w", "h"), "p")
-        found += [string_marks(later), unpack(MARK, got[MARK])]
-        told = merged({f: np.concatenate([x[f] for x in found]) for f in FIELDS[MARK]})
+        t = unpack(CONTEXT, kinds(packed)[CONTEXT])
+        t = take(t, sizes_of(t["h"]) > 1)
+        told = merged(marks(t, columns(t)))
         return as_table(list(send(MARK, told, document_bucket(told["doc"], n_buckets))))
 
     return run
@@ -442,18 +447,20 @@ def remove(texts: pa.Table, packed: pa.Table) -> pa.Table:
 def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: doc_id, n_bytes, spans (array of start and end, in bytes), kept (the
     bytes that remain)."""
-    n_buckets = partitions(docs.sparkSession)
     texts = docs.select(
         F.col(id_col).cast("long").alias("doc_id"),
         F.coalesce(F.col(id_col).cast("long"), F.lit(2**63 - 1)).alias("doc"),
         F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("text"),
     ).withColumn("k", F.pmod(F.crc32("text"), F.lit(65536)).cast("int"))
-    entries = batches(texts.select("doc", "k", "text")).mapInArrow(scan(n_buckets), PACKED)
+    n_bytes = texts.agg(F.sum(F.length("text"))).first()[0] or 0
+    n_buckets = max(partitions(docs.sparkSession), n_bytes // BUCKET)
+    gatherings = n_bytes // (GATHER * GRAMS // 2) + texts.rdd.getNumPartitions()  # an anchor in GRAMS / 2 bytes
+    entries = batches(texts.select("doc", "k", "text")).mapInArrow(scan(n_buckets, max(1, HOT // gatherings)), PACKED)
     first = materialise(entries.groupBy("bucket").applyInArrow(resolve(n_buckets), PACKED))
 
     dealt = texts.withColumn("bucket", document_bucket_column("doc", n_buckets))
     cut = dealt.groupBy("bucket").cogroup(first.filter(F.col("kind") == PROBE).groupBy("bucket")).applyInArrow(cut_out(n_buckets), PACKED)
-    second = cut.unionByName(first.filter(F.col("kind") == WINDOW)).groupBy("bucket").applyInArrow(construct(n_buckets), PACKED)
+    second = cut.unionByName(first.filter(F.col("kind") == CONTEXT)).groupBy("bucket").applyInArrow(construct(n_buckets), PACKED)
     told = first.filter(F.col("kind") == MARK).unionByName(second)
     schema = "doc_id long, n_bytes long, spans array<struct<start:long,end:long>>, kept binary"
     return dealt.groupBy("bucket").cogroup(told.groupBy("bucket")).applyInArrow(remove, schema)
