@@ -11,8 +11,8 @@ evenly. Each block returns k rows for a query, and the k best of these are the r
 
 Defined cases: vectors that are null or hold null or non-finite components take no part, as
 query or candidate; vectors of different lengths don't meet; a query isn't its own candidate, by
-id, so rows that share its id aren't either, and equal rows are one query; repeated
-candidates each count; ties go to the smaller id; a query without candidates has no row; further
+id, so rows that share its id aren't either; equal rows are one query, rows of one id with different
+vectors are queries of their own, each with its k rows; repeated candidates each count; ties go to the smaller id; a query without candidates has no row; further
 columns are ignored.
 """
 
@@ -27,6 +27,8 @@ from .common import partitions, table
 
 #: Rows of a block of candidates (between these) and of queries; dimensions of a column block.
 CANDIDATES, QUERIES, BLOCK = (4096, 65536), 4096, 8
+#: Most components of a block of candidates or queries, so that wide vectors come in fewer rows.
+COMPONENTS = 1 << 22
 SCALE = 256
 
 
@@ -74,13 +76,15 @@ def search_block(k: int):
         columns = [np.ascontiguousarray(code[rows][:, b].T) for b in blocks]
         squares = [(c.astype(np.float64) ** 2).sum(axis=0) for c in columns]
         rest = [np.sqrt(x) for x in np.cumsum(squares[::-1], axis=0)[::-1]] if squares else []
-        out: list[list] = [[], [], []]
+        out: list[list] = [[], [], [], []]
+        which = t.column("which").to_numpy()
         for a in ask.tolist() if len(rows) else []:
             found, score = branch_and_bound(columns, rest, ids[rows], [code[a, b] for b in blocks], ids[a], k)
             out[0] += [int(ids[a])] * len(found)
             out[1] += ids[rows[found]].tolist()
             out[2] += [int(s) for s in score]
-        return pa.table({"query_id": pa.array(out[0], pa.int64()), "vec_id": pa.array(out[1], pa.int64()), "score": pa.array(out[2], pa.int64())})
+            out[3] += [int(which[a])] * len(found)
+        return pa.table({n: pa.array(v, pa.int64()) for n, v in zip(("query_id", "vec_id", "score", "which"), out, strict=True)})
 
     return run
 
@@ -90,20 +94,21 @@ def top_k(queries: DataFrame, candidates: DataFrame, k: int, id_col: str = "vec_
     asked = quantised(queries, id_col, vec_col).dropDuplicates(["id", "code"])
     there = quantised(candidates, id_col, vec_col)
     parts = partitions(there.sparkSession)
-    rows = there.count()
-    size = min(CANDIDATES[1], max(CANDIDATES[0], rows // (2 * parts)))
-    across, down = -(-rows // size) or 1, -(-asked.count() // QUERIES) or 1
+    rows, widest = there.agg(F.count(F.lit(1)), F.max("width")).first()
+    most = max(1, COMPONENTS // max(1, widest or 0))
+    size = min(most, CANDIDATES[1], max(CANDIDATES[0], rows // (2 * parts)))
+    across, down = -(-rows // size) or 1, -(-asked.count() // min(most, QUERIES)) or 1
     deal = lambda n: F.pmod(F.xxhash64("id", F.size("code"), F.get("code", F.lit(0))), F.lit(n))
     cell = (F.col("y") * across + F.col("x")).cast("long").alias("cell")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     grid = (
         asked.withColumn("y", deal(down))
         .withColumn("x", every(across))
-        .select("id", "code", "width", F.lit(True).alias("asks"), cell)
-        .unionByName(there.withColumn("x", deal(across)).withColumn("y", every(down)).select("id", "code", "width", F.lit(False).alias("asks"), cell))
+        .select("id", "code", "width", F.lit(True).alias("asks"), F.xxhash64("code").alias("which"), cell)
+        .unionByName(there.withColumn("x", deal(across)).withColumn("y", every(down)).select("id", "code", "width", F.lit(False).alias("asks"), F.lit(0).cast("long").alias("which"), cell))
     )
-    found = grid.groupBy("cell", "width").applyInArrow(search_block(k), "query_id long, vec_id long, score long")
-    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    found = grid.groupBy("cell", "width").applyInArrow(search_block(k), "query_id long, vec_id long, score long, which long")
+    best = Window.partitionBy("query_id", "which").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
