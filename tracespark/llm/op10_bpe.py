@@ -6,7 +6,7 @@ ranks come from an open-addressing hash table, finished rows leave the matrix an
 a column. A piece that is itself in the vocabulary is one token, as in the tiktoken library.
 
 Texts are cut first at white space, where the pattern always cuts, and the encodings of the cut
-strings are kept in a bounded dictionary, so that a frequent word is merged once per worker.
+strings are kept in a dictionary of at most KEPT short strings, so that a frequent word is merged once per worker.
 Pieces longer than LONG bytes are merged with a heap in O(n log n): the same merges in the same
 order, without a matrix that is as wide as the piece is long.
 
@@ -28,14 +28,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import batches, table
-from .textnp import release
+from .textnp import chunks, release
 
 #: Bytes of the widest matrix; longer pieces take the heap.
 LONG = 1024
-#: Encodings kept by a worker before it starts afresh.
-KEPT = 300_000
-#: Texts taken together, so that a matrix has many rows.
-STEP = 512
+#: Encodings kept by a worker before it starts afresh, and the characters of the longest string that is kept.
+KEPT, KEPT_LENGTH = 300_000, 48
+#: Texts, and bytes of text, taken together, so that a matrix has many rows.
+STEP, BYTES = 512, 4 << 20
 NONE = np.int32(2**31 - 1)
 #: White space by the Unicode property, as the pattern's \s has it.
 SPACE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
@@ -187,7 +187,11 @@ class Encoder:
         new = set().union(*cut) - self.known.keys() if cut else set()
         if new:
             self.learn(sorted(new))
-        return [[self.known[s] for s in c] for c in cut]
+        out = [[self.known[s] for s in c] for c in cut]
+        for s in new:
+            if len(s) > KEPT_LENGTH:
+                del self.known[s]
+        return out
 
 
 _ENCODERS: dict = {}
@@ -206,8 +210,8 @@ def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", tex
 
     def run(batches_in):
         for b in batches_in:
-            for k in range(0, b.num_rows, STEP):
-                part = b.slice(k, STEP)
+            for i, j, _, _ in chunks(b.column("text"), BYTES):
+                part = b.slice(i, j - i)
                 found = encoder(shared).texts([t or "" for t in part.column("text").to_pylist()])
                 ids = [[int(x) for s in f if s[1] for x in s[0].split(",")] for f in found]
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(ids, pa.list_(pa.int32())), pa.array([b"".join(s[2] for s in f) for f in found], pa.binary())], ["doc_id", "ids", "decoded"])
@@ -222,8 +226,8 @@ def digests(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", te
     def run(batches_in):
         for b in batches_in:
             counts, ids, decoded = [], [], []
-            for k in range(0, b.num_rows, STEP):
-                for f in encoder(shared).texts([t or "" for t in b.column("text").slice(k, STEP).to_pylist()]):
+            for i, j, _, _ in chunks(b.column("text"), BYTES):
+                for f in encoder(shared).texts([t or "" for t in b.column("text").slice(i, j - i).to_pylist()]):
                     counts.append(sum([s[1] for s in f]))
                     ids.append(hashlib.sha256(",".join([s[0] for s in f]).encode()).hexdigest())
                     decoded.append(hashlib.sha256(b"".join([s[2] for s in f])).hexdigest())
