@@ -5,7 +5,8 @@ machines, one against one, first decide the language family; within the family a
 one-against-one machines separates the related languages.
 
 The machines are fitted on the driver from a bounded sample: SAMPLE labelled texts at most, the same
-number of each language, chosen by a hash of the id. Every text is scored whole, where it lies:
+number of each language, chosen by a 64-bit hash of the id of which so small a range is read that about twice
+the sample reaches the driver, whatever the table's size. Every text is scored whole, where it lies:
 the trained weights (classes x DIM numbers) are broadcast and nothing is shuffled.
 
 Defined cases: a null text or one without a letter is `und` with score 0; rows without a
@@ -144,15 +145,20 @@ def split(id_col, n: int):
     return F.pmod(F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit(""))), F.lit(n))
 
 
+def drawn_below(share: float) -> int:
+    """The bound under which a 64-bit hash falls with this probability."""
+    return -(2**63) + min(2**64 - 1, int(share * 2**64))
+
+
 def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", order_col: str = "doc_id", sample: int = SAMPLE) -> Hierarchy | None:
     """A hierarchy from at most `sample` of the labelled rows."""
-    labelled = docs.filter(F.col(lang_col).isNotNull() & F.col(text_col).rlike(r"\p{L}")).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), F.abs(F.xxhash64(F.lit("lid"), order_col) % 1_000_000).alias("draw"))
+    labelled = docs.filter(F.col(lang_col).isNotNull() & F.col(text_col).rlike(r"\p{L}")).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), F.xxhash64(F.lit("lid"), order_col).alias("draw"))
     there = {r.lang: r["count"] for r in docs.filter(F.col(lang_col).isNotNull()).groupBy(F.col(lang_col).alias("lang")).count().collect()}
     if not there:
         return None
     each = max(1, sample // len(there))
-    share = F.create_map(*[F.lit(v) for k, n in there.items() for v in (k, min(1_000_000, 1_000_000 * each // n + 1))])
-    drawn = batches(labelled.filter(F.col("draw") < share[F.col("lang")]))
+    share = F.create_map(*[F.lit(v) for k, n in there.items() for v in (k, drawn_below((2 * each + 50) / n))])
+    drawn = batches(labelled.filter(F.col("draw") <= share[F.col("lang")]))
 
     def run(batches_in):
         for b in batches_in:

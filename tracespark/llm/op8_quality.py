@@ -6,7 +6,7 @@ two Gaussian log densities (with the classes' shares), through Cholesky factors
 computed once.
 
 Fitted on the driver from a bounded sample: SAMPLE labelled texts at most, half of each class, by a
-hash of the id. Every text is scored where it lies; nothing but the sample moves.
+hash of the id of which about twice the sample reaches the driver. Every text is scored where it lies; nothing but the sample moves.
 
 Defined cases: null and empty texts have statistics of zero and get a score like any other; labels
 other than 0 and 1 are not learned from; with labels of one class only, or none, the score is that
@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import batches, table
-from .op2_language_id import split
+from .op2_language_id import drawn_below, split
 from .textnp import chunks, prefix_sums, release, spans_hash, words
 
 #: Most texts that the classifier is fitted on.
@@ -113,9 +113,9 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     if not there:
         return Discriminant(np.zeros((0, len(NAMES))), np.zeros(0), 0.5)
     most = sample // 2
-    share = F.create_map(*[F.lit(v) for y, n in there.items() for v in (int(y), min(1_000_000, 1_000_000 * most // n + 1))])
-    draw = F.abs(F.xxhash64(F.lit("quality"), "id") % 1_000_000)
-    ids = marked.filter(draw < share[F.col("y").cast("int")]).withColumn("draw", draw).orderBy("draw", "id").limit(2 * sample)
+    share = F.create_map(*[F.lit(v) for y, n in there.items() for v in (int(y), drawn_below((2 * most + 50) / n))])
+    draw = F.xxhash64(F.lit("quality"), "id")
+    ids = marked.filter(draw <= share[F.col("y").cast("int")]).withColumn("draw", draw)  # about 2 * sample, of any table
     drawn = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(ids), "id").select("id", "y", "draw", "text")
 
     def run(batches_in):
