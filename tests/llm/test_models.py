@@ -1,5 +1,9 @@
 import itertools
+import math
 import random
+import re
+import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -68,6 +72,68 @@ def test_top_k_against_brute_force(spark, monkeypatch, size):
     assert got == brute_top(rows, 5)
 
 
+def test_top_k_of_one_id_with_two_vectors(spark, monkeypatch):
+    monkeypatch.setattr(op3, "COMPONENTS", 40)
+    rows = [(0, [1.0, 0.0]), (0, [0.0, 1.0]), (0, [0.0, 1.0])] + [(i, [i / 100, 1 - i / 100]) for i in range(1, 60)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = sorted((r["rank"], r.vec_id) for r in op3.top_k(df.filter("vec_id = 0"), df, 5).collect())
+    assert got == sorted([(k + 1, 59 - k) for k in range(5)] + [(k + 1, k + 1) for k in range(5)])
+
+
+def plain_features(text):
+    """The square roots of letter-trigram shares, one trigram at a time."""
+    b = [x if x >= 128 or 97 <= x <= 122 else 0 for x in text.lower().encode()]
+    out = [0.0] * op2.DIM
+    for x, y, z in zip(b, b[1:], b[2:], strict=False):
+        out[((x << 16 | y << 8 | z) * 0x9E3779B1 % 2**32) >> (32 - op2.DIM.bit_length() + 1)] += 1
+    return [(v / max(1, sum(out))) ** 0.5 for v in out] if any(out) else out
+
+
+def plain_winner(machines, x):
+    """The class with the most votes, then the largest margins, and how sure its least margin is."""
+    votes, margins = dict.fromkeys(machines.classes, 0.0), {}
+    for (a, b), w in zip(itertools.combinations(machines.classes, 2), machines.w.tolist(), strict=True):
+        m = sum(p * q for p, q in zip(x, w, strict=False)) + w[-1]
+        margins[a, b], margins[b, a] = m, -m
+        votes[a if m >= 0 else b] += 1
+        votes[a] += np.tanh(m) * 1e-3
+        votes[b] -= np.tanh(m) * 1e-3
+    best = max(machines.classes, key=lambda c: votes[c])
+    return best, 1 / (1 + np.exp(-4 * min(margins[best, c] for c in machines.classes if c != best))) if margins else 1.0
+
+
+def test_language_equals_one_text_at_a_time(spark, sf):
+    """The query against features, draw, split and votes in plain Python, on the query's own table."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    got = {r.doc_id: r for r in op2.query(spark, sf).collect()}
+    model = op2.fit(docs.filter(op2.split("doc_id", 4) != 2))
+    for d in docs.collect():
+        r = got[d.doc_id]
+        assert r.held_out == (zlib.crc32(str(d.doc_id).encode()) % 4 == 2)
+        if not d.text or not any(map(str.isalpha, d.text)):
+            assert (r.lang_pred, r.score) == ("und", 0)
+            continue
+        x = plain_features(d.text)
+        family, sure = plain_winner(model.top, x)
+        lang, within = plain_winner(model.within[model.top.classes.index(family)], x)
+        assert r.lang_pred == lang and abs(r.score - sure * within) < 1e-4
+        assert op2.FAMILY_OF.get(lang, lang) == family
+
+
+def test_machine_reaches_the_optimum():
+    """The dual coordinate descent against gradient descent on the same loss."""
+    rng = np.random.default_rng(2)
+    x = rng.normal(0, 1, (60, 5)) + np.repeat([[0.6], [-0.6]], 30, axis=0)
+    y = np.repeat([1.0, -1.0], 30)
+    whole = np.hstack([x, np.ones((60, 1))])
+    loss = lambda w: 0.5 * w @ w + (np.maximum(0, 1 - y * (whole @ w)) ** 2).sum()
+    w = np.zeros(6)
+    for _ in range(20000):
+        w -= 1e-3 * (w - 2 * ((np.maximum(0, 1 - y * (whole @ w)) * y) @ whole))
+    found = op2.fit_svm(x, y, cost=1.0, rounds=200)
+    assert abs(loss(found) - loss(w)) < 1e-3 * loss(w)
+
+
 def test_top_k_of_nothing(spark):
     none = spark.createDataFrame([], "vec_id long, embedding array<float>")
     assert op3.top_k(none, none, 5).count() == 0
@@ -131,6 +197,48 @@ def test_quality_held_out_accuracy(spark):
     assert n > 1000 and right / n > 0.95
 
 
+def plain_statistics(text):
+    data = (text or "").encode()
+    words = re.findall(rb"[^\x20\x09-\x0d]+", data)
+    if not words:
+        return [0.0] * len(op8.NAMES)
+    n, size, lengths = len(words), len(data), [len(w) for w in words]
+    mean = sum(lengths) / n
+    fives = [tuple(words[i : i + 5]) for i in range(n - 4)]
+    lines = re.findall(rb"[^\n]*\n|[^\n]+$|$", data)
+    lines = lines[:-1] if lines and lines[-1] == b"" and not data.endswith(b"\n") else lines
+    upper, digit = len(re.findall(rb"[A-Z]", data)), len(re.findall(rb"[0-9]", data))
+    letter = len(re.findall(rb"[A-Za-z\x80-\xff]", data))
+    mark, plain = len(re.findall(rb"[!#$%&*+/<=>@\[\\\]^_`{|}~]", data)), len(re.findall(rb"[.,;:?'\"()-]", data))
+    return [math.log1p(n), math.log(mean), math.log1p((sum((v - mean) ** 2 for v in lengths) / n) ** 0.5), len(set(words)) / n**0.8, (max(Counter(words).values()) / n) ** 0.5,
+            (sum(a == b for a, b in zip(words, words[1:], strict=False)) / (n - 1)) ** 0.5 if n > 1 else 0.0, (1 - len(set(fives)) / len(fives)) ** 0.5 if fives else 0.0,
+            (upper / max(letter, 1)) ** 0.5, (digit / size) ** 0.5, (mark / size) ** 0.5, (plain / size) ** 0.5, letter / size,
+            math.log1p(len(lines)), (1 - len(set(lines)) / len(lines)) ** 0.5, (sum(w[-1:] in [bytes([c]) for c in b"!#$%&*+/<=>@[\\]^_`{|}~"] for w in words) / n) ** 0.5]
+
+
+def test_quality_equals_one_text_at_a_time(spark, sf):
+    """The query against statistics in plain Python and densities by determinant and solution of the covariances."""
+    docs = [(d.doc_id, d.text) for d in spark.read.parquet(f"{sf}/documents.parquet").collect()]
+    labels = {r.doc_id: r.quality for r in spark.read.parquet(f"{sf}/labels.parquet").collect()}
+    out = lambda i: zlib.crc32(str(i).encode()) % 3 == 1
+    x = {i: plain_statistics(t) for i, t in docs}
+    learned = [i for i, _ in docs if i in labels and not out(i)]
+    rows, y = np.array([x[i] for i in learned]), np.array([labels[i] for i in learned])
+    centre, scale = rows.mean(axis=0), rows.std(axis=0) + 1e-6
+    z, density = (rows - centre) / scale, []
+    for c in (0, 1):
+        own = z[y == c]
+        cov = np.cov(own, rowvar=False)
+        cov = (1 - op8.SHRINK) * cov + op8.SHRINK * np.diag(np.diag(cov)) + 1e-2 * np.eye(len(cov))
+        density.append((own.mean(axis=0), cov, np.linalg.slogdet(cov)[1]))
+    prior = np.log(y.mean() / (1 - y.mean()))
+    for r in op8.query(spark, sf).collect():
+        own = (np.array(x[r.doc_id]) - centre) / scale
+        one, two = (-0.5 * (own - m) @ np.linalg.solve(cov, own - m) - 0.5 * det for m, cov, det in density)
+        want = 1 / (1 + np.exp(-np.clip(two - one + prior, -500, 500)))
+        assert r.held_out == out(r.doc_id) and abs(r.score - want) < 1e-6 and r.predicted == int(r.score >= 0.5)
+
+
 def test_quality_odd_tables(spark):
     docs = odd_documents(spark)
     labels = spark.createDataFrame([(1, 1), (2, 0), (5, 1), (6, 1), (8, 0), (8, 0), (4, None), (None, 1), (99, 1), (11, 7)], "doc_id long, quality int")

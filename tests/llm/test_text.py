@@ -49,6 +49,15 @@ def test_long_pieces_merge_like_short_ones(vocabulary):
         assert vocabulary.merge_long(piece) == vocabulary.encode_pieces([piece + b""])[0] or piece in vocabulary.ranks
 
 
+def test_memory_of_strings_is_bounded(vocabulary, reference):
+    """Long strings, as of scripts without white space, are encoded but not kept."""
+    encoder = op10.Encoder(vocabulary)
+    texts = ["日本語" * 400 + str(i) for i in range(20)] + ["word " * 20]
+    for text, found in zip(texts, encoder.texts(texts), strict=True):
+        assert [int(x) for s in found if s[1] for x in s[0].split(",")] == reference.encode_ordinary(text)
+    assert len(encoder.known) < 10 and max(map(len, encoder.known)) <= op10.KEPT_LENGTH
+
+
 def test_token_digests_odd_tables(spark, vocabulary, reference):
     docs = odd_documents(spark)
     rows = {(r.doc_id): r for r in op10.digests(docs, *op10.public_vocabulary()).collect()}
