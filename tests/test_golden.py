@@ -9,7 +9,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from tracespark.functions import codec, scalars
-from tracespark.operators import anomaly, correlate, flame, sampling, search, similarity, trees
+from tracespark.operators import anomaly, correlate, flame, sampling, search, similarity, stats, trees
 from tracespark.operators.search import TraceQuery
 from tracespark.schema import RAW_LAYOUT, RAW_SIZE
 from tracespark.sources import raw, tables
@@ -105,8 +105,48 @@ def test_deep_tree_is_not_recursive(spark):
     assert trees.depths(trees.trees(spans(spark, rows))).first().depth == 1500
 
 
+def test_long_chain_is_linear(spark):
+    n = 100_000
+    chain = spark.range(n).select(F.lit("t").alias("trace_id"), F.col("id").cast("string").alias("span_id"), F.when(F.col("id") > 0, (F.col("id") - 1).cast("string")).alias("parent_span_id"), F.lit("s").alias("service_name"), F.lit("o").alias("operation"), F.lit("").alias("protocol"), F.lit(1.0).alias("duration_ms"), F.col("id").alias("start_ns"))
+    got = trees.trees(chain)
+    assert got.agg(F.max("depth"), F.max("height"), F.sum((F.col("visit") == F.col("start_ns")).cast("int")), F.sum("child_ms")).first() == (n, n, n, n - 1)
+
+
+def test_trees_equal_walks_one_by_one(spark):
+    """Random forests with repeated ids, cycles and missing parents against a recursive walk."""
+    rng = random.Random(8)
+    rows = []
+    for t in "abcdefgh":
+        for i in range(rng.randint(1, 40)):
+            rows.append((t, f"s{rng.randint(0, 30)}", rng.choice(["", None, "gone", *[f"s{k}" for k in range(31)]]) if i else "", rng.choice("xyz"), i, rng.randint(1, 9)))
+    got = {}
+    for r in trees.trees(spans(spark, rows), structures=True, paths=True).collect():
+        got.setdefault(r.trace_id, []).append(r)
+    for t in "abcdefgh":
+        mine = sorted(got[t], key=lambda r: r.start_ns)
+        root, children = trees.root_and_children([r.asDict() for r in mine])
+        seen = []
+
+        def walk(i, above):
+            path = [*above, f"svc:{mine[i].operation} [http]"]
+            at = len(seen)
+            seen.append(i)
+            below = [walk(c, path) for c in children[i]]
+            name = f"svc:{mine[i].operation}"
+            lines = [name + "[", *("  " + x for _, ls, _ in below for x in ls), "]"] if below else [name]
+            ops, height = [mine[i].operation, *(o for _, _, os in below for o in os)], 1 + max((h for h, _, _ in below), default=0)
+            r = mine[i]
+            assert (r.visit, r.depth, r.height, r.frames, r.operations, r.structure) == (at, len(path), height, path, ops, "\n".join(lines) + "\n")
+            assert r.in_tree and r.is_root == (i == root) and r.children == len(below) and r.child_ms == sum(mine[c].duration_ms for c in children[i])
+            return height, lines, ops
+
+        if root is not None:
+            walk(root, [])
+        assert {i for i, r in enumerate(mine) if r.in_tree} == set(seen)
+
+
 def test_flame_picture(spark):
-    tree = trees.trees(spans(spark, TREE))
+    tree = trees.trees(spans(spark, TREE), paths=True)
     rows = [r.asDict() for r in flame.frames(tree).orderBy("visit").collect()]
     placed = {r["span_id"]: r for r in flame.layout(rows)}
     assert placed["root"]["width"] == 1200 and placed["child1"]["x"] == 0 and placed["child2"]["x"] == pytest.approx(400)
@@ -239,6 +279,13 @@ def test_tables_round_trip(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "bad")).count() == 1
     back = tables.read_spans(spark, str(tmp_path / "spans"), start="2023-01-01")
     assert back.count() == 1 and "PartitionFilters: [isnotnull(month" in back._jdf.queryExecution().toString()
+    whole, day = tables.read_spans(spark, str(tmp_path / "spans")), 86_400_000_000
+    since = 1_672_531_200_000_000  # 2023-01-01
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    assert plan(stats.service_stats(whole, None, since, since + 400 * day)).count("(month#") and "month" in plan(search.matching(whole, TraceQuery(start_us=since))).split("PartitionFilters: [")[1].split("]")[0]
+    both = plan(stats.service_map(whole, since, since + day, longest_us=day)).split("PartitionFilters: [")[1:]
+    assert len(both) == 2 and all("month" in p.split("]")[0] for p in both)
+    assert stats.service_stats(whole, None, since, since + 400 * day).count() == 1 and "month" not in search.search(whole, TraceQuery(limit=1)).columns
     assert tables.retained(back, 30, 1_700_000_000_000_000).count() == 1 and tables.retained(back, 30).count() == 0
 
 

@@ -81,7 +81,7 @@ class Engine:
 
     def flamegraph(self, trace_id: str, form: str = "svg", width: int = flame.WIDTH):
         """FG-01 to FG-06 for one trace."""
-        tree = trees.trees(search.trace(self.spans, trace_id))
+        tree = trees.trees(search.trace(self.spans, trace_id), paths=True)
         if form == "folded":
             return "\n".join(r.line for r in flame.folded(tree).orderBy("visit").collect())
         if form == "stats":
@@ -105,13 +105,13 @@ class Engine:
 
 def assembled(rows: list[dict]) -> dict:
     """Spans of one trace, in order, as an envelope with a nested tree."""
-    forest = trees.Forest(rows)
+    root, children = trees.root_and_children(rows)
 
     def nested(i: int) -> dict:
-        return {**rows[i], "children": [nested(c) for c in forest.children[i]]}
+        return {**rows[i], "children": [nested(c) for c in children[i]]}
 
     start, end = min(r["start_ns"] for r in rows), max(r["end_ns"] for r in rows)
-    return {"trace_id": rows[0]["trace_id"], "spans": rows, "root": nested(forest.roots[0]) if forest.roots else None, "start_ns": start, "end_ns": end, "duration_ms": (end - start) / 1e6}
+    return {"trace_id": rows[0]["trace_id"], "spans": rows, "root": nested(root) if root is not None else None, "start_ns": start, "end_ns": end, "duration_ms": (end - start) / 1e6}
 
 
 def answer(engine: Engine, target: str) -> tuple[int, str, str]:

@@ -1,12 +1,14 @@
-"""Raw records as bytes: encoding and decoding with SQL functions."""
+"""Raw records as bytes: encoding with SQL functions, decoding a batch of records at a time."""
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..schema import RAW_LAYOUT, RAW_SIZE
-from .scalars import once
 
 
 def _swapped(hexes: Column, size: int) -> Column:
@@ -42,21 +44,58 @@ def integer(record: Column, offset: int, size: int, *, big: bool = False, signed
     return F.expr("null").cast("long") if size > 8 else F.when(value <= F.lit(2**63 - 1).cast("decimal(20,0)"), value).cast("long") if size == 8 else value.cast("int") if signed and size == 4 else value
 
 
-def text(record: Column, offset: int, size: int) -> Column:
-    """A string up to its first NUL."""
-    return F.split_part(F.decode(F.substring(record, offset + 1, size), "ISO-8859-1"), F.chr(F.lit(0)), F.lit(1))
+RECORD = np.dtype({"names": [f[0] for f in RAW_LAYOUT], "formats": [{"int": f"<u{f[2]}", "signed": f"<i{f[2]}"}.get(f[3], f"({f[2]},)u1") for f in RAW_LAYOUT], "offsets": [f[1] for f in RAW_LAYOUT], "itemsize": RAW_SIZE})
+FIELDS = ", ".join(f"{name} {({'text': 'string', 'bytes': 'binary', 'signed': 'int'}).get(kind, 'long')}" for name, _, _, kind in RAW_LAYOUT)
+
+
+def cut(rows: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The first bytes of each row, one after another, and where each row's begin and end."""
+    return rows[np.arange(rows.shape[1]) < length[:, None]], np.append(0, np.cumsum(length))
+
+
+def strings(rows: np.ndarray) -> pa.Array:
+    """Each row up to its first NUL, a character for each byte."""
+    ends = rows == 0
+    data, at = cut(rows, np.where(ends.any(axis=1), ends.argmax(axis=1), rows.shape[1]))
+    wide = data >> 7  # these take two bytes in UTF-8
+    if wide.any():
+        start = np.append(0, np.cumsum(1 + wide.astype(np.int64)))
+        out = np.zeros(start[-1], np.uint8)
+        out[start[:-1]] = np.where(wide, 0xC0 | data >> 6, data)
+        out[start[:-1][wide == 1] + 1] = 0x80 | data[wide == 1] & 0x3F
+        data, at = out, start[at]
+    return pa.StringArray.from_buffers(len(rows), pa.py_buffer(at.astype(np.int32)), pa.py_buffer(data))
+
+
+def fields_of(records: pa.Array) -> dict[str, pa.Array]:
+    """The fields of records of RAW_SIZE bytes each. Unsigned 64-bit values over the range of a long are null."""
+    first = np.frombuffer(records.buffers()[1], np.int32)[records.offset] if len(records) else 0
+    data = np.frombuffer(records.buffers()[2], RECORD, len(records), first) if len(records) else np.zeros(0, RECORD)
+    out: dict[str, pa.Array] = {}
+    for name, _, size, kind in RAW_LAYOUT:
+        v = data[name]
+        if kind == "text":
+            out[name] = strings(v)
+        elif kind == "bytes":
+            held, at = cut(v, np.minimum(data["payload_size"], size).astype(np.int64))
+            out[name] = pa.Array.from_buffers(pa.binary(), len(v), [None, pa.py_buffer(at.astype(np.int32)), pa.py_buffer(held)])
+        elif kind == "signed":
+            out[name] = pa.array(v, pa.int32())
+        else:
+            out[name] = pa.array(v.astype(np.int64), mask=v.astype(np.int64) < 0)
+    return out
 
 
 def decode(df: DataFrame, record_col: str = "record") -> DataFrame:
     """SRC-11: the record's fields beside the other columns; records that are too short are dropped.
     The payload is cut to its size, which may be larger than what the record holds."""
-    r = F.col(record_col)
-    columns = {}
-    for name, offset, size, kind in RAW_LAYOUT:
-        if kind in ("int", "signed"):
-            columns[name] = integer(r, offset, size, signed=kind == "signed")
-        elif kind == "text":
-            columns[name] = text(r, offset, size)
-        else:
-            columns[name] = F.substring(r, F.lit(offset + 1), F.least(integer(r, 68, 4), F.lit(size)).cast("int"))
-    return once(df.filter(F.length(r) >= RAW_SIZE), **columns).drop(record_col)
+    others = [c for c in df.columns if c != record_col]
+    whole = df.filter(F.length(record_col) >= RAW_SIZE).select(*others, F.substring(record_col, 1, RAW_SIZE).alias(record_col))
+
+    def run(batches):
+        for b in batches:
+            made = fields_of(b.column(record_col))
+            yield pa.RecordBatch.from_arrays([*[b.column(c) for c in others], *made.values()], [*others, *made])
+
+    schema = T.StructType([*[df.schema[c] for c in others], *T._parse_datatype_string(FIELDS)])
+    return whole.mapInArrow(run, schema)

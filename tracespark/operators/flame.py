@@ -16,7 +16,7 @@ HUE, HUES, SATURATION, LIGHTNESS = 200, 60, (60, 90), (40, 70)
 
 def folded(tree: DataFrame) -> DataFrame:
     """FG-02: a line for each span of a tree, frames joined by ; and the whole duration in microseconds, in
-    the order of a walk (trace_id, visit)."""
+    the order of a walk (trace_id, visit). tree: trees(spans, paths=True)."""
     line = F.concat(F.array_join("frames", ";"), F.lit(" "), whole_micros(F.col("duration_ms")).cast("string"))
     return tree.filter("in_tree").select("trace_id", "visit", line.alias("line"))
 

@@ -10,6 +10,7 @@ from datetime import datetime, timedelta, timezone
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.scalars import month
 from ..schema import ERROR_FROM
 
 #: FLT-09 and FLT-10: what a request without these gets.
@@ -57,20 +58,22 @@ def has_parent(column: str = "parent_span_id") -> Column:
     return F.coalesce(F.col(column), F.lit("")) != ""
 
 
-def between_us(start_us: int | None, end_us: int | None) -> list[Column]:
-    """FLT-02, with predicates on start_time itself so that they reach the scan, and on the month
-    (SNK-04's partition column is derived from it)."""
+def between_us(start_us: int | None, end_us: int | None, columns: list[str] = ()) -> list[Column]:
+    """FLT-02, with predicates on start_time itself so that they reach the scan; where `columns` has the month
+    that SNK-04 partitions by, also on that, so that other months aren't listed or read."""
     out = []
-    if start_us is not None:
-        out.append(F.col("start_time") >= F.timestamp_micros(F.lit(start_us)))
-    if end_us is not None:
-        out.append(F.col("start_time") <= F.timestamp_micros(F.lit(end_us)))
+    for us, keeps in ((start_us, operator.ge), (end_us, operator.le)):
+        if us is not None:
+            t = F.timestamp_micros(F.lit(us))
+            out.append(keeps(F.col("start_time"), t))
+            if "month" in columns:
+                out.append(keeps(F.col("month").cast("string"), month(t)))
     return out
 
 
-def conditions(q: TraceQuery) -> list[Column]:
+def conditions(q: TraceQuery, columns: list[str] = ()) -> list[Column]:
     """FLT-01."""
-    out = between_us(q.start_us, q.end_us)
+    out = between_us(q.start_us, q.end_us, columns)
     for column, value in (("service_name", q.service), ("protocol", q.protocol), ("trace_id", q.trace_id)):
         if value is not None:
             out.append(F.col(column) == value)
@@ -82,7 +85,7 @@ def conditions(q: TraceQuery) -> list[Column]:
 
 
 def matching(spans: DataFrame, q: TraceQuery) -> DataFrame:
-    found = conditions(q)
+    found = conditions(q, spans.columns)
     return spans.filter(functools.reduce(operator.and_, found)) if found else spans
 
 
@@ -98,12 +101,12 @@ def search(spans: DataFrame, q: TraceQuery) -> DataFrame:
     broadcast; without a limit the join is left to the planner."""
     ids = trace_ids(spans, q).select("trace_id")
     ids = F.broadcast(ids) if 0 < q.limit <= 10_000 else ids
-    return spans.join(ids, "trace_id", "left_semi").orderBy("trace_id", "start_ns", "span_id")
+    return spans.join(ids, "trace_id", "left_semi").drop("month").orderBy("trace_id", "start_ns", "span_id")
 
 
 def trace(spans: DataFrame, trace_id: str) -> DataFrame:
     """TR-01, SRT-01: a trace's spans in order."""
-    return spans.filter(F.col("trace_id") == trace_id).orderBy("start_ns", "span_id")
+    return spans.filter(F.col("trace_id") == trace_id).drop("month").orderBy("start_ns", "span_id")
 
 
 def services(spans: DataFrame) -> DataFrame:

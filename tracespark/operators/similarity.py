@@ -15,8 +15,9 @@ SIMILAR = 0.9
 
 
 def signatures(tree: DataFrame) -> DataFrame:
-    """CMP-03 to CMP-05: the signature of every subtree. tree: trees(spans, structures=True)."""
-    return tree.filter("in_tree").select("trace_id", "span_id", fnv1a_64(F.col("structure")).alias("hash"), "structure", "operations", F.col("height").alias("depth"), "is_root")
+    """CMP-03 to CMP-05: the signature of every subtree whose structure is spelt. tree: trees(spans,
+    structures=True), or "roots" for whole trees alone."""
+    return tree.filter("in_tree AND structure IS NOT NULL").select("trace_id", "span_id", fnv1a_64(F.col("structure")).alias("hash"), "structure", "operations", F.col("height").alias("depth"), "is_root")
 
 
 def occurrences(signed: DataFrame, repeated_only: bool = False) -> DataFrame:

@@ -27,27 +27,33 @@ def measures(*quantiles: tuple[str, float], exact: bool = True) -> list[Column]:
 
 def service_stats(spans: DataFrame, service: str | None, start_us: int | None, end_us: int | None, exact: bool = True) -> DataFrame:
     """AGG-01, SRT-04: the operations of a service in a time range."""
-    for c in between_us(start_us, end_us):
+    for c in between_us(start_us, end_us, spans.columns):
         spans = spans.filter(c)
     spans = spans.filter(F.col("service_name") == service) if service is not None else spans
     found = spans.groupBy("operation", "protocol").agg(*measures(("p50", 0.5), ("p95", 0.95), ("p99", 0.99), exact=exact))
     return found.orderBy(F.desc("call_count"), "operation", "protocol")
 
 
-def calls(spans: DataFrame) -> DataFrame:
-    """JN-01: every child span with the service of its parent. The child side is filtered before
-    the shuffle; both sides carry only what the edge needs."""
-    child = spans.filter(has_parent()).select("trace_id", F.col("parent_span_id").alias("span_id"), F.col("service_name").alias("source_service"), "protocol", "duration_ms", "error_code", "start_time", "start_ns")
+def calls(spans: DataFrame, start_us: int | None = None, end_us: int | None = None, longest_us: int | None = None) -> DataFrame:
+    """JN-01: every child span that starts in the range with the service of its parent. The child side is
+    filtered before the shuffle; both sides carry only what the edge needs. Parents may start at any
+    time; with longest_us, a bound on how far apart spans of one trace start, they are only read that
+    far around the range."""
+    child = spans.filter(has_parent())
+    for c in between_us(start_us, end_us, spans.columns):
+        child = child.filter(c)
+    child = child.select("trace_id", F.col("parent_span_id").alias("span_id"), F.col("service_name").alias("source_service"), "protocol", "duration_ms", "error_code", "start_time", "start_ns")
+    if longest_us is not None:
+        for c in between_us(None if start_us is None else start_us - longest_us, None if end_us is None else end_us + longest_us, spans.columns):
+            spans = spans.filter(c)
     parent = spans.select("trace_id", "span_id", F.col("service_name").alias("dest_service"))
     return child.join(parent, ["trace_id", "span_id"])
 
 
-def service_map(spans: DataFrame, start_us: int | None, end_us: int | None) -> DataFrame:
+def service_map(spans: DataFrame, start_us: int | None, end_us: int | None, longest_us: int | None = None) -> DataFrame:
     """AGG-02. source_service is the called side and dest_service the calling side; callee and
     caller name the same columns by their role."""
-    edges = calls(spans)
-    for c in between_us(start_us, end_us):
-        edges = edges.filter(c)
+    edges = calls(spans, start_us, end_us, longest_us)
     found = edges.groupBy("source_service", "dest_service", "protocol").agg(*measures())
     return found.withColumns({"callee": F.col("source_service"), "caller": F.col("dest_service")})
 

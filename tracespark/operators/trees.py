@@ -1,12 +1,14 @@
 """Span trees: roots, depths, paths, orphans and subtree structures, a partition of traces at a time.
 
-Traces are dealt by id once; within a task all trees of a batch are walked together. A trace is
-never cut, so memory is that of the largest trace (beside a batch).
+Traces are dealt by id once; within a task all trees of a batch are walked together, in arrays. A trace is
+never cut, so memory is that of the largest trace (beside a batch): about 200 bytes a span.
 """
 
 from __future__ import annotations
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -16,73 +18,155 @@ COLUMNS = "trace_id string, span_id string, parent_span_id string, service_name
 ADDED = "depth int, height int, visit int, children int, child_ms double, frames array<string>, structure string, operations array<string>, in_tree boolean, is_root boolean, is_orphan boolean"
 
 
-def frame(service: str, operation: str, protocol: str) -> str:
-    return f"{service}:{operation}" + (f" [{protocol}]" if protocol else "")
+def root_and_children(rows: list[dict]) -> tuple[int | None, list[list[int]]]:
+    """Of one trace's rows in order: its root (the last span without parent) and the children of each row."""
+    at = {r["span_id"]: i for i, r in enumerate(rows)}  # the last of equal ids wins
+    root, children = None, [[] for _ in rows]
+    for i, r in enumerate(rows):
+        if at[r["span_id"]] == i:
+            if not r["parent_span_id"]:
+                root = i
+            elif (p := at.get(r["parent_span_id"])) is not None:
+                children[p].append(i)
+    return root, children
 
 
 class Forest:
-    """The trees of some whole traces, rows in order of (trace, start, span)."""
-
-    def __init__(self, rows: list[dict]):
-        self.rows, n = rows, len(rows)
-        at = {(r["trace_id"], r["span_id"]): i for i, r in enumerate(rows)}  # the last of equal ids wins
-        self.parent = [-1] * n
-        self.orphan = [False] * n
-        self.children: list[list[int]] = [[] for _ in rows]
-        root_of: dict[str, int] = {}
-        for i, r in enumerate(rows):
-            if at[r["trace_id"], r["span_id"]] != i:
-                continue
-            if not r["parent_span_id"]:
-                root_of[r["trace_id"]] = i  # the last span without parent is the root
-            elif (p := at.get((r["trace_id"], r["parent_span_id"]))) is None:
-                self.orphan[i] = True
+    """The trees of some whole traces as arrays; rows in order of (trace, start, span)."""
+
+    def __init__(self, t: pa.Table):
+        t = t.combine_chunks()
+        n = self.n = t.num_rows
+        column = lambda c: t.column(c).chunk(0) if t.column(c).num_chunks else pa.array([], t.schema.field(c).type)
+        trace = self.trace = column("trace_id").dictionary_encode().indices.to_numpy().astype(np.int64)
+        spans = column("span_id").dictionary_encode()
+        own = trace * (len(spans.dictionary) + 1) + spans.indices.to_numpy()
+        above = pc.fill_null(column("parent_span_id"), "")
+        parent_code = pc.fill_null(pc.index_in(above, value_set=spans.dictionary), len(spans.dictionary)).to_numpy()
+        order = np.argsort(own, kind="stable")
+        ends = np.flatnonzero(np.append(np.diff(own[order]) != 0, True)) if n else np.zeros(0, np.int64)
+        last = order[ends]  # the last of equal ids wins
+        counts = np.zeros(n, dtype=bool)
+        counts[last] = True
+        top = pc.equal(above, "").to_numpy(zero_copy_only=False)
+        wanted = trace * (len(spans.dictionary) + 1) + parent_code
+        found = np.minimum(np.searchsorted(own[last], wanted), max(0, len(last) - 1))
+        there = counts & ~top & (own[last][found] == wanted) if n else counts
+        self.orphan = counts & ~top & ~there
+        self.parent = np.where(there, last[found], -1) if n else np.zeros(0, np.int64)
+        root_of = np.full(int(trace[-1]) + 1 if n else 0, -1)
+        root_of[trace[counts & top]] = np.flatnonzero(counts & top)  # the last span without parent is the root
+        self.is_root = np.zeros(n, dtype=bool)
+        self.is_root[root_of[root_of >= 0]] = True
+        self.children = np.bincount(self.parent[self.parent >= 0], minlength=n)
+        # Jumps of 1, 2, 4, ... parents at once: how far the root is, if it is reached.
+        jump, self.depth = np.where(self.parent >= 0, self.parent, np.arange(n)), (self.parent >= 0).astype(np.int64)
+        for _ in range(n.bit_length()):
+            if (jump == jump[jump]).all():
+                break
+            self.depth, jump = self.depth + self.depth[jump], jump[jump]
+        self.in_tree = self.is_root[jump]
+        self.depth = np.where(self.in_tree, self.depth + 1, 0)
+        inner = np.flatnonzero(self.in_tree)
+        by_depth = inner[np.argsort(self.depth[inner], kind="stable")]
+        self.levels = np.split(by_depth, np.flatnonzero(np.diff(self.depth[by_depth])) + 1) if len(by_depth) else []
+        self.size, self.height, self.visit = np.ones(n, np.int64), np.ones(n, np.int64), np.zeros(n, np.int64)
+        for level in reversed(self.levels[1:]):
+            np.add.at(self.size, self.parent[level], self.size[level])
+            np.maximum.at(self.height, self.parent[level], self.height[level] + 1)
+        # A span is visited after its parent and the subtrees of its elder siblings.
+        kids = np.flatnonzero(self.in_tree & (self.parent >= 0))
+        kids = kids[np.argsort(self.parent[kids], kind="stable")]
+        upto = np.cumsum(self.size[kids]) - self.size[kids]
+        first = np.append(True, np.diff(self.parent[kids]) != 0)[: len(kids)]
+        elder = np.zeros(n, np.int64)
+        elder[kids] = upto - upto[np.maximum.accumulate(np.where(first, np.arange(len(kids)), 0))] if len(kids) else 0
+        for level in self.levels[1:]:
+            self.visit[level] = self.visit[self.parent[level]] + 1 + elder[level]
+        self.walked = inner[np.lexsort((self.visit[inner], trace[inner]))]  # in the order of the walk
+
+    def child_ms(self, duration: np.ndarray) -> np.ndarray:
+        of = self.in_tree & (self.parent >= 0)
+        return np.bincount(self.parent[of], weights=duration[of], minlength=self.n).astype(np.float64)
+
+    def lists(self, length: np.ndarray, values: pa.Array) -> pa.Array:
+        """A list of so many of the values to each span of a tree, null to the others."""
+        offsets = np.append(0, np.cumsum(np.where(self.in_tree, length, 0)))
+        return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), values, mask=pa.array(~self.in_tree))
+
+    def paths(self, frames: pa.Array) -> pa.Array:
+        """The frames from the root to each span."""
+        offsets = np.append(0, np.cumsum(self.depth))[:-1]
+        of = np.zeros(int(self.depth.sum()), np.int64)
+        above = np.zeros((0, 0), np.int64)
+        place = np.zeros(self.n, np.int64)
+        for level in self.levels:
+            depth = self.depth[level[0]]
+            above = np.hstack([above[place[self.parent[level]]], level[:, None]]) if depth > 1 else level[:, None]
+            of[offsets[level][:, None] + np.arange(depth)] = above
+            place[level] = np.arange(len(level))
+        return self.lists(self.depth, frames.take(pa.array(of)))
+
+    def below(self, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """For each wanted span how many spans its subtree has, and these one after another as visited."""
+        start = np.zeros(self.n, np.int64)
+        start[self.walked] = np.arange(len(self.walked))
+        size = np.where(wanted, self.size, 0)
+        return size, self.walked[np.repeat(start, size) + np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)]
+
+    def structures(self, names: list[str], wanted: np.ndarray) -> list[str | None]:
+        """The subtree of each wanted span spelt out, a line for each opening and closing."""
+        lines: list[tuple[int, str]] = []
+        opened, closed = {}, {}
+        pending: list[tuple[int, int]] = []  # spans that are open, with what of their subtree is to come
+        left = self.size.tolist()
+        depth, kids = self.depth.tolist(), self.children.tolist()
+        for at, i in enumerate(self.walked.tolist()):
+            while pending and pending[-1][1] <= at:
+                last, _ = pending.pop()
+                lines.append((depth[last], "]"))
+                closed[last] = len(lines)
+            opened[i] = len(lines)
+            lines.append((depth[i], names[i] + "[" if kids[i] else names[i]))
+            if kids[i]:
+                pending.append((i, at + left[i]))
             else:
-                self.children[p].append(i)
-                self.parent[i] = p
-        self.roots = list(root_of.values())
-
-    def walk(self, structures: bool) -> list[dict]:
-        """What ADDED names, for each row."""
-        out = [dict(depth=None, height=None, visit=None, children=len(c), child_ms=0.0, frames=None, structure=None, operations=None, in_tree=False, is_root=False, is_orphan=o) for c, o in zip(self.children, self.orphan, strict=True)]
-        for root in self.roots:
-            visit, order, stack = 0, [], [(root, 1, ())]
-            while stack:
-                i, depth, above = stack.pop()
-                r = self.rows[i]
-                frames = (*above, frame(r["service_name"], r["operation"], r["protocol"]))
-                out[i].update(depth=depth, visit=visit, frames=list(frames), in_tree=True, is_root=i == root)
-                visit += 1
-                order.append(i)
-                stack.extend((c, depth + 1, frames) for c in reversed(self.children[i]))
-            lines: dict[int, list[tuple[int, str]]] = {}
-            names: dict[int, list[str]] = {}
-            for i in reversed(order):
-                kids = self.children[i]
-                out[i]["height"] = 1 + max((out[c]["height"] for c in kids), default=0)
-                out[i]["child_ms"] = float(sum(self.rows[c]["duration_ms"] for c in kids))
-                if structures:
-                    own = f"{self.rows[i]['service_name']}:{self.rows[i]['operation']}"
-                    inner = [(d + 1, s) for c in kids for d, s in lines.pop(c)]
-                    lines[i] = [(0, own + "["), *inner, (0, "]")] if kids else [(0, own)]
-                    names[i] = [self.rows[i]["operation"], *(x for c in kids for x in names.pop(c))]
-                    out[i]["structure"] = "".join("  " * d + s + "\n" for d, s in lines[i])
-                    out[i]["operations"] = names[i]
+                closed[i] = len(lines)
+        while pending:
+            last, _ = pending.pop()
+            lines.append((depth[last], "]"))
+            closed[last] = len(lines)
+        out: list[str | None] = [None] * self.n
+        for i in np.flatnonzero(wanted).tolist():
+            out[i] = "".join("  " * (d - depth[i]) + text + "\n" for d, text in lines[opened[i] : closed[i]])
         return out
 
 
-def trees(spans: DataFrame, structures: bool = False) -> DataFrame:
+def trees(spans: DataFrame, structures: bool | str = False, paths: bool = False) -> DataFrame:
     """TR-03, TR-04, FG-01, CMP-03: the spans with their place in their trace's tree. Spans that the
-    root doesn't reach have in_tree false and no depth."""
+    root doesn't reach have in_tree false and no depth. paths adds the frames above each span,
+    structures its subtree and the operations in it ("roots": those of roots alone, which is linear)."""
     names = [c.split()[0] for c in COLUMNS.split(", ")]
     added = [c.split()[0] for c in ADDED.split(", ")]
 
     def run(batches):
         for t in whole_groups(batches, "trace_id"):
-            walked = Forest(t.to_pylist()).walk(structures)
-            made = pa.Table.from_pylist(walked, schema=ADDED_SCHEMA)
-            whole = pa.Table.from_arrays([*[t.column(c) for c in names], *[made.column(c) for c in added]], names=[*names, *added])
-            yield from whole.to_batches()
+            f = Forest(t)
+            outside = ~f.in_tree
+            number = lambda x: pa.array(x, pa.int32(), mask=outside)
+            made = dict(depth=number(f.depth), height=number(f.height), visit=number(f.visit), children=pa.array(f.children, pa.int32()), child_ms=pa.array(f.child_ms(t.column("duration_ms").to_numpy())), in_tree=pa.array(f.in_tree), is_root=pa.array(f.is_root), is_orphan=pa.array(f.orphan))
+            service, operation = (t.column(c).combine_chunks() for c in ("service_name", "operation"))
+            if paths:
+                protocol = pc.fill_null(t.column("protocol").combine_chunks(), "")
+                ending = pc.if_else(pc.equal(protocol, ""), "", pc.binary_join_element_wise(" [", protocol, "]", ""))
+                made["frames"] = f.paths(pc.binary_join_element_wise(service, ":", operation, ending, ""))
+            if structures:
+                wanted = f.is_root if structures == "roots" else f.in_tree
+                made["structure"] = pa.array(f.structures(pc.binary_join_element_wise(service, ":", operation, "").to_pylist(), wanted), pa.string())
+                size, below = f.below(wanted)
+                made["operations"] = f.lists(size, operation.take(pa.array(below)))
+            made = [made[c] if c in made else pa.nulls(f.n, ADDED_SCHEMA.field(c).type) for c in added]
+            yield from pa.Table.from_arrays([*[t.column(c) for c in names], *made], names=[*names, *added]).to_batches()
 
     return by_key(spans.select(*names), ["trace_id"], ["start_ns", "span_id"], run, f"{COLUMNS}, {ADDED}")
 

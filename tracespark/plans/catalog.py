@@ -119,10 +119,11 @@ tree AS (
 )"""
 SELF = f"{TREE}, selves AS (SELECT t.*, duration_ms - coalesce(c.child_ms, 0) AS self_ms FROM tree t LEFT JOIN (SELECT trace_id, parent_span_id, sum(duration_ms) AS child_ms FROM spans WHERE parent_span_id <> '' GROUP BY ALL) c ON c.trace_id = t.trace_id AND c.parent_span_id = t.span_id)"
 tree = lambda s, d: trees.trees(spans(s, d))
+with_paths = lambda s, d: trees.trees(spans(s, d), paths=True)
 q("TR04_depths", lambda s, d: trees.depths(tree(s, d)), f"{TREE} SELECT trace_id, max(depth) AS depth FROM tree GROUP BY trace_id")
-q("JN06_tree_descent", lambda s, d: tree(s, d).filter("in_tree").select("trace_id", "span_id", "depth", F.array_join("frames", ";").alias("path")), f"{TREE} SELECT trace_id, span_id, depth, path FROM tree")
+q("JN06_tree_descent", lambda s, d: with_paths(s, d).filter("in_tree").select("trace_id", "span_id", "depth", F.array_join("frames", ";").alias("path")), f"{TREE} SELECT trace_id, span_id, depth, path FROM tree")
 q("FG01_frames", lambda s, d: rounded(flame.frames(tree(s, d)).select("trace_id", "span_id", "name", "value_us", "self_ms", "depth")), f"{SELF} SELECT trace_id, span_id, name, CAST(floor(duration_ms * 1000) AS BIGINT) AS value_us, round(self_ms, 6) AS self_ms, depth FROM selves")
-q("FG02_folded_stacks", lambda s, d: flame.folded(tree(s, d)), f"{TREE} SELECT trace_id, row_number() OVER (PARTITION BY trace_id ORDER BY place) - 1 AS visit, path || ' ' || CAST(floor(duration_ms * 1000) AS BIGINT) AS line FROM tree")
+q("FG02_folded_stacks", lambda s, d: flame.folded(with_paths(s, d)), f"{TREE} SELECT trace_id, row_number() OVER (PARTITION BY trace_id ORDER BY place) - 1 AS visit, path || ' ' || CAST(floor(duration_ms * 1000) AS BIGINT) AS line FROM tree")
 STATS = f"{SELF} SELECT name, round(sum(duration_ms), 2) AS total_ms, count(*) AS calls, round(sum(self_ms), 2) AS self_ms, round(sum(duration_ms) / (SELECT sum(duration_ms) FROM tree WHERE depth = 1) * 100, 6) AS percentage FROM selves GROUP BY name"
 frame_stats = lambda s, d: flame.frame_stats(tree(s, d)).withColumns({"total_ms": F.round("total_ms", 2), "self_ms": F.round("self_ms", 2), "percentage": F.round("percentage", 6)})
 q("AGG12_frame_stats", frame_stats, STATS)
@@ -150,7 +151,7 @@ EULER = f"""{TREE}, mark AS (
 FNV = "lower(lpad(to_hex(CAST(list_reduce(list_prepend(14695981039346656037::HUGEINT, list_transform(string_split(structure, ''), lambda c: ascii(c)::HUGEINT)), lambda h, c: (xor(h, c) * 1099511628211::HUGEINT) % 18446744073709551616::HUGEINT) AS UBIGINT)), 16, '0'))"
 signed = lambda s, d: similarity.signatures(trees.trees(spans(s, d), structures=True))
 q("CMP03_subtree_structures", lambda s, d: signed(s, d).select("trace_id", "span_id", "structure", F.array_join("operations", ",").alias("operations"), "depth"), f"{EULER} SELECT trace_id, span_id, structure, operations, depth FROM subtree JOIN names USING (trace_id, span_id)")
-q("CMP04_signatures", lambda s, d: signed(s, d).filter("is_root").select("trace_id", "hash", "depth"), f"{EULER} SELECT trace_id, {FNV} AS hash, depth FROM subtree JOIN names USING (trace_id, span_id) WHERE span_id = lpad('1', 16, '0')")
+q("CMP04_signatures", lambda s, d: similarity.signatures(trees.trees(spans(s, d), structures="roots")).filter("is_root").select("trace_id", "hash", "depth"), f"{EULER} SELECT trace_id, {FNV} AS hash, depth FROM subtree JOIN names USING (trace_id, span_id) WHERE span_id = lpad('1', 16, '0')")
 q("CMP05_signature_of_every_subtree", lambda s, d: signed(s, d).groupBy("structure").agg(F.first("hash").alias("hash"), F.count(F.lit(1)).alias("count")).select("hash", "count"), f"{EULER} SELECT {FNV} AS hash, n AS count FROM (SELECT structure, count(*) AS n FROM subtree GROUP BY structure)")
 q("AGG13_repeated_subtrees", lambda s, d: similarity.occurrences(signed(s, d), True).select("structure", "count", "hits"), f"{EULER} SELECT structure, count(*) AS count, count(*) - 1 AS hits FROM subtree GROUP BY structure HAVING count(*) > 1")
 q("CMP09_cache_counters", lambda s, d: similarity.occurrences(signed(s, d)).agg(F.sum("hits").alias("hits"), F.count(F.lit(1)).alias("misses")), f"{EULER} SELECT CAST(sum(n - 1) AS BIGINT) AS hits, count(*) AS misses FROM (SELECT count(*) AS n FROM subtree GROUP BY structure)")

@@ -98,13 +98,14 @@ def write_spans(spans: DataFrame, path: str, quarantine: str | None = None, mode
 
 
 def read_spans(spark: SparkSession, path: str, start: str | None = None, end: str | None = None) -> DataFrame:
-    """SRC-12: the spans of a time range; months outside it aren't read."""
+    """SRC-12: the spans of a time range, with the month that they are kept under; months outside
+    it aren't read, and operators with a time range of their own prune by it too."""
     found = spark.read.parquet(path)
     for c, bound, keeps in (("start", start, lambda a, b: a >= b), ("end", end, lambda a, b: a <= b)):
         if bound is not None:
             t = F.lit(bound).cast("timestamp")
             found = found.filter(keeps(F.col("start_time"), t) & keeps(F.col("month").cast("string"), month(t)))
-    return found.drop("month")
+    return found
 
 
 def create_table(spark: SparkSession, name: str, location: str) -> None:
