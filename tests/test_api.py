@@ -1,5 +1,6 @@
 import json
 import threading
+import urllib.error
 import urllib.request
 
 import pytest
@@ -47,6 +48,9 @@ def test_statistics(engine):
     assert get(engine, "/api/v1/anomaly/stats")[1]["data"][0]["n"] > 0
     packed = get(engine, "/api/v1/compression/stats")[1]["data"]
     assert packed["totals"]["total_spans"] == sampling["total"] and all(s["count"] > 1 for s in packed["signatures"])
+    assert packed["duplicate_subtrees"] >= len(packed["signatures"]) and packed["cache_hits"] >= packed["duplicate_subtrees"]
+    page = get(engine, "/api/v1/compression/stats?limit=1&offset=1")[1]["data"]["signatures"]
+    assert page == packed["signatures"][1:2]
     assert get(engine, "/api/v1/health")[1]["data"]["services"] == 4
     assert get(engine, "/api/v1/system/stats")[0] == 200 and get(engine, "/metrics")[0] == 200
     assert get(engine, "/api/v1/nothing")[0] == 404 and api.millis("x") == 0
@@ -66,4 +70,23 @@ def test_over_http(engine):
     threading.Thread(target=server.serve_forever, daemon=True).start()
     with urllib.request.urlopen(f"http://127.0.0.1:{server.server_address[1]}/api/v1/services") as r:
         assert json.load(r)["code"] == 200 and r.headers["Access-Control-Allow-Origin"] == "*"
+    ask = urllib.request.Request(f"http://127.0.0.1:{server.server_address[1]}/api/v1/services", method="OPTIONS")
+    with urllib.request.urlopen(ask) as r:
+        assert r.status == 204 and "OPTIONS" in r.headers["Access-Control-Allow-Methods"]
+    broken = api.serve(None, 0)
+    threading.Thread(target=broken.serve_forever, daemon=True).start()
+    with pytest.raises(urllib.error.HTTPError) as e:
+        urllib.request.urlopen(f"http://127.0.0.1:{broken.server_address[1]}/api/v1/services")
+    assert e.value.code == 500 and json.load(e.value)["code"] == 500
+    broken.shutdown()
     server.shutdown()
+
+
+def test_system_statistics_alert():
+    class Counters:
+        def stats(self):
+            return {"total": 1000, "dropped": 125, "failed": 11, "queue_size": 81, "queue_capacity": 100, "connections": 500_001}
+
+    found = api.Engine(None, counters=Counters()).system_stats()
+    assert found["drop_rate"] == 12.5 and found["queue_usage_percent"] == 81 and len(found["alerts"]) == 3 and len(found["warnings"]) == 1
+    assert api.Engine(None).system_stats()["alerts"] == []

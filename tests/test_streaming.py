@@ -64,7 +64,7 @@ def test_map_rollup_and_rate(spark, sf, stream):
     of, run = stream
     spans = views.spans(spark, sf).withColumn("start_time", F.timestamp_micros(F.expr("(start_ns div 1000) % 3600000000"))).filter("trace_id < lpad('300', 32, '0')")
     got = run(S.map_rollup(of(spans)), "edges")
-    assert set(got.columns) >= {"minute_us", "source_service", "dest_service", "call_count"}
+    assert set(got.columns) >= {"minute_us", "source_service", "dest_service", "call_count", "avg_duration_ms", "p95_duration_ms", "p99_duration_ms"}
     rate = run(S.events_per_second(of(views.latencies(spark, sf), "in2")), "rate")
     assert rate.count() > 0
 
@@ -81,6 +81,11 @@ def test_sinks_and_counters(spark, sf, stream, tmp_path):
     again.awaitTermination()
     assert tables.read_spans(spark, str(tmp_path / "out")).count() == spans.count()
     spark.streams.removeListener(listener)
+    tables.write_spans(spans, str(tmp_path / "out"), batch=0)  # as when the same batch is tried again
+    bad = spans.limit(3).withColumn("trace_id", F.lit(""))
+    for _ in range(2):
+        tables.write_spans(bad, str(tmp_path / "out"), str(tmp_path / "bad"), batch=9)
+    assert tables.read_spans(spark, str(tmp_path / "out")).count() == spans.count() and spark.read.parquet(str(tmp_path / "bad")).count() == 3
     assert listener.stats()["dropped"] == 0
     posted = tmp_path / "posted"
     posted.mkdir()

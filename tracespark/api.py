@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import argparse
 import json
+import logging
 import re
 import time
-from datetime import datetime, timedelta, timezone
+from datetime import datetime, timezone
 from http.server import BaseHTTPRequestHandler, ThreadingHTTPServer
 from urllib.parse import parse_qs, unquote, urlparse
 
@@ -16,6 +18,11 @@ from .operators import anomaly, flame, sampling, search, similarity, stats, tree
 from .operators.search import STATS_BACK, TraceQuery
 
 
+LOG = logging.getLogger(__name__)
+# The headers that browsers of other hosts ask for.
+CORS = (("Access-Control-Allow-Origin", "*"), ("Access-Control-Allow-Methods", "GET, POST, PUT, DELETE, OPTIONS"), ("Access-Control-Allow-Headers", "Content-Type, Authorization"))
+
+
 class NotFound(Exception):
     """Nothing has that id."""
 
@@ -68,16 +75,25 @@ class Engine:
     def service_map(self, start_ms=None, end_ms=None) -> list[dict]:
         return [r.asDict() for r in stats.service_map(self.spans, *self._range(start_ms, end_ms)).collect()]
 
-    def sampling_stats(self) -> dict:
-        return sampling.counters(sampling.sampled(self.spans, self.rates)).collect()[0].asDict()
+    def _within(self, start_ms, end_ms) -> DataFrame:
+        """All spans, or those of a time range where one is asked for."""
+        return search.matching(self.spans, TraceQuery(start_us=millis(start_ms) * 1000 or None, end_us=millis(end_ms) * 1000 or None)).drop("month")
+
+    def sampling_stats(self, start_ms=None, end_ms=None) -> dict:
+        return sampling.counters(sampling.sampled(self._within(start_ms, end_ms), self.rates)).collect()[0].asDict()
 
-    def anomaly_stats(self) -> list[dict]:
-        return [r.asDict() for r in anomaly.listing(anomaly.fold(self.spans, self.detector)).collect()]
+    def anomaly_stats(self, start_ms=None, end_ms=None) -> list[dict]:
+        return [r.asDict() for r in anomaly.listing(anomaly.fold(self._within(start_ms, end_ms), self.detector)).collect()]
 
-    def compression_stats(self, top: int = 100) -> dict:
-        signed = similarity.signatures(trees.trees(self.spans, structures=True))
-        repeated = similarity.occurrences(signed, repeated_only=True).orderBy(F.desc("count"), "hash").limit(top)
-        return {"totals": similarity.totals(similarity.compress(self.spans)).collect()[0].asDict(), "signatures": [r.asDict() for r in repeated.collect()]}
+    def compression_stats(self, limit: int = 100, offset: int = 0, start_ms=None, end_ms=None) -> dict:
+        """CMP-09, AGG-17: totals over all subtrees, and a page of the signatures that repeat."""
+        spans = self._within(start_ms, end_ms)
+        all_ = similarity.occurrences(similarity.signatures(trees.trees(spans, structures=True))).cache()
+        repeated = all_.filter("count > 1").orderBy(F.desc("count"), "hash").offset(max(0, offset)).limit(limit if limit > 0 else 100)
+        counted = all_.agg(F.coalesce(F.sum("hits"), F.lit(0)).alias("cache_hits"), F.count(F.lit(1)).alias("cache_misses"), F.count_if(F.col("count") > 1).alias("duplicate_subtrees")).first().asDict()
+        found = {"totals": similarity.totals(similarity.compress(spans)).collect()[0].asDict(), **counted, "signatures": [r.asDict() for r in repeated.collect()]}
+        all_.unpersist()
+        return found
 
     def flamegraph(self, trace_id: str, form: str = "svg", width: int = flame.WIDTH):
         """FG-01 to FG-06 for one trace."""
@@ -96,11 +112,15 @@ class Engine:
         return {"status": "healthy", "services": search.service_count(self.spans).collect()[0].services, "uptime_seconds": time.time() - self.since}
 
     def system_stats(self) -> dict:
-        """AGG-14, SNK-08."""
-        return self.counters.stats() if self.counters else {}
+        """AGG-14, SNK-08: counters, what was lost in percent, alerts and warnings."""
+        c = {"total": 0, "dropped": 0, "failed": 0, "queue_size": 0, "queue_capacity": 0, "connections": 0} | (self.counters.stats() if self.counters else {})
+        percent = lambda a, b: c[a] / c[b] * 100 if c[b] else 0.0
+        told = ((c["dropped"] > stats.EVENTS_DROPPED, f"events dropped: {c['dropped']}"), (c["queue_size"] > c["queue_capacity"] * stats.QUEUE_FULL, f"queue almost full: {c['queue_size']} of {c['queue_capacity']}"), (c["failed"] > stats.FAILED_BATCHES, f"failed batches: {c['failed']}"))
+        warnings = [f"open connections: {c['connections']}"] if c["connections"] > stats.CONNECTIONS else []
+        return {**c, "drop_rate": percent("dropped", "total"), "queue_usage_percent": percent("queue_size", "queue_capacity"), "alerts": [text for so, text in told if so], "warnings": warnings, "timestamp": int(time.time())}
 
     def metrics(self) -> str:
-        return "".join(f"tracespark_{k} {v}\n" for k, v in self.system_stats().items())
+        return "".join(f"tracespark_{k} {v}\n" for k, v in self.system_stats().items() if isinstance(v, (int, float)))
 
 
 def assembled(rows: list[dict]) -> dict:
@@ -130,9 +150,9 @@ def answer(engine: Engine, target: str) -> tuple[int, str, str]:
         r"/services": lambda: engine.services(),
         r"/services/([^/]+)/stats": lambda s: engine.service_stats(s, q.get("start"), q.get("end")),
         r"/service-map": lambda: engine.service_map(q.get("start"), q.get("end")),
-        r"/sampling/stats": lambda: engine.sampling_stats(),
-        r"/anomaly/stats": lambda: engine.anomaly_stats(),
-        r"/compression/stats": lambda: engine.compression_stats(),
+        r"/sampling/stats": lambda: engine.sampling_stats(q.get("start"), q.get("end")),
+        r"/anomaly/stats": lambda: engine.anomaly_stats(q.get("start"), q.get("end")),
+        r"/compression/stats": lambda: engine.compression_stats(millis(q.get("limit")), millis(q.get("offset")), q.get("start"), q.get("end")),
         r"/health": lambda: engine.health(),
         r"/system/stats": lambda: engine.system_stats(),
     }
@@ -154,21 +174,47 @@ def serve(engine: Engine, port: int = 8080) -> ThreadingHTTPServer:
     """An HTTP server for the routes; the caller runs serve_forever()."""
 
     class Handler(BaseHTTPRequestHandler):
-        def do_GET(self):
-            status, kind, body = answer(engine, self.path)
+        def reply(self, status: int, kind: str, body: str) -> None:
             data = body.encode()
             self.send_response(status)
-            for name, value in (("Content-Type", kind), ("Content-Length", str(len(data))), ("Access-Control-Allow-Origin", "*")):
+            for name, value in (("Content-Type", kind), ("Content-Length", str(len(data))), *CORS):
                 self.send_header(name, value)
             self.end_headers()
             self.wfile.write(data)
 
+        def do_OPTIONS(self):
+            self.reply(204, "text/plain", "")
+
+        def do_GET(self):
+            began = time.perf_counter()
+            try:
+                found = answer(engine, self.path)
+            except Exception:
+                LOG.exception("%s", self.path)
+                found = 500, "application/json", json.dumps(envelope(None, 500, "internal error"))
+            self.reply(*found)
+            LOG.info("GET %s %s %d %.3f s", self.path, self.client_address[0], found[0], time.perf_counter() - began)
+
         def log_message(self, form, *args):
             pass
 
     return ThreadingHTTPServer(("", port), Handler)
 
 
-def last_hours(hours: float = 24) -> TraceQuery:
-    now = datetime.now(timezone.utc)
-    return TraceQuery(start_us=int((now - timedelta(hours=hours)).timestamp() * 1e6), end_us=int(now.timestamp() * 1e6))
+def main() -> None:
+    """python -m tracespark.api --spans FOLDER [--port N]"""
+    from pyspark.sql import SparkSession
+
+    from .sources import tables
+
+    parser = argparse.ArgumentParser(description=main.__doc__)
+    parser.add_argument("--spans", required=True)
+    parser.add_argument("--port", type=int, default=8080)
+    given = parser.parse_args()
+    logging.basicConfig(level=logging.INFO)
+    spark = SparkSession.builder.appName("tracespark").getOrCreate()
+    serve(Engine(tables.read_spans(spark, given.spans)), given.port).serve_forever()
+
+
+if __name__ == "__main__":
+    main()

@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from .search import between_us, has_parent, is_error
 
 MINUTE_US = 60_000_000
+# What may be lost, wait, fail and be open before an alert or a warning.
+EVENTS_DROPPED, QUEUE_FULL, FAILED_BATCHES, CONNECTIONS = 100, 0.8, 10, 500_000
 
 
 def quantile(p: float, exact: bool = True, column: str = "duration_ms") -> Column:
@@ -100,10 +102,16 @@ def merged_stats(parts: DataFrame, every_us: int = 60 * MINUTE_US) -> DataFrame:
 
 
 def drop_rates(counters: DataFrame) -> DataFrame:
-    """AGG-14: shares of events and spans lost, null where there was nothing; alerts above 5 and 1 %."""
-    share = lambda a, b: F.when(F.col(b) > 0, F.col(a) / F.col(b))
+    """AGG-14: events and spans lost and the queue's filling in percent, 0 where there was nothing, and what
+    of it raises an alert or a warning. A queue of the source holds what isn't read yet."""
+    percent = lambda a, b: F.when(F.col(b) > 0, F.col(a) / F.col(b) * 100).otherwise(0.0)
     return counters.select(
         "*",
-        share("events_dropped", "events_total").alias("event_drop_rate"),
-        share("spans_dropped", "spans_total").alias("span_drop_rate"),
-    ).withColumns({"event_alert": F.coalesce(F.col("event_drop_rate") > 0.05, F.lit(False)), "span_alert": F.coalesce(F.col("span_drop_rate") > 0.01, F.lit(False))})
+        percent("events_dropped", "events_total").alias("event_drop_rate"),
+        percent("spans_dropped", "spans_total").alias("span_drop_rate"),
+        percent("queue_size", "queue_capacity").alias("queue_usage_percent"),
+        (F.col("events_dropped") > EVENTS_DROPPED).alias("event_alert"),
+        (F.col("queue_size") > F.col("queue_capacity") * QUEUE_FULL).alias("queue_alert"),
+        (F.col("failed_batches") > FAILED_BATCHES).alias("batch_alert"),
+        (F.col("connections") > CONNECTIONS).alias("connection_warning"),
+    )

@@ -83,12 +83,12 @@ q("AGG09_trace_envelopes", lambda s, d: search.envelopes(spans(s, d)).select("tr
 q("AGG10_service_count", lambda s, d: search.service_count(spans(s, d)), "SELECT count(DISTINCT service_name) AS services FROM spans")
 q_rounded("AGG11_moments", lambda s, d: anomaly.moments(spans(s, d)), "SELECT service_name, operation, protocol, count(*) AS n, sum(duration_ms) AS total, avg(duration_ms) AS mean, coalesce(stddev_samp(duration_ms), 0) AS stddev FROM spans WHERE duration_ms > 0 GROUP BY ALL", ("total", "mean", "stddev"))
 q("AGG14_drop_rates", lambda s, d: drop_rates(s, d),
-  "SELECT *, round(CASE WHEN events_total > 0 THEN events_dropped / events_total END, 6) AS event_drop_rate, round(CASE WHEN spans_total > 0 THEN spans_dropped / spans_total END, 6) AS span_drop_rate, coalesce(CASE WHEN events_total > 0 THEN events_dropped / events_total END > 0.05, false) AS event_alert, coalesce(CASE WHEN spans_total > 0 THEN spans_dropped / spans_total END > 0.01, false) AS span_alert FROM (SELECT service_name, count(*) AS events_total, count(*) FILTER (error_code >= 400) AS events_dropped, count(*) FILTER (duration_ms > 5000) AS spans_total, count(*) FILTER (duration_ms > 300000) AS spans_dropped FROM spans GROUP BY service_name)")
+  "SELECT *, round(CASE WHEN events_total > 0 THEN events_dropped / events_total * 100 ELSE 0 END, 6) AS event_drop_rate, round(CASE WHEN spans_total > 0 THEN spans_dropped / spans_total * 100 ELSE 0 END, 6) AS span_drop_rate, round(CASE WHEN queue_capacity > 0 THEN queue_size / queue_capacity * 100 ELSE 0 END, 6) AS queue_usage_percent, events_dropped > 100 AS event_alert, queue_size * 10 > queue_capacity * 8 AS queue_alert, failed_batches > 10 AS batch_alert, connections > 500000 AS connection_warning FROM (SELECT service_name, count(*) AS events_total, count(*) FILTER (error_code >= 400) AS events_dropped, count(*) FILTER (duration_ms > 5000) AS spans_total, count(*) FILTER (duration_ms > 300000) AS spans_dropped, count(*) FILTER (duration_ms > 900) AS queue_size, count(*) FILTER (duration_ms > 800) AS queue_capacity, count(*) FILTER (duration_ms > 980) AS failed_batches, count(*) * 100 AS connections FROM spans GROUP BY service_name)")
 
 
 def drop_rates(s, d):
     over = lambda c: F.count_if(F.expr(c))
-    counted = spans(s, d).groupBy("service_name").agg(F.count(F.lit(1)).alias("events_total"), over("error_code >= 400").alias("events_dropped"), over("duration_ms > 5000").alias("spans_total"), over("duration_ms > 300000").alias("spans_dropped"))
+    counted = spans(s, d).groupBy("service_name").agg(F.count(F.lit(1)).alias("events_total"), over("error_code >= 400").alias("events_dropped"), over("duration_ms > 5000").alias("spans_total"), over("duration_ms > 300000").alias("spans_dropped"), over("duration_ms > 900").alias("queue_size"), over("duration_ms > 800").alias("queue_capacity"), over("duration_ms > 980").alias("failed_batches"), (F.count(F.lit(1)) * 100).alias("connections"))
     return rounded(stats.drop_rates(counted))
 
 
@@ -96,7 +96,7 @@ def drop_rates(s, d):
 
 ONE = "1".rjust(32, "0")
 q("SRT01_trace_in_order", lambda s, d: search.trace(spans(s, d), ONE).select("span_id", us()), f"SELECT span_id, start_us FROM spans WHERE trace_id = '{ONE}' ORDER BY start_us, span_id")
-q("SRT02_latest_first", lambda s, d: search.trace_ids(spans(s, d), TraceQuery(limit=50)).select("trace_id"), "SELECT trace_id FROM spans GROUP BY trace_id ORDER BY max(start_us) DESC, trace_id LIMIT 50")
+q("SRT02_latest_first", lambda s, d: search.trace_ids(spans(s, d), TraceQuery()).select("trace_id"), "SELECT trace_id FROM spans GROUP BY trace_id ORDER BY max(start_us) DESC, trace_id")
 q("SRT03_services_by_name", lambda s, d: search.services(spans(s, d)), "SELECT DISTINCT service_name FROM spans ORDER BY service_name")
 q("SRT04_most_calls_first", lambda s, d: stats.service_stats(spans(s, d), None, None, None).select("operation", "protocol", "call_count"), "SELECT operation, protocol, count(*) AS call_count FROM spans GROUP BY ALL ORDER BY call_count DESC, operation, protocol")
 q("SRT05_children_in_order", lambda s, d: trees.children_in_order(spans(s, d)), "SELECT trace_id, parent_span_id, string_agg(span_id, ',' ORDER BY start_us, span_id) AS children FROM spans WHERE parent_span_id <> '' GROUP BY ALL")
@@ -178,9 +178,26 @@ one AS (SELECT structure AS s1, string_split(operations, ',') AS a FROM subtree
 two AS (SELECT structure, depth, a, string_split(ops, ',') AS b FROM sig, one WHERE structure <> s1)
 SELECT hash, similarity, depth FROM (SELECT {FNV} AS hash, round({SIM} / (len(list_distinct(a)) + len(b) - {SIM}), 6) AS similarity, depth FROM two) WHERE similarity >= 0.6""")
 packed = lambda s, d: similarity.compress(wide(s, d))
-q("CMP01_compress", lambda s, d: packed(s, d).select("trace_id", "span_id", "is_compressed", "original_size", "compressed_size"))
+
+
+def compressed(s, d):
+    """Whether each span's compression keeps the rules: long enough and enough gained, or left as it is."""
+    gains = (F.col("original_size") >= similarity.LEAST_BYTES) & (F.col("original_size") >= similarity.LEAST_RATIO * F.col("compressed_size")) & (F.col("compressed_size") == F.length("data"))
+    kept = (F.col("original_size") == F.col("compressed_size")) & (F.length("data") == F.col("original_size")) & (F.col("ratio") == 1)
+    return packed(s, d).select("trace_id", "span_id", F.when(F.col("is_compressed"), gains).otherwise(kept).alias("by_the_rules"), (F.col("original_size") >= 256).alias("is_long"))
+
+
+q("CMP01_compress", compressed, f"SELECT {IDS}, true AS by_the_rules, true AS is_long FROM spans")
 q("CMP02_decompress", lambda s, d: similarity.decompress(packed(s, d), "trace_id string, span_id string, duration_ms double").select("trace_id", "span_id", "duration_ms"), f"SELECT {IDS}, duration_ms FROM spans")
-q("AGG17_compression_totals", lambda s, d: similarity.totals(packed(s, d)).select("total_spans"), "SELECT count(*) AS total_spans FROM spans")
+
+def sized(s, d):
+    """Sizes as compress() gives them, made from the spans so that SQL can state them."""
+    size = F.col("payload_size") + 256
+    return spans(s, d).select((F.col("payload_size") % 3 == 0).alias("is_compressed"), size.alias("original_size"), F.expr("(payload_size + 256) div 3").alias("compressed_size"))
+
+
+q("AGG17_compression_totals", lambda s, d: rounded(similarity.totals(sized(s, d))),
+  "SELECT total_spans, compressed_spans, total_original, total_compressed, round(total_original / total_compressed, 6) AS ratio, round((1 - total_compressed / total_original) * 100, 6) AS savings_percent FROM (SELECT count(*) AS total_spans, count(*) FILTER (payload_size % 3 = 0) AS compressed_spans, CAST(sum(payload_size + 256) FILTER (payload_size % 3 = 0) AS BIGINT) AS total_original, CAST(sum((payload_size + 256) // 3) FILTER (payload_size % 3 = 0) AS BIGINT) AS total_compressed FROM spans)")
 
 
 def wide(s, d):
@@ -276,7 +293,7 @@ A("SNK07_alert_bodies", lambda s, d: anomaly.alert_body(anomaly.alerts(folded(s,
 
 FNV32 = "CAST(list_reduce(list_prepend(2166136261::HUGEINT, list_transform(string_split(name, ''), lambda c: ascii(c)::HUGEINT)), lambda h, c: (xor(h, c) * 16777619::HUGEINT) % 4294967296::HUGEINT) AS BIGINT)"
 q("FG06_colours", lambda s, d: flame.colours(tree(s, d)), f"{TREE}, hashed AS (SELECT *, {FNV32} AS h FROM tree) SELECT trace_id, span_id, CAST(CASE WHEN duration_ms > 500 THEN 0 WHEN duration_ms > 200 THEN 30 ELSE 200 + h % 60 END AS BIGINT) AS hue, CAST(CASE WHEN duration_ms > 500 THEN 90 WHEN duration_ms > 200 THEN 80 ELSE 60 + h // 256 % 30 END AS BIGINT) AS saturation, greatest(70 - 3 * (depth - 1), 40) AS lightness FROM hashed")
-q("ST12_minute_windows", lambda s, d: latencies(s, d).groupBy(F.window("start_time", "1 minute")).agg(F.count(F.lit(1)).alias("n")).select(F.unix_micros("window.start").alias("minute_us"), "n"), "SELECT start_us - start_us % 60000000 AS minute_us, count(*) AS n FROM latencies GROUP BY ALL", LATENCIES_SQL)
+q("ST12_minute_windows", lambda s, d: stats.stats_rollup(latencies(s, d)).groupBy("minute_us").agg(F.sum("call_count").alias("n")), "SELECT start_us - start_us % 60000000 AS minute_us, count(*) AS n FROM latencies GROUP BY ALL", LATENCIES_SQL)
 NOW = 1706000000_000000
 
 

@@ -52,7 +52,6 @@ scalar("S18_tags_to_text", lambda: S.tags_to_text(tags()), "'a=' || event_id ||
 loose = lambda: F.concat(lit("x,k="), text(ID), lit(",q=1=2,k="), col("event_type"))
 scalar("S19_text_to_tags", lambda: F.concat_ws("|", S.text_to_tags(loose())["k"], S.text_to_tags(loose())["q"], F.size(S.text_to_tags(loose())).cast("string")), "event_type || '|1=2|2'")
 scalar("S20_truncated", lambda: S.truncated(F.repeat(col("event_type"), 4), 20), "CASE WHEN length(repeat(event_type, 4)) > 20 THEN left(repeat(event_type, 4), 20) || '...' ELSE repeat(event_type, 4) END")
-scalar("S21_to_json", lambda: F.get_json_object(F.to_json(F.struct("event_type", ID)), "$.event_id").cast("long"), "event_id")
 scalar("S23_described", lambda: S.described(text("user_id"), text(ID), lit("svc"), col("event_type"), col("value")), "format('Span[trace={}, span={}, service=svc, op={}, dur={:.2f}ms]', user_id, event_id, event_type, value)")
 scalar("S24_frame_name", lambda: S.frame_name(lit("svc"), col("event_type"), F.when(col(ID) % 2 == 0, "http").otherwise("")), "'svc:' || event_type || CASE WHEN event_id % 2 = 0 THEN ' [http]' ELSE '' END")
 scalar("S26_set_tag", lambda: S.tags_to_text(S.set_tag(tags(), "a", lit("new"))), "'a=new,b=' || event_type")
@@ -147,6 +146,7 @@ def dispatched(s, d):
 
 OP = f"CASE event_id % 3 WHEN 0 THEN {req(chr(39) + 'GET /' + chr(39) + ' || event_type || ' + chr(39) + '/' + chr(39) + ' || event_id')} WHEN 1 THEN 'svc.' || event_type || '/m' || event_id ELSE 'PING ' || event_type END"
 over("PP00_dispatcher", dispatched, lambda: {"operation": col("parsed_operation"), "trace_id": col("parsed_trace_id")}, f"{OP} AS operation, CASE event_id % 3 WHEN 0 THEN {req(chr(39) + 't' + chr(39) + ' || user_id')} WHEN 1 THEN 't' || user_id END AS trace_id")
+over("S21_to_json", lambda s, d: protocols.info_json(dispatched(s, d)), lambda: {"status": F.get_json_object("info", "$.http.status").cast("int"), "has_raw": F.get_json_object("info", "$.raw").isNotNull()}, f"CAST(CASE WHEN event_id % 3 = 0 THEN {res('event_id % 300 + 200')} END AS INT) AS status, true AS has_raw")
 over("PP07_http_operation", dispatched, lambda: {"error_code": F.coalesce(F.when(col("protocol") == "http", col("parsed_error_code")), lit(0))}, f"CAST(coalesce(CASE WHEN event_id % 3 = 0 THEN {res('event_id % 300 + 200')} END, 0) AS INT) AS error_code")
 over("PP11_grpc_operation", dispatched, lambda: {"operation": F.when(col("protocol") == "grpc", col("parsed_operation"))}, "CASE WHEN event_id % 3 = 1 THEN 'svc.' || event_type || '/m' || event_id END AS operation")
 over("FLT05_request_payloads", parsed(http_payload, correlate.is_request), lambda: {"result": col("p")}, f"{EVEN} AS result")

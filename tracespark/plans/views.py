@@ -60,8 +60,8 @@ def spans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 SPANS_SQL = f"""
-numbered AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY {", ".join(LINE_ORDER)}) AS rn FROM lineitem),
-spans AS (
+numbered AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY {", ".join(LINE_ORDER)}) AS rn FROM lineitem),
+spans AS MATERIALIZED (
   SELECT *, epoch_us(start_time) AS start_us, epoch_us(start_time) + CAST(floor(duration_ms * 1000) AS BIGINT) AS end_us FROM (
     SELECT lpad(CAST(o_orderkey AS VARCHAR), 32, '0') AS trace_id, lpad('1', 16, '0') AS span_id, '' AS parent_span_id, 'gateway' AS service_name,
            o_orderpriority AS operation, o_orderdate AS start_time, o_totalprice / 1000 AS duration_ms,
@@ -161,4 +161,5 @@ def raw_records(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def oracle(body: str, *views: str) -> str:
     """SQL with these views in front."""
-    return f"WITH RECURSIVE {', '.join(v.strip() for v in views)} {body}" if not body.lstrip().startswith(",") else f"WITH RECURSIVE {', '.join(v.strip() for v in views)}{body}"
+    recursive = "RECURSIVE " if "UNION ALL" in body else ""
+    return f"WITH {recursive}{', '.join(v.strip() for v in views)}{'' if body.lstrip().startswith(',') else ' '}{body}"

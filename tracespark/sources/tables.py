@@ -80,21 +80,26 @@ def good(spans: DataFrame) -> tuple[DataFrame, DataFrame]:
     return spans.filter(ok), spans.filter(~ok)
 
 
-def write_spans(spans: DataFrame, path: str, quarantine: str | None = None, mode: str = "append") -> None:
+def write_spans(spans: DataFrame, path: str, quarantine: str | None = None, mode: str = "append", batch: int | None = None) -> None:
     """SNK-04: Parquet by month, in order of time and trace within a file, with a Bloom filter on the
-    trace id; rows that can't be kept go to the quarantine."""
+    trace id; rows that can't be kept go to the quarantine. The rows of a numbered batch replace those
+    that an earlier try at it has left."""
     kept, bad = good(clean(spans))
     out = kept.withColumns({"timestamp": F.col("start_time"), "month": month(F.col("start_time"))})
+    folders = ["month"]
+    if batch is not None:
+        out, bad, folders, mode = out.withColumn("batch", F.lit(batch)), bad.withColumn("batch", F.lit(batch)), ["month", "batch"], "overwrite"
     (
         out.sortWithinPartitions("month", "start_time", "trace_id", "span_id")
         .write.mode(mode)
-        .partitionBy("month")
+        .partitionBy(*folders)
+        .option("partitionOverwriteMode", "static" if batch is None else "dynamic")
         .option("compression", "zstd")
         .option("parquet.bloom.filter.enabled#trace_id", "true")
         .parquet(path)
     )
     if quarantine:
-        bad.write.mode(mode).parquet(quarantine)
+        bad.write.mode(mode).partitionBy(*folders[1:]).option("partitionOverwriteMode", "static" if batch is None else "dynamic").parquet(quarantine)
 
 
 def read_spans(spark: SparkSession, path: str, start: str | None = None, end: str | None = None) -> DataFrame:
@@ -105,7 +110,7 @@ def read_spans(spark: SparkSession, path: str, start: str | None = None, end: st
         if bound is not None:
             t = F.lit(bound).cast("timestamp")
             found = found.filter(keeps(F.col("start_time"), t) & keeps(F.col("month").cast("string"), month(t)))
-    return found
+    return found.drop("batch")
 
 
 def create_table(spark: SparkSession, name: str, location: str) -> None:

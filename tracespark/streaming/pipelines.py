@@ -19,7 +19,7 @@ from ..operators.anomaly import FOLDED_SCHEMA, KEY, SAMPLE, Detector, State
 from ..operators.correlate import FINISHED, FINISHED_SCHEMA, IN_FLIGHT, TIMEOUT_S, Connection, finished_row
 from ..operators.sampling import Rates, keeps, rate
 from ..operators.search import has_parent, is_error
-from ..sources.tables import write_spans
+from ..sources.tables import with_retries, write_spans
 
 
 def correlated(events: DataFrame, most: int = IN_FLIGHT, timeout_s: float = TIMEOUT_S, late: str = "30 seconds") -> DataFrame:
@@ -125,8 +125,8 @@ def map_rollup(spans: DataFrame, late: str = "2 minutes", apart: str = "10 minut
     parent = timed.withWatermark("start_time", late).select(F.col("trace_id").alias("t"), F.col("span_id").alias("s"), F.col("service_name").alias("dest_service"), F.col("start_time").alias("parent_time"))
     near = F.expr(f"parent_time BETWEEN child_time - INTERVAL {apart} AND child_time + INTERVAL {apart}")
     edges = child.join(parent, (F.col("trace_id") == F.col("t")) & (F.col("of") == F.col("s")) & near)
-    found = edges.groupBy(F.window("child_time", "1 minute"), "source_service", "dest_service", "protocol").agg(F.count(F.lit(1)).alias("call_count"), F.count_if(is_error()).alias("error_count"), F.sum("duration_ms").alias("sum_duration_ms"))
-    return found.select(F.unix_micros("window.start").alias("minute_us"), "*").drop("window")
+    found = edges.groupBy(F.window("child_time", "1 minute"), "source_service", "dest_service", "protocol").agg(F.count(F.lit(1)).alias("call_count"), F.count_if(is_error()).alias("error_count"), F.sum("duration_ms").alias("sum_duration_ms"), *[F.percentile_approx("duration_ms", p, 10_000).alias(f"{n}_duration_ms") for n, p in (("p95", 0.95), ("p99", 0.99))])
+    return found.select(F.unix_micros("window.start").alias("minute_us"), "*").drop("window").withColumn("avg_duration_ms", F.col("sum_duration_ms") / F.col("call_count"))
 
 
 def events_per_second(spans: DataFrame, late: str = "10 seconds") -> DataFrame:
@@ -134,9 +134,14 @@ def events_per_second(spans: DataFrame, late: str = "10 seconds") -> DataFrame:
     return spans.withColumn("start_time", F.col("start_time").cast("timestamp")).withWatermark("start_time", late).groupBy(F.window("start_time", "10 seconds", "1 second")).agg((F.count(F.lit(1)) / 10).alias("eps")).select(F.col("window.end").alias("at"), "eps")
 
 
-def span_sink(spans: DataFrame, path: str, checkpoint: str, seconds: int = 5, once: bool = False) -> StreamingQuery:
-    """SNK-01, SNK-02: micro-batches of spans to Parquet; the checkpoint makes restarts exact."""
-    writer = spans.writeStream.option("checkpointLocation", checkpoint).foreachBatch(lambda df, _: write_spans(df, path))
+def span_sink(spans: DataFrame, path: str, checkpoint: str, seconds: int = 5, once: bool = False, quarantine: str | None = None, retries: int = 3) -> StreamingQuery:
+    """SNK-01 to SNK-03: micro-batches of spans to Parquet, tried again a few times when a write fails. Each
+    batch has folders of its own, which a repeated batch overwrites, so nothing is there twice."""
+
+    def write(df, batch):
+        with_retries(lambda: write_spans(df, path, quarantine, batch=batch), retries)
+
+    writer = spans.writeStream.option("checkpointLocation", checkpoint).foreachBatch(write)
     return (writer.trigger(availableNow=True) if once else writer.trigger(processingTime=f"{seconds} seconds")).start()
 
 
