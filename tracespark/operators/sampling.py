@@ -7,7 +7,7 @@ import functools
 import operator
 from dataclasses import dataclass, replace
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..schema import ERROR_FROM
@@ -61,11 +61,12 @@ def sampled_traces(spans: DataFrame, r: Rates = Rates(), forced: DataFrame | Non
 
 def per_second(spans: DataFrame, seconds: int = 10, service: str | None = None) -> DataFrame:
     """SMP-05, ST-13: events per second over the trailing `seconds`. Events are counted by the second
-    first, so that what one ordered window sees is a row a second, not the events."""
+    first; each second's count then goes to the seconds that it trails, so that no task sees them all."""
     second = F.expr("start_ns div 1000000000").alias("second")
     counts = spans.groupBy(second).agg(F.count(F.lit(1)).alias("n"))
-    trailing = Window.orderBy("second").rangeBetween(-(seconds - 1), 0)
-    return counts.select("second", "n", (F.sum("n").over(trailing) / seconds).alias("eps"))
+    reached = counts.select("second", "n", F.explode(F.sequence(F.col("second"), F.col("second") + seconds - 1)).alias("at"))
+    own = F.sum(F.when(F.col("second") == F.col("at"), F.col("n")))
+    return reached.groupBy("at").agg(own.alias("n"), (F.sum("n") / seconds).alias("eps")).filter("n IS NOT NULL").select(F.col("at").alias("second"), "n", "eps")
 
 
 def adaptive(spans: DataFrame, target_eps: float, r: Rates = Rates(), seconds: int = 10) -> DataFrame:
