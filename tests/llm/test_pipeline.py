@@ -1,5 +1,6 @@
 import duckdb
 import pytest
+from cases import no_documents, odd_documents
 
 import corpus_pipeline
 from tracespark.llm import op1_exact_dedup, op5_mixing, registry
@@ -44,6 +45,25 @@ def test_stages_one_by_one(spark, sf):
     assert sorted(map(tuple, corpus_pipeline.run(spark, sf).collect())) == sorted(map(tuple, out.collect()))
 
 
+def test_stages_of_odd_tables(spark, sf):
+    """Nulls, empty and long texts, repeated rows and columns of clashing names go through every stage."""
+    docs = odd_documents(spark)
+    for name, stage in corpus_pipeline.STAGES:
+        for input_ in (docs, no_documents(spark)):
+            out = stage(spark, input_, sf)
+            assert name == "tokens" or out.columns == input_.columns
+            if input_ is docs:
+                kept, texts = out, {r.text for r in docs.collect()}
+            else:
+                assert out.count() == 0
+        if name == "tokens":
+            assert kept.count() == docs.count()
+        else:
+            docs = spark.createDataFrame(kept.collect(), kept.schema)
+            assert docs.count() > 0 and {r.text for r in docs.collect()} <= texts
+    assert {r.doc_id for r in docs.collect()} >= {1, 5, 8, 10}
+
+
 def near(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     for _, stage in corpus_pipeline.STAGES[:3]:

@@ -2,12 +2,13 @@
 
 Each source is a queue of its documents in a shuffled order (a digest of the id), run through
 twice at most. A document's virtual finish time is the words its source has sent so far,
-divided by the source's target; all queues are merged by finish time and the merged order is
-truncated where the total budget is spent.
+divided by the source's target; all queues are merged by a range sort of finish times and the merged
+order is truncated where the total budget is spent.
 
 Running sums are taken in two steps, so that neither a hot source nor the merged order meets in
-one task: sums of order-preserving slices of about max(500, sqrt(rows)) rows first, then a window
-inside each slice, added to the sum of the slices before it.
+one task: of a source, sums of order-preserving slices of about max(500, sqrt(rows)) rows first, then a
+window inside each slice, added to the sum of the slices before it; of the merged order, sums of the
+sorted ranges first, then a window inside the one range where the budget ends.
 
 Defined cases: a null text has size 0 and is never taken more than zero words; a null source is
 a source of its own, sorted last, the empty string another; sources without words have
@@ -22,7 +23,7 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialise, table
+from .common import materialise, partitions, table
 
 #: Weights of the sources in code point order, repeating.
 WEIGHTS = (5, 2, 1)
@@ -86,19 +87,20 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     turns = materialise(
         queued.withColumn("f1", F.try_divide("sent", "target")).withColumn("f2", F.try_divide(F.col("sent") + F.col("source_size"), F.col("target")))
     )
-    bin_of = lambda f: F.least(F.floor(f * slices), F.lit(4 * slices))
     item = F.explode(F.array(F.col("f1"), F.col("f2")))
-    items = turns.filter("size > 0 and target > 0").select("size", "budget", item.alias("f")).withColumn("bin", bin_of(F.col("f")))
-    bins = items.groupBy("bin").agg(F.sum("size").alias("words"), F.first("budget").alias("budget"))
-    upto = F.sum("words").over(Window.orderBy("bin").rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    cut = bins.withColumn("upto", upto).filter("upto > budget").agg(F.min(F.struct("bin", (F.col("upto") - F.col("words")).alias("before"))).alias("c")).select("c.bin", "c.before").collect()[0]
-    if cut["bin"] is None:  # nothing has words
-        copies = F.lit(0)
-    else:
-        order = Window.orderBy("f").rangeBetween(Window.unboundedPreceding, Window.currentRow)
-        last = items.filter(F.col("bin") == cut["bin"]).withColumn("upto", F.sum("size").over(order) + F.lit(cut["before"])).filter("upto <= budget").agg(F.max("f")).collect()[0][0]
-        sent = lambda f: F.when((bin_of(f) < cut["bin"]) | (f <= (-1.0 if last is None else last)), 1).otherwise(0)
-        copies = F.when((F.col("size") > 0) & (F.col("target") > 0), sent(F.col("f1")) + sent(F.col("f2"))).otherwise(0)
+    items = turns.filter("size > 0 and target > 0").select("size", "budget", item.alias("f"))
+    merged = materialise(items.repartitionByRange(partitions(docs.sparkSession), "f").withColumn("range", F.spark_partition_id()))
+    ranges = merged.groupBy("range").agg(F.sum("size").alias("words"), F.max("f").alias("last"), F.first("budget").alias("budget")).orderBy("last").collect()
+    spent, last = 0, -1.0  # what is sent up to a finish time; nothing finishes before 0
+    for r in ranges:
+        if spent + r.words > r.budget:
+            order = Window.orderBy("f").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+            within = merged.filter(F.col("range") == r.range).withColumn("upto", F.sum("size").over(order) + spent).filter("upto <= budget").agg(F.max("f")).first()[0]
+            last = last if within is None else within
+            break
+        spent, last = spent + r.words, r.last
+    sent = lambda f: (F.col(f) <= last).cast("int")
+    copies = F.when((F.col("size") > 0) & (F.col("target") > 0), sent("f1") + sent("f2")).otherwise(0)
     return turns.select("doc_id", "t", "source", "size", "source_size", "target", (F.col("size") * copies).alias("taken"), copies.alias("copies"))
 
 
