@@ -32,12 +32,17 @@ def materialise(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def join_hot(many: DataFrame, one: DataFrame, keys: list[str], n: str, least: int) -> DataFrame:
-    """Inner join of many with one, which has a row for each key and in n how many rows of many have it. Keys
-    with over `least` rows, at most a `least`-th as many as there are rows, are broadcast, so that no
-    task needs all rows of such a key; the others meet in a shuffle. n is dropped."""
-    hot, rest = F.broadcast(one.filter(F.col(n) > least).drop(n)), one.filter(F.col(n) <= least).drop(n)
-    return many.join(hot, keys).unionByName(many.join(hot.select(*keys), keys, "left_anti").join(rest, keys))
+def join_hot(many: DataFrame, one: DataFrame, keys: list[str], n: str, least: int, counted: DataFrame | None = None) -> DataFrame:
+    """Inner join of many with one, which has a row for each key; n in `counted` (or one) says how many rows of
+    many have it. Keys with over `least` rows, at most a `least`-th as many as there are rows, are
+    told apart by hashes and join by broadcast, so that no task needs all rows of such a key; the
+    others meet in a shuffle. n is dropped from one."""
+    h = F.xxhash64(*keys)
+    hot = [r[0] for r in (one if counted is None else counted).filter(F.col(n) > least).select(h).collect()]
+    one = one if counted is not None else one.drop(n)
+    if not hot:
+        return many.join(one, keys)
+    return many.filter(h.isin(hot)).join(F.broadcast(one.filter(h.isin(hot))), keys).unionByName(many.filter(~h.isin(hot)).join(one.filter(~h.isin(hot)), keys))
 
 
 def squeeze(text: Column) -> Column:

@@ -39,8 +39,9 @@ SHINGLE, THRESHOLD = 5, 0.8
 #: Coordinates of the embedding, and how many must agree for a pair to be verified (a pair
 #: at the threshold falls short with probability 1e-6).
 WIDTH, AGREE = 64, 34
-#: Largest leaf that isn't split, deepest path; most rows and most shingles of a leaf's block.
-LEAF, DEPTH, BLOCK, MASS = 128, 3, 1024, 1 << 21
+#: Largest leaf that isn't split, deepest path; most rows and most shingles of a leaf's block, and into how
+#: many blocks a leaf is dealt before they grow over a quarter of that.
+LEAF, DEPTH, BLOCK, MASS, BLOCKS = 128, 3, 1024, 1 << 21, 64
 #: A class, component or node of less is never hot; sets to a bucket of cells.
 HOT_LEAST, BUCKET = 64, 2000
 #: A child with so much of its parent's sets holds near copies that no split parts; it is a leaf.
@@ -134,7 +135,7 @@ def leaves(sets: DataFrame, n_sets: int) -> DataFrame:
     found, n_entries, parts = None, n_sets * len(roots()), partitions(sets.sparkSession)
     for depth in range(1, DEPTH + 1):
         there = entries.groupBy("key").agg(F.count(F.lit(1)).alias("there"), F.sum("n").alias("mass")).filter("there > 1")
-        there = there.withColumn("rows", F.col("there"))
+        there = materialise(there.withColumn("rows", F.col("there")))
         met = materialise(join_hot(entries, there, ["key"], "rows", max(HOT_LEAST, n_entries // parts)).select("key", "sid", "n", "there", "mass", "above"))
         splits = (F.col("there") > LEAF) & ~F.coalesce(F.col("there") >= STUCK * F.col("above"), F.lit(False)) if depth < DEPTH else F.lit(False)
         done = met.filter(~splits).select("key", "sid", "there", "mass")
@@ -159,7 +160,8 @@ CELL = "key long, x int, y int"
 
 def cells(found: DataFrame, sets: DataFrame, buckets: int) -> DataFrame:
     """A row for each set and cell: its block in the leaf, its leaves, its embedding."""
-    blocks = F.greatest(F.ceil(F.col("e.there") / BLOCK), F.ceil(F.col("e.mass") / MASS)).cast("int")
+    rows = F.least(F.greatest(F.col("e.there") / BLOCKS, F.lit(BLOCK / 4)), F.lit(BLOCK))
+    blocks = F.greatest(F.ceil(F.col("e.there") / rows), F.ceil(F.col("e.mass") / MASS)).cast("int")
     own = F.pmod(F.xxhash64("sid", "e.key"), F.col("blocks")).cast("int")
     return (
         found.groupBy("sid")
@@ -354,14 +356,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     links = found.groupBy("sid").agg(F.sum("links").alias("links"))
     label = components(found.select(F.col("sid").alias("a"), F.col("other").alias("b")))
     of_set = materialise(
-        sets.select("sid", "rep", "w", "n_rows")
+        sets.select("sid", "rep", "w")
         .join(links, "sid", "left")
         .join(label.withColumnRenamed("node", "sid"), "sid", "left")
-        .select("sid", "rep", "n_rows", F.coalesce("label", "sid").alias("label"), (F.coalesce("links", F.lit(0)) + F.col("w") - 1).alias("n_links"))
+        .select("sid", "rep", F.coalesce("label", "sid").alias("label"), (F.coalesce("links", F.lit(0)) + F.col("w") - 1).alias("n_links"))
     )
     lead = of_set.groupBy("label").agg(F.min("rep").alias("lead"), F.count(F.lit(1)).alias("n_sets"))
-    of_set = join_hot(of_set, lead, ["label"], "n_sets", max(HOT_LEAST, n_sets // parts)).select("sid", "rep", "n_rows", "lead", "n_links")
-    found = join_hot(rows.select("d", "t", "sid"), of_set, ["sid"], "n_rows", max(HOT_LEAST, rows.count() // parts))
+    of_set = join_hot(of_set, lead, ["label"], "n_sets", max(HOT_LEAST, n_sets // parts)).select("sid", "rep", "lead", "n_links")
+    found = join_hot(rows.select("d", "t", "sid"), of_set, ["sid"], "n_rows", max(HOT_LEAST, rows.count() // parts), sets)
     return found.select("d", "t", F.col("lead.d").alias("class_id"), F.col("lead.t").alias("class_t"), F.col("rep.d").alias("copy_id"), "n_links")
 
 
