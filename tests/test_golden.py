@@ -260,6 +260,36 @@ def test_detector_state():
     assert [d.severity(x) for x in (200, 201, 501)] == ["warning", "error", "critical"]
 
 
+@pytest.mark.parametrize("mode", ["post", "prior"])
+@pytest.mark.parametrize("slice_s", [1, 40, 10**6])
+def test_slices_equal_the_fold_sample_by_sample(spark, slice_s, mode):
+    """A hot key over many slices, idle gaps within and between them, null keys, ties in time, constants."""
+    rng, at, rows = random.Random(5), 0, []
+    for i in range(3000):
+        at += rng.choice([0, 10**7, 10**8, 10**9, 35 * 10**9] if i % 50 == 0 else [0, 10**7, 3 * 10**8])
+        key = rng.choice([("hot", "a", "http")] * 8 + [("hot", None, "http"), (None, None, None), ("flat", "b", "x")])
+        x = 7.3 if key[0] == "flat" else rng.choice([5.0, 6.0, 7.5, 9.0]) if rng.random() < 0.9 else rng.uniform(10, 900)
+        rows.append(("t", f"{i:06}", *key, at, x))
+    rows += [("t", "null", "hot", "a", "http", 5, None), ("t", "zero", "hot", "a", "http", 5, 0.0), ("t", "never", "hot", "a", "http", None, 4.0)]
+    d = anomaly.Detector(0.05, 2.0, least=5, cooldown_s=20, idle_s=9, mode=mode)
+    states, want = {}, {}
+    for _, span, *key, at, x in sorted(rows[:3000], key=lambda r: (r[5], r[1])):
+        want[span] = states.setdefault(tuple(key), anomaly.State()).add(d, x, at)
+    spans = spark.createDataFrame(rows, anomaly.SAMPLE).repartition(3)
+    folded = anomaly.fold(spans, d, slice_s)
+    got = {r.span_id: r for r in folded.collect()}
+    assert got.keys() == want.keys() and len({r["n"] for r in want.values()}) > 50
+    for span, w in want.items():
+        for c in ("n", "is_anomaly", "severity"):
+            assert got[span][c] == w[c], (span, c)
+        for c in ("mean", "stddev", "ewma", "ewma_var", "threshold", "deviation"):
+            assert got[span][c] == pytest.approx(w[c], rel=1e-9, abs=1e-6), (span, c)
+    told = {r.span_id: r.is_sent for r in anomaly.sent(folded, d).collect()}
+    assert told == {span: w["is_sent"] for span, w in want.items() if w["is_anomaly"]} and len(set(told.values())) == 2
+    empty = spark.createDataFrame([], anomaly.SAMPLE)
+    assert anomaly.fold(empty, d).count() == 0 and anomaly.sent(anomaly.fold(empty, d), d).count() == 0
+
+
 def test_similarity_is_of_a_set_and_a_bag(spark):
     f = lambda a, b: value(spark, similarity.similarity(F.array(*map(F.lit, a)), F.array(*map(F.lit, b))))
     assert f("ab", "ab") == 1 and f("aab", "ab") == 1 and f("ab", "aab") == pytest.approx(3 / 2) and f("ab", "cd") == 0

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import functions as F
 
 from ..operators import anomaly, correlate, flame, sampling, search, similarity, stats, trees
@@ -251,8 +253,25 @@ replayed = lambda s, d: correlate.replay(connections(s, d), timeout_s=FOREVER)
 q("ST01_router_replay", lambda s, d: replayed(s, d).filter("parent_span_id IS NOT NULL").select("conn_key", F.col("parent_span_id").alias("request_span"), F.col("span_id").alias("response_span"), "trace_id", "duration_ms"), f"{PAIR} SELECT conn_key, request_span, response_span, trace_id, (received_ns - sent_ns) / 1e6 AS duration_ms FROM pair", CONNECTIONS_SQL)
 CLOSED = f"{PAIR}, ends AS (SELECT conn_key, epoch, max(CASE WHEN kind = 'close' THEN 1 ELSE 0 END) AS closes, max(CASE WHEN kind IN ('open', 'close') THEN 1 ELSE 0 END) AS turns FROM ep WHERE kind IN ('open', 'close') GROUP BY ALL), free AS (SELECT n.* FROM num n WHERE n.kind = 'request' AND NOT EXISTS (SELECT 1 FROM pair p WHERE p.request_span = n.span_id))"
 q("ST06_closed_in_flight", lambda s, d: replayed(s, d).filter("tag = 'connection_closed'").select("conn_key", "span_id"), f"{CLOSED} SELECT f.conn_key, f.span_id FROM free f JOIN ends e ON e.conn_key = f.conn_key AND e.epoch = f.epoch + 1 WHERE e.closes = 1", CONNECTIONS_SQL)
-q("ST04_bounded_queue", lambda s, d: correlate.replay(connections(s, d), most=2, timeout_s=FOREVER).filter("tag = 'evicted'").select("conn_key", "span_id"))
-q("ST07_idle_timeout", lambda s, d: correlate.replay(connections(s, d), timeout_s=86400).filter("tag = 'connection_timeout'").select("conn_key", "span_id"))
+
+
+def machine(most, timeout_ns):
+    """The state machine in SQL: `queue` is what is in flight after an event, `evicted` and `late` what it
+    pushed out and what the silence before it gave up."""
+    return f""", num AS (SELECT *, row_number() OVER (PARTITION BY conn_key ORDER BY ts_ns, seq) AS nr FROM connections),
+run AS (
+  SELECT conn_key, 0::BIGINT AS nr, NULL::BIGINT AS last_ns, []::VARCHAR[] AS queue, []::VARCHAR[] AS evicted, []::VARCHAR[] AS late FROM num WHERE nr = 1
+  UNION ALL
+  SELECT conn_key, nr, ts_ns,
+         CASE kind WHEN 'request' THEN list_append(CASE WHEN len(held) >= {most} THEN held[2:] ELSE held END, span_id) WHEN 'response' THEN held[2:] ELSE [] END,
+         CASE WHEN kind = 'request' AND len(held) >= {most} THEN held[1:1] ELSE [] END, expired
+  FROM (SELECT n.conn_key, n.nr, n.ts_ns, n.kind, n.span_id, CASE WHEN n.ts_ns - r.last_ns > {timeout_ns} THEN [] ELSE r.queue END AS held, CASE WHEN n.ts_ns - r.last_ns > {timeout_ns} THEN r.queue ELSE [] END AS expired
+        FROM run r JOIN num n ON n.conn_key = r.conn_key AND n.nr = r.nr + 1)
+)"""
+
+
+q("ST04_bounded_queue", lambda s, d: correlate.replay(connections(s, d), most=2, timeout_s=FOREVER).filter("tag = 'evicted'").select("conn_key", "span_id"), f"{machine(2, 10**18)} SELECT conn_key, unnest(evicted) AS span_id FROM run", CONNECTIONS_SQL)
+q("ST07_idle_timeout", lambda s, d: correlate.replay(connections(s, d), timeout_s=86400).filter("tag = 'connection_timeout'").select("conn_key", "span_id"), f"{machine(correlate.IN_FLIGHT, 86400 * 10**9)} SELECT conn_key, unnest(late) AS span_id FROM run", CONNECTIONS_SQL)
 q("ST11_correlator_counters", lambda s, d: correlate.counters(replayed(s, d)).select("matched", "orphans"), f"{PAIR} SELECT (SELECT count(*) FROM pair) AS matched, (SELECT count(*) FROM told WHERE orphan) AS orphans", CONNECTIONS_SQL)
 
 # Anomalies
@@ -283,7 +302,7 @@ cool AS (
   SELECT i.operation, i.severity, i.h, i.span_id, CASE WHEN i.start_us - c.last > 86400000000 THEN i.start_us ELSE c.last END, i.start_us - c.last > 86400000000
   FROM cool c JOIN hit i ON i.operation = c.operation AND i.severity = c.severity AND i.h = c.h + 1
 )"""
-A("A07_cooldown", lambda s, d: anomaly.fold(latencies(s, d), anomaly.Detector(alpha=0.05, k=3.0, least=100, cooldown_s=86400, idle_s=FOREVER)).filter("is_sent").select("span_id", "severity"), f"{COOL} SELECT span_id, severity FROM cool WHERE sent")
+A("A07_cooldown", lambda s, d: anomaly.sent(folded(s, d), replace(DET, cooldown_s=86400)).filter("is_sent").select("span_id", "severity"), f"{COOL} SELECT span_id, severity FROM cool WHERE sent")
 A("A10_prior_state_check", lambda s, d: anomaly.fold(latencies(s, d), anomaly.Detector(alpha=0.05, k=3.0, least=100, idle_s=FOREVER, mode="prior")).filter("is_anomaly").select("span_id"), "SELECT span_id FROM fold WHERE nr >= 100 AND x > before + 3 * sqrt(spread)")
 A("A11_latest_states", lambda s, d: anomaly.latest(folded(s, d)).select("operation", "n", *f6("ewma", "ewma_var")), "SELECT operation, nr AS n, round(e, 6) AS ewma, round(v, 6) AS ewma_var FROM fold QUALIFY row_number() OVER (PARTITION BY operation ORDER BY nr DESC) = 1")
 A("AGG18_anomaly_listing", lambda s, d: anomaly.listing(folded(s, d)).select("operation", F.round("listed_threshold", 5).alias("listed_threshold")), "SELECT f.operation, round(f.e + 3 * s.sd, 5) AS listed_threshold FROM fold f JOIN (SELECT operation, max(nr) AS last, stddev_samp(duration_ms) AS sd FROM num GROUP BY operation) s ON s.operation = f.operation AND s.last = f.nr")
