@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .folds import by_key, decayed, stretches
+from .folds import by_key, stretches
 
 KEY = ["service_name", "operation", "protocol"]
 
@@ -116,26 +116,31 @@ class Summary:
 def step(d: Detector, run: Run, x: np.ndarray, at: np.ndarray) -> tuple[Run, dict[str, np.ndarray]]:
     """The run after samples without an idle gap, and its columns after each of them."""
     keep, since = 1 - d.alpha, int(at[0]) if run.n == 0 else run.since_ns
-    e0 = x[0] if run.n == 0 else run.ewma
-    ewma = e0 + decayed(0.0, d.alpha * (x - e0), keep)
-    before = np.concatenate(([e0], ewma[:-1]))
-    var = decayed(run.var, keep * d.alpha * (x - before) ** 2, keep)
-    n, total, squares = run.n + np.arange(1, len(x) + 1), run.total + np.cumsum(x), run.squares + np.cumsum(x * x)
-    out = dict(n=n, total=total, squares=squares, ewma=ewma, ewma_var=var, before=before, spread=np.concatenate(([run.var], var[:-1])), since_ns=np.full(len(x), since))
-    if run.n == 0:
-        out["before"] = np.concatenate(([0.0], before[1:]))  # there is no average before the first sample
-    return Run(int(n[-1]), float(total[-1]), float(squares[-1]), float(ewma[-1]), float(var[-1]), int(at[-1]), since), out
+    e, v = (float(x[0]), 0.0) if run.n == 0 else (run.ewma, run.var)
+    ewma, var = [run.ewma], [run.var]
+    for sample in x.tolist():
+        diff = sample - e
+        e += d.alpha * diff
+        v = keep * (v + d.alpha * diff * diff)
+        ewma.append(e)
+        var.append(v)
+    n, total, squares = run.n + np.arange(1, len(x) + 1), np.cumsum(np.concatenate(([run.total], x)))[1:], np.cumsum(np.concatenate(([run.squares], x * x)))[1:]
+    out = dict(n=n, total=total, squares=squares, ewma=np.array(ewma[1:]), ewma_var=np.array(var[1:]), before=np.array(ewma[:-1]), spread=np.array(var[:-1]), since_ns=np.full(len(x), since))
+    return Run(int(n[-1]), float(total[-1]), float(squares[-1]), e, v, int(at[-1]), since), out
 
 
 def summed(d: Detector, so_far: Summary | None, x: np.ndarray, at: np.ndarray) -> Summary:
     """The summary with further samples."""
     so_far = so_far or Summary(Run(), float(x[0]))
-    keep, n = 1 - d.alpha, len(x)
+    keep, c, r, s = 1 - d.alpha, so_far.c, so_far.r, so_far.s
     run, out = step(d, so_far.run, x, at)
-    before = np.concatenate(([so_far.run.ewma if so_far.run.n else x[0]], out["ewma"][:-1]))
-    c = so_far.c * keep ** np.arange(n)  # what is left of u before each sample
-    last = lambda start, add: float(decayed(start, keep * d.alpha * add, keep)[-1])
-    return replace(so_far, run=run, c=float(c[-1] * keep), r=last(so_far.r, -2 * (x - before) * c), s=last(so_far.s, c * c))
+    before = out["before"]
+    before[0] = before[0] if so_far.run.n else x[0]
+    for diff in (x - before).tolist():
+        r = keep * (r - 2 * d.alpha * diff * c)
+        s = keep * (s + d.alpha * c * c)
+        c *= keep
+    return replace(so_far, run=run, c=c, r=r, s=s)
 
 
 def judged(d: Detector, found: dict[str, np.ndarray], x: np.ndarray) -> list[pa.Array]:

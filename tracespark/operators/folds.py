@@ -48,20 +48,3 @@ def stretches(batch: pa.RecordBatch, keys: list[str], at: np.ndarray, gap: float
     ends = [*(np.flatnonzero(new) + 1).tolist(), batch.num_rows]
     for i, j in zip([0, *ends[:-1]], ends, strict=True):
         yield [batch.column(k)[i].as_py() for k in keys], i, j
-
-
-def decayed(start: float, added: np.ndarray, keep: float, block: int = 64) -> np.ndarray:
-    """y[i] = keep * y[i - 1] + added[i] from a start: blocks as one matrix product, then what they hand on."""
-    n = len(added)
-    if n == 1:
-        return keep * start + added
-    width = min(n, block)
-    powers = np.float64(keep) ** np.arange(width + 1)
-    i = np.arange(width)
-    weights = np.where(i[:, None] >= i, powers[np.maximum(i[:, None] - i, 0)], 0.0)
-    rows = np.pad(added, (0, -n % width)).reshape(-1, width) @ weights.T
-    carried = np.empty(len(rows))
-    for b, end in enumerate(rows[:, -1]):
-        carried[b] = start
-        start = end + powers[width] * start
-    return (rows + carried[:, None] * powers[1:]).ravel()[:n]
