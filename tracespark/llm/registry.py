@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import op1_exact_dedup, op2_language_id, op3_exact_topk, op4_jaccard_join, op5_mixing, op6_suffix_dedup, op7_secrets, op8_quality, op9_pii, op10_bpe
+from . import op1_exact_dedup, op2_language_id, op3_exact_topk, op4_jaccard_join, op5_mixing, op6_suffix_dedup, op7_secrets, op8_quality, op9_pii, op10_bpe, op11_whitening, op12_prefix_trie, op13_substring_dedup
 
 MODULES = {
     "op1_exact_dedup": op1_exact_dedup,
@@ -15,6 +15,9 @@ MODULES = {
     "op8_quality": op8_quality,
     "op9_pii_surrogates": op9_pii,
     "op10_byte_bpe": op10_bpe,
+    "op11_whitening": op11_whitening,
+    "op12_prefix_trie": op12_prefix_trie,
+    "op13_substring_dedup": op13_substring_dedup,
 }
 
 

@@ -86,3 +86,19 @@ def words(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.
         ends[cuts - 1] = solid[cuts - 1]
     start, end = np.flatnonzero(begins), np.flatnonzero(ends) + 1
     return start, end, np.searchsorted(start, at)
+
+
+def weighted_sums(values: np.ndarray) -> np.ndarray:
+    """prefix_sums of 64-bit values instead of bytes, for spans_hash over words."""
+    up, _ = powers(len(values))
+    out = np.zeros(len(values) + 1, dtype=np.uint64)
+    np.cumsum(values * up[:-1], out=out[1:])
+    return out
+
+
+def runs_of(*keys: np.ndarray) -> np.ndarray:
+    """Number of the run that each row is in, for rows sorted by keys."""
+    new = np.zeros(len(keys[0]), dtype=bool)
+    for k in keys:
+        new[1:] |= k[1:] != k[:-1]
+    return np.cumsum(new)
