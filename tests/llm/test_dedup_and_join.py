@@ -122,17 +122,28 @@ def test_jaccard_join_odd_tables(spark):
 
 
 def expected_spans(rows):
-    seen, out = set(), {}
-    for d, t in sorted(rows):
-        b = (t or "").encode()
-        cover = bytearray(len(b))
+    """(id, bytes, removed, spans, kept) of each row: what a document of smaller id has, or the row itself earlier."""
+    order = lambda i: 2**63 - 1 if i is None else i
+    least, out = {}, []
+    texts = [(i, (t or "").encode()) for i, t in rows]
+    for d, b in texts:
         for p in range(len(b) - 99):
             s = b[p : p + 100]
-            if s in seen:
+            least[s] = min(order(d), least.get(s, order(d)))
+    for d, b in texts:
+        cover, seen = bytearray(len(b)), set()
+        for p in range(len(b) - 99):
+            s = b[p : p + 100]
+            if s in seen or least[s] < order(d):
                 cover[p : p + 100] = b"\1" * 100
             seen.add(s)
-        out[d] = (len(b), sum(cover), sum(1 for i in range(len(b)) if cover[i] and (not i or not cover[i - 1])), bytes(x for x, c in zip(b, cover, strict=True) if not c))
-    return out
+        out.append((d, len(b), sum(cover), sum(1 for i in range(len(b)) if cover[i] and (not i or not cover[i - 1])), bytes(x for x, c in zip(b, cover, strict=True) if not c)))
+    return sorted(out, key=repr)
+
+
+def found_spans(spark, rows, parts=3):
+    got = op6.repeated_spans(spark.createDataFrame(rows, "doc_id long, text string").repartition(parts)).collect()
+    return sorted([(r.doc_id, r.n_bytes, sum(s["end"] - s["start"] for s in r.spans), len(r.spans), bytes(r.kept)) for r in got], key=repr)
 
 
 @pytest.mark.parametrize("hot,gather,bucket", [(65536, 200_000, 1 << 24), (1, 200_000, 1 << 24), (30, 300, 2000), (1, 1, 2000)])
@@ -149,8 +160,49 @@ def test_repeated_strings_against_brute_force(spark, monkeypatch, hot, gather, b
         a, kind = rng.randint(0, 2500), rng.randrange(6)
         t = [t + base[:95] + t[::-1], t[:50] + base[200:340] + t[50:], base[a : a + rng.randint(90, 300)] + t, "ab" * rng.randint(1, 150) + t + "x" * rng.randint(0, 300), "é" * rng.randint(0, 120) + t, t][kind]
         rows.append((i * 7, t))
-    got = {r.doc_id: (r.n_bytes, sum(s["end"] - s["start"] for s in r.spans), len(r.spans), bytes(r.kept)) for r in op6.repeated_spans(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()}
-    assert got == expected_spans(rows)
+    assert found_spans(spark, rows) == expected_spans(rows)
+
+
+def letters(rng, n):
+    return "".join(rng.choice("abcdefgh ijk") for _ in range(n))
+
+
+def colliding():
+    """Two texts whose 16-bit remainders of CRC-32 agree: one with a repeated string, one without."""
+    import zlib
+
+    rng = random.Random(8)
+    line = letters(rng, 120)
+    one = line + letters(rng, 30) + line + letters(rng, 100)
+    while True:
+        two = letters(rng, 490)
+        if zlib.crc32(two.encode()) % 65536 == zlib.crc32(one.encode()) % 65536:
+            return one, two
+
+
+def test_rows_of_one_id_are_told_apart(spark):
+    one, two = colliding()
+    rows = [(1, one), (1, two), (None, one[:300]), (None, two), (2, two[100:]), (1, one[:250])]
+    assert found_spans(spark, rows) == expected_spans(rows)
+
+
+def test_many_rows_without_id(spark, monkeypatch):
+    monkeypatch.setattr(op6, "BUCKET", 100_000)
+    rng = random.Random(9)
+    shared = letters(rng, 140)
+    rows = [(None, letters(rng, rng.randint(20, 200)) + (shared if i % 9 == 0 else "")) for i in range(10_000)] + [(None, shared)] * 700 + [(5, "x" + shared)]
+    assert found_spans(spark, rows, 8) == expected_spans(rows)
+
+
+def test_hot_string_over_many_gatherings(spark, monkeypatch):
+    """A line of all documents, in gatherings of a few: each round sends on the earliest alone."""
+    monkeypatch.setattr(op6, "HOT", 8)
+    monkeypatch.setattr(op6, "GATHER", 20)
+    monkeypatch.setattr(op6, "BUCKET", 3000)
+    rng = random.Random(10)
+    line = letters(rng, 130)
+    rows = [(i, letters(rng, rng.randint(0, 150)) + line + letters(rng, rng.randint(0, 150))) for i in range(1, 600)]
+    assert found_spans(spark, rows, 16) == expected_spans(rows)
 
 
 def test_repeated_strings_odd_tables(spark):
@@ -174,7 +226,7 @@ def test_column_construction_matches_direct_comparison():
     rng = np.random.default_rng(0)
     for m, alike in ((40, 10), (400, 7), (60, 60)):
         lo, hi = rng.integers(30, 77, m).astype(np.uint8), rng.integers(0, 30, m).astype(np.uint8)
-        t = {"h": rng.integers(0, 3, m).astype(np.uint64), "doc": rng.integers(0, m, m), "k": np.zeros(m, np.uint16), "q": np.full(m, 80, np.int32), "lo": lo, "hi": hi, "bytes": rng.integers(0, 2, (m, op6.COLUMNS)).astype(np.uint8)}
+        t = {"h": rng.integers(0, 3, m).astype(np.uint64), "doc": rng.integers(0, m, m), "k": np.zeros(m, np.int64), "q": np.full(m, 80, np.int32), "lo": lo, "hi": hi, "bytes": rng.integers(0, 2, (m, op6.COLUMNS)).astype(np.uint8)}
         for i in range(alike, m):
             cut, like = rng.integers(0, 30), i % alike
             t["bytes"][i, cut : cut + 140], t["h"][i] = t["bytes"][like, cut : cut + 140], t["h"][like]

@@ -17,29 +17,35 @@ time that grows with its square. So documents are cut into short aligned strings
 3. Of the others the hashes meet; those of anchors that several tasks have are cut out of the texts with
    their surroundings and go through the construction again, aligned at the anchor.
 4. An anchor that may have over HOT different surroundings (a line that a third of all documents share)
-   is *hot*: each of its strings becomes surroundings of its own, aligned at its own hash, so
-   that no task needs the group.
+   is *hot*: each of its strings becomes surroundings of its own, aligned at its own hash. Strings of hot
+   anchors meet in two rounds, first in groups of tasks (about the root of their number), from which only the earliest
+   goes on, so that no task needs all that have a string.
 
 Steps pass packed arrays as rows, in buckets of about BUCKET bytes of text whatever the input's size; a task
 holds one bucket. What the buckets find is checkpointed in the shared folder, texts are shuffled once by document.
 
 Defined cases: null texts are empty and have no span; texts under LENGTH bytes are kept whole; ids order
-the documents, null last; rows of equal id are one document and don't remove each
-other; an empty table gives an empty result; further columns are ignored.
+the documents, null last; rows of equal id (null too) don't remove each other, and what repeats within one of them is judged
+row by row; many equal rows are handled as one; an empty table gives an empty result; further columns are
+ignored. Rows are told apart by id and 64 bits of hash of the text.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batches, materialise, partitions, table
-from .textnp import chunks, prefix_sums, release, spans_hash
+from . import packed as rows
+from .common import batches, collapsed, materialise, restored, table
+from .packed import PACKED, Table, as_table, by_kind, entries_of, merged, row_bucket, row_bucket_column, size, take
+from .textnp import chunks, mixed, prefix_sums, release, runs_of, spans_hash
 
 #: Bytes of a repeated string, of the anchor's gram, grams to a string.
 LENGTH, GRAM = 100, 24
@@ -48,99 +54,37 @@ GRAMS = LENGTH - GRAM + 1
 COLUMNS = GRAMS - 1 + LENGTH
 #: Most different surroundings of an anchor that a task should hold.
 HOT = 65536
-#: Bytes of text to a bucket, entries of a packed row, anchors that a task gathers.
-BUCKET, ENTRIES, GATHER = 16 << 20, 4000, 200_000
+#: Bytes of text to a bucket, anchors that a task gathers.
+BUCKET, GATHER = 16 << 20, 200_000
 #: Bytes of text whose anchors are looked for together.
 TEXT = 1 << 20
-PRIME = 2**31 - 1
-ANCHOR, NOTICE, MARK, PROBE, CONTEXT = range(5)
+ANCHOR, NOTICE, MARK, PROBE, CONTEXT, STRING = KINDS = range(6)
 FIELDS = {
-    ANCHOR: {"h": "u8", "doc": "i8", "k": "u2", "q": "i4", "lo": "u1", "hi": "u1"},
+    ANCHOR: {"h": "u8", "doc": "i8", "k": "i8", "q": "i4", "lo": "u1", "hi": "u1"},
     NOTICE: {"h": "u8"},
-    MARK: {"doc": "i8", "k": "u2", "start": "i4", "end": "i4"},
-    PROBE: {"doc": "i8", "k": "u2", "q": "i4", "lo": "u1", "hi": "u1", "hot": "u1"},
-    CONTEXT: {"h": "u8", "doc": "i8", "k": "u2", "q": "i4", "lo": "u1", "hi": "u1", "bytes": f"({COLUMNS},)u1"},
+    MARK: {"doc": "i8", "k": "i8", "start": "i4", "end": "i4"},
+    PROBE: {"doc": "i8", "k": "i8", "q": "i4", "lo": "u1", "hi": "u1", "hot": "u1"},
+    CONTEXT: {"h": "u8", "doc": "i8", "k": "i8", "q": "i4", "lo": "u1", "hi": "u1", "bytes": f"({COLUMNS},)u1"},
 }
-PACKED = "bucket int, kind int, data binary"
-Table = dict[str, np.ndarray]
-
-
-def pack(kind: int, t: Table) -> bytes:
-    return b"".join(np.ascontiguousarray(t[f], dtype=np.dtype(d).base).tobytes() for f, d in FIELDS[kind].items())
+FIELDS[STRING] = FIELDS[CONTEXT]
 
 
 def unpack(kind: int, blobs: list[bytes]) -> Table:
-    width = sum(np.dtype(d).itemsize for d in FIELDS[kind].values())
-    parts: dict[str, list] = {f: [] for f in FIELDS[kind]}
-    for b in blobs:
-        n, at = len(b) // width, 0
-        for f, d in FIELDS[kind].items():
-            d = np.dtype(d)
-            parts[f].append(np.frombuffer(b, dtype=d.base, count=n * (d.itemsize // d.base.itemsize), offset=at).reshape(n, *d.shape))
-            at += n * d.itemsize
-    return {f: np.concatenate(v) if v else np.zeros((0, *np.dtype(FIELDS[kind][f]).shape), np.dtype(FIELDS[kind][f]).base) for f, v in parts.items()}
-
-
-def take(t: Table, of) -> Table:
-    return {f: v[of] for f, v in t.items()}
+    return rows.unpack(FIELDS[kind], blobs)
 
 
-def size(t: Table) -> int:
-    return len(next(iter(t.values())))
-
-
-def document_bucket(doc: np.ndarray, n: int) -> np.ndarray:
-    return (doc.astype(np.int64) % PRIME * 48271 % PRIME % n).astype(np.int32)
+def send(kind: int, t: Table, bucket: np.ndarray) -> Iterator[pa.RecordBatch]:
+    return rows.send(kind, FIELDS[kind], t, bucket)
 
 
-def document_bucket_column(doc: str, n: int):
-    """The same in SQL."""
-    return (F.pmod(F.col(doc), F.lit(PRIME)) * 48271 % PRIME % n).cast("int")
+def send_marks(t: Table, n_buckets: int) -> Iterator[pa.RecordBatch]:
+    t = merged(t)
+    return send(MARK, t, row_bucket(t["doc"], t["k"], n_buckets))
 
 
-def send(kind: int, t: Table, bucket: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """Packed rows of at most ENTRIES entries of one bucket."""
-    order = np.argsort(bucket, kind="stable")
-    t, bucket = take(t, order), bucket[order]
-    edges = np.concatenate([[0], np.flatnonzero(np.diff(bucket)) + 1, [len(bucket)]]) if len(bucket) else [0]
-    rows: list[tuple[int, int, bytes]] = []
-    total = 0
-    for a, b in zip(edges[:-1], edges[1:], strict=True):
-        for i in range(a, b, ENTRIES):
-            rows.append((int(bucket[a]), kind, pack(kind, take(t, slice(i, min(b, i + ENTRIES))))))
-            total += len(rows[-1][2])
-            if total > 8 << 20:
-                yield batch_of(rows)
-                rows, total = [], 0
-    if rows:
-        yield batch_of(rows)
-
-
-def batch_of(rows) -> pa.RecordBatch:
-    b, k, d = zip(*rows, strict=True)
-    return pa.RecordBatch.from_arrays([pa.array(b, pa.int32()), pa.array(k, pa.int32()), pa.array(d, pa.binary())], ["bucket", "kind", "data"])
-
-
-def runs_of(*keys: np.ndarray) -> np.ndarray:
-    """Number of the run that each row is in, for rows sorted by keys."""
-    new = np.zeros(len(keys[0]), dtype=bool)
-    for k in keys:
-        new[1:] |= k[1:] != k[:-1]
-    return np.cumsum(new)
-
-
-def merged(t: Table) -> Table:
-    """The same bytes in maximal runs."""
-    if not size(t):
-        return t
-    t = take(t, np.lexsort((t["start"], t["k"], t["doc"])))
-    run = runs_of(t["doc"], t["k"])
-    wide = np.int64(1) << 33
-    reach = np.maximum.accumulate(t["end"].astype(np.int64) + run * wide) - run * wide
-    new = np.ones(size(t), dtype=bool)
-    new[1:] = (run[1:] != run[:-1]) | (t["start"][1:] > reach[:-1])
-    first = np.flatnonzero(new)
-    return {"doc": t["doc"][first], "k": t["k"][first], "start": t["start"][first], "end": np.maximum.reduceat(t["end"], first)}
+def send_strings(t: Table, group: int, n_buckets: int) -> Iterator[pa.RecordBatch]:
+    """Strings of hot anchors to where the group's meet."""
+    return send(STRING, t, anchor_bucket(mixed(t["h"] + np.uint64(group) * np.uint64(0x9E3779B97F4A7C15)), n_buckets))
 
 
 def anchors(data: np.ndarray, at: np.ndarray, sums: np.ndarray, doc: np.ndarray, k: np.ndarray) -> tuple[Table, np.ndarray]:
@@ -211,7 +155,7 @@ def anchor_bucket(h: np.ndarray, n: int) -> np.ndarray:
     return (h >> np.uint64(33)).astype(np.int64) % n
 
 
-def scan(n_buckets: int, hot_here: int):
+def scan(n_buckets: int, hot_here: int, groups: int):
     """Texts to marks, and the anchors of what no task-wide construction marks. hot_here: most
     different surroundings of an anchor in a gathering that isn't hot."""
 
@@ -221,13 +165,12 @@ def scan(n_buckets: int, hot_here: int):
         again = sizes_of(t["h"]) > 1
         met, t = take(t, again), take(t, ~again)
         done = columns(met)
-        told = merged(marks(met, done))
-        yield from send(MARK, told, document_bucket(told["doc"], n_buckets))
+        yield from send_marks(marks(met, done), n_buckets)
         left = own_strings(met) > done.sum(axis=1)
         met, done = take(met, left), done[left]
         hot = sizes_of(met["h"]) > hot_here
         strings = strings_of(take(met, hot), done[hot])
-        yield from send(CONTEXT, strings, anchor_bucket(strings["h"], n_buckets))
+        yield from send_strings(strings, TaskContext.get().partitionId() % groups, n_buckets)
         noticed = {"h": np.unique(met["h"][hot])}
         yield from send(NOTICE, noticed, anchor_bucket(noticed["h"], n_buckets))
         for rest, of in ((met, ~hot), (t, slice(None))):
@@ -237,7 +180,7 @@ def scan(n_buckets: int, hot_here: int):
     def run(batches_in):
         gathered, n = [], 0
         for batch in batches_in:
-            doc, k = batch.column("doc").to_numpy(), batch.column("k").to_numpy().astype(np.uint16)
+            doc, k = batch.column("doc").to_numpy(), batch.column("k").to_numpy()
             for i, j, data, at in chunks(batch.column("text"), TEXT):
                 t, text = anchors(data, at, prefix_sums(data), doc[i:j], k[i:j])
                 if size(t):
@@ -254,30 +197,18 @@ def scan(n_buckets: int, hot_here: int):
     return run
 
 
-def kinds(packed: pa.Table) -> dict[int, list[bytes]]:
-    out: dict[int, list[bytes]] = {k: [] for k in FIELDS}
-    for k, d in zip(packed.column("kind").to_pylist(), packed.column("data").to_pylist(), strict=True):
-        out[k].append(d)
-    return out
-
-
-def as_table(made: list[pa.RecordBatch]) -> pa.Table:
-    empty = pa.RecordBatch.from_arrays([pa.array([], pa.int32()), pa.array([], pa.int32()), pa.array([], pa.binary())], ["bucket", "kind", "data"])
-    return pa.Table.from_batches([empty, *made])
-
-
 def resolve(n_buckets: int):
     """A bucket of anchors to probes of those that others have too; the rest passes."""
 
     def run(packed: pa.Table) -> pa.Table:
-        got = kinds(packed)
+        got = by_kind(packed, KINDS)
         t = unpack(ANCHOR, got[ANCHOR])
         there, noticed = sizes_of(t["h"]), np.isin(t["h"], unpack(NOTICE, got[NOTICE])["h"])
         t["hot"] = ((there > HOT) | noticed).astype(np.uint8)
         probes = take(t, (there > 1) | noticed)
         kind = packed.column("kind")
-        rest = packed.filter(pc.or_(pc.equal(kind, MARK), pc.equal(kind, CONTEXT)))
-        return pa.concat_tables([rest, as_table(list(send(PROBE, probes, document_bucket(probes["doc"], n_buckets))))])
+        rest = packed.filter(pc.or_(pc.equal(kind, MARK), pc.equal(kind, STRING)))
+        return pa.concat_tables([rest, as_table(list(send(PROBE, probes, row_bucket(probes["doc"], probes["k"], n_buckets))))])
 
     return run
 
@@ -285,29 +216,20 @@ def resolve(n_buckets: int):
 def texts_by_key(texts: pa.Table) -> tuple[np.ndarray, np.ndarray, pa.Array]:
     texts = texts.combine_chunks()
     column = texts.column("text")
-    return texts.column("doc").to_numpy(), texts.column("k").to_numpy().astype(np.uint16), column.chunk(0) if column.num_chunks else pa.array([], pa.binary())
-
-
-def rows_of(t: Table, doc: np.ndarray, k: np.ndarray) -> Iterator[tuple[int, int, int]]:
-    """For each text the slice of t's entries that belong to it; t sorted by (doc, k)."""
-    key = np.empty(size(t), dtype=[("doc", "i8"), ("k", "u2")])
-    key["doc"], key["k"] = t["doc"], t["k"]
-    own = np.empty(len(doc), dtype=key.dtype)
-    own["doc"], own["k"] = doc, k
-    return zip(range(len(doc)), np.searchsorted(key, own, side="left").tolist(), np.searchsorted(key, own, side="right").tolist(), strict=True)
+    return texts.column("doc").to_numpy(), texts.column("k").to_numpy(), column.chunk(0) if column.num_chunks else pa.array([], pa.binary())
 
 
-def cut_out(n_buckets: int):
+def cut_out(n_buckets: int, groups: int):
     """Texts and their probes to surroundings."""
 
     def run(texts: pa.Table, packed: pa.Table) -> pa.Table:
-        t = unpack(PROBE, kinds(packed)[PROBE])
+        t = unpack(PROBE, by_kind(packed, KINDS)[PROBE])
         if not size(t):
             return as_table([])
         t = take(t, np.lexsort((t["q"], t["k"], t["doc"])))
         doc, k, column = texts_by_key(texts)
         cut, seen = [], set()
-        for i, a, b in rows_of(t, doc, k):
+        for i, a, b in entries_of(t, doc, k):
             if a == b or (doc[i], k[i]) in seen:
                 continue
             seen.add((doc[i], k[i]))
@@ -322,7 +244,8 @@ def cut_out(n_buckets: int):
         t["h"] = spans_hash(prefix_sums(grams), starts, starts + GRAM)
         hot = t["hot"] == 1
         strings, t = strings_of(take(t, hot)), take(t, ~hot)
-        return as_table([*send(CONTEXT, strings, anchor_bucket(strings["h"], n_buckets)), *send(CONTEXT, t, anchor_bucket(t["h"], n_buckets))])
+        group = int(row_bucket(doc[:1], k[:1], n_buckets)[0]) % groups
+        return as_table([*send_strings(strings, group, n_buckets), *send(CONTEXT, t, anchor_bucket(t["h"], n_buckets))])
 
     return run
 
@@ -338,9 +261,10 @@ def columns(t: Table) -> np.ndarray:
     done = np.zeros((m, GRAMS), dtype=bool)
     if not m:
         return done
-    place = np.empty(m, np.int64)  # by document and position; equal for the same place
-    order = np.lexsort((t["q"], t["doc"]))
-    place[order] = runs_of(t["doc"][order], t["q"][order])
+    place, of_doc, of_row = (np.empty(m, np.int64) for _ in range(3))  # in the order of documents, rows and positions; equal for the same
+    order = np.lexsort((t["q"], t["k"], t["doc"]))
+    doc, k = t["doc"][order], t["k"][order]
+    place[order], of_doc[order], of_row[order] = runs_of(doc, k, t["q"][order]), runs_of(doc), runs_of(doc, k)
     rank = np.argsort(t["h"], kind="stable")  # rows in the order of their suffixes
     group = runs_of(t["h"][rank]) << 9
     common = np.zeros(m, np.int32)  # with the row before in that order
@@ -367,7 +291,7 @@ def columns(t: Table) -> np.ndarray:
         fresh[edge] = -1
         rank, common = rank[old], fresh
         if j < GRAMS:
-            repeats(done, place, rank, common, j)
+            repeats(done, place, of_doc, of_row, rank, common, j)
             reach = common + j >= LENGTH  # what can still grow to LENGTH, with the row before or behind
             reach[:-1] |= reach[1:]
             if 2 * np.count_nonzero(reach) < len(rank):
@@ -381,16 +305,21 @@ def columns(t: Table) -> np.ndarray:
     return done
 
 
-def repeats(done: np.ndarray, place: np.ndarray, rank: np.ndarray, common: np.ndarray, j: int) -> None:
-    """Mark the strings at column j that equal an earlier one."""
+def repeats(done: np.ndarray, place: np.ndarray, of_doc: np.ndarray, of_row: np.ndarray, rank: np.ndarray, common: np.ndarray, j: int) -> None:
+    """Mark the strings at column j that equal one of a smaller document or an earlier one of their row."""
     joined = common >= LENGTH
     within = joined.copy()
     within[:-1] |= joined[1:]
     at = np.flatnonzero(within)
     if len(at):
-        rows, starts = rank[at], np.flatnonzero(~joined[at])
-        least = np.repeat(np.minimum.reduceat(place[rows], starts), np.diff(np.append(starts, len(rows))))
-        done[rows[place[rows] > least], j] = True
+        run = np.cumsum(~joined[at])
+        equal = rank[at]
+        equal = equal[np.lexsort((place[equal], run))]
+        starts = np.flatnonzero(~joined[at])
+        least = np.repeat(of_doc[equal[starts]], np.diff(np.append(starts, len(at))))
+        rows = runs_of(run, of_row[equal])
+        begins = place[equal][np.append(True, np.diff(rows) > 0)][rows]
+        done[equal[(of_doc[equal] != least) | (place[equal] != begins)], j] = True
 
 
 def marks(t: Table, done: np.ndarray) -> Table:
@@ -416,13 +345,19 @@ def range_minimum(values: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarra
 
 
 def construct(n_buckets: int):
-    """Surroundings of a bucket to marks."""
+    """Surroundings of a bucket to marks; of a group's strings the earliest go on to where all groups' meet."""
 
     def run(packed: pa.Table) -> pa.Table:
-        t = unpack(CONTEXT, kinds(packed)[CONTEXT])
+        got = by_kind(packed, KINDS)
+        t = unpack(CONTEXT, got[CONTEXT])
         t = take(t, sizes_of(t["h"]) > 1)
-        told = merged(marks(t, columns(t)))
-        return as_table(list(send(MARK, told, document_bucket(told["doc"], n_buckets))))
+        out = list(send_marks(marks(t, columns(t)), n_buckets))
+        t = unpack(STRING, got[STRING])
+        done = columns(t)
+        out += send_marks(marks(t, done), n_buckets)
+        t = take(t, ~done[:, GRAMS - 1])
+        out += send(CONTEXT, t, anchor_bucket(t["h"], n_buckets))
+        return pa.concat_tables([packed.filter(pc.equal(packed.column("kind"), MARK)), as_table(out)])
 
     return run
 
@@ -432,16 +367,16 @@ SPANS = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
 def remove(texts: pa.Table, packed: pa.Table) -> pa.Table:
     """Texts and all their marks to the spans removed and the bytes kept."""
-    told = merged(unpack(MARK, kinds(packed)[MARK]))
+    told = merged(unpack(MARK, by_kind(packed, KINDS)[MARK]))
     doc, k, column = texts_by_key(texts)
     spans, kept = [], []
-    for i, a, b in rows_of(told, doc, k):
+    for i, a, b in entries_of(told, doc, k):
         data = column[i].as_py()
         own = list(zip(told["start"][a:b].tolist(), told["end"][a:b].tolist(), strict=True))
         spans.append([{"start": s, "end": e} for s, e in own])
         edges = [0, *(x for s in own for x in s), len(data)]
         kept.append(b"".join(data[edges[x] : edges[x + 1]] for x in range(0, len(edges), 2)))
-    return pa.table({"doc_id": texts.column("doc_id"), "n_bytes": pa.array([len(x.as_py()) for x in column], pa.int64()), "spans": pa.array(spans, SPANS), "kept": pa.array(kept, pa.binary())})
+    return pa.table({"doc_id": texts.column("doc_id"), "copies": texts.column("copies"), "n_bytes": pa.array([len(x.as_py()) for x in column], pa.int64()), "spans": pa.array(spans, SPANS), "kept": pa.array(kept, pa.binary())})
 
 
 def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -451,19 +386,22 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         F.col(id_col).cast("long").alias("doc_id"),
         F.coalesce(F.col(id_col).cast("long"), F.lit(2**63 - 1)).alias("doc"),
         F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("text"),
-    ).withColumn("k", F.pmod(F.crc32("text"), F.lit(65536)).cast("int"))
-    n_bytes = texts.agg(F.sum(F.length("text"))).first()[0] or 0
-    n_buckets = max(partitions(docs.sparkSession), n_bytes // BUCKET)
+    ).withColumn("k", F.xxhash64("text"))
+    texts, n_bytes, several = collapsed(texts, ["doc", "k"], "text")
+    n_buckets = max(several.partitions, n_bytes // BUCKET)
     gatherings = n_bytes // (GATHER * GRAMS // 2) + texts.rdd.getNumPartitions()  # an anchor in GRAMS / 2 bytes
-    entries = batches(texts.select("doc", "k", "text")).mapInArrow(scan(n_buckets, max(1, HOT // gatherings)), PACKED)
+    groups = math.isqrt(max(gatherings, n_buckets)) + 1
+    entries = batches(texts.select("doc", "k", "text")).mapInArrow(scan(n_buckets, max(1, HOT // gatherings), groups), PACKED)
     first = materialise(entries.groupBy("bucket").applyInArrow(resolve(n_buckets), PACKED))
 
-    dealt = texts.withColumn("bucket", document_bucket_column("doc", n_buckets))
-    cut = dealt.groupBy("bucket").cogroup(first.filter(F.col("kind") == PROBE).groupBy("bucket")).applyInArrow(cut_out(n_buckets), PACKED)
-    second = cut.unionByName(first.filter(F.col("kind") == CONTEXT)).groupBy("bucket").applyInArrow(construct(n_buckets), PACKED)
+    dealt = texts.withColumn("bucket", row_bucket_column("doc", "k", n_buckets))
+    second = dealt.groupBy("bucket").cogroup(first.filter(F.col("kind") == PROBE).groupBy("bucket")).applyInArrow(cut_out(n_buckets, groups), PACKED)
+    second = second.unionByName(first.filter(F.col("kind") == STRING))
+    for _ in range(2):
+        second = second.groupBy("bucket").applyInArrow(construct(n_buckets), PACKED)
     told = first.filter(F.col("kind") == MARK).unionByName(second)
-    schema = "doc_id long, n_bytes long, spans array<struct<start:long,end:long>>, kept binary"
-    return dealt.groupBy("bucket").cogroup(told.groupBy("bucket")).applyInArrow(remove, schema)
+    schema = "doc_id long, copies long, n_bytes long, spans array<struct<start:long,end:long>>, kept binary"
+    return restored(dealt.groupBy("bucket").cogroup(told.groupBy("bucket")).applyInArrow(remove, schema), several)
 
 
 def query(spark, sf_dir):
