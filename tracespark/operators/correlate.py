@@ -1,10 +1,8 @@
 """Requests and responses of a connection, paired first in, first out.
 
-`pairs` states the pairing with window functions: within an epoch (from one open or close to the
-next) a response without a request in flight is one that brings the running sum of +1 for requests
-and -1 for responses to a new low; the k-th other response answers the k-th request. It holds
-while no queue passes its bound. `replay` and the streaming form run the state machine itself, with
-bounded queues and timeouts.
+`replay` works on stored events in parallel, with bounded queues and timeouts, from the sizes of the queues alone (see
+queues.py); `pairs` and `orphans` are the same without bounds. `Connection` is the state machine event by event,
+for streams and tests.
 """
 
 from __future__ import annotations
@@ -15,10 +13,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .folds import by_key
+from . import queues
 
 #: Requests in flight on a connection, and seconds of silence after which it is given up.
 IN_FLIGHT, TIMEOUT_S = 1000, 30
+UNBOUNDED, FOREVER_NS = 1 << 39, 1 << 62
 
 
 def is_request(payload: Column) -> Column:
@@ -40,29 +39,40 @@ def epochs(events: DataFrame) -> DataFrame:
     return events.withColumn("epoch", F.sum(F.col("kind").isin("open", "close").cast("int")).over(so_far))
 
 
-def numbered(events: DataFrame) -> DataFrame:
-    """Requests and responses with their number among those that pair, and orphans told apart."""
-    so_far = Window.partitionBy("conn_key", "epoch").orderBy("ts_ns", "seq").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    before = Window.partitionBy("conn_key", "epoch").orderBy("ts_ns", "seq").rowsBetween(Window.unboundedPreceding, -1)
-    step = F.when(F.col("kind") == "request", 1).otherwise(-1)
-    summed = epochs(events).filter(F.col("kind").isin("request", "response")).withColumn("level", F.sum(step).over(so_far))
-    low = F.least(F.lit(0), F.coalesce(F.min("level").over(before), F.lit(0)))
-    told = summed.withColumn("orphan", (F.col("kind") == "response") & (F.col("level") < low))
-    return told.withColumn("nr", F.when(~F.col("orphan"), F.count_if(~F.col("orphan")).over(Window.partitionBy("conn_key", "epoch", "kind").orderBy("ts_ns", "seq").rowsBetween(Window.unboundedPreceding, Window.currentRow))))
+def replay(events: DataFrame, most: int = IN_FLIGHT, timeout_s: float = TIMEOUT_S) -> DataFrame:
+    """ST-01 to ST-07 over stored events: what each request and response came to, as the state machine below tells
+    it. A connection may lie on any number of tasks. What is still in flight at the end has the tag in_flight;
+    requests that an open replaces vanish."""
+    found = queues.fates(events, most, int(timeout_s * 1e9))
+    request = found.filter("is_request").drop("is_request", "tag")
+    removal = found.filter("NOT is_request AND nr IS NOT NULL").select(F.col("conn_key").alias("conn"), F.col("nr").alias("of"), F.col("tag").alias("how"), F.col("span_id").alias("answer"), F.col("ts_ns").alias("answered_ns"))
+    met = request.join(removal, F.col("conn_key").eqNullSafe(F.col("conn")) & (F.col("nr") == F.col("of")), "left")
+    answered = F.col("of").isNotNull() & F.col("how").isNull()
+    took = F.when(answered, (F.col("answered_ns") - F.col("ts_ns")) / 1e6).alias("duration_ms")
+    tag = F.when(~answered, F.coalesce("how", F.lit("in_flight")))
+    own = F.struct("span_id", F.lit("request").alias("kind"), F.lit(None).cast("string").alias("parent_span_id"), tag.alias("tag"))
+    answer = F.struct(F.col("answer").alias("span_id"), F.lit("response").alias("kind"), F.col("span_id").alias("parent_span_id"), F.lit(None).cast("string").alias("tag"))
+    both = met.filter(F.coalesce("how", F.lit("")) != queues.VANISHED).select("conn_key", "trace_id", took, F.explode(F.when(answered, F.array(own, answer)).otherwise(F.array(own))).alias("r"))
+    orphan = found.filter("tag = 'orphan_response'")
+    names = [c.split()[0] for c in FINISHED.split(", ")]
+    none = lambda kind: F.lit(None).cast(kind)
+    return both.select("conn_key", "r.span_id", "r.kind", "r.parent_span_id", "trace_id", "duration_ms", "r.tag").unionByName(
+        orphan.select("conn_key", "span_id", F.lit("response").alias("kind"), none("string").alias("parent_span_id"), "trace_id", none("double").alias("duration_ms"), "tag")
+    ).select(*names)
 
 
 def pairs(events: DataFrame) -> DataFrame:
-    """ST-03, JN-04: each response with the request it answers."""
-    told = numbered(events)
-    keys = ["conn_key", "epoch", "nr"]
-    request = told.filter("kind = 'request'").select(*keys, F.col("span_id").alias("request_span"), "trace_id", F.col("ts_ns").alias("sent_ns"))
-    response = told.filter("kind = 'response' AND NOT orphan").select(*keys, F.col("span_id").alias("response_span"), F.col("ts_ns").alias("received_ns"))
-    return request.join(response, keys).withColumn("duration_ms", (F.col("received_ns") - F.col("sent_ns")) / 1e6).drop("nr", "epoch")
+    """ST-03, JN-04: each response with the request it answers, whatever waits and however long."""
+    found = queues.fates(events, UNBOUNDED, FOREVER_NS)
+    request = found.filter("is_request").select(F.col("conn_key").alias("conn"), F.col("nr").alias("of"), F.col("span_id").alias("request_span"), "trace_id", F.col("ts_ns").alias("sent_ns"))
+    response = found.filter("NOT is_request AND nr IS NOT NULL AND tag IS NULL").select("conn_key", "nr", F.col("span_id").alias("response_span"), F.col("ts_ns").alias("received_ns"))
+    met = request.join(response, F.col("conn_key").eqNullSafe(F.col("conn")) & (F.col("nr") == F.col("of")))
+    return met.select("conn_key", "request_span", "trace_id", "sent_ns", "response_span", "received_ns", ((F.col("received_ns") - F.col("sent_ns")) / 1e6).alias("duration_ms"))
 
 
 def orphans(events: DataFrame) -> DataFrame:
     """ST-05."""
-    return numbered(events).filter("orphan").select("conn_key", "span_id")
+    return queues.fates(events, UNBOUNDED, FOREVER_NS).filter("tag = 'orphan_response'").select("conn_key", "span_id")
 
 
 class Connection:
@@ -112,25 +122,6 @@ def finished_row(f: tuple) -> dict:
     return dict(conn_key=e["conn_key"], span_id=e["span_id"], kind=e["kind"], parent_span_id=parent, trace_id=trace, duration_ms=None if took is None else took / 1e6, tag=tag)
 
 
-def replay(events: DataFrame, most: int = IN_FLIGHT, timeout_s: float = TIMEOUT_S) -> DataFrame:
-    """ST-01 to ST-07 over stored events. What is still in flight at the end has the tag in_flight."""
-    names = [c.split()[0] for c in EVENT.split(", ")]
-
-    def run(batches):
-        key, c = None, Connection(most, int(timeout_s * 1e9))
-        for b in batches:
-            out = []
-            for e in b.to_pylist():
-                if e["conn_key"] != key:
-                    out += c.flush("in_flight")
-                    key, c = e["conn_key"], Connection(most, int(timeout_s * 1e9))
-                out += c.see(e)
-            yield pa.RecordBatch.from_pylist([finished_row(f) for f in out], schema=FINISHED_SCHEMA)
-        yield pa.RecordBatch.from_pylist([finished_row(f) for f in c.flush("in_flight")], schema=FINISHED_SCHEMA)
-
-    return by_key(events.select(*names), ["conn_key"], ["ts_ns", "seq"], run, FINISHED)
-
-
 def counters(finished: DataFrame) -> DataFrame:
     """ST-11."""
     tagged = lambda t: F.count_if(F.col("tag") == t)

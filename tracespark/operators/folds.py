@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -48,3 +49,14 @@ def stretches(batch: pa.RecordBatch, keys: list[str], at: np.ndarray, gap: float
     ends = [*(np.flatnonzero(new) + 1).tolist(), batch.num_rows]
     for i, j in zip([0, *ends[:-1]], ends, strict=True):
         yield [batch.column(k)[i].as_py() for k in keys], i, j
+
+
+def materialise(df: DataFrame) -> DataFrame:
+    """The same rows in the same partitions and order, whoever reads them again: a reliable checkpoint in
+    spark.checkpoint.dir. Where that is unset, a session inside one process (tests) gets a folder of its own."""
+    sc = df.sparkSession.sparkContext
+    if not sc.getConf().get("spark.checkpoint.dir") and sc.getCheckpointDir() is None:
+        if not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
+        sc.setCheckpointDir(tempfile.mkdtemp(prefix="checkpoints-"))
+    return df.checkpoint()
