@@ -12,6 +12,7 @@ from tracespark.streaming import pipelines as S
 @pytest.fixture
 def stream(spark, tmp_path):
     """A DataFrame as a stream of one file, and a function that runs a stream to its end."""
+    S.state_store(spark)
 
     def of(df, name="in"):
         df.coalesce(1).write.parquet(str(tmp_path / name))
@@ -33,6 +34,55 @@ def test_correlation_equals_replay(spark, sf, stream):
     assert key(got) == key(correlate.replay(events, timeout_s=10**8)) and key(got)
 
 
+def in_two_runs(spark, tmp_path, parts, made, name):
+    """A stream that ends after the first file and is started again, from its checkpoint, for the second."""
+    S.state_store(spark)
+    found = []
+    for i, part in enumerate(parts):
+        part.coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        source = spark.readStream.schema(part.schema).parquet(str(tmp_path / "in"))
+        writer = made(source).writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "checkpoint")).trigger(availableNow=True)
+        writer.start().awaitTermination()
+    return spark.read.parquet(str(tmp_path / "out"))
+
+
+def test_correlation_goes_on_after_a_restart(spark, sf, tmp_path):
+    """Requests of the first run are answered, evicted and closed in the second as if there had been one."""
+    from test_queues import traffic
+
+    rows = sorted(((c, k, at + 10**18, *rest) for c, k, at, *rest in traffic(4, ["hot", "a", "b"], 1200)), key=lambda r: (r[2], r[3]))
+    half = rows[600][2]
+    frame = lambda keep: spark.createDataFrame([r for r in rows if keep(r)], correlate.EVENT)
+    parts = [frame(lambda r: r[2] < half), frame(lambda r: r[2] >= half)]
+    got = in_two_runs(spark, tmp_path, parts, lambda e: S.correlated(e, most=4, timeout_s=10**6), "restarted")
+    want = correlate.replay(frame(lambda r: True), 4, 10**6).filter("tag IS NULL OR tag <> 'in_flight'")
+    plain = lambda df: sorted(tuple(r) for r in df.select(*[F.coalesce(F.col(c).cast("string"), F.lit("-")) for c in want.columns]).collect())
+    assert plain(got) == plain(want) and {r.tag for r in got.collect()} == {None, "evicted", "connection_closed", "orphan_response"}
+
+
+def test_silent_connections_are_given_up_by_a_timer(spark, tmp_path):
+    """The second file moves the watermark past the first one's requests."""
+    s = 10**9
+    first = spark.createDataFrame([("a", "request", s, 1, "s1", "t"), ("a", "request", 2 * s, 2, "s2", "t"), ("b", "request", 2 * s, 3, "s3", "t"), ("b", "response", 3 * s, 4, "s4", "t")], correlate.EVENT)
+    later = spark.createDataFrame([("c", "request", 500 * s, 5, "s5", "t")], correlate.EVENT)
+    got = in_two_runs(spark, tmp_path, [first, later], lambda e: S.correlated(e, timeout_s=30, late="1 second"), "silent")
+    assert {(r.span_id, r.tag) for r in got.collect()} == {("s3", None), ("s4", None), ("s1", "connection_timeout"), ("s2", "connection_timeout")}
+
+
+def test_anomalies_go_on_after_a_restart(spark, sf, tmp_path):
+    """Averages, cooldowns and idle gaps are carried over."""
+    d = anomaly.Detector(0.05, 3.0, least=5, idle_s=40, cooldown_s=20)
+    rows = [(f"t{i}", f"s{i:04}", "svc", "op", "HTTP", (1000 + i + 60 * (i >= 300)) * 10**9, 10.0 + (500.0 if i % 37 == 36 or i % 37 == 35 else i % 3)) for i in range(400)]
+    spans = spark.createDataFrame(rows, anomaly.SAMPLE)
+    parts = [spans.filter("start_ns < 1200000000000"), spans.filter("start_ns >= 1200000000000")]
+    got = in_two_runs(spark, tmp_path, parts, lambda e: S.anomalies(e, d, late="1 hour"), "resumed")
+    folded = anomaly.fold(spans, d)
+    columns = ["span_id", "n", F.round("ewma", 6), "is_anomaly", "severity"]
+    assert sorted(map(str, got.select(*columns).collect())) == sorted(map(str, folded.select(*columns).collect()))
+    told = lambda df: {r.span_id for r in df.filter("is_sent").collect()}
+    assert told(got) == told(anomaly.sent(folded, d)) and told(got)
+
+
 def test_sampling_decides_for_whole_traces(spark, sf, stream):
     of, run = stream
     spans = views.spans(spark, sf).filter("trace_id < lpad('200', 32, '0')")

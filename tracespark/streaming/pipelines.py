@@ -1,54 +1,37 @@
 """Structured Streaming: correlation, sampling, rollups, the service map, anomalies, alert and span sinks.
 
-State is kept by key in the state store, time is event time, late rows are bounded by watermarks;
+State is kept by key in the state store (see stateful.py), time is event time, late rows are bounded by watermarks;
 sources hold back instead of dropping."""
 
 from __future__ import annotations
 
 import json
-import pickle
 from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor
 
-from ..operators.anomaly import FOLDED_SCHEMA, KEY, SAMPLE, Detector, State
-from ..operators.correlate import FINISHED, FINISHED_SCHEMA, IN_FLIGHT, TIMEOUT_S, Connection, finished_row
+from ..operators.anomaly import KEY, SAMPLE, Detector
+from ..operators.correlate import FINISHED, IN_FLIGHT, TIMEOUT_S
 from ..operators.sampling import Rates, keeps, rate
 from ..operators.search import has_parent, is_error
 from ..sources.tables import with_retries, write_spans
+from .stateful import Correlator, Latencies, Sampler, state_store  # noqa: F401
 
 
 def correlated(events: DataFrame, most: int = IN_FLIGHT, timeout_s: float = TIMEOUT_S, late: str = "30 seconds") -> DataFrame:
     """ST-01 to ST-07, JN-04: finished spans of each connection. events: conn_key, kind, ts_ns, seq,
     span_id, trace_id. A connection that stays silent past the timeout is flushed by an
     event-time timer."""
-
-    def run(key, batches, state: GroupState):
-        c = Connection(most, int(timeout_s * 1e9))
-        if state.exists:
-            c.queue, c.active_ns = pickle.loads(state.get[0])
-        if state.hasTimedOut:
-            out = c.flush("connection_timeout")
-            state.remove()
-        else:
-            rows = sorted((r for b in batches for r in b.to_dict("records")), key=lambda r: (r["ts_ns"], r["seq"]))
-            out = [f for r in rows for f in c.see({k: v for k, v in r.items() if k != "at"})]
-            state.update((pickle.dumps((c.queue, c.active_ns)),))
-            ms = max(int(c.active_ns // 1_000_000 + timeout_s * 1000) + 1, state.getCurrentWatermarkMs() + 1)
-            state.setTimeoutTimestamp(ms)
-        yield pd.DataFrame([finished_row(f) for f in out], columns=FINISHED_SCHEMA.names)
-
     timed = events.withColumn("at", F.timestamp_micros(F.expr("ts_ns div 1000"))).withWatermark("at", late)
-    return timed.groupBy("conn_key").applyInPandasWithState(run, FINISHED, "state binary", "append", GroupStateTimeout.EventTimeTimeout)
+    return by_key(timed, ["conn_key"], Correlator(most, int(timeout_s * 1e9)), FINISHED)
 
 
-def expire(state: GroupState, last_ns: int, idle_ms: int) -> None:
-    """Event-time timer: the key is forgotten once the watermark is so far past its last row."""
-    state.setTimeoutTimestamp(max(int(last_ns) // 1_000_000 + idle_ms, state.getCurrentWatermarkMs() + 1))
+def by_key(timed: DataFrame, keys: list[str], processor: StatefulProcessor, schema) -> DataFrame:
+    """The rows of each key through a processor. The session's state store has to be RocksDB: state_store(spark)."""
+    return timed.groupBy(*keys).transformWithStateInPandas(statefulProcessor=processor, outputStructType=schema, outputMode="append", timeMode="EventTime")
 
 
 def watermarked(df: DataFrame, late: str) -> DataFrame:
@@ -58,42 +41,15 @@ def watermarked(df: DataFrame, late: str) -> DataFrame:
 def sampled(spans: DataFrame, r: Rates = Rates(), keep_minutes: int = 10, late: str = "1 minute") -> DataFrame:
     """SMP-04, SMP-08: the first span seen of a trace decides for it; decisions are forgotten after some
     minutes without a span."""
-    columns = spans.columns
-
-    def run(key, batches, state: GroupState):
-        if state.hasTimedOut:
-            state.remove()
-            return
-        rows = pd.concat(list(batches)).sort_values(["start_ns", "span_id"])
-        kept = state.get[0] if state.exists else bool(rows["__keep"].iloc[0])
-        state.update((kept,))
-        expire(state, rows["start_ns"].max(), keep_minutes * 60_000)
-        yield rows[columns] if kept else rows[columns].iloc[:0]
-
-    marked = watermarked(spans.withColumn("__keep", keeps(rate(r))), late)
-    return marked.groupBy("trace_id").applyInPandasWithState(run, spans.schema, "kept boolean", "append", GroupStateTimeout.EventTimeTimeout)
+    marked = watermarked(spans.withColumn("kept_by_rate", keeps(rate(r))), late)
+    return by_key(marked, ["trace_id"], Sampler(spans.columns, keep_minutes), spans.schema)
 
 
 def anomalies(spans: DataFrame, d: Detector = Detector(), late: str = "1 minute") -> DataFrame:
     """A-01 to A-09: every sample with the state after it; idle keys are forgotten."""
     names = [c.split()[0] for c in SAMPLE.split(", ")]
-
-    def run(key, batches, state: GroupState):
-        if state.hasTimedOut:
-            state.remove()
-            return
-        s = State()
-        if state.exists:
-            for name, value in pickle.loads(state.get[0]).items():
-                setattr(s, name, value)
-        rows = pd.concat(list(batches)).sort_values(["start_ns", "span_id"])
-        made = pd.DataFrame([s.add(d, x, at) for x, at in zip(rows["duration_ms"], rows["start_ns"], strict=True)])
-        state.update((pickle.dumps({n: getattr(s, n) for n in State.__slots__}),))
-        expire(state, rows["start_ns"].max(), int(d.idle_s * 1000))
-        yield pd.concat([rows[names].reset_index(drop=True), made], axis=1)[[*names, *FOLDED_SCHEMA.names]]
-
     schema = f"{SAMPLE}, n long, mean double, stddev double, ewma double, ewma_var double, threshold double, deviation double, is_anomaly boolean, severity string, is_sent boolean"
-    return watermarked(spans.filter("duration_ms > 0").select(*names), late).groupBy(*KEY).applyInPandasWithState(run, schema, "state binary", "append", GroupStateTimeout.EventTimeTimeout)
+    return by_key(watermarked(spans.filter("duration_ms > 0").select(*names), late), KEY, Latencies(d), schema)
 
 
 def stats_rollup(spans: DataFrame, late: str = "2 minutes") -> DataFrame:
