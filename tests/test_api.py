@@ -51,6 +51,8 @@ def test_statistics(engine):
     assert packed["duplicate_subtrees"] >= len(packed["signatures"]) and packed["cache_hits"] >= packed["duplicate_subtrees"]
     page = get(engine, "/api/v1/compression/stats?limit=1&offset=1")[1]["data"]["signatures"]
     assert page == packed["signatures"][1:2]
+    texts = get(engine, "/api/v1/compression/stats?limit=3&structures=true")[1]["data"]["signatures"]
+    assert [{k: v for k, v in t.items() if k != "structure"} for t in texts] == packed["signatures"][:3] and all(t["structure"].endswith("\n") for t in texts)
     assert get(engine, "/api/v1/health")[1]["data"]["services"] == 4
     assert get(engine, "/api/v1/system/stats")[0] == 200 and get(engine, "/metrics")[0] == 200
     assert get(engine, "/api/v1/nothing")[0] == 404 and api.millis("x") == 0

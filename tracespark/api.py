@@ -41,7 +41,8 @@ def millis(value, default: int = 0) -> int:
 
 
 class Engine:
-    """Queries over a DataFrame of spans; pages and single traces are collected, nothing else is."""
+    """Queries over a DataFrame of spans. Pages and single traces are collected, and statistics by operation, edge
+    or key, whose rows are bounded by how many different ones there are."""
 
     def __init__(self, spans: DataFrame, rates: sampling.Rates = sampling.Rates(), detector: anomaly.Detector = anomaly.Detector(), counters=None):
         self.spans, self.rates, self.detector, self.counters, self.since = spans, rates, detector, counters, time.time()
@@ -85,19 +86,21 @@ class Engine:
     def anomaly_stats(self, start_ms=None, end_ms=None) -> list[dict]:
         return [r.asDict() for r in anomaly.listing(anomaly.fold(self._within(start_ms, end_ms), self.detector)).collect()]
 
-    def compression_stats(self, limit: int = 100, offset: int = 0, start_ms=None, end_ms=None) -> dict:
-        """CMP-09, AGG-17: totals over all subtrees, and a page of the signatures that repeat."""
+    def compression_stats(self, limit: int = 100, offset: int = 0, start_ms=None, end_ms=None, structures: bool = False) -> dict:
+        """CMP-09, AGG-17: totals over all subtrees, and a page of the signatures that repeat, with the ids of
+        a subtree that has each, and with its text where structures are asked for."""
         spans = self._within(start_ms, end_ms)
-        all_ = similarity.occurrences(similarity.signatures(trees.trees(spans, structures=True))).cache()
+        all_ = similarity.occurrences(similarity.signatures(trees.trees(spans, hashes=True))).cache()
         repeated = all_.filter("count > 1").orderBy(F.desc("count"), "hash").offset(max(0, offset)).limit(limit if limit > 0 else 100)
         counted = all_.agg(F.coalesce(F.sum("hits"), F.lit(0)).alias("cache_hits"), F.count(F.lit(1)).alias("cache_misses"), F.count_if(F.col("count") > 1).alias("duplicate_subtrees")).first().asDict()
-        found = {"totals": similarity.totals(similarity.compress(spans)).collect()[0].asDict(), **counted, "signatures": [r.asDict() for r in repeated.collect()]}
+        page = similarity.spelt(spans, repeated).orderBy(F.desc("count"), "hash") if structures else repeated
+        found = {"totals": similarity.totals(similarity.compress(spans)).collect()[0].asDict(), **counted, "signatures": [r.asDict(True) for r in page.collect()]}
         all_.unpersist()
         return found
 
     def flamegraph(self, trace_id: str, form: str = "svg", width: int = flame.WIDTH):
         """FG-01 to FG-06 for one trace."""
-        tree = trees.trees(search.trace(self.spans, trace_id), paths=True)
+        tree = trees.trees(search.trace(self.spans, trace_id), paths=form == "folded")
         if form == "folded":
             return "\n".join(r.line for r in flame.folded(tree).orderBy("visit").collect())
         if form == "stats":
@@ -123,15 +126,32 @@ class Engine:
         return "".join(f"tracespark_{k} {v}\n" for k, v in self.system_stats().items() if isinstance(v, (int, float)))
 
 
-def assembled(rows: list[dict]) -> dict:
-    """Spans of one trace, in order, as an envelope with a nested tree."""
-    root, children = trees.root_and_children(rows)
+#: Levels of a tree that are given as nested objects; JSON readers and writers take hardly more.
+NESTED = 200
 
-    def nested(i: int) -> dict:
-        return {**rows[i], "children": [nested(c) for c in children[i]]}
 
+def assembled(rows: list[dict]) -> dict:
+    """Spans of one trace, in order, as an envelope with a nested tree. Of a tree of over NESTED levels the root has no
+    children; parents, the place of each span's parent among the spans, says where they belong."""
+    root, children = trees.root_and_children(rows)
+    parents: list[int | None] = [None] * len(rows)
+    for i, kids in enumerate(children):
+        for c in kids:
+            parents[c] = i
+    walked, depth = ([root], {root: 1}) if root is not None else ([], {})
+    for i in walked:
+        for c in children[i]:
+            depth[c] = depth[i] + 1
+            walked.append(c)
+    tree = rows[root] if root is not None else None
+    deep = max(depth.values(), default=0) > NESTED
+    if tree is not None and not deep:
+        made: dict[int, dict] = {}
+        for i in reversed(walked):
+            made[i] = {**rows[i], "children": [made[c] for c in children[i]]}
+        tree = made[root]
     start, end = min(r["start_ns"] for r in rows), max(r["end_ns"] for r in rows)
-    return {"trace_id": rows[0]["trace_id"], "spans": rows, "root": nested(root) if root is not None else None, "start_ns": start, "end_ns": end, "duration_ms": (end - start) / 1e6}
+    return {"trace_id": rows[0]["trace_id"], "spans": rows, "root": tree, "start_ns": start, "end_ns": end, "duration_ms": (end - start) / 1e6, **({"parents": parents} if deep else {})}
 
 
 def answer(engine: Engine, target: str) -> tuple[int, str, str]:
@@ -148,7 +168,7 @@ def answer(engine: Engine, target: str) -> tuple[int, str, str]:
         r"/trace/([^/]+)/flamegraph": lambda i: engine.flamegraph(i, q.get("format", "svg"), millis(q.get("width")) or flame.WIDTH),
         r"/traces": searched,
         r"/services": lambda: engine.services(),
-        r"/services/([^/]+)/stats": lambda s: engine.service_stats(s, q.get("start"), q.get("end")),
+        r"/services/([^/]+)/stats": lambda s: engine.service_stats(s, q.get("start"), q.get("end"), q.get("structures") == "true"),
         r"/service-map": lambda: engine.service_map(q.get("start"), q.get("end")),
         r"/sampling/stats": lambda: engine.sampling_stats(q.get("start"), q.get("end")),
         r"/anomaly/stats": lambda: engine.anomaly_stats(q.get("start"), q.get("end")),

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalars import fnv1a_64
+from .trees import trees
 
 #: Least size of a span's JSON, least gain, and level of its compression.
 LEAST_BYTES, LEAST_RATIO, LEVEL = 256, 1.2, 3
@@ -15,18 +16,28 @@ SIMILAR = 0.9
 
 
 def signatures(tree: DataFrame) -> DataFrame:
-    """CMP-03 to CMP-05: the signature of every subtree whose structure is spelt. tree: trees(spans,
-    structures=True), or "roots" for whole trees alone."""
-    return tree.filter("in_tree AND structure IS NOT NULL").select("trace_id", "span_id", fnv1a_64(F.col("structure")).alias("hash"), "structure", "operations", F.col("height").alias("depth"), "is_root")
+    """CMP-03 to CMP-05: the signature of every subtree. tree: trees(spans, hashes=True), which needs no text, or
+    trees(spans, structures=True), or "roots" for whole trees alone."""
+    return tree.filter("in_tree AND (hash IS NOT NULL OR structure IS NOT NULL)").select("trace_id", "span_id", F.coalesce("hash", fnv1a_64(F.col("structure"))).alias("hash"), "structure", "operations", F.col("height").alias("depth"), "is_root")
 
 
 def occurrences(signed: DataFrame, repeated_only: bool = False) -> DataFrame:
-    """AGG-13, CMP-08, CMP-09: how often each signature occurs; hits are occurrences after the first."""
-    found = signed.groupBy("hash").agg(F.count(F.lit(1)).alias("count"), F.first("structure").alias("structure"), F.max("depth").alias("depth"))
+    """AGG-13, CMP-08, CMP-09: how often each signature occurs, and the first subtree that has it; hits are occurrences after
+    the first."""
+    found = signed.groupBy("hash").agg(F.count(F.lit(1)).alias("count"), F.max("depth").alias("depth"), F.min(F.struct("trace_id", "span_id")).alias("example"))
     found = found.withColumn("hits", F.col("count") - 1)
     return found.filter("count > 1") if repeated_only else found
 
 
+def spelt(spans: DataFrame, found: DataFrame) -> DataFrame:
+    """occurrences() with the structure of each: the examples alone are spelt, in the traces that have one."""
+    example = found.select("example.*").withColumn("marked", F.lit(True))
+    traces = example.select("trace_id").distinct()
+    tree = trees(spans.join(traces, "trace_id", "left_semi").join(example, ["trace_id", "span_id"], "left"), structures="marked")
+    text = tree.filter("structure IS NOT NULL").select(F.struct("trace_id", "span_id").alias("example"), "structure")
+    return found.join(text, "example")
+
+
 def similarity(a, b):
     """CMP-06, SET-02: of operations a (as a set) and b (as a list): |{i: b_i in a}| over the union."""
     shared = F.size(F.filter(b, lambda x: F.array_contains(a, x)))

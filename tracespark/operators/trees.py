@@ -1,7 +1,8 @@
 """Span trees: roots, depths, paths, orphans and subtree structures, a partition of traces at a time.
 
 Traces are dealt by id once; within a task all trees of a batch are walked together, in arrays. A trace is
-never cut, so memory is that of the largest trace (beside a batch): about 200 bytes a span.
+never cut, so memory is that of the largest trace (beside a batch): about 200 bytes a span. Paths and structures
+are texts that grow with the square of the depth; they are only made where asked for, and hashes of structures need none.
 """
 
 from __future__ import annotations
@@ -13,9 +14,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .folds import by_key, whole_groups
+from .labels import Labels
 
 COLUMNS = "trace_id string, span_id string, parent_span_id string, service_name string, operation string, protocol string, duration_ms double, start_ns long"
-ADDED = "depth int, height int, visit int, children int, child_ms double, frames array<string>, structure string, operations array<string>, in_tree boolean, is_root boolean, is_orphan boolean"
+ADDED = "depth int, height int, visit int, children int, child_ms double, frames array<string>, structure string, hash string, operations array<string>, in_tree boolean, is_root boolean, is_orphan boolean"
 
 
 def root_and_children(rows: list[dict]) -> tuple[int | None, list[list[int]]]:
@@ -114,6 +116,20 @@ class Forest:
         size = np.where(wanted, self.size, 0)
         return size, self.walked[np.repeat(start, size) + np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)]
 
+    def hashes(self, names: list[str], labels: Labels) -> list[str | None]:
+        """The hash of the structure of each span's subtree."""
+        out: list[str | None] = [None] * self.n
+        walked = self.walked.tolist()
+        spelt = [names[i] for i in walked]
+        sizes, depths = self.size[self.walked].tolist(), self.depth[self.walked].tolist()
+        at = 0
+        while at < len(walked):
+            end = at + sizes[at]
+            for i, h in zip(walked[at:end], labels.of_tree(spelt[at:end], sizes[at:end], depths[at:end]), strict=True):
+                out[i] = f"{int(h):016x}"
+            at = end
+        return out
+
     def structures(self, names: list[str], wanted: np.ndarray) -> list[str | None]:
         """The subtree of each wanted span spelt out, a line for each opening and closing."""
         lines: list[tuple[int, str]] = []
@@ -142,14 +158,17 @@ class Forest:
         return out
 
 
-def trees(spans: DataFrame, structures: bool | str = False, paths: bool = False) -> DataFrame:
+def trees(spans: DataFrame, structures: bool | str = False, paths: bool = False, hashes: bool = False) -> DataFrame:
     """TR-03, TR-04, FG-01, CMP-03: the spans with their place in their trace's tree. Spans that the
     root doesn't reach have in_tree false and no depth. paths adds the frames above each span,
-    structures its subtree and the operations in it ("roots": those of roots alone, which is linear)."""
+    structures its subtree and the operations in it ("roots": those of roots alone; "marked": those of spans
+    whose column marked is true), hashes the signature of its subtree without its text."""
     names = [c.split()[0] for c in COLUMNS.split(", ")]
     added = [c.split()[0] for c in ADDED.split(", ")]
+    more = ["marked"] if structures == "marked" else []
 
     def run(batches):
+        labels = Labels()
         for t in whole_groups(batches, "trace_id"):
             f = Forest(t)
             outside = ~f.in_tree
@@ -160,19 +179,24 @@ def trees(spans: DataFrame, structures: bool | str = False, paths: bool = False)
                 protocol = pc.fill_null(t.column("protocol").combine_chunks(), "")
                 ending = pc.if_else(pc.equal(protocol, ""), "", pc.binary_join_element_wise(" [", protocol, "]", ""))
                 made["frames"] = f.paths(pc.binary_join_element_wise(service, ":", operation, ending, ""))
+            frame = pc.binary_join_element_wise(service, ":", operation, "").to_pylist() if structures or hashes else []
+            if hashes:
+                made["hash"] = pa.array(f.hashes(frame, labels), pa.string())
             if structures:
                 wanted = f.is_root if structures == "roots" else f.in_tree
-                made["structure"] = pa.array(f.structures(pc.binary_join_element_wise(service, ":", operation, "").to_pylist(), wanted), pa.string())
+                if more:
+                    wanted = wanted & pc.fill_null(t.column("marked").combine_chunks(), False).to_numpy(zero_copy_only=False)
+                made["structure"] = pa.array(f.structures(frame, wanted), pa.string())
                 size, below = f.below(wanted)
                 made["operations"] = f.lists(size, operation.take(pa.array(below)))
             made = [made[c] if c in made else pa.nulls(f.n, ADDED_SCHEMA.field(c).type) for c in added]
             yield from pa.Table.from_arrays([*[t.column(c) for c in names], *made], names=[*names, *added]).to_batches()
 
-    return by_key(spans.select(*names), ["trace_id"], ["start_ns", "span_id"], run, f"{COLUMNS}, {ADDED}")
+    return by_key(spans.select(*names, *more), ["trace_id"], ["start_ns", "span_id"], run, f"{COLUMNS}, {ADDED}")
 
 
 ADDED_SCHEMA = pa.schema(
-    [("depth", pa.int32()), ("height", pa.int32()), ("visit", pa.int32()), ("children", pa.int32()), ("child_ms", pa.float64()), ("frames", pa.list_(pa.string())), ("structure", pa.string()), ("operations", pa.list_(pa.string())), ("in_tree", pa.bool_()), ("is_root", pa.bool_()), ("is_orphan", pa.bool_())]
+    [("depth", pa.int32()), ("height", pa.int32()), ("visit", pa.int32()), ("children", pa.int32()), ("child_ms", pa.float64()), ("frames", pa.list_(pa.string())), ("structure", pa.string()), ("hash", pa.string()), ("operations", pa.list_(pa.string())), ("in_tree", pa.bool_()), ("is_root", pa.bool_()), ("is_orphan", pa.bool_())]
 )
 
 

@@ -152,11 +152,12 @@ EULER = f"""{TREE}, mark AS (
 )"""
 FNV = "lower(lpad(to_hex(CAST(list_reduce(list_prepend(14695981039346656037::HUGEINT, list_transform(string_split(structure, ''), lambda c: ascii(c)::HUGEINT)), lambda h, c: (xor(h, c) * 1099511628211::HUGEINT) % 18446744073709551616::HUGEINT) AS UBIGINT)), 16, '0'))"
 signed = lambda s, d: similarity.signatures(trees.trees(spans(s, d), structures=True))
+hashed = lambda s, d: similarity.signatures(trees.trees(spans(s, d), hashes=True))
 q("CMP03_subtree_structures", lambda s, d: signed(s, d).select("trace_id", "span_id", "structure", F.array_join("operations", ",").alias("operations"), "depth"), f"{EULER} SELECT trace_id, span_id, structure, operations, depth FROM subtree JOIN names USING (trace_id, span_id)")
-q("CMP04_signatures", lambda s, d: similarity.signatures(trees.trees(spans(s, d), structures="roots")).filter("is_root").select("trace_id", "hash", "depth"), f"{EULER} SELECT trace_id, {FNV} AS hash, depth FROM subtree JOIN names USING (trace_id, span_id) WHERE span_id = lpad('1', 16, '0')")
-q("CMP05_signature_of_every_subtree", lambda s, d: signed(s, d).groupBy("structure").agg(F.first("hash").alias("hash"), F.count(F.lit(1)).alias("count")).select("hash", "count"), f"{EULER} SELECT {FNV} AS hash, n AS count FROM (SELECT structure, count(*) AS n FROM subtree GROUP BY structure)")
-q("AGG13_repeated_subtrees", lambda s, d: similarity.occurrences(signed(s, d), True).select("structure", "count", "hits"), f"{EULER} SELECT structure, count(*) AS count, count(*) - 1 AS hits FROM subtree GROUP BY structure HAVING count(*) > 1")
-q("CMP09_cache_counters", lambda s, d: similarity.occurrences(signed(s, d)).agg(F.sum("hits").alias("hits"), F.count(F.lit(1)).alias("misses")), f"{EULER} SELECT CAST(sum(n - 1) AS BIGINT) AS hits, count(*) AS misses FROM (SELECT count(*) AS n FROM subtree GROUP BY structure)")
+q("CMP04_signatures", lambda s, d: hashed(s, d).filter("is_root").select("trace_id", "hash", "depth"), f"{EULER} SELECT trace_id, {FNV} AS hash, depth FROM subtree JOIN names USING (trace_id, span_id) WHERE span_id = lpad('1', 16, '0')")
+q("CMP05_signature_of_every_subtree", lambda s, d: hashed(s, d).groupBy("hash").agg(F.count(F.lit(1)).alias("count")), f"{EULER} SELECT {FNV} AS hash, n AS count FROM (SELECT structure, count(*) AS n FROM subtree GROUP BY structure)")
+q("AGG13_repeated_subtrees", lambda s, d: similarity.spelt(spans(s, d), similarity.occurrences(hashed(s, d), True)).select("structure", "count", "hits"), f"{EULER} SELECT structure, count(*) AS count, count(*) - 1 AS hits FROM subtree GROUP BY structure HAVING count(*) > 1")
+q("CMP09_cache_counters", lambda s, d: similarity.occurrences(hashed(s, d)).agg(F.sum("hits").alias("hits"), F.count(F.lit(1)).alias("misses")), f"{EULER} SELECT CAST(sum(n - 1) AS BIGINT) AS hits, count(*) AS misses FROM (SELECT count(*) AS n FROM subtree GROUP BY structure)")
 SIM = "len(list_filter(b, lambda x: list_contains(a, x)))"
 q("CMP06_similarity", lambda s, d: operations(s, d).select("x", "y", F.round(similarity.similarity(F.col("a"), F.col("b")), 6).alias("similarity")), f", ops AS (SELECT trace_id, list(operation ORDER BY start_us, span_id) AS o FROM spans GROUP BY trace_id), two AS (SELECT l.trace_id AS x, r.trace_id AS y, l.o AS a, r.o AS b FROM ops l JOIN ops r ON CAST(r.trace_id AS BIGINT) = CAST(l.trace_id AS BIGINT) + 1) SELECT x, y, round({SIM} / (len(list_distinct(a)) + len(b) - {SIM}), 6) AS similarity FROM two")
 register("SET02_bag_overlap", lambda s, d: operations(s, d).select("x", "y", F.size(F.filter("b", lambda v: F.array_contains(F.col("a"), v))).alias("shared")), oracle(f", ops AS (SELECT trace_id, list(operation ORDER BY start_us, span_id) AS o FROM spans GROUP BY trace_id), two AS (SELECT l.trace_id AS x, r.trace_id AS y, l.o AS a, r.o AS b FROM ops l JOIN ops r ON CAST(r.trace_id AS BIGINT) = CAST(l.trace_id AS BIGINT) + 1) SELECT x, y, {SIM} AS shared FROM two", SPANS_SQL))
