@@ -168,11 +168,11 @@ def answer(engine: Engine, target: str) -> tuple[int, str, str]:
         r"/trace/([^/]+)/flamegraph": lambda i: engine.flamegraph(i, q.get("format", "svg"), millis(q.get("width")) or flame.WIDTH),
         r"/traces": searched,
         r"/services": lambda: engine.services(),
-        r"/services/([^/]+)/stats": lambda s: engine.service_stats(s, q.get("start"), q.get("end"), q.get("structures") == "true"),
+        r"/services/([^/]+)/stats": lambda s: engine.service_stats(s, q.get("start"), q.get("end")),
         r"/service-map": lambda: engine.service_map(q.get("start"), q.get("end")),
         r"/sampling/stats": lambda: engine.sampling_stats(q.get("start"), q.get("end")),
         r"/anomaly/stats": lambda: engine.anomaly_stats(q.get("start"), q.get("end")),
-        r"/compression/stats": lambda: engine.compression_stats(millis(q.get("limit")), millis(q.get("offset")), q.get("start"), q.get("end")),
+        r"/compression/stats": lambda: engine.compression_stats(millis(q.get("limit")), millis(q.get("offset")), q.get("start"), q.get("end"), q.get("structures") == "true"),
         r"/health": lambda: engine.health(),
         r"/system/stats": lambda: engine.system_stats(),
     }
