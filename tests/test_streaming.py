@@ -108,6 +108,8 @@ def test_rollups_hold_back_open_minutes(spark, sf, stream):
     batch = {(r.minute_us, r.operation): r.call_count for r in stats.stats_rollup(spans).collect()}
     seen = {(r.minute_us, r.operation): r.call_count for r in got.collect()}
     assert seen.items() <= batch.items() and len(batch) - len(seen) < 10
+    longer = stats.merged_stats(got).filter("call_count > 2").select("period_us", "p50_duration_ms", "min_duration_ms", "max_duration_ms").collect()
+    assert longer and all(r.min_duration_ms <= r.p50_duration_ms <= r.max_duration_ms for r in longer)
 
 
 def test_map_rollup_and_rate(spark, sf, stream):
