@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import month, unpadded
 from ..schema import PAYLOAD_CHARS, SPAN, SPAN_ID_CHARS, TRACE_ID_CHARS
+from . import upkeep
 
 
 @dataclass
@@ -80,32 +81,31 @@ def good(spans: DataFrame) -> tuple[DataFrame, DataFrame]:
     return spans.filter(ok), spans.filter(~ok)
 
 
-def write_spans(spans: DataFrame, path: str, quarantine: str | None = None, mode: str = "append", batch: int | None = None) -> None:
-    """SNK-04: Parquet by month, in order of time and trace within a file, with a Bloom filter on the
+def write_spans(spans: DataFrame, path: str, quarantine: str | None = None, batch: int | None = None) -> None:
+    """SNK-04: Parquet by month and batch, in order of time and trace within a file, with a Bloom filter on the
     trace id; rows that can't be kept go to the quarantine. The rows of a numbered batch replace those
-    that an earlier try at it has left."""
+    that an earlier try at it has left; without a number each call has a folder of its own. upkeep.compact merges folders."""
+    batch = upkeep.unnumbered() if batch is None else batch
     kept, bad = good(clean(spans))
-    out = kept.withColumns({"timestamp": F.col("start_time"), "month": month(F.col("start_time"))})
-    folders = ["month"]
-    if batch is not None:
-        out, bad, folders, mode = out.withColumn("batch", F.lit(batch)), bad.withColumn("batch", F.lit(batch)), ["month", "batch"], "overwrite"
+    out = kept.withColumns({"timestamp": F.col("start_time"), "month": month(F.col("start_time")), "batch": F.lit(batch).cast("long")})
     (
         out.sortWithinPartitions("month", "start_time", "trace_id", "span_id")
-        .write.mode(mode)
-        .partitionBy(*folders)
-        .option("partitionOverwriteMode", "static" if batch is None else "dynamic")
+        .write.mode("overwrite")
+        .partitionBy("month", "batch")
+        .option("partitionOverwriteMode", "dynamic")
         .option("compression", "zstd")
         .option("parquet.bloom.filter.enabled#trace_id", "true")
         .parquet(path)
     )
     if quarantine:
-        bad.write.mode(mode).partitionBy(*folders[1:]).option("partitionOverwriteMode", "static" if batch is None else "dynamic").parquet(quarantine)
+        bad.withColumn("batch", F.lit(batch).cast("long")).write.mode("overwrite").partitionBy("batch").option("partitionOverwriteMode", "dynamic").parquet(quarantine)
 
 
 def read_spans(spark: SparkSession, path: str, start: str | None = None, end: str | None = None) -> DataFrame:
     """SRC-12: the spans of a time range, with the month that they are kept under; months outside
-    it aren't read, and operators with a time range of their own prune by it too."""
-    found = spark.read.parquet(path)
+    it aren't read, and operators with a time range of their own prune by it too. Folders that a compaction has merged
+    are passed over."""
+    found = upkeep.read_live(spark, path)
     for c, bound, keeps in (("start", start, lambda a, b: a >= b), ("end", end, lambda a, b: a <= b)):
         if bound is not None:
             t = F.lit(bound).cast("timestamp")
@@ -116,7 +116,7 @@ def read_spans(spark: SparkSession, path: str, start: str | None = None, end: st
 def create_table(spark: SparkSession, name: str, location: str) -> None:
     """SNK-05."""
     columns = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in SPAN)
-    spark.sql(f"CREATE TABLE IF NOT EXISTS {name} ({columns}, month string) USING parquet PARTITIONED BY (month) LOCATION '{location}'")
+    spark.sql(f"CREATE TABLE IF NOT EXISTS {name} ({columns}, month string, batch long) USING parquet PARTITIONED BY (month, batch) LOCATION '{location}'")
 
 
 def retained(df: DataFrame, days: int, now_us: int | None = None, column: str = "start_time") -> DataFrame:
