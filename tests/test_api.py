@@ -4,6 +4,7 @@ import urllib.error
 import urllib.request
 
 import pytest
+from pyspark.sql import functions as F
 
 from tracespark import api
 from tracespark.operators.search import TraceQuery
@@ -92,3 +93,53 @@ def test_system_statistics_alert():
     found = api.Engine(None, counters=Counters()).system_stats()
     assert found["drop_rate"] == 12.5 and found["queue_usage_percent"] == 81 and len(found["alerts"]) == 3 and len(found["warnings"]) == 1
     assert api.Engine(None).system_stats()["alerts"] == []
+
+
+def test_time_limits(engine, spark):
+    """A request that takes too long has its jobs cancelled and is told so; the next one is answered."""
+    import time
+
+    slow = api.Engine(engine.spans, limits_s={"/services": 0.5, "": 60})
+    nap = F.udf(lambda x: time.sleep(0.2) or x, "string")
+    slow.spans = engine.spans.limit(2000).repartition(2).withColumn("service_name", nap("service_name"))
+    began = time.time()
+    status, body = get(slow, "/api/v1/services")
+    assert status == 504 and body["code"] == 504 and time.time() - began < 30
+    assert get(engine, "/api/v1/services")[0] == 200
+
+
+def test_months_of_parents_are_pruned(spark, engine, tmp_path, monkeypatch):
+    seen = {}
+    monkeypatch.setattr(api.stats, "service_map", lambda spans, a, b, longest_us: seen.update(longest=longest_us) or spans.limit(0))
+    assert get(engine, f"/api/v1/service-map?{ALL}")[0] == 200 and seen["longest"] == api.LONGEST_US
+
+
+def test_a_range_for_one_trace_and_for_services(engine):
+    assert get(engine, f"/api/v1/trace/{ONE}?{ALL}")[1]["data"] == get(engine, f"/api/v1/trace/{ONE}")[1]["data"]
+    assert get(engine, f"/api/v1/trace/{ONE}?start=1&end=2")[0] == 404
+    assert get(engine, "/api/v1/services?start=1&end=2")[1]["data"] == []
+
+
+def test_orderly_end(engine):
+    """Requests that run are answered before the server is gone."""
+    import time
+
+    class Slow:
+        def within_limit(self, route, call):
+            return call()
+
+        def services(self, *_):
+            time.sleep(1)
+            return ["late"]
+
+    server = api.serve(Slow(), 0)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    url, got = f"http://127.0.0.1:{server.server_address[1]}/api/v1/services", []
+    asking = threading.Thread(target=lambda: got.append(json.load(urllib.request.urlopen(url))))
+    asking.start()
+    time.sleep(0.3)
+    api.stop(server)
+    asking.join(10)
+    assert got[0]["data"] == ["late"]
+    with pytest.raises(OSError):
+        urllib.request.urlopen(url, timeout=2)

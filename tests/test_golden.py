@@ -346,6 +346,12 @@ def test_configuration(tmp_path, monkeypatch):
     c = tables.load_config(str(tmp_path / "c.yaml"))
     assert (c.sampling.low, c.sampling.high, c.storage.batch_size, c.anomaly.k) == (0.5, 0.9, 7, 3.0)
     assert c.storage.dsn() == "tcp://localhost:9000/traces?username=default" and tables.load_config().sampling.low == 0.01
+    (tmp_path / "d.yaml").write_text("protocols: {http: [81], redis: []}\nalerts: {enabled: true}\nflamegraph: {width: 900}\n")
+    monkeypatch.setenv("TRACESPARK_PROTOCOLS_GRPC", "50051,7001")
+    monkeypatch.setenv("TRACESPARK_COMPRESSION_ENABLED", "false")
+    d = tables.load_config(str(tmp_path / "d.yaml"))
+    assert d.ports() == {"http": (81,), "grpc": (50051, 7001)} and d.alerts.enabled and d.flamegraph.width == 900 and not d.compression.enabled
+    assert d.detector() == anomaly.Detector() and d.rates() == sampling.Rates(500, 0.9, 0.01)
 
 
 def test_create_table(spark, tmp_path):

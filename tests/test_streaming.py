@@ -3,6 +3,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
+from tracespark import api
 from tracespark.operators import anomaly, correlate, sampling, stats
 from tracespark.plans import views
 from tracespark.sources import tables
@@ -151,3 +152,42 @@ def test_sinks_and_counters(spark, sf, stream, tmp_path):
 
     S.alert_sink(of(bodies, "bodies"), post, str(tmp_path / "check2"), once=True).awaitTermination()
     assert n > 0 and len(list(posted.iterdir())) == n
+
+
+def test_an_alert_that_fails_holds_up_no_other(spark, stream, tmp_path):
+    of, _ = stream
+    counters, posted = S.Counters(), tmp_path / "posted"
+    posted.mkdir()
+
+    def post(body, folder=str(posted)):
+        with open(f"{folder}/{body}", "a") as f:
+            f.write("x")
+        if body == "bad":
+            raise OSError("no")
+
+    bodies = spark.createDataFrame([(b,) for b in ("a", "bad", "c")], "body string")
+    S.alert_sink(of(bodies), post, str(tmp_path / "check"), once=True, retries=1, undelivered=str(tmp_path / "lost"), counters=counters).awaitTermination()
+    assert {p.name: p.read_text() for p in posted.iterdir()} == {"a": "x", "bad": "xx", "c": "x"}
+    assert counters.stats()["undelivered"] == 1 and spark.read.parquet(str(tmp_path / "lost")).first().error == "OSError: no"
+
+
+def test_counters_tell_what_was_dropped(spark, sf, stream, tmp_path):
+    """Short records, spans without ids, open connections, writes tried again: each of them is counted, and alerts come of it."""
+    of, run = stream
+    counters = S.Counters(queue_capacity=100)
+    spark.streams.addListener(counters)
+    try:
+        records = spark.createDataFrame([(b"x" * 10,)] * 101 + [(b"x" * 1424,)] * 4, "record binary")
+        run(S.counted_records(of(records, "records")), "counted_records")
+        events = spark.createDataFrame([("open",)] * 5 + [("close",)] * 2, "kind string")
+        run(S.counted_events(of(events, "events")), "counted_events")
+        good = views.latencies(spark, sf).limit(50).withColumns({"payload": F.lit("x"), "end_time": F.col("start_time")})
+        spans = good.unionByName(good.limit(3).withColumn("span_id", F.lit("")))
+        S.span_sink(of(spans, "spans"), str(tmp_path / "out"), str(tmp_path / "check"), once=True, counters=counters).awaitTermination()
+        spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    finally:
+        spark.streams.removeListener(counters)
+    found = counters.stats()
+    assert found["dropped"] == 104 and found["connections"] == 3 and found["flushed"] >= 50 and found["retried"] == 0
+    told = api.Engine(None, counters=counters).system_stats()
+    assert told["alerts"][0] == "events dropped: 104"

@@ -6,12 +6,16 @@ import argparse
 import json
 import logging
 import re
+import signal
+import threading
 import time
+import uuid
+from collections.abc import Callable
 from datetime import datetime, timezone
 from http.server import BaseHTTPRequestHandler, ThreadingHTTPServer
 from urllib.parse import parse_qs, unquote, urlparse
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .operators import anomaly, flame, sampling, search, similarity, stats, trees
@@ -27,6 +31,43 @@ class NotFound(Exception):
     """Nothing has that id."""
 
 
+class TimedOut(Exception):
+    """The time limit of a request has passed."""
+
+
+# Seconds that a request may take, by the first part of its route that is listed, and a shutdown.
+LIMITS_S = {"/services/": 15, "/services": 10, "/service-map": 15, "/health": 5, "": 30}
+SHUTDOWN_S = 10
+#: Spans of one trace start so close together, unless an engine is told otherwise.
+LONGEST_US = 86_400_000_000
+
+
+def limited(spark: SparkSession, seconds: float, call: Callable):
+    """call()'s result. After so many seconds its Spark jobs are cancelled, again and again until it ends,
+    and TimedOut is raised."""
+    tag, late, done = f"request-{uuid.uuid4().hex}", threading.Event(), threading.Event()
+
+    def watch() -> None:
+        if not done.wait(seconds):
+            late.set()
+            while not done.wait(0.1):
+                spark.sparkContext.cancelJobsWithTag(tag)
+
+    spark.sparkContext.addJobTag(tag)
+    watcher = threading.Thread(target=watch, daemon=True)
+    watcher.start()
+    try:
+        return call()
+    except Exception as e:
+        if late.is_set():
+            raise TimedOut(f"more than {seconds:g} seconds") from e
+        raise
+    finally:
+        done.set()
+        watcher.join()
+        spark.sparkContext.removeJobTag(tag)
+
+
 def envelope(data, code: int = 200, message: str = "success") -> dict:
     """SNK-09, S-22."""
     return {"code": code, "message": message, "data": data}
@@ -44,12 +85,18 @@ class Engine:
     """Queries over a DataFrame of spans. Pages and single traces are collected, and statistics by operation, edge
     or key, whose rows are bounded by how many different ones there are."""
 
-    def __init__(self, spans: DataFrame, rates: sampling.Rates = sampling.Rates(), detector: anomaly.Detector = anomaly.Detector(), counters=None):
+    def __init__(self, spans: DataFrame, rates: sampling.Rates = sampling.Rates(), detector: anomaly.Detector = anomaly.Detector(), counters=None, longest_us: int | None = LONGEST_US, limits_s: dict[str, float] = LIMITS_S):
         self.spans, self.rates, self.detector, self.counters, self.since = spans, rates, detector, counters, time.time()
+        self.longest_us, self.limits_s, self.counted = longest_us, limits_s, (0.0, 0)
 
-    def trace(self, trace_id: str) -> dict:
-        """TR-01, TR-03: a trace with its tree."""
-        rows = [r.asDict() for r in search.trace(self.spans, trace_id).collect()] if trace_id else []
+    def within_limit(self, route: str, call: Callable):
+        seconds = next(s for start, s in self.limits_s.items() if route.startswith(start))
+        return limited(self.spans.sparkSession, seconds, call) if self.spans is not None else call()
+
+    def trace(self, trace_id: str, start_ms=None, end_ms=None) -> dict:
+        """TR-01, TR-03: a trace with its tree; with a time range only its months are read."""
+        spans = self._within(start_ms, end_ms) if start_ms or end_ms else self.spans
+        rows = [r.asDict() for r in search.trace(spans, trace_id).collect()] if trace_id else []
         if not rows:
             raise NotFound(f"no trace {trace_id!r}")
         return assembled(rows)
@@ -62,8 +109,9 @@ class Engine:
         found = sorted((assembled(rows) for rows in by_id.values()), key=lambda t: max(s["start_ns"] for s in t["spans"]), reverse=True)
         return {"traces": found, "total": len(found), "limit": q.limit or search.PAGE, "offset": q.offset}
 
-    def services(self) -> list[str]:
-        return [r.service_name for r in search.services(self.spans).collect()]
+    def services(self, start_ms=None, end_ms=None) -> list[str]:
+        """AGG-07: of a time range, where one is asked for."""
+        return [r.service_name for r in search.services(self._within(start_ms, end_ms)).collect()]
 
     def _range(self, start_ms, end_ms) -> tuple[int, int]:
         now = datetime.now(timezone.utc)
@@ -74,7 +122,7 @@ class Engine:
         return [r.asDict() for r in stats.service_stats(self.spans, service, *self._range(start_ms, end_ms)).collect()]
 
     def service_map(self, start_ms=None, end_ms=None) -> list[dict]:
-        return [r.asDict() for r in stats.service_map(self.spans, *self._range(start_ms, end_ms)).collect()]
+        return [r.asDict() for r in stats.service_map(self.spans, *self._range(start_ms, end_ms), longest_us=self.longest_us).collect()]
 
     def _within(self, start_ms, end_ms) -> DataFrame:
         """All spans, or those of a time range where one is asked for."""
@@ -110,9 +158,13 @@ class Engine:
             raise NotFound(f"no trace {trace_id!r}")
         return flame.svg(rows, f"Trace {trace_id}", width)
 
-    def health(self) -> dict:
-        """AGG-10."""
-        return {"status": "healthy", "services": search.service_count(self.spans).collect()[0].services, "uptime_seconds": time.time() - self.since}
+    def health(self, fresh_s: float = 60) -> dict:
+        """AGG-10. Probes come often, so the services are counted once a minute at most."""
+        at, services = self.counted
+        if time.time() - at > fresh_s:
+            services = search.service_count(self.spans).collect()[0].services
+            self.counted = (time.time(), services)
+        return {"status": "healthy", "services": services, "uptime_seconds": time.time() - self.since}
 
     def system_stats(self) -> dict:
         """AGG-14, SNK-08: counters, what was lost in percent, alerts and warnings."""
@@ -164,10 +216,10 @@ def answer(engine: Engine, target: str) -> tuple[int, str, str]:
         return engine.search(TraceQuery(q.get("service"), millis(q.get("start")) * 1000 or None, millis(q.get("end")) * 1000 or None, number("min_duration"), number("max_duration"), q.get("protocol"), q.get("trace_id"), millis(q.get("limit")), millis(q.get("offset"))))
 
     routes = {
-        r"/trace/([^/]+)": lambda i: engine.trace(i),
+        r"/trace/([^/]+)": lambda i: engine.trace(i, q.get("start"), q.get("end")),
         r"/trace/([^/]+)/flamegraph": lambda i: engine.flamegraph(i, q.get("format", "svg"), millis(q.get("width")) or flame.WIDTH),
         r"/traces": searched,
-        r"/services": lambda: engine.services(),
+        r"/services": lambda: engine.services(q.get("start"), q.get("end")),
         r"/services/([^/]+)/stats": lambda s: engine.service_stats(s, q.get("start"), q.get("end")),
         r"/service-map": lambda: engine.service_map(q.get("start"), q.get("end")),
         r"/sampling/stats": lambda: engine.sampling_stats(q.get("start"), q.get("end")),
@@ -181,9 +233,11 @@ def answer(engine: Engine, target: str) -> tuple[int, str, str]:
     for pattern, call in routes.items():
         if m := re.fullmatch("/api/v1" + pattern, url.path):
             try:
-                data = call(*map(unquote, m.groups()))
+                data = engine.within_limit(url.path.removeprefix("/api/v1"), lambda call=call, m=m: call(*map(unquote, m.groups())))
             except NotFound as e:
                 return 404, "application/json", json.dumps(envelope(None, 404, str(e)))
+            except TimedOut as e:
+                return 504, "application/json", json.dumps(envelope(None, 504, str(e)))
             if isinstance(data, str):
                 return 200, "image/svg+xml" if data.startswith("<svg") else "text/plain", data
             return 200, "application/json", json.dumps(envelope(data), default=str)
@@ -218,22 +272,47 @@ def serve(engine: Engine, port: int = 8080) -> ThreadingHTTPServer:
         def log_message(self, form, *args):
             pass
 
-    return ThreadingHTTPServer(("", port), Handler)
+    class Server(ThreadingHTTPServer):
+        daemon_threads = False  # server_close() waits for running requests
 
+    return Server(("", port), Handler)
 
-def main() -> None:
-    """python -m tracespark.api --spans FOLDER [--port N]"""
-    from pyspark.sql import SparkSession
 
+def stop(server: ThreadingHTTPServer, spark: SparkSession | None = None, seconds: float = SHUTDOWN_S) -> None:
+    """Takes no more requests, lets the running ones end within so many seconds, cancels the jobs of those that
+    don't, and stops the session's streams."""
+    server.shutdown()
+    closed = threading.Thread(target=server.server_close, daemon=True)
+    closed.start()
+    closed.join(seconds)
+    if spark is not None:
+        for query in spark.streams.active:
+            query.stop()
+        if closed.is_alive():
+            spark.sparkContext.cancelAllJobs()
+            closed.join(seconds)
+
+
+def main() -> None:
+    """python -m tracespark.api --spans FOLDER [--port N] [--config FILE]; ends in order on SIGINT and SIGTERM"""
     from .sources import tables
 
     parser = argparse.ArgumentParser(description=main.__doc__)
     parser.add_argument("--spans", required=True)
     parser.add_argument("--port", type=int, default=8080)
+    parser.add_argument("--config")
     given = parser.parse_args()
     logging.basicConfig(level=logging.INFO)
     spark = SparkSession.builder.appName("tracespark").getOrCreate()
-    serve(Engine(tables.read_spans(spark, given.spans)), given.port).serve_forever()
+    config = tables.load_config(given.config)
+    server = serve(Engine(tables.read_spans(spark, given.spans), config.rates(), config.detector()), given.port)
+    ending = threading.Event()
+    for name in (signal.SIGINT, signal.SIGTERM):
+        signal.signal(name, lambda *_: ending.set())
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    ending.wait()
+    stop(server, spark)
+    spark.stop()
 
 
 if __name__ == "__main__":

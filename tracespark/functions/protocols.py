@@ -23,10 +23,10 @@ MAGIC, HEADER, LONGEST = 0x454E5659, 28, 16 * 1024 * 1024
 MESSAGE_TYPES = ("DATA", "HANDSHAKE", "ACK", "KEEPALIVE", "RESET")
 
 
-def protocol_of_ports(dest: Column, source: Column) -> Column:
-    """FLT-07: host-order ports of either side."""
+def protocol_of_ports(dest: Column, source: Column, known: dict[str, tuple[int, ...]] = PORTS) -> Column:
+    """FLT-07: host-order ports of either side; of several protocols the first one known."""
     out = F.lit("unknown")
-    for name, ports in reversed(PORTS.items()):
+    for name, ports in reversed(known.items()):
         out = F.when(dest.isin(*ports) | source.isin(*ports), name).otherwise(out)
     return out
 

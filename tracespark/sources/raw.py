@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.codec import decode
-from ..functions.protocols import kernel_path, parse, protocol_of_ports
+from ..functions.protocols import PORTS, kernel_path, parse, protocol_of_ports
 from ..functions.scalars import dotted, event_name, protocol_name, swapped_port
 from ..operators.correlate import with_trace_ids
 from ..schema import PAYLOAD_CHARS, RAW_SIZE, SPAN
@@ -32,7 +32,7 @@ def stream_records(spark: SparkSession, path: str, files_per_trigger: int = 100)
     return _records(spark.readStream.format("binaryFile").schema(FILE).option("maxFilesPerTrigger", files_per_trigger).load(path))
 
 
-def events(records: DataFrame, record_col: str = "record", boot_epoch_ns: int = 0) -> DataFrame:
+def events(records: DataFrame, record_col: str = "record", boot_epoch_ns: int = 0, ports: dict[str, tuple[int, ...]] = PORTS) -> DataFrame:
     """SRC-01 to SRC-09 as decoded rows: codes as names, addresses and ports in their usual form, times
     since 1970 (boot_epoch_ns: when the clock of the records was zero)."""
     e = decode(records, record_col)
@@ -42,7 +42,7 @@ def events(records: DataFrame, record_col: str = "record", boot_epoch_ns: int =
         e.withColumns({"source_ip": dotted(F.col("saddr")), "dest_ip": dotted(F.col("daddr")), "source_port": F.when(outgoing, sport).otherwise(swapped_port(sport)), "dest_port": F.when(outgoing, swapped_port(dport)).otherwise(dport)})
         .withColumns({"event": event_name(F.col("event_type")), "start_ns": F.col("timestamp") + boot_epoch_ns, "protocol_code": F.col("protocol")})
         .withColumn("protocol", protocol_name(F.col("protocol_code")))
-        .withColumn("protocol", F.when(F.col("protocol") == "unknown", protocol_of_ports(F.col("dest_port"), F.col("source_port"))).otherwise(F.col("protocol")))
+        .withColumn("protocol", F.when(F.col("protocol") == "unknown", protocol_of_ports(F.col("dest_port"), F.col("source_port"), ports)).otherwise(F.col("protocol")))
         .withColumn("failed_connect", (F.col("event_type") == 0) & (F.col("error_code") < 0))
         .withColumn("path", F.when(F.col("path") == "", kernel_path(F.col("payload"))).otherwise(F.col("path")))
     )

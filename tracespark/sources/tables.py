@@ -8,10 +8,13 @@ from collections.abc import Callable
 from dataclasses import dataclass, field, fields
 
 import yaml
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.protocols import PORTS
 from ..functions.scalars import month, unpadded
+from ..operators.anomaly import Detector
+from ..operators.sampling import Rates
 from ..schema import PAYLOAD_CHARS, SPAN, SPAN_ID_CHARS, TRACE_ID_CHARS
 from . import upkeep
 
@@ -48,11 +51,65 @@ class Anomaly:
     cooldown_s: float = 60
 
 
+@dataclass
+class Alerts:
+    enabled: bool = False
+    url: str = "http://localhost:9093"
+    timeout_ms: int = 1000
+
+
+@dataclass
+class Protocols:
+    """Ports that tell the protocol; none where one is not to be told."""
+
+    http: list = field(default_factory=lambda: list(PORTS["http"]))
+    grpc: list = field(default_factory=lambda: list(PORTS["grpc"]))
+    redis: list = field(default_factory=lambda: list(PORTS["redis"]))
+
+
+@dataclass
+class Compression:
+    enabled: bool = True
+    level: int = 3
+    similarity: float = 0.9
+
+
+@dataclass
+class Flamegraph:
+    enabled: bool = True
+    width: int = 1200
+    row: int = 18
+    deepest: int = 100
+
+
 @dataclass
 class Config:
     storage: Storage = field(default_factory=Storage)
     sampling: Sampling = field(default_factory=Sampling)
     anomaly: Anomaly = field(default_factory=Anomaly)
+    alerts: Alerts = field(default_factory=Alerts)
+    protocols: Protocols = field(default_factory=Protocols)
+    compression: Compression = field(default_factory=Compression)
+    flamegraph: Flamegraph = field(default_factory=Flamegraph)
+
+    def rates(self) -> Rates:
+        return Rates(self.sampling.threshold_ms, self.sampling.high, self.sampling.low)
+
+    def detector(self) -> Detector:
+        return Detector(self.anomaly.alpha, self.anomaly.k, self.anomaly.least, self.anomaly.cooldown_s)
+
+    def ports(self) -> dict[str, tuple[int, ...]]:
+        """For functions.protocols.protocol_of_ports."""
+        return {name: tuple(ports) for name, ports in vars(self.protocols).items() if ports}
+
+
+def as_kind(value, kind: type):
+    """A value of a file or of the environment, where lists are joined by commas."""
+    if kind is list:
+        return [int(v) for v in (value.split(",") if isinstance(value, str) else value) if v != ""]
+    if kind is bool and isinstance(value, str):
+        return value.strip().lower() in ("1", "true", "yes", "on")
+    return kind(value)
 
 
 def load_config(path: str | None = None, prefix: str = "TRACESPARK") -> Config:
@@ -64,7 +121,7 @@ def load_config(path: str | None = None, prefix: str = "TRACESPARK") -> Config:
         for f in fields(part):
             value = os.environ.get(f"{prefix}_{section.name}_{f.name}".upper(), (given.get(section.name) or {}).get(f.name))
             if value is not None:
-                setattr(part, f.name, type(getattr(part, f.name))(value))
+                setattr(part, f.name, as_kind(value, type(getattr(part, f.name))))
     return config
 
 
@@ -75,9 +132,14 @@ def clean(spans: DataFrame) -> DataFrame:
     return spans.withColumns({"trace_id": cut("trace_id", TRACE_ID_CHARS), "span_id": cut("span_id", SPAN_ID_CHARS), "parent_span_id": F.when(parent != "", parent), "payload": F.left("payload", F.lit(PAYLOAD_CHARS))})
 
 
+def is_good() -> Column:
+    """Whether a row can be kept: it has both ids and a time."""
+    return F.coalesce((F.col("trace_id") != "") & (F.col("span_id") != "") & F.col("start_time").isNotNull(), F.lit(False))
+
+
 def good(spans: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Rows that can be kept, and the others."""
-    ok = F.coalesce((F.col("trace_id") != "") & (F.col("span_id") != "") & F.col("start_time").isNotNull(), F.lit(False))
+    ok = is_good()
     return spans.filter(ok), spans.filter(~ok)
 
 

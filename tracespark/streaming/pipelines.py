@@ -6,8 +6,10 @@ sources hold back instead of dropping."""
 from __future__ import annotations
 
 import json
+import urllib.request
 from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
@@ -18,7 +20,8 @@ from ..operators.correlate import FINISHED, IN_FLIGHT, TIMEOUT_S
 from ..operators.sampling import Rates, keeps, rate
 from ..operators.search import has_parent, is_error
 from ..operators.stats import SKETCHED, sketch, sketched_quantiles
-from ..sources.tables import with_retries, write_spans
+from ..schema import RAW_SIZE
+from ..sources.tables import is_good, with_retries, write_spans
 from .stateful import Correlator, Latencies, Sampler, state_store  # noqa: F401
 
 
@@ -92,47 +95,109 @@ def events_per_second(spans: DataFrame, late: str = "10 seconds") -> DataFrame:
     return spans.withColumn("start_time", F.col("start_time").cast("timestamp")).withWatermark("start_time", late).groupBy(F.window("start_time", "10 seconds", "1 second")).agg((F.count(F.lit(1)) / 10).alias("eps")).select(F.col("window.end").alias("at"), "eps")
 
 
-def span_sink(spans: DataFrame, path: str, checkpoint: str, seconds: int = 5, once: bool = False, quarantine: str | None = None, retries: int = 3) -> StreamingQuery:
+def span_sink(spans: DataFrame, path: str, checkpoint: str, seconds: int = 5, once: bool = False, quarantine: str | None = None, retries: int = 3, counters: Counters | None = None) -> StreamingQuery:
     """SNK-01 to SNK-03: micro-batches of spans to Parquet, tried again a few times when a write fails. Each
-    batch has folders of its own, which a repeated batch overwrites, so nothing is there twice."""
+    batch has folders of its own, which a repeated batch overwrites, so nothing is there twice; sources.upkeep
+    merges the folders."""
 
     def write(df, batch):
-        with_retries(lambda: write_spans(df, path, quarantine, batch=batch), retries)
+        again = with_retries(lambda: write_spans(df, path, quarantine, batch=batch), retries)
+        if counters is not None:
+            counters.retried += again
 
-    writer = spans.writeStream.option("checkpointLocation", checkpoint).foreachBatch(write)
+    writer = counted(spans).writeStream.option("checkpointLocation", checkpoint).foreachBatch(write)
     return (writer.trigger(availableNow=True) if once else writer.trigger(processingTime=f"{seconds} seconds")).start()
 
 
-def alert_sink(bodies: DataFrame, post: Callable[[str], None], checkpoint: str, once: bool = False) -> StreamingQuery:
-    """SNK-07: every alert's JSON body is posted from the executors, partition by partition."""
+def counted_records(records: DataFrame, record_col: str = "record") -> DataFrame:
+    """SRC-14: records with a note for Counters of how many there are and how many are too short to be decoded."""
+    return records.observe("records", F.count(F.lit(1)).alias("total"), F.count_if(F.length(record_col) < RAW_SIZE).alias("dropped"))
 
-    def send(batch, _):
-        batch.foreachPartition(lambda rows: [post(r.body) for r in rows])
+
+def counted_events(events: DataFrame, kind: str = "kind") -> DataFrame:
+    """SRC-14: events with a note of how many connections they open and close."""
+    return events.observe("connections", F.count_if(F.col(kind) == "open").alias("opened"), F.count_if(F.col(kind) == "close").alias("closed"))
+
+
+def counted(spans: DataFrame) -> DataFrame:
+    """SNK-08: spans with a note of how many of them can be kept."""
+    return spans.observe("spans", F.count(F.lit(1)).alias("total"), F.count_if(~is_good()).alias("dropped"))
+
+
+def http_post(url: str, timeout_s: float = 1.0) -> Callable[[str], None]:
+    """A function that posts a JSON body and raises where the answer isn't a success."""
+
+    def post(body: str) -> None:
+        request = urllib.request.Request(url, body.encode(), {"Content-Type": "application/json"}, method="POST")
+        with urllib.request.urlopen(request, timeout=timeout_s):
+            pass
+
+    return post
+
+
+def alert_sink(bodies: DataFrame, post: Callable[[str], None], checkpoint: str, once: bool = False, retries: int = 3, undelivered: str | None = None, counters: Counters | None = None) -> StreamingQuery:
+    """SNK-07: every alert's JSON body is posted from the executors, with retries of its own. One that still
+    fails is counted, kept under `undelivered` with the error, and holds up no other: a batch is repeated only where
+    its task is lost. bodies may have further columns."""
+
+    def posted(batches):
+        for b in batches:
+            failed = []
+            for body in b.column("body").to_pylist():
+                try:
+                    with_retries(lambda body=body: post(body), retries)
+                except Exception as e:
+                    failed.append((body, f"{type(e).__name__}: {e}"))
+            yield pa.RecordBatch.from_arrays([pa.array([f[i] for f in failed], pa.string()) for i in (0, 1)], ["body", "error"])
+
+    def send(batch, number):
+        failed = batch.select("body").mapInArrow(posted, "body string, error string")
+        if undelivered:
+            failed.withColumn("batch", F.lit(number)).write.mode("overwrite").partitionBy("batch").option("partitionOverwriteMode", "dynamic").parquet(undelivered)
+            n = batch.sparkSession.read.schema("body string, error string, batch long").parquet(undelivered).filter(F.col("batch") == number).count()
+        else:
+            n = failed.count()
+        if counters is not None:
+            counters.undelivered += n
 
     writer = bodies.writeStream.option("checkpointLocation", checkpoint).foreachBatch(send)
     return (writer.trigger(availableNow=True) if once else writer).start()
 
 
 class Counters(StreamingQueryListener):
-    """SRC-14, SNK-08: rows read and written by all queries, and queries that failed."""
+    """SRC-14, SNK-08: what all queries have read and written, what was dropped (too short to decode, or without ids or
+    time), writes tried again, queries that failed, and open connections, from the notes of counted_records,
+    counted_events and counted. The queue is what waits at a source: the rows that the last batch of each query
+    found, against a capacity."""
 
-    def __init__(self):
-        self.read = self.written = self.batches = self.failed = 0
+    def __init__(self, queue_capacity: int = 100_000):
+        self.read = self.written = self.batches = self.failed = self.dropped = self.retried = self.undelivered = self.connections = 0
+        self.queue_capacity, self.waiting = queue_capacity, {}
 
     def onQueryStarted(self, event):
         pass
 
     def onQueryProgress(self, event):
         p = json.loads(event.progress.json)
-        self.read += p.get("numInputRows", 0)
+        rows = p.get("numInputRows", 0)
+        self.read += rows
+        self.waiting[p.get("id")] = rows
+        notes = p.get("observedMetrics") or {}
         self.written += max(0, (p.get("sink") or {}).get("numOutputRows", 0) or 0)
+        for name in ("records", "spans"):
+            self.dropped += notes.get(name, {}).get("dropped") or 0
+        if "spans" in notes:
+            self.written += notes["spans"]["total"] - notes["spans"]["dropped"]
+        if "connections" in notes:
+            self.connections = max(0, self.connections + notes["connections"]["opened"] - notes["connections"]["closed"])
         self.batches += 1
 
     def onQueryIdle(self, event):
-        pass
+        self.waiting[str(event.id)] = 0
 
     def onQueryTerminated(self, event):
         self.failed += event.exception is not None
+        self.waiting.pop(str(event.id), None)
 
     def stats(self) -> dict:
-        return {"total": self.read, "flushed": self.written, "batches": self.batches, "failed": self.failed, "dropped": 0}
+        return {"total": self.read, "flushed": self.written, "batches": self.batches, "failed": self.failed, "retried": self.retried, "dropped": self.dropped, "undelivered": self.undelivered, "queue_size": sum(self.waiting.values()), "queue_capacity": self.queue_capacity, "connections": self.connections}
