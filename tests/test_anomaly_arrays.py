@@ -1,0 +1,24 @@
+import numpy as np
+import pytest
+
+from tracespark.operators import anomaly
+
+
+@pytest.mark.parametrize("alpha", [0.01, 0.2, 0.5, 0.9, 0.9999, 1.0])
+@pytest.mark.parametrize("n", [1, 2, 63, 64, 65, 5000])
+def test_arrays_equal_sample_by_sample(alpha, n):
+    """Averages, variances and summaries in arrays are those of the state, sample by sample, to nine digits."""
+    rng = np.random.default_rng(n)
+    x, at = rng.lognormal(3, 2, n), np.arange(n)
+    d = anomaly.Detector(alpha=alpha)
+    s = anomaly.State()
+    want = [s.add(d, float(v), int(t)) for v, t in zip(x, at, strict=True)]
+    run, out = anomaly.step(d, anomaly.Run(), x, at)
+    assert np.allclose(out["ewma"], [w["ewma"] for w in want], rtol=1e-9, atol=0) and np.allclose(out["ewma_var"], [w["ewma_var"] for w in want], rtol=1e-9, atol=1e-9)
+    half = n // 2
+    if half:
+        first, _ = anomaly.step(d, anomaly.Run(), x[:half], at[:half])
+        rest, _ = anomaly.step(d, first, x[half:], at[half:])
+        later = anomaly.summed(d, anomaly.summed(d, None, x[half : half + 1], at[half : half + 1]), x[half + 1 :], at[half + 1 :]) if n > half + 1 else anomaly.summed(d, None, x[half:], at[half:])
+        for end in (rest, later.after(first)):
+            assert end.n == run.n and np.allclose([end.ewma, end.var], [run.ewma, run.var], rtol=1e-9, atol=1e-9)
