@@ -191,3 +191,17 @@ def test_counters_tell_what_was_dropped(spark, sf, stream, tmp_path):
     assert found["dropped"] == 104 and found["connections"] == 3 and found["flushed"] >= 50 and found["retried"] == 0
     told = api.Engine(None, counters=counters).system_stats()
     assert told["alerts"][0] == "events dropped: 104"
+
+
+def test_adaptive_sampling_decides_as_the_batch_does(spark, tmp_path):
+    """Two bursts and a quiet time in two runs; a later span moves the watermark past them."""
+    base = 1_700_000_000 * 10**9
+    at = [base + i * 5_000_000 for i in range(1500)] + [base + 60 * 10**9 + i * 700_000_000 for i in range(40)] + [base + 120 * 10**9 + i * 2_000_000 for i in range(1000)]
+    rows = [(f"s{i:05}", t, 700.0 if i % 50 == 0 else 10.0, 500 if i % 70 == 0 else 0) for i, t in enumerate(at)]
+    spans = spark.createDataFrame(rows, "span_id string, start_ns long, duration_ms double, error_code int")
+    last = spark.createDataFrame([("end", base + 500 * 10**9, 1.0, 0)], spans.schema)
+    cut = base + 100 * 10**9
+    r = sampling.Rates(500, 1.0, 0.5)
+    got = in_two_runs(spark, tmp_path, [spans.filter(F.col("start_ns") < cut), spans.filter(F.col("start_ns") >= cut), last], lambda s: S.adaptive(s, 5.0, r), "adaptive")
+    plain = lambda df: sorted((x.span_id, round(x.eps, 6), round(x.rate, 9), x.kept) for x in df.collect())
+    assert plain(got) == plain(sampling.adaptive(spans, 5.0, r)) and {x.kept for x in got.collect()} == {True, False}

@@ -73,10 +73,14 @@ def adaptive(spans: DataFrame, target_eps: float, r: Rates = Rates(), seconds: i
     """SMP-05: the full rate up to the target, then in inverse proportion; slow and failed spans
     pass by at the high rate."""
     load = per_second(spans, seconds).select(F.col("second").alias("s"), "eps")
+    return rated(spans.join(load, F.expr("start_ns div 1000000000") == F.col("s")).drop("s"), target_eps, r)
+
+
+def rated(spans: DataFrame, target_eps: float, r: Rates) -> DataFrame:
+    """Spans with eps, the load of their second, with the rate that follows and whether each is kept."""
     by_load = F.when(F.col("eps") <= target_eps, 1.0).otherwise(r.low * target_eps / F.col("eps"))
     bypass = (F.col("duration_ms") >= r.threshold_ms) | (F.col("error_code") >= ERROR_FROM)
-    rated = spans.join(load, F.expr("start_ns div 1000000000") == F.col("s")).drop("s")
-    return rated.withColumn("rate", F.when(bypass, F.lit(r.high)).otherwise(by_load)).withColumn("kept", keeps(F.col("rate"), "span_id", "adaptive:"))
+    return spans.withColumn("rate", F.when(bypass, F.lit(r.high)).otherwise(by_load)).withColumn("kept", keeps(F.col("rate"), "span_id", "adaptive:"))
 
 
 def composite(*rates: Column, key: str = "span_id") -> tuple[Column, Column]:

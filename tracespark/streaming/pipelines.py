@@ -17,7 +17,7 @@ from pyspark.sql.streaming.stateful_processor import StatefulProcessor
 
 from ..operators.anomaly import KEY, SAMPLE, Detector
 from ..operators.correlate import FINISHED, IN_FLIGHT, TIMEOUT_S
-from ..operators.sampling import Rates, keeps, rate
+from ..operators.sampling import Rates, keeps, rate, rated
 from ..operators.search import has_parent, is_error
 from ..operators.stats import SKETCHED, sketch, sketched_quantiles
 from ..schema import RAW_SIZE
@@ -95,6 +95,19 @@ def events_per_second(spans: DataFrame, late: str = "10 seconds") -> DataFrame:
     return spans.withColumn("start_time", F.col("start_time").cast("timestamp")).withWatermark("start_time", late).groupBy(F.window("start_time", "10 seconds", "1 second")).agg((F.count(F.lit(1)) / 10).alias("eps")).select(F.col("window.end").alias("at"), "eps")
 
 
+def adaptive(spans: DataFrame, target_eps: float, r: Rates = Rates(), seconds: int = 10, late: str = "10 seconds") -> DataFrame:
+    """SMP-05: each span with the load of the trailing seconds at its own, the rate that follows, and whether it is kept,
+    once the watermark has passed that second: a sliding count, joined back to the spans that it governs,
+    which wait in the join's state no longer than the watermark."""
+    timed = watermarked(spans, late)
+    second = F.expr("start_ns div 1000000000")
+    load = timed.groupBy(F.window("__at", f"{seconds} seconds", "1 second")).agg((F.count(F.lit(1)) / seconds).alias("eps"))
+    load = load.select(F.window_time("window").alias("load_at"), (F.unix_seconds("window.end") - 1).alias("load_second"), "eps")
+    near = F.expr("__at > load_at - INTERVAL 1 second AND __at <= load_at")
+    met = timed.withColumn("second", second).join(load, (F.col("second") == F.col("load_second")) & near)
+    return rated(met.drop("__at", "second", "load_at", "load_second"), target_eps, r)
+
+
 def span_sink(spans: DataFrame, path: str, checkpoint: str, seconds: int = 5, once: bool = False, quarantine: str | None = None, retries: int = 3, counters: Counters | None = None) -> StreamingQuery:
     """SNK-01 to SNK-03: micro-batches of spans to Parquet, tried again a few times when a write fails. Each
     batch has folders of its own, which a repeated batch overwrites, so nothing is there twice; sources.upkeep
