@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import fnv1a_64
@@ -55,6 +55,34 @@ def similar(signed: DataFrame, hash_: str, threshold: float = SIMILAR) -> DataFr
     return each.filter(F.col("hash") != hash_).withColumn("similarity", similarity(wanted, F.col("operations"))).filter(F.col("similarity") >= threshold)
 
 
+def classes(signed: DataFrame) -> DataFrame:
+    """A row for each signature: hash, set_id and bag_id of its operations (distinct ones; all of them in any order), which
+    are all that similarity depends on, and these as the sorted arrays ops_set and ops_bag."""
+    each = signed.groupBy("hash").agg(F.sort_array(F.first("operations")).alias("ops_bag")).withColumn("ops_set", F.array_distinct("ops_bag"))
+    name = lambda c: F.sha2(F.to_json(c), 256)
+    return each.select("hash", name("ops_set").alias("set_id"), name("ops_bag").alias("bag_id"), "ops_set", "ops_bag")
+
+
+def similar_classes(found: DataFrame, threshold: float = SIMILAR) -> DataFrame:
+    """CMP-07 for all pairs at once: (set_id, bag_id, similarity) of the sets and bags of classes() that are at least so similar. Two
+    signatures are similar in the one order if the set of the first and the bag of the second are.
+
+    An inverted index of operations: a bag is looked up by its rarest operations only, as many as leave too little
+    weight in the rest to reach the threshold with any set (prefix filter), and only among sets that aren't too
+    large for it (size filter); what is found is verified. Nothing is crossed."""
+    bags = found.groupBy("bag_id").agg(F.first("ops_bag").alias("ops_bag")).withColumn("n", F.size("ops_bag"))
+    sets = found.groupBy("set_id").agg(F.first("ops_set").alias("ops_set")).withColumn("k", F.size("ops_set"))
+    entries = bags.select("bag_id", "n", F.explode("ops_bag").alias("op")).groupBy("bag_id", "n", "op").agg(F.count(F.lit(1)).alias("m"))
+    common = entries.groupBy("op").agg(F.count(F.lit(1)).alias("bags"))
+    rest = Window.partitionBy("bag_id").orderBy("bags", "op").rowsBetween(Window.currentRow, Window.unboundedFollowing)
+    least = threshold / (1 + threshold) * (1 + F.col("n"))  # what any set has to share, the smallest too
+    prefix = entries.join(common, "op").withColumn("left", F.sum("m").over(rest)).filter(F.col("left") >= least - 1e-9).select("bag_id", "n", "op")
+    index = sets.select("set_id", "k", F.explode("ops_set").alias("op"))
+    met = prefix.join(index, "op").filter(F.col("k") * threshold <= F.col("n") + 1e-9).select("set_id", "bag_id").distinct()
+    judged = met.join(sets.select("set_id", "ops_set"), "set_id").join(bags.select("bag_id", "ops_bag"), "bag_id")
+    return judged.withColumn("similarity", similarity(F.col("ops_set"), F.col("ops_bag"))).filter(F.col("similarity") >= threshold).select("set_id", "bag_id", "similarity")
+
+
 PACKED = "trace_id string, span_id string, is_compressed boolean, original_size int, compressed_size int, ratio double, data binary"
 
 

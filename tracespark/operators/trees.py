@@ -158,11 +158,11 @@ class Forest:
         return out
 
 
-def trees(spans: DataFrame, structures: bool | str = False, paths: bool = False, hashes: bool = False) -> DataFrame:
+def trees(spans: DataFrame, structures: bool | str = False, paths: bool = False, hashes: bool = False, operations: bool = False) -> DataFrame:
     """TR-03, TR-04, FG-01, CMP-03: the spans with their place in their trace's tree. Spans that the
     root doesn't reach have in_tree false and no depth. paths adds the frames above each span,
     structures its subtree and the operations in it ("roots": those of roots alone; "marked": those of spans
-    whose column marked is true), hashes the signature of its subtree without its text."""
+    whose column marked is true), hashes the signature of its subtree without its text, operations those in it."""
     names = [c.split()[0] for c in COLUMNS.split(", ")]
     added = [c.split()[0] for c in ADDED.split(", ")]
     more = ["marked"] if structures == "marked" else []
@@ -174,12 +174,12 @@ def trees(spans: DataFrame, structures: bool | str = False, paths: bool = False,
             outside = ~f.in_tree
             number = lambda x: pa.array(x, pa.int32(), mask=outside)
             made = dict(depth=number(f.depth), height=number(f.height), visit=number(f.visit), children=pa.array(f.children, pa.int32()), child_ms=pa.array(f.child_ms(t.column("duration_ms").to_numpy())), in_tree=pa.array(f.in_tree), is_root=pa.array(f.is_root), is_orphan=pa.array(f.orphan))
-            service, operation = (t.column(c).combine_chunks() for c in ("service_name", "operation"))
+            service, operation_ = (t.column(c).combine_chunks() for c in ("service_name", "operation"))
             if paths:
                 protocol = pc.fill_null(t.column("protocol").combine_chunks(), "")
                 ending = pc.if_else(pc.equal(protocol, ""), "", pc.binary_join_element_wise(" [", protocol, "]", ""))
-                made["frames"] = f.paths(pc.binary_join_element_wise(service, ":", operation, ending, ""))
-            frame = pc.binary_join_element_wise(service, ":", operation, "").to_pylist() if structures or hashes else []
+                made["frames"] = f.paths(pc.binary_join_element_wise(service, ":", operation_, ending, ""))
+            frame = pc.binary_join_element_wise(service, ":", operation_, "").to_pylist() if structures or hashes else []
             if hashes:
                 made["hash"] = pa.array(f.hashes(frame, labels), pa.string())
             if structures:
@@ -187,8 +187,9 @@ def trees(spans: DataFrame, structures: bool | str = False, paths: bool = False,
                 if more:
                     wanted = wanted & pc.fill_null(t.column("marked").combine_chunks(), False).to_numpy(zero_copy_only=False)
                 made["structure"] = pa.array(f.structures(frame, wanted), pa.string())
-                size, below = f.below(wanted)
-                made["operations"] = f.lists(size, operation.take(pa.array(below)))
+            if structures or operations:
+                size, below = f.below(wanted if structures else f.in_tree)
+                made["operations"] = f.lists(size, operation_.take(pa.array(below)))
             made = [made[c] if c in made else pa.nulls(f.n, ADDED_SCHEMA.field(c).type) for c in added]
             yield from pa.Table.from_arrays([*[t.column(c) for c in names], *made], names=[*names, *added]).to_batches()
 

@@ -184,6 +184,17 @@ q("CMP07_similar_signatures", similar_to_first, f"""{EULER}, sig AS (SELECT stru
 one AS (SELECT structure AS s1, string_split(operations, ',') AS a FROM subtree JOIN names USING (trace_id, span_id) WHERE span_id = lpad('1', 16, '0') ORDER BY trace_id LIMIT 1),
 two AS (SELECT structure, depth, a, string_split(ops, ',') AS b FROM sig, one WHERE structure <> s1)
 SELECT hash, similarity, depth FROM (SELECT {FNV} AS hash, round({SIM} / (len(list_distinct(a)) + len(b) - {SIM}), 6) AS similarity, depth FROM two) WHERE similarity >= 0.6""")
+
+def similar_pairs(s, d):
+    found = similarity.classes(similarity.signatures(trees.trees(spans(s, d), hashes=True, operations=True))).cache()
+    one = lambda c, name: found.groupBy(c).agg(F.first(name).alias(name)).select(c, F.array_join(name, ",").alias(name))
+    return similarity.similar_classes(found).join(one("set_id", "ops_set"), "set_id").join(one("bag_id", "ops_bag"), "bag_id").select("ops_set", "ops_bag", F.round("similarity", 6).alias("similarity"))
+
+
+q("CMP07_similar_pairs", similar_pairs, f"""{EULER}, bag AS (SELECT DISTINCT list_sort(string_split(operations, ',')) AS b FROM subtree JOIN names USING (trace_id, span_id)), sets AS (SELECT DISTINCT list_sort(list_distinct(b)) AS a FROM bag),
+two AS (SELECT a, b, len(list_filter(b, lambda x: list_contains(a, x))) AS n FROM sets, bag)
+SELECT array_to_string(a, ',') AS ops_set, array_to_string(b, ',') AS ops_bag, round(n / (len(a) + len(b) - n), 6) AS similarity FROM two WHERE n / (len(a) + len(b) - n) >= 0.9""")
+
 packed = lambda s, d: similarity.compress(wide(s, d))
 
 
