@@ -205,3 +205,22 @@ def test_adaptive_sampling_decides_as_the_batch_does(spark, tmp_path):
     got = in_two_runs(spark, tmp_path, [spans.filter(F.col("start_ns") < cut), spans.filter(F.col("start_ns") >= cut), last], lambda s: S.adaptive(s, 5.0, r), "adaptive")
     plain = lambda df: sorted((x.span_id, round(x.eps, 6), round(x.rate, 9), x.kept) for x in df.collect())
     assert plain(got) == plain(sampling.adaptive(spans, 5.0, r)) and {x.kept for x in got.collect()} == {True, False}
+
+
+def test_calls_of_a_stream_and_their_completion_equal_the_batch(spark, tmp_path):
+    """Some parents start half an hour after or before their children; some spans have none."""
+    S.state_store(spark)
+    base, rows = 1_700_000_000, []
+    for i in range(120):
+        apart = 1800 * (i % 4 == 3) * (1 if i % 8 == 3 else -1)
+        rows += [(f"t{i}", "p", "", f"svc-{i % 3}", "HTTP", base + 20 * i + apart, 5.0, 0), (f"t{i}", "c", "p" if i % 10 else "gone", f"svc-{i % 2}", "HTTP", base + 20 * i + 1, 3.0 + i, 500 * (i % 7 == 0))]
+    rows.sort(key=lambda r: r[5])
+    frame = lambda rows: spark.createDataFrame([(*r[:5], r[5] * 10**9, r[6], r[7]) for r in rows], "trace_id string, span_id string, parent_span_id string, service_name string, protocol string, start_ns long, duration_ms double, error_code int").withColumn("start_time", F.timestamp_seconds(F.expr("start_ns div 1000000000")))
+    spans = frame(rows)
+    for part in (frame(rows[:100]), frame(rows[100:]), frame([("end", "e", "", "s", "HTTP", base + 10**6, 1.0, 0)])):
+        part.coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        S.call_sink(spark.readStream.schema(part.schema).parquet(str(tmp_path / "in")), str(tmp_path / "out"), str(tmp_path / "c"), once=True).awaitTermination()
+    stored = spark.read.parquet(str(tmp_path / "out"))
+    plain = lambda df: sorted(map(str, df.select("minute_us", "source_service", "dest_service", "protocol", "call_count", "error_count", "sum_duration_ms", "p95_duration_ms").collect()))
+    assert stored.filter("is_met = 'false'").count() > 20
+    assert plain(stats.rollup_of_calls(S.completed_calls(stored, spans))) == plain(stats.map_rollup(spans))

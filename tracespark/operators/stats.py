@@ -106,7 +106,11 @@ def sketched_rollup(spans: DataFrame, k: int = SKETCH) -> DataFrame:
 
 def map_rollup(spans: DataFrame, exact: bool = True) -> DataFrame:
     """AGG-04: a row for each minute and edge."""
-    return calls(spans).groupBy(minute_of(), "source_service", "dest_service", "protocol").agg(*measures(("p95", 0.95), ("p99", 0.99), exact=exact), F.sum("duration_ms").alias("sum_duration_ms"))
+    return rollup_of_calls(calls(spans), exact)
+
+
+def rollup_of_calls(edges: DataFrame, exact: bool = True) -> DataFrame:
+    return edges.groupBy(minute_of(), "source_service", "dest_service", "protocol").agg(*measures(("p95", 0.95), ("p99", 0.99), exact=exact), F.sum("duration_ms").alias("sum_duration_ms"))
 
 
 def merged_map(parts: DataFrame) -> DataFrame:

@@ -80,7 +80,7 @@ def stats_rollup(spans: DataFrame, late: str = "2 minutes") -> DataFrame:
 
 def map_rollup(spans: DataFrame, late: str = "2 minutes", apart: str = "10 minutes") -> DataFrame:
     """AGG-04: edges by the minute; a child waits for its parent, and the other way round, so long.
-    Edges whose spans start further apart are lost here and not counted; the batch rollup keeps them."""
+    Edges whose spans start further apart are not in it: call_sink keeps them for a batch job to complete."""
     timed = spans.withColumn("start_time", F.col("start_time").cast("timestamp"))
     child = timed.filter(has_parent()).withWatermark("start_time", late).select("trace_id", F.col("parent_span_id").alias("of"), F.col("service_name").alias("source_service"), "protocol", "duration_ms", "error_code", F.col("start_time").alias("child_time"))
     parent = timed.withWatermark("start_time", late).select(F.col("trace_id").alias("t"), F.col("span_id").alias("s"), F.col("service_name").alias("dest_service"), F.col("start_time").alias("parent_time"))
@@ -90,6 +90,40 @@ def map_rollup(spans: DataFrame, late: str = "2 minutes", apart: str = "10 minut
     return found.select(F.unix_micros("window.start").alias("minute_us"), "*").drop("window").withColumn("avg_duration_ms", F.col("sum_duration_ms") / F.col("call_count"))
 
 
+CALL = ["trace_id", "span_id", "source_service", "dest_service", "protocol", "duration_ms", "error_code", "start_ns"]
+
+
+def calls(spans: DataFrame, late: str = "2 minutes", apart: str = "10 minutes") -> DataFrame:
+    """JN-01 over a stream: every child span with the service of its parent; dest_service is null once the watermark tells
+    that no parent came within that time of it."""
+    timed = spans.withColumn("start_time", F.col("start_time").cast("timestamp")).withWatermark("start_time", late)
+    child = timed.filter(has_parent()).select("trace_id", F.col("parent_span_id").alias("span_id"), F.col("service_name").alias("source_service"), "protocol", "duration_ms", "error_code", "start_ns", F.col("start_time").alias("child_time"))
+    parent = timed.select(F.col("trace_id").alias("t"), F.col("span_id").alias("s"), F.col("service_name").alias("dest_service"), F.col("start_time").alias("parent_time"))
+    near = F.expr(f"parent_time BETWEEN child_time - INTERVAL {apart} AND child_time + INTERVAL {apart}")
+    return child.join(parent, (F.col("trace_id") == F.col("t")) & (F.col("span_id") == F.col("s")) & near, "leftOuter").select(*CALL)
+
+
+def call_sink(spans: DataFrame, path: str, checkpoint: str, late: str = "2 minutes", apart: str = "10 minutes", once: bool = False) -> StreamingQuery:
+    """AGG-04 without lost edges: calls under a path, those without a parent so far apart from the others. A batch
+    that is repeated overwrites what it wrote."""
+
+    def write(df, batch):
+        told = df.withColumns({"is_met": F.col("dest_service").isNotNull(), "batch": F.lit(batch)})
+        told.write.mode("overwrite").partitionBy("is_met", "batch").option("partitionOverwriteMode", "dynamic").parquet(path)
+
+    writer = calls(spans, late, apart).writeStream.option("checkpointLocation", checkpoint).foreachBatch(write)
+    return (writer.trigger(availableNow=True) if once else writer).start()
+
+
+def completed_calls(stored: DataFrame, spans: DataFrame) -> DataFrame:
+    """Batch: what call_sink stored, where calls without a parent look for it among all spans; for
+    operators.stats.rollup_of_calls. Those that have none there are no edges."""
+    met = stored.filter(F.col("is_met").cast("boolean")).select(*CALL)
+    parent = spans.select("trace_id", "span_id", F.col("service_name").alias("dest_service"))
+    found = stored.filter(~F.col("is_met").cast("boolean")).select(*[c for c in CALL if c != "dest_service"]).join(parent, ["trace_id", "span_id"])
+    return met.unionByName(found.select(*CALL))
+
+
 def events_per_second(spans: DataFrame, late: str = "10 seconds") -> DataFrame:
     """ST-13: the trailing ten seconds, every second."""
     return spans.withColumn("start_time", F.col("start_time").cast("timestamp")).withWatermark("start_time", late).groupBy(F.window("start_time", "10 seconds", "1 second")).agg((F.count(F.lit(1)) / 10).alias("eps")).select(F.col("window.end").alias("at"), "eps")
