@@ -143,9 +143,11 @@ def _structs(made: list, schema: T.StructType) -> pd.DataFrame:
 def grpc(payload: Column, compat: bool = False) -> Column:
     @F.pandas_udf(GRPC)
     def run(payloads: pd.Series) -> pd.DataFrame:
-        return _structs([parse_grpc(p, compat) for p in payloads], GRPC)
+        return _structs([None if p is None else parse_grpc(p, compat) for p in payloads], GRPC)
 
-    return F.when(looks_grpc(payload), run.asNondeterministic()(payload))  # so that it isn't run again for each use
+    # A function in Python is given every row, so it is given null where there is nothing to parse; it is
+    # nondeterministic, so that it isn't run again for each use.
+    return F.when(looks_grpc(payload), run.asNondeterministic()(F.when(looks_grpc(payload), payload)))
 
 
 # Redis
@@ -227,12 +229,12 @@ def parse_redis(payload: bytes | None) -> list[dict] | None:
 
 @F.pandas_udf(T.ArrayType(COMMAND))
 def _redis(payloads: pd.Series) -> pd.Series:
-    return pd.Series([parse_redis(p) for p in payloads], dtype=object)
+    return pd.Series([None if p is None else parse_redis(p) for p in payloads], dtype=object)
 
 
 def redis(payload: Column) -> Column:
     """PP-13 to PP-16: an array of commands, null where there is none."""
-    return F.when(looks_redis(payload), _redis.asNondeterministic()(payload))
+    return F.when(looks_redis(payload), _redis.asNondeterministic()(F.when(looks_redis(payload), payload)))
 
 
 def redis_tags(commands: Column) -> Column:
@@ -331,7 +333,7 @@ def parse(df: DataFrame, payload_col: str = "payload", protocol_col: str = "prot
     opened = once(df, framed=framed(F.col(payload_col)))
     opened = once(opened, __p=F.when(F.length(payload_col) > 0, F.coalesce(F.when(F.length("framed.inner") > 0, F.col("framed.inner")), F.col(payload_col))))
     is_ = lambda name: F.col(protocol_col) == name
-    parsed = once(opened, http=F.when(is_("http"), http(p))).withColumns({"grpc": F.when(is_("grpc"), grpc(p, compat)), "redis": F.when(is_("redis"), redis(p))})
+    parsed = once(opened, http=F.when(is_("http"), http(p))).withColumns({"grpc": grpc(F.when(is_("grpc"), p), compat), "redis": redis(F.when(is_("redis"), p))})
     first = F.get("redis", F.lit(0))
     operation = (
         F.when(F.col("http.is_request"), F.concat_ws(" ", "http.method", "http.path"))
