@@ -113,51 +113,34 @@ class Summary:
         return Run(before.n + own.n, before.total + own.total, before.squares + own.squares, own.ewma + self.c * u, own.var + self.c * before.var + self.r * u + self.s * u * u, own.last_ns, before.since_ns)
 
 
-def scanned(keep: float, start: float, add: np.ndarray) -> np.ndarray:
-    """y after each addition of y = keep * y + add, from start: in blocks short enough that the powers of 1 / keep lose no
-    digits, whose ends alone are folded one by one."""
-    n = len(add)
-    if not 0 < keep < 1:
-        return start + np.cumsum(add) if keep == 1 else add.astype(np.float64)
-    block = max(1, min(64, int(-4 / math.log10(keep))))
-    rows = -(-n // block)
-    padded = np.zeros(rows * block)
-    padded[:n] = add
-    powers = keep ** np.arange(block)
-    own = np.cumsum(padded.reshape(rows, block) / powers, axis=1) * powers
-    carry, y, last = np.empty(rows), start, own[:, -1].tolist()
-    over = keep**block
-    for i in range(rows):
-        carry[i] = y
-        y = y * over + last[i]
-    return (own + carry[:, None] * (powers * keep)).ravel()[:n]
-
-
 def step(d: Detector, run: Run, x: np.ndarray, at: np.ndarray) -> tuple[Run, dict[str, np.ndarray]]:
     """The run after samples without an idle gap, and its columns after each of them."""
     keep, since = 1 - d.alpha, int(at[0]) if run.n == 0 else run.since_ns
     e, v = (float(x[0]), 0.0) if run.n == 0 else (run.ewma, run.var)
-    ewma = scanned(keep, e, d.alpha * x)
-    diff = x - np.concatenate(([e], ewma[:-1]))
-    if run.n == 0:
-        diff[0], ewma[0] = 0.0, e
-    var = scanned(keep, v, keep * d.alpha * diff * diff)
+    ewma, var = [run.ewma], [run.var]
+    for sample in x.tolist():
+        diff = sample - e
+        e += d.alpha * diff
+        v = keep * (v + d.alpha * diff * diff)
+        ewma.append(e)
+        var.append(v)
     n, total, squares = run.n + np.arange(1, len(x) + 1), np.cumsum(np.concatenate(([run.total], x)))[1:], np.cumsum(np.concatenate(([run.squares], x * x)))[1:]
-    out = dict(n=n, total=total, squares=squares, ewma=ewma, ewma_var=var, before=np.concatenate(([run.ewma], ewma[:-1])), spread=np.concatenate(([run.var], var[:-1])), since_ns=np.full(len(x), since))
-    return Run(int(n[-1]), float(total[-1]), float(squares[-1]), float(ewma[-1]), float(var[-1]), int(at[-1]), since), out
+    out = dict(n=n, total=total, squares=squares, ewma=np.array(ewma[1:]), ewma_var=np.array(var[1:]), before=np.array(ewma[:-1]), spread=np.array(var[:-1]), since_ns=np.full(len(x), since))
+    return Run(int(n[-1]), float(total[-1]), float(squares[-1]), e, v, int(at[-1]), since), out
 
 
 def summed(d: Detector, so_far: Summary | None, x: np.ndarray, at: np.ndarray) -> Summary:
     """The summary with further samples."""
     so_far = so_far or Summary(Run(), float(x[0]))
-    keep = 1 - d.alpha
+    keep, c, r, s = 1 - d.alpha, so_far.c, so_far.r, so_far.s
     run, out = step(d, so_far.run, x, at)
     before = out["before"]
     before[0] = before[0] if so_far.run.n else x[0]
-    c = so_far.c * keep ** np.arange(len(x) + 1)
-    r = scanned(keep, so_far.r, -2 * keep * d.alpha * (x - before) * c[:-1])
-    s = scanned(keep, so_far.s, keep * d.alpha * c[:-1] * c[:-1])
-    return replace(so_far, run=run, c=float(c[-1]), r=float(r[-1]), s=float(s[-1]))
+    for diff in (x - before).tolist():
+        r = keep * (r - 2 * d.alpha * diff * c)
+        s = keep * (s + d.alpha * c * c)
+        c *= keep
+    return replace(so_far, run=run, c=c, r=r, s=s)
 
 
 def judged(d: Detector, found: dict[str, np.ndarray], x: np.ndarray) -> list[pa.Array]:
