@@ -5,7 +5,7 @@ from cases import no_documents, odd_documents
 import corpus_pipeline
 from tracespark.llm import op1_exact_dedup, op5_mixing, registry
 
-TABLES = "documents embeddings labels".split()
+TABLES = "documents embeddings labels conversations".split()
 
 
 @pytest.fixture(scope="module")
@@ -27,7 +27,7 @@ def test_oracles(spark, sf, con, name):
 
 
 def test_every_operator_has_its_query():
-    assert [n.split("_")[0] for n in registry.queries()] == [f"op{i}" for i in range(1, 11)]
+    assert [n.split("_")[0] for n in registry.queries()] == [f"op{i}" for i in range(1, 14)]
 
 
 def test_stages_one_by_one(spark, sf):

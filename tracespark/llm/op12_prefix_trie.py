@@ -183,7 +183,7 @@ def subtree_sums(shared: DataFrame, rows: DataFrame) -> DataFrame:
 
 
 def trie(conversations: DataFrame) -> DataFrame:
-    """A row per node: digest, parent (its digest), depth, conv_id (smallest member), parent_conv_id, n_convs, n_children,
+    """A row per node: digest, parent (its digest), conv_id (smallest member), depth, parent_conv_id, n_convs, n_children,
     n_leaves, saved_tokens, ends_sha256."""
     rows = materialise(prefix_rows(conversations))
     parts = partitions(rows.sparkSession)
@@ -202,8 +202,8 @@ def trie(conversations: DataFrame) -> DataFrame:
     return found.select(
         "digest",
         "parent",
-        "depth",
         "conv_id",
+        "depth",
         "parent_conv_id",
         "n_convs",
         "n_children",
