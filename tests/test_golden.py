@@ -145,17 +145,55 @@ def test_trees_equal_walks_one_by_one(spark):
         assert {i for i, r in enumerate(mine) if r.in_tree} == set(seen)
 
 
+def layout(rows, width=flame.WIDTH):
+    """The picture of one trace frame by frame, in the order of a walk."""
+    total, out, used, hidden = max(rows[0]["value_us"], 1) if rows else 1, {}, {}, None
+    for r in rows:
+        level = r["depth"]
+        if hidden is not None and level > hidden:
+            continue
+        hidden = None
+        x, wide = used.get(level, 0), total if level == 1 else r["value_us"]
+        used[level], used[level + 1] = x + wide, x
+        if 2 * width * wide < total or x >= total:
+            hidden = level
+        else:
+            out[r["span_id"]] = (pytest.approx(x / total * width), 25 + (level - 1) * flame.ROW, pytest.approx(wide / total * width))
+    return out
+
+
 def test_flame_picture(spark):
     tree = trees.trees(spans(spark, TREE), paths=True)
-    rows = [r.asDict() for r in flame.frames(tree).orderBy("visit").collect()]
-    placed = {r["span_id"]: r for r in flame.layout(rows)}
+    rows = [r.asDict() for r in flame.picture(spans(spark, TREE)).orderBy("depth", "x").collect()]
+    placed = {r["span_id"]: r for r in rows}
     assert placed["root"]["width"] == 1200 and placed["child1"]["x"] == 0 and placed["child2"]["x"] == pytest.approx(400)
     assert placed["grandchild"]["x"] == pytest.approx(400) and placed["grandchild"]["y"] == 25 + 2 * flame.ROW
+    assert {s: (r["x"], r["y"], r["width"]) for s, r in placed.items()} == layout([r.asDict() for r in flame.frames(tree).orderBy("visit").collect()])
     assert flame.colour("x", 501, 0) == "hsl(0, 90%, 70%)" and flame.colour("x", 201, 20) == "hsl(30, 80%, 40%)"
     picture = flame.svg(rows, "a < b")
-    assert picture.startswith("<svg") and picture.endswith("</svg>") and "a &lt; b" in picture and picture.count("<rect") == 4
-    hidden = [dict(rows[0], value_us=10**9), dict(rows[2]), dict(rows[3])]
-    assert len(flame.layout(hidden)) == 1
+    assert picture.startswith("<svg") and picture.endswith("</svg>") and "a &lt; b" in picture and picture.count("<rect") == 4 and "left out" not in picture
+    assert "2 deeper frames left out" in flame.svg(rows[:2]) and flame.svg([]).endswith("</svg>")
+    assert flame.picture(spans(spark, TREE).limit(0)).collect() == []
+
+
+def test_pictures_of_random_trees(spark):
+    rng = random.Random(5)
+    made = [(f"t{t}", f"{t}-{i}", "" if i == 0 else f"{t}-{rng.randrange(i)}", f"op{i % 3}", rng.randrange(5), 900 if i == 0 else rng.choice([0, 0.001, 0.4, 3, 700])) for t in range(60) for i in range(rng.randrange(1, 40))]
+    df = spans(spark, made).withColumn("duration_ms", F.when(F.col("duration_ms") > 0, F.col("duration_ms")))
+    found = {}
+    for r in flame.picture(df, 900).collect():
+        found.setdefault(r.trace_id, {})[r.span_id] = (r.x, r.y, r.width)
+        assert r.shown >= 1
+    walked = {}
+    for r in flame.frames(trees.trees(df.fillna({"duration_ms": 0.0}))).orderBy("visit").collect():
+        walked.setdefault(r.trace_id, []).append(r.asDict())
+    assert found == {t: layout(rows, 900) for t, rows in walked.items()} and len(found) == 60
+
+
+def test_picture_of_a_million_spans(spark):
+    many = spark.range(1_000_000).select(F.lit("t").alias("trace_id"), F.col("id").cast("string").alias("span_id"), F.when(F.col("id") == 0, "").otherwise(F.expr("(id - 1) div 10").cast("string")).alias("parent_span_id"), F.lit("s").alias("service_name"), F.lit("o").alias("operation"), F.lit("").alias("protocol"), F.col("id").alias("start_ns"), F.expr("1e6 / power(10, floor(log10(9 * id + 1)))").alias("duration_ms"))
+    rows = flame.picture(many).collect()
+    assert len(rows) == 1111 == rows[0].shown and rows[0].levels == 7
 
 
 def test_sampler_rates(spark):

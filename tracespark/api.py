@@ -38,6 +38,8 @@ class TimedOut(Exception):
 # Seconds that a request may take, by the first part of its route that is listed, and a shutdown.
 LIMITS_S = {"/services/": 15, "/services": 10, "/service-map": 15, "/health": 5, "": 30}
 SHUTDOWN_S = 10
+#: Frames that a picture has at most.
+FRAMES = 50_000
 #: Spans of one trace start so close together, unless an engine is told otherwise.
 LONGEST_US = 86_400_000_000
 
@@ -147,13 +149,14 @@ class Engine:
         return found
 
     def flamegraph(self, trace_id: str, form: str = "svg", width: int = flame.WIDTH):
-        """FG-01 to FG-06 for one trace."""
+        """FG-01 to FG-06 for one trace. A picture is of the frames that can be seen, of at most FRAMES of them from
+        the root down; it says how many are left out."""
         tree = trees.trees(search.trace(self.spans, trace_id), paths=form == "folded")
         if form == "folded":
             return "\n".join(r.line for r in flame.folded(tree).orderBy("visit").collect())
         if form == "stats":
             return {"stats": [r.asDict() for r in flame.frame_stats(tree).collect()], "hot_spots": [r.asDict() for r in flame.hot_spots(tree, 10).collect()]}
-        rows = [r.asDict() for r in flame.frames(tree).orderBy("visit").collect()]
+        rows = [r.asDict() for r in flame.picture(search.trace(self.spans, trace_id), width).orderBy("depth", "x", "span_id").limit(FRAMES).collect()]
         if not rows:
             raise NotFound(f"no trace {trace_id!r}")
         return flame.svg(rows, f"Trace {trace_id}", width)

@@ -4,13 +4,17 @@ from __future__ import annotations
 
 import html
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalars import fnv1a_32, frame_name, whole_micros
+from .folds import by_key, whole_groups
+from .trees import Forest
 
-# Sizes and colours of the picture.
-WIDTH, ROW, FONT = 1200, 18, 12
+# Sizes and colours of the picture, and the least width of a frame with a label.
+WIDTH, ROW, FONT, TOP, LABELLED = 1200, 18, 12, 25.0, 80
 HUE, HUES, SATURATION, LIGHTNESS = 200, 60, (60, 90), (40, 70)
 
 
@@ -60,40 +64,46 @@ def colour(name: str, duration_ms: float, depth: int) -> str:
     return f"hsl({hue}, {saturation}%, {max(LIGHTNESS[1] - 3 * depth, LIGHTNESS[0])}%)"
 
 
-def layout(rows: list[dict], width: int = WIDTH) -> list[dict]:
-    """FG-05: x, y and width of each frame of one trace (rows of frames() by visit): widths in proportion
-    to the root, children side by side under their parent, nothing under half a pixel."""
-    total = max(rows[0]["value_us"], 1) if rows else 1
-    out, used, hidden = [], {}, None
-    for r in rows:
-        depth = r["depth"] - 1
-        if hidden is not None and depth > hidden:
-            continue
-        hidden = None
-        w = float(width) if depth == 0 else r["value_us"] / total * width
-        x = used.get(depth, 0.0)
-        used[depth], used[depth + 1] = x + w, x
-        if w < 0.5:
-            hidden = depth
-            continue
-        out.append({**r, "x": x, "y": 25.0 + depth * ROW, "width": w, "fill": colour(r["name"], r["duration_ms"], depth)})
-    return out
-
-
-def svg(rows: list[dict], title: str = "Trace flame graph", width: int = WIDTH) -> str:
-    """One trace as a picture. Labels appear on frames wider than 80 pixels."""
-    deepest = max((r["depth"] for r in rows), default=0)
-    height = 20 + deepest * ROW + 40
-    parts = [f'<svg xmlns="http://www.w3.org/2000/svg" width="{width}" height="{height}" font-family="Verdana, sans-serif" font-size="{FONT}">', f"<title>{html.escape(title)}</title>", f'<text x="{width // 2}" y="17" text-anchor="middle" font-weight="bold">{html.escape(title)}</text>']
-    for r in layout(rows, width):
-        tip = f"{r['name']}\n{r['duration_ms']:.2f} ms\nspan {r['span_id']}"
-        parts.append(f'<g><title>{html.escape(tip)}</title><rect x="{r["x"]:.2f}" y="{r["y"]:.2f}" width="{r["width"]:.2f}" height="{ROW - 1}" fill="{r["fill"]}" stroke="#fff"/>')
-        if r["width"] > 80:
-            most = int(r["width"] / FONT * 1.8)
-            label = r["name"] if len(r["name"]) <= most else r["name"][: most - 3] + "..."
-            parts.append(f'<text x="{r["x"] + 5:.2f}" y="{r["y"] + ROW - 5:.2f}" font-size="{FONT - 2}" fill="#fff">{html.escape(label)}</text>')
-        parts.append("</g>")
-    return "".join([*parts, f'<text x="5" y="{height - 10}">Total: {rows[0]["duration_ms"] if rows else 0:.2f} ms, depth {deepest}</text></svg>'])
+PLACED = "trace_id string, span_id string, name string, duration_ms double, value_us long, depth int, x double, y double, width double, levels int, shown long"
+
+
+def picture(spans: DataFrame, width: int = WIDTH) -> DataFrame:
+    """FG-05: x, y and width of the frames that can be seen in the pictures of all traces. Widths are in
+    proportion to the root, children stand side by side under their parent; a frame under half a pixel wide or
+    wholly right of the picture (where children overlap in time) goes with all below it. levels is the height
+    of the whole tree, shown the number of its rows here. Durations that are null count as 0."""
+    columns = [c.split() for c in PLACED.split(", ")]
+    types = {"string": pa.string(), "double": pa.float64(), "int": pa.int32(), "long": pa.int64()}
+
+    def run(batches):
+        for t in whole_groups(batches, "trace_id"):
+            f, value = Forest(t), t.column("value_us").to_numpy()
+            total, left, seen, elder = np.maximum(value[f.root], 1), np.zeros(f.n, np.int64), f.is_root.copy(), f.elders(value)
+            for level in f.levels[1:]:
+                above = f.parent[level]
+                left[level] = left[above] + elder[level]
+                seen[level] = seen[above] & (2 * width * value[level] >= total[level]) & (left[level] < total[level])
+            rows = np.flatnonzero(seen)
+            shown = np.bincount(f.trace[rows], minlength=1)[f.trace[rows]]
+            made = dict(depth=f.depth[rows], x=left[rows] / total[rows] * width, y=TOP + (f.depth[rows] - 1.0) * ROW, width=np.where(f.is_root[rows], width, value[rows] / total[rows] * width), levels=f.height[f.root[rows]], shown=shown)
+            kept = t.take(pa.array(rows))
+            yield from pa.Table.from_arrays([pa.array(made[c], types[k]) if c in made else kept.column(c) for c, k in columns], names=[c for c, _ in columns]).to_batches()
+
+    named = spans.select("trace_id", "span_id", "parent_span_id", frame_name(F.col("service_name"), F.col("operation"), F.col("protocol")).alias("name"), "duration_ms", F.coalesce(whole_micros(F.col("duration_ms")), F.lit(0)).cast("long").alias("value_us"), "start_ns")
+    return by_key(named, ["trace_id"], ["start_ns", "span_id"], run, PLACED)
+
+
+def svg(frames: list[dict], title: str = "Flame graph", width: int = WIDTH) -> str:
+    """One trace as a picture: rows of picture(), each an inner picture that clips its own label."""
+    levels, shown = (frames[0]["levels"], frames[0]["shown"]) if frames else (0, 0)
+    foot = f"{levels} levels, {max((r['duration_ms'] or 0 for r in frames if r['depth'] == 1), default=0):.2f} ms" + (f", {shown - len(frames)} deeper frames left out" if shown > len(frames) else "")
+    height = max((r["y"] for r in frames), default=TOP) + 2 * ROW
+    parts = [f'<svg xmlns="http://www.w3.org/2000/svg" viewBox="0 0 {width} {height:g}" width="{width}">', f"<style>text{{font:{FONT - 1}px sans-serif;fill:#fff}}.note{{fill:#222}}</style>", f'<text class="note" x="4" y="{ROW - 4}">{html.escape(title)}</text>']
+    for r in frames:
+        about = html.escape(f"{r['name']} | {r['duration_ms'] or 0:.3f} ms | {r['span_id']}")
+        label = f'<text x="3" y="{ROW - 5}">{html.escape(r["name"])}</text>' if r["width"] >= LABELLED else ""
+        parts.append(f'<svg x="{r["x"]:.2f}" y="{r["y"]:.2f}" width="{r["width"]:.2f}" height="{ROW - 1}"><title>{about}</title><rect width="100%" height="100%" fill="{colour(r["name"], r["duration_ms"] or 0, r["depth"] - 1)}"/>{label}</svg>')
+    return "\n".join([*parts, f'<text class="note" x="4" y="{height - 6:g}">{foot}</text>', "</svg>"])
 
 
 def colours(tree: DataFrame) -> DataFrame:

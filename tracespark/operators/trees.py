@@ -67,7 +67,7 @@ class Forest:
             if (jump == jump[jump]).all():
                 break
             self.depth, jump = self.depth + self.depth[jump], jump[jump]
-        self.in_tree = self.is_root[jump]
+        self.root, self.in_tree = jump, self.is_root[jump]
         self.depth = np.where(self.in_tree, self.depth + 1, 0)
         inner = np.flatnonzero(self.in_tree)
         by_depth = inner[np.argsort(self.depth[inner], kind="stable")]
@@ -76,17 +76,23 @@ class Forest:
         for level in reversed(self.levels[1:]):
             np.add.at(self.size, self.parent[level], self.size[level])
             np.maximum.at(self.height, self.parent[level], self.height[level] + 1)
-        # A span is visited after its parent and the subtrees of its elder siblings.
         kids = np.flatnonzero(self.in_tree & (self.parent >= 0))
-        kids = kids[np.argsort(self.parent[kids], kind="stable")]
-        upto = np.cumsum(self.size[kids]) - self.size[kids]
-        first = np.append(True, np.diff(self.parent[kids]) != 0)[: len(kids)]
-        elder = np.zeros(n, np.int64)
-        elder[kids] = upto - upto[np.maximum.accumulate(np.where(first, np.arange(len(kids)), 0))] if len(kids) else 0
+        self.kids = kids[np.argsort(self.parent[kids], kind="stable")]
+        # A span is visited after its parent and the subtrees of its elder siblings.
+        elder = self.elders(self.size)
         for level in self.levels[1:]:
             self.visit[level] = self.visit[self.parent[level]] + 1 + elder[level]
         self.walked = inner[np.lexsort((self.visit[inner], trace[inner]))]  # in the order of the walk
 
+    def elders(self, values: np.ndarray) -> np.ndarray:
+        """Of each span the sum of whole numbers over its elder siblings."""
+        out, kids = np.zeros(self.n, np.int64), self.kids
+        if len(kids):
+            upto = np.cumsum(values[kids]) - values[kids]
+            first = np.append(True, np.diff(self.parent[kids]) != 0)
+            out[kids] = upto - upto[np.maximum.accumulate(np.where(first, np.arange(len(kids)), 0))]
+        return out
+
     def child_ms(self, duration: np.ndarray) -> np.ndarray:
         of = self.in_tree & (self.parent >= 0)
         return np.bincount(self.parent[of], weights=duration[of], minlength=self.n).astype(np.float64)

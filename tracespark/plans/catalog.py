@@ -327,6 +327,15 @@ A("SNK07_alert_bodies", lambda s, d: anomaly.alert_body(anomaly.alerts(folded(s,
 # Further lines of the inventory
 
 FNV32 = "CAST(list_reduce(list_prepend(2166136261::HUGEINT, list_transform(string_split(name, ''), lambda c: ascii(c)::HUGEINT)), lambda h, c: (xor(h, c) * 16777619::HUGEINT) % 4294967296::HUGEINT) AS BIGINT)"
+PICTURE = """, kids AS (SELECT *, CAST(floor(duration_ms * 1000) AS BIGINT) AS v FROM spans),
+placed AS (SELECT *, CAST(coalesce(sum(v) OVER (PARTITION BY trace_id, parent_span_id ORDER BY start_us, span_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS elder FROM kids),
+frame AS (
+  SELECT trace_id, span_id, 1 AS depth, CAST(0 AS BIGINT) AS left_of, v, greatest(v, 1) AS total FROM placed WHERE parent_span_id = ''
+  UNION ALL
+  SELECT k.trace_id, k.span_id, p.depth + 1, p.left_of + k.elder, k.v, p.total FROM frame p JOIN placed k ON k.trace_id = p.trace_id AND k.parent_span_id = p.span_id
+  WHERE 2 * 1200 * k.v >= p.total AND p.left_of + k.elder < p.total
+)"""
+q("FG05_layout", lambda s, d: rounded(flame.picture(spans(s, d)).select("trace_id", "span_id", "depth", "x", "y", "width", "shown")), f"{PICTURE} SELECT trace_id, span_id, depth, round(left_of / total * 1200, 6) AS x, CAST(25 + (depth - 1) * 18 AS DOUBLE) AS y, CASE WHEN depth = 1 THEN CAST(1200 AS DOUBLE) ELSE round(v / total * 1200, 6) END AS width, count(*) OVER (PARTITION BY trace_id) AS shown FROM frame")
 q("FG06_colours", lambda s, d: flame.colours(tree(s, d)), f"{TREE}, hashed AS (SELECT *, {FNV32} AS h FROM tree) SELECT trace_id, span_id, CAST(CASE WHEN duration_ms > 500 THEN 0 WHEN duration_ms > 200 THEN 30 ELSE 200 + h % 60 END AS BIGINT) AS hue, CAST(CASE WHEN duration_ms > 500 THEN 90 WHEN duration_ms > 200 THEN 80 ELSE 60 + h // 256 % 30 END AS BIGINT) AS saturation, greatest(70 - 3 * (depth - 1), 40) AS lightness FROM hashed")
 q("ST12_minute_windows", lambda s, d: stats.stats_rollup(latencies(s, d)).groupBy("minute_us").agg(F.sum("call_count").alias("n")), "SELECT start_us - start_us % 60000000 AS minute_us, count(*) AS n FROM latencies GROUP BY ALL", LATENCIES_SQL)
 NOW = 1706000000_000000
