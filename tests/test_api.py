@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tracespark import api
+from tracespark.operators import stats as rollups
 from tracespark.operators.search import TraceQuery
 from tracespark.plans import views
 
@@ -143,3 +144,20 @@ def test_orderly_end(engine):
     assert got[0]["data"] == ["late"]
     with pytest.raises(OSError):
         urllib.request.urlopen(url, timeout=2)
+
+
+def test_services_from_a_rollup(engine):
+    rolled = api.Engine(engine.spans, rollup=rollups.stats_rollup(engine.spans).cache())
+    assert rolled.services() == engine.services() and rolled.health()["services"] == 4
+    assert api.Engine(None, rollup=rolled.rollup).services() == engine.services()  # spans aren't read
+    first, last = engine.spans.agg(F.min("start_ns"), F.max("start_ns")).first()
+    assert rolled.services(first // 10**6, last // 10**6) == engine.services(first // 10**6, last // 10**6)
+    assert rolled.services(last // 10**6 + 60_000) == [] == rolled.services(1, first // 10**6 - 60_000)
+
+
+def test_quantiles_are_bounded_unless_exact_ones_are_asked_for(engine):
+    close, exact = (get(engine, f"/api/v1/services/svc-R/stats?{ALL}{more}")[1]["data"] for more in ("", "&exact=true"))
+    pick = lambda rows: [(r["operation"], r["protocol"], r["call_count"]) for r in rows]
+    assert pick(close) == pick(exact) and exact
+    occurring = {r.duration_ms for r in engine.spans.select("duration_ms").distinct().collect()}
+    assert all(r["p95_duration_ms"] in occurring for r in close)

@@ -87,7 +87,9 @@ class Engine:
     """Queries over a DataFrame of spans. Pages and single traces are collected, and statistics by operation, edge
     or key, whose rows are bounded by how many different ones there are."""
 
-    def __init__(self, spans: DataFrame, rates: sampling.Rates = sampling.Rates(), detector: anomaly.Detector = anomaly.Detector(), counters=None, longest_us: int | None = LONGEST_US, limits_s: dict[str, float] = LIMITS_S):
+    def __init__(self, spans: DataFrame, rates: sampling.Rates = sampling.Rates(), detector: anomaly.Detector = anomaly.Detector(), counters=None, longest_us: int | None = LONGEST_US, limits_s: dict[str, float] = LIMITS_S, rollup: DataFrame | None = None):
+        """rollup: minutes of service statistics, which then say what services there are instead of all spans."""
+        self.rollup = rollup
         self.spans, self.rates, self.detector, self.counters, self.since = spans, rates, detector, counters, time.time()
         self.longest_us, self.limits_s, self.counted = longest_us, limits_s, (0.0, 0)
 
@@ -112,16 +114,25 @@ class Engine:
         return {"traces": found, "total": len(found), "limit": q.limit or search.PAGE, "offset": q.offset}
 
     def services(self, start_ms=None, end_ms=None) -> list[str]:
-        """AGG-07: of a time range, where one is asked for."""
-        return [r.service_name for r in search.services(self._within(start_ms, end_ms)).collect()]
+        """AGG-07: of a time range, where one is asked for (of whole minutes, where there is a rollup)."""
+        return [r.service_name for r in search.services(self._served(start_ms, end_ms)).collect()]
+
+    def _served(self, start_ms=None, end_ms=None) -> DataFrame:
+        """Rows of the services of a time range: of the rollup if there is one, else spans."""
+        if self.rollup is None:
+            return self._within(start_ms, end_ms)
+        start, end = millis(start_ms) * 1000, millis(end_ms) * 1000
+        found = self.rollup.filter(F.col("minute_us") >= start - start % stats.MINUTE_US) if start else self.rollup
+        return found.filter(F.col("minute_us") <= end) if end else found
 
     def _range(self, start_ms, end_ms) -> tuple[int, int]:
         now = datetime.now(timezone.utc)
         ms = lambda t: int(t.timestamp() * 1000)
         return (millis(start_ms) or ms(now - STATS_BACK)) * 1000, (millis(end_ms) or ms(now)) * 1000
 
-    def service_stats(self, service: str, start_ms=None, end_ms=None) -> list[dict]:
-        return [r.asDict() for r in stats.service_stats(self.spans, service, *self._range(start_ms, end_ms)).collect()]
+    def service_stats(self, service: str, start_ms=None, end_ms=None, exact: bool = False) -> list[dict]:
+        """AGG-01. Quantiles come from sketches of bounded size, unless exact ones are asked for."""
+        return [r.asDict() for r in stats.service_stats(self.spans, service, *self._range(start_ms, end_ms), exact=exact).collect()]
 
     def service_map(self, start_ms=None, end_ms=None) -> list[dict]:
         return [r.asDict() for r in stats.service_map(self.spans, *self._range(start_ms, end_ms), longest_us=self.longest_us).collect()]
@@ -165,7 +176,7 @@ class Engine:
         """AGG-10. Probes come often, so the services are counted once a minute at most."""
         at, services = self.counted
         if time.time() - at > fresh_s:
-            services = search.service_count(self.spans).collect()[0].services
+            services = search.service_count(self._served()).collect()[0].services
             self.counted = (time.time(), services)
         return {"status": "healthy", "services": services, "uptime_seconds": time.time() - self.since}
 
@@ -223,7 +234,7 @@ def answer(engine: Engine, target: str) -> tuple[int, str, str]:
         r"/trace/([^/]+)/flamegraph": lambda i: engine.flamegraph(i, q.get("format", "svg"), millis(q.get("width")) or flame.WIDTH),
         r"/traces": searched,
         r"/services": lambda: engine.services(q.get("start"), q.get("end")),
-        r"/services/([^/]+)/stats": lambda s: engine.service_stats(s, q.get("start"), q.get("end")),
+        r"/services/([^/]+)/stats": lambda s: engine.service_stats(s, q.get("start"), q.get("end"), q.get("exact") == "true"),
         r"/service-map": lambda: engine.service_map(q.get("start"), q.get("end")),
         r"/sampling/stats": lambda: engine.sampling_stats(q.get("start"), q.get("end")),
         r"/anomaly/stats": lambda: engine.anomaly_stats(q.get("start"), q.get("end")),
@@ -297,18 +308,19 @@ def stop(server: ThreadingHTTPServer, spark: SparkSession | None = None, seconds
 
 
 def main() -> None:
-    """python -m tracespark.api --spans FOLDER [--port N] [--config FILE]; ends in order on SIGINT and SIGTERM"""
+    """python -m tracespark.api --spans FOLDER [--rollup FOLDER] [--port N] [--config FILE]; ends in order on SIGINT and SIGTERM"""
     from .sources import tables
 
     parser = argparse.ArgumentParser(description=main.__doc__)
     parser.add_argument("--spans", required=True)
+    parser.add_argument("--rollup", help="minutes of service statistics, as Parquet")
     parser.add_argument("--port", type=int, default=8080)
     parser.add_argument("--config")
     given = parser.parse_args()
     logging.basicConfig(level=logging.INFO)
     spark = SparkSession.builder.appName("tracespark").getOrCreate()
     config = tables.load_config(given.config)
-    server = serve(Engine(tables.read_spans(spark, given.spans), config.rates(), config.detector()), given.port)
+    server = serve(Engine(tables.read_spans(spark, given.spans), config.rates(), config.detector(), rollup=spark.read.parquet(given.rollup) if given.rollup else None), given.port)
     ending = threading.Event()
     for name in (signal.SIGINT, signal.SIGTERM):
         signal.signal(name, lambda *_: ending.set())

@@ -206,6 +206,16 @@ def compressed(s, d):
 
 
 q("CMP01_compress", compressed, f"SELECT {IDS}, true AS by_the_rules, true AS is_long FROM spans")
+def mixed(s, d):
+    """Spans of which every other has a payload; some JSON is too short to compress, and what is long enough gains by it."""
+    payload = F.when(F.col("payload_size") % 2 == 0, F.repeat(F.concat("service_name", F.lit("/"), "operation", F.lit(";")), 12)).otherwise("")
+    return spans(s, d).select("trace_id", "span_id", "service_name", "operation", "payload_size", payload.alias("payload"))
+
+
+# The JSON as DuckDB writes it, in bytes.
+MIXED = ", sized AS (SELECT *, original_size >= 256 AS packed FROM (SELECT trace_id, span_id, strlen(CAST(to_json({'trace_id': trace_id, 'span_id': span_id, 'service_name': service_name, 'operation': operation, 'payload_size': payload_size, 'payload': CASE WHEN payload_size % 2 = 0 THEN repeat(service_name || '/' || operation || ';', 12) ELSE '' END}) AS VARCHAR)) AS original_size FROM spans))"
+q("CMP01_compressed_sizes", lambda s, d: similarity.compress(mixed(s, d)).select("trace_id", "span_id", "is_compressed", F.col("original_size").cast("long").alias("original_size"), (F.length("data") == F.col("compressed_size")).alias("whole")), f"{MIXED} SELECT {IDS}, packed AS is_compressed, original_size, true AS whole FROM sized")
+q("AGG17_totals_of_compressed", lambda s, d: similarity.totals(similarity.compress(mixed(s, d))).select("total_spans", "compressed_spans", "total_original", (F.col("ratio") >= similarity.LEAST_RATIO).alias("gains"), (F.abs(F.col("savings_percent") - (1 - F.col("total_compressed") / F.col("total_original")) * 100) < 1e-9).alias("adds_up")), f"{MIXED} SELECT count(*) AS total_spans, count(*) FILTER (packed) AS compressed_spans, CAST(sum(original_size) FILTER (packed) AS BIGINT) AS total_original, true AS gains, true AS adds_up FROM sized")
 q("CMP02_decompress", lambda s, d: similarity.decompress(packed(s, d), "trace_id string, span_id string, duration_ms double").select("trace_id", "span_id", "duration_ms"), f"SELECT {IDS}, duration_ms FROM spans")
 
 def sized(s, d):
