@@ -247,6 +247,9 @@ def test_quality_odd_tables(spark):
         assert len(got) == 14 and all(0 <= r.score <= 1 and r.predicted == int(r.score >= 0.5) for r in got)
     assert op8.fit(docs, labels.filter("quality = 7")).one == 0.5
     assert op8.classify(no_documents(spark), op8.fit(docs, labels)).count() == 0
+    # Ids and labels that are repeated count once.
+    once, often = op8.fit(docs.dropDuplicates(["doc_id"]), labels.distinct()), op8.fit(docs.dropDuplicates(["doc_id"]).withColumn("n", F.explode(F.sequence(F.lit(1), F.lit(300)))), labels.withColumn("n", F.explode(F.sequence(F.lit(1), F.lit(300)))), sample=20)
+    assert once.share == often.share and [r.score for r in op8.classify(docs, once).orderBy("doc_id", "score").collect()] == pytest.approx([r.score for r in op8.classify(docs, often).orderBy("doc_id", "score").collect()])
 
 
 def test_discriminant_parts_gaussians():

@@ -10,7 +10,8 @@ hash of the id of which about twice the sample reaches the driver. Every text is
 
 Defined cases: null and empty texts have statistics of zero and get a score like any other; labels
 other than 0 and 1 are not learned from; with labels of one class only, or none, the score is that
-class, or 0.5; repeated label rows count once each; further columns are ignored.
+class, or 0.5; repeated rows of one id and label count once, and so do documents of one id in the sample (the
+least text), so that the sample is bounded however often an id occurs; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -108,7 +109,7 @@ class Discriminant:
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample: int = SAMPLE) -> Discriminant:
     """A classifier from at most `sample` labelled texts. labels: id and label."""
-    marked = labels.filter(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(label_col).alias("y"))
+    marked = labels.filter(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(label_col).alias("y")).distinct()
     there = {r.y: r["count"] for r in marked.groupBy("y").count().collect()}
     if not there:
         return Discriminant(np.zeros((0, len(NAMES))), np.zeros(0), 0.5)
@@ -116,7 +117,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     share = F.create_map(*[F.lit(v) for y, n in there.items() for v in (int(y), drawn_below((2 * most + 50) / n))])
     draw = F.xxhash64(F.lit("quality"), "id")
     ids = marked.filter(draw <= share[F.col("y").cast("int")]).withColumn("draw", draw)  # about 2 * sample, of any table
-    drawn = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(ids), "id").select("id", "y", "draw", "text")
+    drawn = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(ids), "id").groupBy("id", "y", "draw").agg(F.min("text").alias("text"))
 
     def run(batches_in):
         for b in batches_in:
