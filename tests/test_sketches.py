@@ -25,3 +25,16 @@ def test_small_groups_are_exact_and_sketches_optional(spark, sf):
     want = {tuple(r)[:2]: r.q for r in spans.groupBy(F.expr("start_ns div 1000 - pmod(start_ns div 1000, 86400000000)").alias("period_us"), "operation").agg(F.expr("percentile_disc(0.9) WITHIN GROUP (ORDER BY duration_ms)").alias("q")).collect()}
     assert {(r.period_us, r.operation): r.p90_duration_ms for r in merged.collect()} == want
     assert "durations" not in stats.merged_stats(stats.stats_rollup(spans)).columns
+
+
+def test_sorted_quantiles_equal_percentiles(spark):
+    """A hot group of few and many different values, small ones, null keys, nulls and groups of nulls alone."""
+    rows = spark.range(20_000).select(F.expr("CASE WHEN id % 3 = 0 THEN 'hot' WHEN id % 3 = 1 THEN 'k' || id % 97 END").alias("a"), F.expr("id % 2").alias("b"), F.expr("CASE WHEN id % 11 = 0 THEN NULL WHEN id % 5 = 0 THEN 7.0 ELSE pmod(xxhash64(id), 100003) / 16 END").alias("x"))
+    rows = rows.unionByName(spark.sql("SELECT 'none' AS a, 1L AS b, CAST(NULL AS DOUBLE) AS x UNION ALL SELECT 'one', 1L, 5.0 UNION ALL SELECT 'nan', 1L, double('NaN')"))
+    quantiles = (("low", 0.0), ("half", 0.5), ("most", 0.99), ("top", 1.0))
+    got = {(r.a, r.b): r for r in stats.sorted_quantiles(rows, ["a", "b"], *quantiles, column="x").collect()}
+    want = rows.groupBy("a", "b").agg(F.count("x").alias("n"), *[F.percentile("x", p).alias(f"{name}_x") for name, p in quantiles]).filter("n > 0").collect()
+    assert len(got) == len(want) and ("none", 1) not in got and (None, 0) in got
+    for r in want:
+        assert got[r.a, r.b].n == r.n and all(repr(got[r.a, r.b][f"{name}_x"]) == repr(r[f"{name}_x"]) or abs(got[r.a, r.b][f"{name}_x"] - r[f"{name}_x"]) < 1e-9 for name, _ in quantiles)
+    assert stats.sorted_quantiles(rows.limit(0), ["a"], ("half", 0.5), column="x").collect() == []

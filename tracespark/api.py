@@ -184,9 +184,10 @@ class Engine:
         """AGG-14, SNK-08: counters, what was lost in percent, alerts and warnings."""
         c = {"total": 0, "dropped": 0, "failed": 0, "queue_size": 0, "queue_capacity": 0, "connections": 0} | (self.counters.stats() if self.counters else {})
         percent = lambda a, b: c[a] / c[b] * 100 if c[b] else 0.0
-        told = ((c["dropped"] > stats.EVENTS_DROPPED, f"events dropped: {c['dropped']}"), (c["queue_size"] > c["queue_capacity"] * stats.QUEUE_FULL, f"queue almost full: {c['queue_size']} of {c['queue_capacity']}"), (c["failed"] > stats.FAILED_BATCHES, f"failed batches: {c['failed']}"))
-        warnings = [f"open connections: {c['connections']}"] if c["connections"] > stats.CONNECTIONS else []
-        return {**c, "drop_rate": percent("dropped", "total"), "queue_usage_percent": percent("queue_size", "queue_capacity"), "alerts": [text for so, text in told if so], "warnings": warnings, "timestamp": int(time.time())}
+        raised = stats.alerts({"events_dropped": c["dropped"], "failed_batches": c["failed"], **c})
+        told = {"event_alert": f"events dropped: {c['dropped']}", "queue_alert": f"queue almost full: {c['queue_size']} of {c['queue_capacity']}", "batch_alert": f"failed batches: {c['failed']}", "connection_warning": f"open connections: {c['connections']}"}
+        said = lambda kind: [text for name, text in told.items() if name.endswith(kind) and raised[name]]
+        return {**c, "drop_rate": percent("dropped", "total"), "queue_usage_percent": percent("queue_size", "queue_capacity"), "alerts": said("alert"), "warnings": said("warning"), "timestamp": int(time.time())}
 
     def metrics(self) -> str:
         return "".join(f"tracespark_{k} {v}\n" for k, v in self.system_stats().items() if isinstance(v, (int, float)))

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .folds import materialise
 from .search import between_us, has_parent, is_error
 
 MINUTE_US = 60_000_000
@@ -14,7 +15,7 @@ EVENTS_DROPPED, QUEUE_FULL, FAILED_BATCHES, CONNECTIONS = 100, 0.8, 10, 500_000
 
 def quantile(p: float, exact: bool = True, column: str = "duration_ms") -> Column:
     """Interpolated and exact by default. An exact percentile keeps the distinct values of a group;
-    for groups of billions of different values use exact=False, a sketch of bounded size."""
+    for groups of billions of different values use exact=False, a sketch of bounded size, or sorted_quantiles()."""
     return F.percentile(column, p) if exact else F.percentile_approx(column, p, 10_000).cast("double")
 
 
@@ -39,6 +40,29 @@ def sketched_quantiles(*quantiles: tuple[str, float], column: str = "durations")
     return {f"{name}_duration_ms": F.kll_sketch_get_quantile_double(column, F.lit(p)) for name, p in quantiles}
 
 
+def sorted_quantiles(rows: DataFrame, keys: list[str], *quantiles: tuple[str, float], column: str = "duration_ms") -> DataFrame:
+    """Exact interpolated quantiles of groups of any size: a row for each group with its keys, n (values that aren't
+    null; groups without any have no row) and a column for each (name, share).
+
+    Different values are counted first and range-sorted over all groups; sums of the sorted ranges tell at which
+    rank of its group each range begins. So the values of a hot group are dealt over all tasks, and none are
+    held in memory."""
+    value, g = F.col(column).cast("double").alias("value"), F.struct(*[F.col(k) for k in keys]).alias("g")
+    counted = rows.filter(F.col(column).isNotNull()).select(g, value).groupBy("g", "value").agg(F.count(F.lit(1)).alias("c"))
+    ranges = materialise(counted.repartitionByRange("g", "value").withColumn("part", F.spark_partition_id()))
+    so_far = lambda w: w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    sums = ranges.groupBy("g", "part").agg(F.sum("c").alias("s"), F.min("value").alias("least"))
+    begins = sums.select("g", "part", (F.sum("s").over(so_far(Window.partitionBy("g").orderBy("least"))) - F.col("s")).alias("before"), F.sum("s").over(Window.partitionBy("g")).alias("n"))
+    ranked = ranges.withColumn("own", F.sum("c").over(so_far(Window.partitionBy("g", "part").orderBy("value")))).join(begins, ["g", "part"])
+    ranked = ranked.select("g", "n", "value", (F.col("before") + F.col("own") - F.col("c")).alias("first"), (F.col("before") + F.col("own")).alias("upto"))
+    at = lambda rank: F.max(F.when((F.col("first") <= rank) & (rank < F.col("upto")), F.col("value")))
+    place = lambda p: (F.col("n") - 1) * F.lit(p)
+    found = ranked.groupBy("g", "n").agg(*[at(side(place(p))).alias(f"{name}_{of}") for name, p in quantiles for of, side in (("low", F.floor), ("high", F.ceil))])
+    low, high = (lambda name, of=of: F.col(f"{name}_{of}") for of in ("low", "high"))
+    between = lambda name, p: F.when(low(name) == high(name), low(name)).otherwise(low(name) + (high(name) - low(name)) * (place(p) - F.floor(place(p))))
+    return found.select("g.*", "n", *[between(name, p).alias(f"{name}_{column}") for name, p in quantiles])
+
+
 def measures(*quantiles: tuple[str, float], exact: bool = True) -> list[Column]:
     return [
         F.count(F.lit(1)).alias("call_count"),
@@ -48,13 +72,19 @@ def measures(*quantiles: tuple[str, float], exact: bool = True) -> list[Column]:
     ]
 
 
-def service_stats(spans: DataFrame, service: str | None, start_us: int | None, end_us: int | None, exact: bool = True) -> DataFrame:
-    """AGG-01, SRT-04: the operations of a service in a time range."""
+def service_stats(spans: DataFrame, service: str | None, start_us: int | None, end_us: int | None, exact: bool | str = True) -> DataFrame:
+    """AGG-01, SRT-04: the operations of a service in a time range. exact="sorted" takes the quantiles from
+    sorted_quantiles(), for operations of billions of calls."""
     for c in between_us(start_us, end_us, spans.columns):
         spans = spans.filter(c)
     spans = spans.filter(F.col("service_name") == service) if service is not None else spans
-    found = spans.groupBy("operation", "protocol").agg(*measures(("p50", 0.5), ("p95", 0.95), ("p99", 0.99), exact=exact))
-    return found.orderBy(F.desc("call_count"), "operation", "protocol")
+    keys, quantiles = ["operation", "protocol"], (("p50", 0.5), ("p95", 0.95), ("p99", 0.99))
+    if exact == "sorted":
+        told = sorted_quantiles(spans, keys, *quantiles).select(F.struct(*keys).alias("g"), *[f"{name}_duration_ms" for name, _ in quantiles])
+        found = spans.groupBy(*keys).agg(*measures()).withColumn("g", F.struct(*keys)).join(told, "g", "left").drop("g")
+    else:
+        found = spans.groupBy(*keys).agg(*measures(*quantiles, exact=exact))
+    return found.orderBy(F.desc("call_count"), *keys)
 
 
 def calls(spans: DataFrame, start_us: int | None = None, end_us: int | None = None, longest_us: int | None = None) -> DataFrame:
@@ -138,6 +168,16 @@ def merged_stats(parts: DataFrame, every_us: int = 60 * MINUTE_US, k: int = SKET
     return found.withColumns(sketched_quantiles(*SKETCHED)) if durations else found
 
 
+def alerts(c: dict) -> dict:
+    """AGG-14: what of the counters, as numbers or columns, raises an alert or a warning."""
+    return {
+        "event_alert": c["events_dropped"] > EVENTS_DROPPED,
+        "queue_alert": c["queue_size"] > c["queue_capacity"] * QUEUE_FULL,
+        "batch_alert": c["failed_batches"] > FAILED_BATCHES,
+        "connection_warning": c["connections"] > CONNECTIONS,
+    }
+
+
 def drop_rates(counters: DataFrame) -> DataFrame:
     """AGG-14: events and spans lost and the queue's filling in percent, 0 where there was nothing, and what
     of it raises an alert or a warning. A queue of the source holds what isn't read yet."""
@@ -147,8 +187,5 @@ def drop_rates(counters: DataFrame) -> DataFrame:
         percent("events_dropped", "events_total").alias("event_drop_rate"),
         percent("spans_dropped", "spans_total").alias("span_drop_rate"),
         percent("queue_size", "queue_capacity").alias("queue_usage_percent"),
-        (F.col("events_dropped") > EVENTS_DROPPED).alias("event_alert"),
-        (F.col("queue_size") > F.col("queue_capacity") * QUEUE_FULL).alias("queue_alert"),
-        (F.col("failed_batches") > FAILED_BATCHES).alias("batch_alert"),
-        (F.col("connections") > CONNECTIONS).alias("connection_warning"),
+        *[so.alias(name) for name, so in alerts({c: F.col(c) for c in counters.columns}).items()],
     )

@@ -64,6 +64,7 @@ def q_rounded(name, run, body, columns, *views, ctes=""):
 
 P3 = ("avg_duration_ms", "p50_duration_ms", "p95_duration_ms", "p99_duration_ms")
 q_rounded("AGG01_service_stats", lambda s, d: stats.service_stats(spans(s, d), "svc-R", FROM, TO), f"SELECT operation, protocol, {M}, {QS(50, 95, 99)} FROM spans WHERE service_name = 'svc-R' AND start_us BETWEEN {FROM} AND {TO} GROUP BY ALL", P3)
+q_rounded("AGG01_sorted_quantiles", lambda s, d: stats.service_stats(spans(s, d), None, None, None, exact="sorted"), f"SELECT operation, protocol, {M}, {QS(50, 95, 99)} FROM spans GROUP BY operation, protocol", P3)
 EDGES = ", edges AS (SELECT c.service_name AS source_service, p.service_name AS dest_service, c.protocol, c.duration_ms, c.error_code, c.start_us FROM spans c JOIN spans p ON c.trace_id = p.trace_id AND c.parent_span_id = p.span_id WHERE c.parent_span_id <> '')"
 q_rounded("AGG02_service_map", lambda s, d: stats.service_map(spans(s, d), FROM, TO), f"SELECT source_service, dest_service, protocol, {M}, source_service AS callee, dest_service AS caller FROM edges WHERE start_us BETWEEN {FROM} AND {TO} GROUP BY source_service, dest_service, protocol", P3[:1], ctes=EDGES)
 MIN = "start_us - start_us % 60000000 AS minute_us"
