@@ -3,7 +3,8 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from tracespark.operators import similarity
+from tracespark.operators import similarity, trees
+from tracespark.plans.views import spans
 
 
 def ratio(a, b):
@@ -25,3 +26,19 @@ def test_all_pairs_equal_brute_force(spark, threshold):
     want = {(f"h{i:03}", f"h{j:03}"): round(s, 9) for i, x in enumerate(lists) for j, y in enumerate(lists) if (s := ratio(set(x), y)) >= threshold}
     assert got == want and len(want) > 50
     assert similarity.similar_classes(similarity.classes(signed.limit(0))).count() == 0
+
+
+def test_spelt_whole_where_joins_turn_into_broadcasts(spark, sf):
+    """Joins by trace that are planned as sorted and run as broadcasts leave no trace cut."""
+    changed = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.autoBroadcastJoinThreshold": "100m"}
+    try:
+        for k, v in changed.items():
+            spark.conf.set(k, v)
+        made = spans(spark, sf)
+        found = similarity.occurrences(similarity.signatures(trees.trees(made, hashes=True)), True)
+        got = {r.structure: r["count"] for r in similarity.spelt(made, found).collect()}
+    finally:
+        for k in changed:
+            spark.conf.unset(k)
+    want = similarity.signatures(trees.trees(made, structures=True)).groupBy("structure").count().filter("count > 1").collect()
+    assert got == {r.structure: r["count"] for r in want} and len(got) > 100

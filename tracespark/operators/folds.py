@@ -8,12 +8,19 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+
+def dealt(df: DataFrame, *keys: str) -> DataFrame:
+    """Rows of equal keys on one task, by a hash of the keys. A repartition by the keys themselves is left out of the plan where a
+    join below it deals by them already, and is missing once that join turns into a broadcast at run time."""
+    return df.repartition(F.xxhash64(*keys))
 
 
 def by_key(df: DataFrame, keys: list[str], order: list[str], run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema) -> DataFrame:
     """run sees the rows of each key together and in order, batch by batch: a key of any size passes
     with the memory of a batch."""
-    return df.repartition(*keys).sortWithinPartitions(*keys, *order).mapInArrow(run, schema)
+    return dealt(df, *keys).sortWithinPartitions(*keys, *order).mapInArrow(run, schema)
 
 
 def whole_groups(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Table]:
