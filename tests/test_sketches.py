@@ -38,3 +38,38 @@ def test_sorted_quantiles_equal_percentiles(spark):
     for r in want:
         assert got[r.a, r.b].n == r.n and all(repr(got[r.a, r.b][f"{name}_x"]) == repr(r[f"{name}_x"]) or abs(got[r.a, r.b][f"{name}_x"] - r[f"{name}_x"]) < 1e-9 for name, _ in quantiles)
     assert stats.sorted_quantiles(rows.limit(0), ["a"], ("half", 0.5), column="x").collect() == []
+
+
+def test_merged_counts_are_exact_beyond_a_sketch(spark):
+    """5,000 values of one day, a period of two values, and one without durations: the query's steps against sorted lists."""
+    spans = spark.range(5_003).select(F.expr("CASE WHEN id < 5000 THEN id * 17000000000 ELSE (id - 4999) * 86400000000000 * 2 END").alias("start_ns"), F.lit("s").alias("service_name"), F.lit("o").alias("operation"), F.lit(None).cast("string").alias("protocol"), F.expr("CASE WHEN id = 5002 OR id % 50 = 7 AND id < 5000 THEN NULL ELSE pmod(xxhash64(id), 100003) / 16 END").alias("duration_ms"))
+    spans = spans.unionByName(spans.filter("start_ns = 172800000000000"))
+    day = stats.merged_counts(stats.merged_counts(stats.counted_rollup(spans)), 86_400_000_000)
+    held: dict[int, list] = {}
+    for r in spans.collect():
+        held.setdefault(r.start_ns // 86_400_000_000_000 * 86_400_000_000, []).append(r.duration_ms)
+    rows = {r.period_us: r for r in stats.counted_quantiles(day, *stats.SKETCHED).collect()}
+    assert rows.keys() == held.keys() and max(map(len, held.values())) > stats.SKETCH
+    for period, values in held.items():
+        values, r = sorted(v for v in values if v is not None), rows[period]
+        assert r.call_count == len(held[period])
+        for name, p in stats.SKETCHED:
+            assert r[f"{name}_duration_ms"] == (values[max(0, -(-len(values) * round(p * 100) // 100) - 1)] if values else None)
+
+
+def test_query_of_merged_quantiles_is_exact_on_more_calls(spark, sf, tmp_path):
+    """Days of more calls than a sketch holds, against the query's SQL."""
+    import duckdb
+
+    from tracespark.plans import registry
+
+    more = spark.read.parquet(f"{sf}/events.parquet").withColumn("i", F.explode(F.sequence(F.lit(1), F.lit(400)))).withColumns({"event_id": F.expr("event_id * 400 + i"), "value": F.expr("value + pmod(xxhash64(event_id, i), 10007) / 100")}).drop("i")
+    more.coalesce(1).write.parquet(f"{tmp_path}/events.parquet")
+    con = duckdb.connect()
+    con.execute("SET TimeZone = 'UTC'")
+    con.execute(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet/*.parquet'")
+    cursor = con.execute(registry.oracle_sql()["AGG06_merged_quantiles"])
+    columns = [c[0] for c in cursor.description]
+    got = registry.queries()["AGG06_merged_quantiles"](spark, str(tmp_path)).select(*columns).collect()
+    want = cursor.fetchall()
+    assert sorted(map(tuple, got)) == sorted(want) and max(r[columns.index("call_count")] for r in want) > 800

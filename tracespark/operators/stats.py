@@ -40,15 +40,17 @@ def sketched_quantiles(*quantiles: tuple[str, float], column: str = "durations")
     return {f"{name}_duration_ms": F.kll_sketch_get_quantile_double(column, F.lit(p)) for name, p in quantiles}
 
 
-def sorted_quantiles(rows: DataFrame, keys: list[str], *quantiles: tuple[str, float], column: str = "duration_ms") -> DataFrame:
-    """Exact interpolated quantiles of groups of any size: a row for each group with its keys, n (values that aren't
-    null; groups without any have no row) and a column for each (name, share).
+def sorted_quantiles(rows: DataFrame, keys: list[str], *quantiles: tuple[str, float], column: str = "duration_ms", weight: str | None = None, interpolated: bool = True) -> DataFrame:
+    """Exact quantiles of groups of any size, interpolated or the least value that so large a share of the group doesn't exceed:
+    a row for each group with its keys, n (values that aren't null; groups without any have no row) and a column for
+    each (name, share; to six places where not interpolated). weight: a column that says how often each row counts.
 
     Different values are counted first and range-sorted over all groups; sums of the sorted ranges tell at which
     rank of its group each range begins. So the values of a hot group are dealt over all tasks, and none are
     held in memory."""
     value, g = F.col(column).cast("double").alias("value"), F.struct(*[F.col(k) for k in keys]).alias("g")
-    counted = rows.filter(F.col(column).isNotNull()).select(g, value).groupBy("g", "value").agg(F.count(F.lit(1)).alias("c"))
+    times = (F.lit(1) if weight is None else F.col(weight)).cast("long").alias("c")
+    counted = rows.filter(F.col(column).isNotNull()).select(g, value, times).groupBy("g", "value").agg(F.sum("c").alias("c"))
     ranges = materialise(counted.repartitionByRange("g", "value").withColumn("part", F.spark_partition_id()))
     so_far = lambda w: w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     sums = ranges.groupBy("g", "part").agg(F.sum("c").alias("s"), F.min("value").alias("least"))
@@ -56,7 +58,8 @@ def sorted_quantiles(rows: DataFrame, keys: list[str], *quantiles: tuple[str, fl
     ranked = ranges.withColumn("own", F.sum("c").over(so_far(Window.partitionBy("g", "part").orderBy("value")))).join(begins, ["g", "part"])
     ranked = ranked.select("g", "n", "value", (F.col("before") + F.col("own") - F.col("c")).alias("first"), (F.col("before") + F.col("own")).alias("upto"))
     at = lambda rank: F.max(F.when((F.col("first") <= rank) & (rank < F.col("upto")), F.col("value")))
-    place = lambda p: (F.col("n") - 1) * F.lit(p)
+    million = lambda p: F.col("n").cast("decimal(20,0)") * F.lit(round(p * 10**6))
+    place = lambda p: (F.col("n") - 1) * F.lit(p) if interpolated else F.greatest(F.ceil(million(p) / 10**6).cast("long") - 1, F.lit(0))
     found = ranked.groupBy("g", "n").agg(*[at(side(place(p))).alias(f"{name}_{of}") for name, p in quantiles for of, side in (("low", F.floor), ("high", F.ceil))])
     low, high = (lambda name, of=of: F.col(f"{name}_{of}") for of in ("low", "high"))
     between = lambda name, p: F.when(low(name) == high(name), low(name)).otherwise(low(name) + (high(name) - low(name)) * (place(p) - F.floor(place(p))))
@@ -134,6 +137,30 @@ def sketched_rollup(spans: DataFrame, k: int = SKETCH) -> DataFrame:
     return found.withColumns(sketched_quantiles(*SKETCHED))
 
 
+PERIOD = ("period_us", "service_name", "operation", "protocol")
+
+
+def counted_rollup(spans: DataFrame, every_us: int = MINUTE_US) -> DataFrame:
+    """How often each duration occurs in each period of a service, operation and protocol (calls; null durations too): what merges
+    to the exact quantiles of any longer period, at the size of the different values."""
+    us = F.expr("start_ns div 1000")
+    return spans.groupBy((us - F.pmod(us, F.lit(every_us))).alias("period_us"), *PERIOD[1:], "duration_ms").agg(F.count(F.lit(1)).alias("calls"))
+
+
+def merged_counts(parts: DataFrame, every_us: int = 60 * MINUTE_US) -> DataFrame:
+    """Rows of counted_rollup, or of periods merged before, as longer periods."""
+    return parts.groupBy((F.col("period_us") - F.pmod("period_us", F.lit(every_us))).alias("period_us"), *PERIOD[1:], "duration_ms").agg(F.sum("calls").alias("calls"))
+
+
+def counted_quantiles(parts: DataFrame, *quantiles: tuple[str, float]) -> DataFrame:
+    """AGG-06: call_count and the exact quantiles (values that occur) of the periods of counted_rollup or merged_counts, null
+    where no call has a duration. No group meets in one task."""
+    keys = list(PERIOD)
+    g = F.struct(*keys).alias("g")
+    told = sorted_quantiles(parts, keys, *quantiles, weight="calls", interpolated=False).select(g, *[f"{name}_duration_ms" for name, _ in quantiles])
+    return parts.groupBy(*keys).agg(F.sum("calls").alias("call_count")).withColumn("g", g).join(told, "g", "left").drop("g")
+
+
 def map_rollup(spans: DataFrame, exact: bool = True) -> DataFrame:
     """AGG-04: a row for each minute and edge."""
     return rollup_of_calls(calls(spans), exact)
