@@ -71,3 +71,16 @@ def test_dispatch(spark):
     assert [got[i].parsed_operation for i in range(1, 9)] == ["GET /x", "s/m", "GET k", "GET /in", None, None, None, "ENVOY_DATA_UNKNOWN"]
     assert got[2].parsed_error_code == 1 and got[4].parsed_path == "/in" and got[3].redis_tags.redis_command_count == 1 and got[6].raw == "abc"
     assert '"method":"GET"' in P.info_json(P.parse(df)).filter("i = 1").first().info
+
+
+def test_http_is_parted_once_and_makes_what_is_asked_for(spark):
+    payload = b"GET /a HTTP/1.1\r\nX-Trace-Id: t\r\nk: 1\r\nk: 2\r\n\r\nbody\r\n\r\nmore"
+    made = spark.createDataFrame([(payload,), (b"HTTP/1.0 404 Not Found",), (b"GET no version",), (None,)], "payload binary")
+    whole = made.select(P.http(F.col("payload")).alias("h"))
+    plan = whole._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.lower().count("validate_utf8") + plan.lower().count("makevalid") + plan.lower().count("make_valid") <= 1
+    rows = [r.h for r in whole.collect()]
+    assert rows[0].asDict() == dict(is_request=True, method="GET", path="/a", version="1.1", status=None, headers={"X-Trace-Id": "t", "k": "2"}, body="body\r\n\r\nmore", trace_id="t", span_id=None, parent_span_id=None)
+    assert (rows[1].is_request, rows[1].status, rows[1].version, rows[1].headers, rows[1].body) == (False, 404, "1.0", {}, None) and rows[2:] == [None, None]
+    line = made.select(P.http(F.col("payload"), ("method", "path")).alias("h")).select("h.*")
+    assert "instr" not in line._jdf.queryExecution().optimizedPlan().toString() and line.first() == ("GET", "/a")

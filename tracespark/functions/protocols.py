@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .codec import integer
-from .scalars import last_wins, once, truncated
+from .scalars import bound, last_wins, once, truncated
 
 METHODS = ("GET", "POST", "PUT", "DELETE", "PATCH", "HEAD", "OPTIONS", "CONNECT", "TRACE")
 # What the first four bytes of an HTTP message may be.
@@ -50,7 +50,10 @@ def looks_http(payload: Column) -> Column:
 
 def http_headers(message: Column) -> Column:
     """PP-04: a map of the header lines up to the first empty one; the last of equal names wins."""
-    lines = F.split(F.split(message, "\r\n\r\n", 2)[0], "\r\n")
+    return bound(F.split(F.split(message, "\r\n\r\n", 2)[0], "\r\n"), header_lines)
+
+
+def header_lines(lines: Column) -> Column:
     pairs = F.transform(F.filter(F.slice(lines, 2, F.size(lines)), lambda s: F.contains(s, F.lit(": "))), lambda s: F.struct(F.substring_index(s, ": ", 1).alias("k"), F.substring(s, F.instr(s, ": ") + 2, F.length(s)).alias("v")))
     return last_wins(pairs)
 
@@ -60,27 +63,37 @@ def context_header(headers: Column, name: str) -> Column:
     return F.try_element_at(F.filter(F.map_entries(headers), lambda e: F.lower(e["key"]) == name), F.lit(-1))["value"]
 
 
-def http(payload: Column) -> Column:
-    """PP-02 to PP-06: a struct, null where the payload is no HTTP message."""
-    message = text(payload)
-    first = F.split(message, "\r\n", 2)[0]
-    is_request, is_response = first.rlike(REQUEST), first.rlike(RESPONSE)
-    get = lambda pattern, i: F.regexp_extract(first, pattern, i)
-    headers = http_headers(message)
-    body = F.split(message, "\r\n\r\n", 2)
-    made = F.struct(
-        is_request.alias("is_request"),
-        F.when(is_request, get(REQUEST, 1)).alias("method"),
-        F.when(is_request, get(REQUEST, 2)).alias("path"),
-        F.when(is_request, get(REQUEST, 3)).otherwise(get(RESPONSE, 1)).alias("version"),
-        F.when(is_response, get(RESPONSE, 2).try_cast("int")).alias("status"),
-        headers.alias("headers"),
-        F.when((F.size(body) > 1) & (body[1] != ""), body[1]).alias("body"),
-        context_header(headers, "x-trace-id").alias("trace_id"),
-        context_header(headers, "x-span-id").alias("span_id"),
-        context_header(headers, "x-parent-span-id").alias("parent_span_id"),
-    )
-    return F.when(looks_http(payload) & (is_request | is_response), made)
+HTTP = ("is_request", "method", "path", "version", "status", "headers", "body", "trace_id", "span_id", "parent_span_id")
+
+
+def http(payload: Column, fields: tuple[str, ...] = HTTP) -> Column:
+    """PP-02 to PP-06: a struct of these fields, null where the payload is no HTTP message. Lines and headers are
+    parted once, headers only where a field needs them."""
+
+    def made(parts, lines, headers):
+        first = lines[0]
+        is_request = first.rlike(REQUEST)
+        get = lambda pattern, i: F.regexp_extract(first, pattern, i)
+        every = {
+            "is_request": lambda: is_request,
+            "method": lambda: F.when(is_request, get(REQUEST, 1)),
+            "path": lambda: F.when(is_request, get(REQUEST, 2)),
+            "version": lambda: F.when(is_request, get(REQUEST, 3)).otherwise(get(RESPONSE, 1)),
+            "status": lambda: F.when(first.rlike(RESPONSE), get(RESPONSE, 2).try_cast("int")),
+            "headers": lambda: headers,
+            "body": lambda: F.when((F.size(parts) > 1) & (parts[1] != ""), parts[1]),
+            "trace_id": lambda: context_header(headers, "x-trace-id"),
+            "span_id": lambda: context_header(headers, "x-span-id"),
+            "parent_span_id": lambda: context_header(headers, "x-parent-span-id"),
+        }
+        return F.struct(*[every[f]().alias(f) for f in fields])
+
+    def parted(parts, lines):
+        found = bound(header_lines(lines), lambda headers: made(parts, lines, headers)) if {"headers", "trace_id", "span_id", "parent_span_id"} & set(fields) else made(parts, lines, None)
+        return F.when(lines[0].rlike(REQUEST) | lines[0].rlike(RESPONSE), found)
+
+    message = F.split(text(payload), "\r\n\r\n", 2)
+    return F.when(looks_http(payload), bound(message, lambda parts: bound(F.split(parts[0], "\r\n"), lambda lines: parted(parts, lines))))
 
 
 # gRPC

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -16,6 +18,11 @@ def once(df: DataFrame, **columns: Column) -> DataFrame:
     return df.select(*df.columns, made).select(*kept, *[F.col(f"__once.{n}").alias(n) for n in columns])
 
 
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with the value worked out once however often it is used."""
+    return F.transform(F.array(value), use)[0]
+
+
 def event_name(code: Column) -> Column:
     """S-01."""
     return F.coalesce(F.get(F.array(*map(F.lit, EVENT_TYPES)), code.cast("int")), F.lit("unknown"))
@@ -127,8 +134,8 @@ def text_to_tags(text: Column) -> Column:
 
 def last_wins(pairs: Column) -> Column:
     """A map from (k, v) pairs where the last of equal keys wins, whatever the session's policy."""
-    later = lambda p, i: ~F.exists(F.slice(pairs, i + 2, F.size(pairs)), lambda q: q["k"] == p["k"])
-    return F.map_from_entries(F.filter(pairs, later))
+    later = lambda held: lambda p, i: ~F.exists(F.slice(held, i + 2, F.size(held)), lambda q: q["k"] == p["k"])
+    return bound(pairs, lambda held: F.map_from_entries(F.filter(held, later(held))))
 
 
 def set_tag(tags: Column, key: str, value: Column) -> Column:

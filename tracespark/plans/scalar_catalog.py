@@ -103,13 +103,13 @@ def over(name, made, columns, duck):
 EVEN = "event_id % 2 = 0"
 req = lambda x: f"CASE WHEN {EVEN} THEN {x} END"
 res = lambda x: f"CASE WHEN NOT ({EVEN}) THEN {x} END"
-http = parsed(http_payload, protocols.http)
+http = lambda *fields: parsed(http_payload, lambda p: protocols.http(p, fields))
 over("PP01_looks_http", parsed(redis_payload, protocols.looks_http), lambda: {"result": col("p")}, "false AS result")
-over("PP02_http_request_line", http, lambda: {"method": col("p.method"), "path": col("p.path")}, f"{req(repr('GET'))} AS method, {req(chr(39) + '/' + chr(39) + ' || event_type || ' + chr(39) + '/' + chr(39) + ' || event_id')} AS path")
-over("PP03_http_response_line", http, lambda: {"status": F.coalesce("p.status", lit(0)), "version": col("p.version")}, f"CAST(coalesce({res('event_id % 300 + 200')}, 0) AS INT) AS status, CASE WHEN {EVEN} THEN '1.1' ELSE '1.0' END AS version")
-over("PP04_http_headers", http, lambda: {"n": F.size("p.headers"), "dup": col("p.headers")["X-Dup"]}, f"CASE WHEN {EVEN} THEN 3 ELSE 1 END AS n, {req(repr('b'))} AS dup")
-over("PP05_trace_context", http, lambda: {"trace_id": col("p.trace_id"), "span_id": col("p.span_id")}, f"CASE WHEN {EVEN} THEN 't' || user_id END AS trace_id, CASE WHEN NOT ({EVEN}) THEN 's' || event_id END AS span_id")
-over("PP06_http_body", http, lambda: {"body": col("p.body")}, f"CASE WHEN {EVEN} THEN 'body-' || event_id END AS body")
+over("PP02_http_request_line", http("method", "path"), lambda: {"method": col("p.method"), "path": col("p.path")}, f"{req(repr('GET'))} AS method, {req(chr(39) + '/' + chr(39) + ' || event_type || ' + chr(39) + '/' + chr(39) + ' || event_id')} AS path")
+over("PP03_http_response_line", http("status", "version"), lambda: {"status": F.coalesce("p.status", lit(0)), "version": col("p.version")}, f"CAST(coalesce({res('event_id % 300 + 200')}, 0) AS INT) AS status, CASE WHEN {EVEN} THEN '1.1' ELSE '1.0' END AS version")
+over("PP04_http_headers", http("headers"), lambda: {"n": F.size("p.headers"), "dup": col("p.headers")["X-Dup"]}, f"CASE WHEN {EVEN} THEN 3 ELSE 1 END AS n, {req(repr('b'))} AS dup")
+over("PP05_trace_context", http("trace_id", "span_id"), lambda: {"trace_id": col("p.trace_id"), "span_id": col("p.span_id")}, f"CASE WHEN {EVEN} THEN 't' || user_id END AS trace_id, CASE WHEN NOT ({EVEN}) THEN 's' || event_id END AS span_id")
+over("PP06_http_body", http("body"), lambda: {"body": col("p.body")}, f"CASE WHEN {EVEN} THEN 'body-' || event_id END AS body")
 grpc = parsed(grpc_payload, protocols.grpc)
 over("PP08_looks_grpc", parsed(http_payload, protocols.looks_grpc), lambda: {"result": col("p")}, "false AS result")
 over("PP09_grpc_frame", grpc, lambda: {"status": col("p.status"), "trace_id": col("p.trace_id")}, "CAST(event_id % 2 AS INT) AS status, 't' || user_id AS trace_id")
