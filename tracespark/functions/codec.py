@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -17,9 +18,11 @@ def _swapped(hexes: Column, size: int) -> Column:
 
 
 def little_endian(value: Column, size: int) -> Column:
-    """Hexadecimal digits of an integer in `size` bytes, least first."""
-    digits = F.lpad(F.hex(value.cast("long")), 16, "0")
-    return _swapped(F.substring(digits, 17 - 2 * size, 2 * size), size)
+    """An integer in `size` bytes, least first."""
+    v, turned = value.cast("long"), F.lit(0).cast("long")
+    for i in range(size):
+        turned = turned.bitwiseOR(F.shiftleft(F.shiftright(v, 8 * i).bitwiseAND(F.lit(255)), 8 * (size - 1 - i)))
+    return F.unhex(F.lpad(F.hex(turned), 2 * size, "0"))
 
 
 def encode(**fields: Column) -> Column:
@@ -27,11 +30,11 @@ def encode(**fields: Column) -> Column:
     parts, at = [], 0
     for name, offset, size, kind in RAW_LAYOUT:
         if offset > at:
-            parts.append(F.lit("00" * (offset - at)))
+            parts.append(F.lit(bytes(offset - at)))
         value = fields[name]
-        parts.append(little_endian(value, size) if kind in ("int", "signed") else F.rpad(F.substring(F.hex(value.cast("binary")), 1, 2 * size), 2 * size, "0"))
+        parts.append(little_endian(value, size) if kind in ("int", "signed") else F.rpad(value.cast("binary"), size, F.lit(b"\0")))
         at = offset + size
-    return F.unhex(F.concat(*parts, F.lit("00" * (RAW_SIZE - at))))
+    return F.concat(*parts, F.lit(bytes(RAW_SIZE - at)))
 
 
 def integer(record: Column, offset: int, size: int, *, big: bool = False, signed: bool = False) -> Column:
@@ -90,12 +93,13 @@ def decode(df: DataFrame, record_col: str = "record") -> DataFrame:
     """SRC-11: the record's fields beside the other columns; records that are too short are dropped.
     The payload is cut to its size, which may be larger than what the record holds."""
     others = [c for c in df.columns if c != record_col]
-    whole = df.filter(F.length(record_col) >= RAW_SIZE).select(*others, F.substring(record_col, 1, RAW_SIZE).alias(record_col))
 
+    # Lengths are seen to here, as a filter would have Spark make records twice that are made from columns.
     def run(batches):
         for b in batches:
-            made = fields_of(b.column(record_col))
+            b = b.filter(pc.greater_equal(pc.binary_length(b.column(record_col)), RAW_SIZE))
+            made = fields_of(pc.binary_slice(b.column(record_col), 0, RAW_SIZE))
             yield pa.RecordBatch.from_arrays([*[b.column(c) for c in others], *made.values()], [*others, *made])
 
     schema = T.StructType([*[df.schema[c] for c in others], *T._parse_datatype_string(FIELDS)])
-    return whole.mapInArrow(run, schema)
+    return df.select(*others, record_col).mapInArrow(run, schema)
