@@ -42,3 +42,17 @@ def test_spelt_whole_where_joins_turn_into_broadcasts(spark, sf):
             spark.conf.unset(k)
     want = similarity.signatures(trees.trees(made, structures=True)).groupBy("structure").count().filter("count > 1").collect()
     assert got == {r.structure: r["count"] for r in want} and len(got) > 100
+
+
+def test_similar_to_one_spells_no_text_and_sorts_nothing(spark, sf):
+    """The registered query: no text of subtrees, no aggregate that sorts; the operations of the one may be given."""
+    from tracespark.plans import registry
+
+    plan = registry.queries()["CMP07_similar_signatures"](spark, sf)._jdf.queryExecution().executedPlan().toString()
+    assert "SortAggregate" not in plan and "HashAggregate" in plan
+    signed = spark.createDataFrame([("x", ["a", "b"], 2), ("y", ["b", "a"], 2), ("y", ["b", "a"], 3), ("z", ["c"], 1)], "hash string, operations array<string>, depth int")
+    one = signed.filter("hash = 'x'").first()
+    got = [tuple(r) for r in similarity.similar(signed, "x", 0.6, one).select("hash", "depth", "similarity").collect()]
+    assert got == [("y", 3, 1.0)] == [tuple(r) for r in similarity.similar(signed, "x", 0.6).select("hash", "depth", "similarity").collect()]
+    assert similarity.similar(signed, "w").collect() == []
+    assert "SortAggregate" not in similarity.classes(signed)._jdf.queryExecution().executedPlan().toString() and similarity.classes(signed).count() == 3

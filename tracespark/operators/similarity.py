@@ -44,11 +44,11 @@ def similarity(a, b):
     return shared / (F.size(F.array_distinct(a)) + F.size(b) - shared)
 
 
-def similar(signed: DataFrame, hash_: str, threshold: float = SIMILAR) -> DataFrame:
+def similar(signed: DataFrame, hash_: str, threshold: float = SIMILAR, one=None) -> DataFrame:
     """CMP-07: distinct signatures at least so similar to one of them, whose operations (one row, no
-    more than a subtree's spans) are fetched and become a literal."""
-    one = signed.filter(F.col("hash") == hash_).select("operations").first()
-    each = signed.groupBy("hash").agg(F.first("operations").alias("operations"), F.max("depth").alias("depth"))
+    more than a subtree's spans) are fetched, unless `one` is a row that has them, and become a literal."""
+    one = one or signed.filter(F.col("hash") == hash_).select("operations").first()
+    each = signed.groupBy("hash", "operations").agg(F.max("depth").alias("depth"))  # a hash has one list; as a key it needs no sort
     if one is None:
         return each.withColumn("similarity", F.lit(0.0)).filter("false")
     wanted = F.array(*map(F.lit, one.operations))
@@ -58,7 +58,7 @@ def similar(signed: DataFrame, hash_: str, threshold: float = SIMILAR) -> DataFr
 def classes(signed: DataFrame) -> DataFrame:
     """A row for each signature: hash, set_id and bag_id of its operations (distinct ones; all of them in any order), which
     are all that similarity depends on, and these as the sorted arrays ops_set and ops_bag."""
-    each = signed.groupBy("hash").agg(F.sort_array(F.first("operations")).alias("ops_bag")).withColumn("ops_set", F.array_distinct("ops_bag"))
+    each = signed.select("hash", "operations").distinct().select("hash", F.sort_array("operations").alias("ops_bag")).withColumn("ops_set", F.array_distinct("ops_bag"))
     name = lambda c: F.sha2(F.to_json(c), 256)
     return each.select("hash", name("ops_set").alias("set_id"), name("ops_bag").alias("bag_id"), "ops_set", "ops_bag")
 
