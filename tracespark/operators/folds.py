@@ -17,6 +17,25 @@ def dealt(df: DataFrame, *keys: str) -> DataFrame:
     return df.repartition(F.xxhash64(*keys))
 
 
+#: Rows that a task of a join or a sort should have, about 100 to 250 MB of memory.
+ROWS = 1_000_000
+
+
+def tasks_of(df: DataFrame) -> int:
+    """How many tasks give each about ROWS of df's rows; 0 where that isn't more than the session's cores, whose tasks Spark may
+    deal and join as it likes. Without a number Spark takes as many tasks for large tables as for small ones, or fewer, as it
+    goes by compressed bytes, and ids compress well; then the memory of a task grows with the table."""
+    if df.isStreaming:
+        return 0
+    n = -(-df.count() // ROWS)
+    return n if n > df.sparkSession.sparkContext.defaultParallelism else 0
+
+
+def spread(df: DataFrame, n: int, *keys: str) -> DataFrame:
+    """df dealt by its keys to n tasks, of which none are merged; as it is if n is 0."""
+    return df.repartition(n, *keys) if n else df
+
+
 def by_key(df: DataFrame, keys: list[str], order: list[str], run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema) -> DataFrame:
     """run sees the rows of each key together and in order, batch by batch: a key of any size passes
     with the memory of a batch."""

@@ -13,7 +13,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .folds import by_key, whole_groups
+from .folds import by_key, spread, tasks_of, whole_groups
 from .labels import Labels
 
 COLUMNS = "trace_id string, span_id string, parent_span_id string, service_name string, operation string, protocol string, duration_ms double, start_ns long"
@@ -214,8 +214,10 @@ def depths(tree: DataFrame) -> DataFrame:
 
 def orphans(spans: DataFrame) -> DataFrame:
     """JN-02: spans whose parent isn't there (in the list of a trace, not in its tree)."""
+    n, keys = tasks_of(spans), ["trace_id", "span_id"]
     child = spans.filter(F.coalesce("parent_span_id", F.lit("")) != "").select("trace_id", F.col("span_id").alias("child_id"), F.col("parent_span_id").alias("span_id"))
-    return child.join(spans.select("trace_id", "span_id"), ["trace_id", "span_id"], "left_anti").select("trace_id", F.col("child_id").alias("span_id"), F.col("span_id").alias("parent_span_id"))
+    there = spread(spans.select(*keys), n, *keys)  # children follow; dealt here too, they'd be dealt again above the join
+    return child.join(there, keys, "left_anti").select("trace_id", F.col("child_id").alias("span_id"), F.col("span_id").alias("parent_span_id"))
 
 
 def children_in_order(spans: DataFrame) -> DataFrame:

@@ -6,6 +6,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..operators.folds import spread, tasks_of
+
 LINE_ORDER = ("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_shipdate", "l_discount", "l_tax", "l_returnflag", "l_linestatus")
 
 
@@ -43,7 +45,8 @@ def spans(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit("http").alias("protocol"),
         F.lit(0).cast("long").alias("payload_size"),
     )
-    numbered = table(spark, sf_dir, "lineitem").withColumn("rn", F.row_number().over(Window.partitionBy("l_orderkey").orderBy(*LINE_ORDER)))
+    lineitem = table(spark, sf_dir, "lineitem")
+    numbered = spread(lineitem, tasks_of(lineitem), "l_orderkey").withColumn("rn", F.row_number().over(Window.partitionBy("l_orderkey").orderBy(*LINE_ORDER)))
     lines = numbered.select(
         pad(F.col("l_orderkey"), 32).alias("trace_id"),
         pad(F.col("rn") + 1, 16).alias("span_id"),
