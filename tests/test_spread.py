@@ -36,3 +36,7 @@ def test_view(spark, sf, monkeypatch):
 def test_small_tables_are_left_to_spark(spark, sf):
     assert folds.tasks_of(spans(spark, sf)) == 0
     assert "REPARTITION_BY_NUM" not in registry.queries()["JN02_orphans"](spark, sf)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_forced_traces(spark, sf, monkeypatch):
+    equals_sql_when_spread(spark, sf, monkeypatch, "SMP06_forced_traces", spans(spark, sf).count())

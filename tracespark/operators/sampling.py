@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..schema import ERROR_FROM
+from .folds import spread, tasks_of
 
 
 @dataclass(frozen=True)
@@ -47,16 +48,17 @@ def sampled(spans: DataFrame, r: Rates = Rates()) -> DataFrame:
 
 def decisions(spans: DataFrame, r: Rates = Rates()) -> DataFrame:
     """SMP-04: one decision for each trace, by its first span (trace_id, rate, kept)."""
-    first = spans.groupBy("trace_id").agg(F.min_by(F.struct("duration_ms", "error_code"), F.struct("start_ns", "span_id")).alias("f"))
+    first = spread(spans, tasks_of(spans), "trace_id").groupBy("trace_id").agg(F.min_by(F.struct("duration_ms", "error_code"), F.struct("start_ns", "span_id")).alias("f"))
     return first.select("trace_id", F.col("f.duration_ms").alias("duration_ms"), F.col("f.error_code").alias("error_code")).withColumn("rate", rate(r)).select("trace_id", "rate", keeps(F.col("rate")).alias("kept"))
 
 
 def sampled_traces(spans: DataFrame, r: Rates = Rates(), forced: DataFrame | None = None) -> DataFrame:
     """SMP-04, SMP-06: all spans of the traces kept; traces in `forced` (trace_id) are always kept."""
+    n = tasks_of(spans)
     ids = decisions(spans, r).filter("kept").select("trace_id")
     if forced is not None:
-        ids = ids.unionByName(forced.select("trace_id")).distinct()
-    return spans.join(ids, "trace_id", "left_semi")
+        ids = ids.unionByName(forced.select("trace_id"))
+    return spans.join(spread(ids, n, "trace_id").distinct(), "trace_id", "left_semi")  # spans follow to as many tasks
 
 
 def per_second(spans: DataFrame, seconds: int = 10, service: str | None = None) -> DataFrame:
