@@ -40,3 +40,7 @@ def test_small_tables_are_left_to_spark(spark, sf):
 
 def test_forced_traces(spark, sf, monkeypatch):
     equals_sql_when_spread(spark, sf, monkeypatch, "SMP06_forced_traces", spans(spark, sf).count())
+
+
+def test_service_map(spark, sf, monkeypatch):
+    equals_sql_when_spread(spark, sf, monkeypatch, "AGG02_service_map", spans(spark, sf).count())

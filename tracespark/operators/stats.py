@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .folds import materialise
+from .folds import materialise, spread, tasks_of
 from .search import between_us, has_parent, is_error
 
 MINUTE_US = 60_000_000
@@ -103,7 +103,8 @@ def calls(spans: DataFrame, start_us: int | None = None, end_us: int | None = No
         for c in between_us(None if start_us is None else start_us - longest_us, None if end_us is None else end_us + longest_us, spans.columns):
             spans = spans.filter(c)
     parent = spans.select("trace_id", "span_id", F.col("service_name").alias("dest_service"))
-    return child.join(parent, ["trace_id", "span_id"])
+    n, keys = tasks_of(parent), ["trace_id", "span_id"]
+    return spread(child, n, *keys).join(spread(parent, n, *keys), keys)
 
 
 def service_map(spans: DataFrame, start_us: int | None, end_us: int | None, longest_us: int | None = None) -> DataFrame:
