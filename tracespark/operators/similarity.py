@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+import pyarrow.json as pa_json
 import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.scalars import fnv1a_64
 from .trees import trees
@@ -86,6 +90,15 @@ def similar_classes(found: DataFrame, threshold: float = SIMILAR) -> DataFrame:
 PACKED = "trace_id string, span_id string, is_compressed boolean, original_size int, compressed_size int, ratio double, data binary"
 
 
+def packed_texts(z: zstandard.ZstdCompressor, raw: pa.Array) -> list[bytes]:
+    """Each text of an array compressed by itself, all in one call."""
+    if not len(raw):
+        return []
+    at = np.frombuffer(raw.buffers()[1], np.int32)[raw.offset : raw.offset + len(raw) + 1].astype(np.uint64)
+    segments = np.stack([at[:-1], np.diff(at)], axis=1)
+    return [x.tobytes() for x in z.multi_compress_to_buffer(zstandard.BufferWithSegments(raw.buffers()[2], segments.tobytes()))]
+
+
 def compress(spans: DataFrame, level: int = LEVEL) -> DataFrame:
     """CMP-01: each span's JSON, compressed where it is long and gains enough (else kept as it is)."""
     names = spans.columns
@@ -93,28 +106,61 @@ def compress(spans: DataFrame, level: int = LEVEL) -> DataFrame:
     def run(batches):
         z = zstandard.ZstdCompressor(level=level)
         for b in batches:
-            out = []
-            for text in b.column("json").to_pylist():
-                raw = text.encode()
-                packed = z.compress(raw) if len(raw) >= LEAST_BYTES else raw
-                gain = len(raw) / len(packed) if len(raw) >= LEAST_BYTES else 1.0
-                good = gain >= LEAST_RATIO
-                out.append((good, len(raw), len(packed) if good else len(raw), gain if good else 1.0, packed if good else raw))
-            c = list(zip(*out, strict=True)) or [()] * 5
-            yield pa.RecordBatch.from_arrays([b.column("trace_id"), b.column("span_id"), pa.array(c[0], pa.bool_()), pa.array(c[1], pa.int32()), pa.array(c[2], pa.int32()), pa.array(c[3], pa.float64()), pa.array(c[4], pa.binary())], [x.split()[0] for x in PACKED.split(", ")])
+            raw = b.column("json").cast(pa.binary())
+            size = pc.binary_length(raw).to_numpy()
+            long = np.flatnonzero(size >= LEAST_BYTES)
+            packed = pa.array(packed_texts(z, raw.take(pa.array(long))), pa.binary())
+            gain = np.ones(len(raw))
+            gain[long] = size[long] / pc.binary_length(packed).to_numpy()
+            good = gain >= LEAST_RATIO
+            data = pc.replace_with_mask(raw, pa.array(good), packed.filter(pa.array(good[long])))
+            yield pa.RecordBatch.from_arrays([b.column("trace_id"), b.column("span_id"), pa.array(good), pa.array(size, pa.int32()), pc.binary_length(data), pa.array(np.where(good, gain, 1.0)), data], [x.split()[0] for x in PACKED.split(", ")])
 
     return spans.select("trace_id", "span_id", F.to_json(F.struct(*names)).alias("json")).mapInArrow(run, PACKED)
 
 
+#: Types that Arrow's reader of JSON takes as from_json does, or refuses.
+PLAIN = {"string": pa.string(), "double": pa.float64(), "bigint": pa.int64(), "int": pa.int32(), "boolean": pa.bool_()}
+
+
+def plain_rows(texts: list[bytes], wanted: pa.Schema) -> pa.StructArray | None:
+    """The wanted fields of JSON objects; None if anything is in them that Arrow refuses."""
+    data = b"\n".join(texts) + b"\n"
+    try:
+        t = pa_json.read_json(pa.BufferReader(data), pa_json.ReadOptions(use_threads=False, block_size=len(data)), pa_json.ParseOptions(explicit_schema=wanted, unexpected_field_behavior="ignore"))
+    except pa.ArrowInvalid:
+        return None
+    if t.num_rows != len(texts) or t.schema.names != wanted.names:
+        return None
+    return pa.StructArray.from_arrays([pa.concat_arrays(c.chunks) for c in t.columns], fields=list(wanted))
+
+
 def decompress(packed: DataFrame, schema) -> DataFrame:
-    """CMP-02: the spans back."""
+    """CMP-02: the spans back. A batch whose fields are plain is read where it is decompressed, any other by from_json."""
+    schema = T._parse_datatype_string(schema) if isinstance(schema, str) else schema
+    types = [f.dataType.simpleString() for f in schema]
+    wanted = pa.schema([(f.name, PLAIN[t]) for f, t in zip(schema, types, strict=True)]) if set(types) <= set(PLAIN) else None
+    out = T.StructType().add("json", "string").add("s", schema)
 
     def run(batches):
         z = zstandard.ZstdDecompressor()
         for b in batches:
-            yield pa.RecordBatch.from_arrays([pa.array([(z.decompress(d) if c else d).decode() for c, d in zip(b.column("is_compressed").to_pylist(), b.column("data").to_pylist(), strict=True)])], ["json"])
+            if not b.num_rows:
+                continue
+            texts = [z.decompress(d) if c else d for c, d in zip(b.column("is_compressed").to_pylist(), b.column("data").to_pylist(), strict=True)]
+            rows = plain_rows(texts, wanted)
+            left = pa.nulls(len(texts), pa.string()) if rows is not None else pa.array(texts, pa.string())
+            yield pa.RecordBatch.from_arrays([left, pa.nulls(len(texts), pa.struct(wanted)) if rows is None else rows], ["json", "s"])
+
+    def spelt_out(batches):
+        z = zstandard.ZstdDecompressor()
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([(z.decompress(d) if c else d).decode() for c, d in zip(b.column("is_compressed").to_pylist(), b.column("data").to_pylist(), strict=True)], pa.string())], ["json"])
 
-    return packed.select("is_compressed", "data").mapInArrow(run, "json string").select(F.from_json("json", schema).alias("s")).select("s.*")
+    data = packed.select("is_compressed", "data")
+    if wanted is None:
+        return data.mapInArrow(spelt_out, "json string").select(F.from_json("json", schema).alias("s")).select("s.*")
+    return data.mapInArrow(run, out).select(F.coalesce("s", F.from_json("json", schema)).alias("s")).select("s.*")
 
 
 def totals(packed: DataFrame) -> DataFrame:
