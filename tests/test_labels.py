@@ -89,3 +89,27 @@ def test_deep_traces_have_an_answer():
     while tree:
         level, tree = level + 1, (tree["children"] or [None])[0]
     assert level == 150 and "parents" not in flat and json.dumps(flat)
+
+
+def test_shallow_trees_need_no_arrays(monkeypatch):
+    """Trees of up to SHALLOW levels have the hashes of the walk in arrays, with more lines than are kept; deeper ones go by arrays."""
+    from tracespark.operators import labels as module
+
+    monkeypatch.setattr(module, "LINES", 3)
+    rng, known = random.Random(4), Labels()
+    for deepest in [1, 2, 3, 12] * 10:
+        depths = [1]
+        while len(depths) < 15 * deepest and deepest > 1:
+            depths.append(rng.randint(2, min(deepest, depths[-1] + 1)))
+        sizes = [next((j for j in range(i + 1, len(depths)) if depths[j] <= d), len(depths)) - i for i, d in enumerate(depths)]
+        names = [rng.choice(["a:b", "é:日本", "svc:op", ""]) for _ in depths]
+        want = [int(h) for h in known.walk(names, sizes, depths)]
+        assert known.walk_shallow(names, sizes, depths) == want
+        assert [int(h) for h in Labels().of_tree(names, sizes, depths)] == want
+    assert len(known.whole) <= 3
+    used = []
+    monkeypatch.setattr(Labels, "walk", lambda *a: used.append("arrays") or [1] * len(a[1]))
+    monkeypatch.setattr(Labels, "walk_shallow", lambda *a: used.append("whole") or [1] * len(a[1]))
+    for n in (12, 13):
+        Labels().of_tree(["a"] * n, list(range(n, 0, -1)), list(range(1, n + 1)))
+    assert used == ["whole", "arrays"]

@@ -17,6 +17,10 @@ START, PRIME = np.uint64(0xCBF29CE484222325), np.uint64(0x100000001B3)
 LOW = np.uint64(255)
 #: Labels that are kept by a task.
 KEPT = 1_000_000
+#: Trees of at most so many levels are walked in whole numbers of Python, which cost less than arrays so short, by at most so
+#: many lines at once.
+SHALLOW, LINES = 12, 4096
+ALL = 2**64 - 1
 
 
 def function_of(text: bytes) -> tuple[np.uint64, np.ndarray]:
@@ -55,16 +59,18 @@ class Labels:
 
     def __init__(self):
         self.number: dict[tuple, int] = {}
-        self.hash: list[np.uint64] = []
+        self.hash: list[int | np.uint64] = []
         self.lines: dict[str, tuple[np.uint64, np.ndarray]] = {}
         self.indents = Indents()
+        self.whole: dict[str, tuple[int, list[int]]] = {}
+        self.spaces = [(int(p), a.tolist()) for p, a in zip(*(x[:SHALLOW] for x in self.indents.upto(SHALLOW)), strict=True)]
 
     def line(self, text: str) -> tuple[np.uint64, np.ndarray]:
         if text not in self.lines:
             self.lines[text] = function_of((text + "\n").encode())
         return self.lines[text]
 
-    def of_tree(self, names: list[str], sizes: list[int], depths: list[int]) -> list[np.uint64]:
+    def of_tree(self, names: list[str], sizes: list[int], depths: list[int]) -> list[int | np.uint64]:
         """The hash of every subtree of one tree, whose spans come in the order of a walk: their names, numbers of
         spans below and with them, and depths from 1 on."""
         if len(self.number) > KEPT:
@@ -80,10 +86,52 @@ class Labels:
             labels[i] = self.number.setdefault((names[i], *kids), len(self.number))
         if labels[0] >= known or max(labels) >= known:
             self.hash.extend([START] * (len(self.number) - known))
-            for label, h in zip(labels, self.walk(names, sizes, depths), strict=True):
+            walk = self.walk if max(depths) > SHALLOW else self.walk_shallow
+            for label, h in zip(labels, walk(names, sizes, depths), strict=True):
                 self.hash[label] = h
         return [self.hash[x] for x in labels]
 
+    def whole_line(self, text: str) -> tuple[int, list[int]]:
+        if (found := self.whole.get(text)) is None:
+            if len(self.whole) >= LINES:
+                self.whole.clear()
+            factor, table = self.lines.get(text) or function_of((text + "\n").encode())
+            found = self.whole[text] = (int(factor), table.tolist())
+        return found
+
+    def walk_shallow(self, names: list[str], sizes: list[int], depths: list[int]) -> list[int]:
+        """walk() for trees of at most SHALLOW levels."""
+        spaces, states, out = self.spaces, [0] * SHALLOW, [0] * len(names)
+
+        def write(depth: int, text: str) -> None:
+            factor, table = self.whole_line(text)
+            for k in range(depth):
+                power, add = spaces[depth - 1 - k]
+                h = states[k]
+                h = (h * power + add[h & 255]) & ALL
+                states[k] = (h * factor + table[h & 255]) & ALL
+
+        pending: list[tuple[int, int]] = []  # as in walk()
+
+        def close(upto: int) -> None:
+            while pending and pending[-1][1] <= upto:
+                i, _ = pending.pop()
+                write(depths[i], "]")
+                out[i] = states[depths[i] - 1]
+
+        for i, name in enumerate(names):
+            if pending:
+                close(i)
+            states[depths[i] - 1] = int(START)
+            if sizes[i] > 1:
+                write(depths[i], name + "[")
+                pending.append((i, i + sizes[i]))
+            else:
+                write(depths[i], name)
+                out[i] = states[depths[i] - 1]
+        close(len(names))
+        return out
+
     def walk(self, names: list[str], sizes: list[int], depths: list[int]) -> list[np.uint64]:
         deepest = max(depths)
         power, add = self.indents.upto(deepest)
